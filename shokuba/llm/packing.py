@@ -27,10 +27,6 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)  # one for each worker
 
 
-def power_of_two(n: int) -> bool:
-    return n > 0 and n & (n - 1) == 0
-
-
 def boundaries(ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted cut positions and their penalties: document ends (0), sentence ends, and free cuts in long gaps."""
     at = np.union1d(ends, sentences)
@@ -45,8 +41,11 @@ def boundaries(ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.
     return at, cost
 
 
-def plan_cuts(at: np.ndarray, cost: np.ndarray, capacity: int) -> list[int]:
-    """Ends of the windows over 0..at[-1], each at most `capacity` long, with the least padding and cut penalties.
+def plan_cuts(at: np.ndarray, cost: np.ndarray, capacity: int, last: bool) -> list[int]:
+    """Ends of the windows from 0, each at most `capacity` long, with the least padding and cut penalties.
+
+    Less than `capacity` is left over after the last of them: at no cost if more will follow, else at that of its
+    own windows (tail_cuts).
 
     f(j) = cost(j) + min over i of f(i) + capacity - (at(j) - at(i)). f(i) + at(i) decides, so the i within reach
     stay in a queue whose values rise, and each boundary enters and leaves it once.
@@ -64,19 +63,27 @@ def plan_cuts(at: np.ndarray, cost: np.ndarray, capacity: int) -> list[int]:
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, j))
-    cuts, j = [], n - 1
+    left = [i for i in range(n) if at[-1] - at[i] < capacity]
+    j = min(left, key=lambda i: (value[i] + (tail_cost(at[-1] - at[i], capacity) if last else 0.0), -i))
+    cuts = []
     while j:
         cuts.append(at[j])
         j = back[j]
     return cuts[::-1]
 
 
+def tail_cost(length: int, capacity: int) -> float:
+    """Padding of a last stretch in one window, or the cuts that make it windows of powers of two, if these cost less."""
+    return min(capacity - length, FREE_CUT * (length.bit_count() - 1)) if length else 0.0
+
+
 def tail_cuts(length: int, capacity: int) -> list[int]:
-    """Ends of the windows of a last stretch: one, or lengths that are powers of two if padding costs more than cuts."""
-    parts = [1 << i for i in range(length.bit_length() - 1, -1, -1) if length >> i & 1]
-    if power_of_two(length) or capacity - length <= FREE_CUT * (len(parts) - 1):
+    """Ends of the windows of a last stretch, as tail_cost decides."""
+    if not length:
+        return []
+    if capacity - length <= FREE_CUT * (length.bit_count() - 1):
         return [length]
-    return np.cumsum(parts).tolist()
+    return np.cumsum([1 << i for i in range(length.bit_length() - 1, -1, -1) if length >> i & 1]).tolist()
 
 
 class Packer:
@@ -99,12 +106,10 @@ class Packer:
         ends = np.cumsum([len(p[2]) for p in self.parts])
         is_end = np.isin(ids, self.end_ids)
         is_end[:-1] &= ~is_end[1:]
-        cuts = plan_cuts(*boundaries(ends, np.flatnonzero(is_end) + 1), self.capacity)
-        done = cuts[-2] if len(cuts) > 1 else 0
+        cuts = plan_cuts(*boundaries(ends, np.flatnonzero(is_end) + 1), self.capacity, last)
         if last:
-            cuts[-1:] = [done + x for x in tail_cuts(len(ids) - done, self.capacity)]
-        else:
-            cuts = cuts[:-1]
+            done = cuts[-1] if cuts else 0
+            cuts += [done + x for x in tail_cuts(len(ids) - done, self.capacity)]
         stops, starts, out, begin = ends.tolist(), [0, *ends[:-1].tolist()], [], 0
         for cut in cuts:
             k = bisect_right(stops, begin)

@@ -13,6 +13,7 @@ from shokuba.llm.exact_dedup import exact_duplicates
 from shokuba.llm.language import language_id
 from shokuba.llm.packing import pack
 from shokuba.llm.simhash import near_duplicates
+from shokuba.llm.substring_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +37,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=35)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).drop("row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_benchmark_decontamination, op5_simhash_near_dedup, op7_language_id, op8_packing, op10_exact_dedup)
+    for f in (op2_benchmark_decontamination, op5_simhash_near_dedup, op7_language_id, op8_packing, op9_substring_dedup, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
