@@ -13,6 +13,7 @@ from shokuba.llm.exact_dedup import exact_duplicates
 from shokuba.llm.html_text import extract_pages
 from shokuba.llm.language import language_id
 from shokuba.llm.packing import pack
+from shokuba.llm.pii import find_personal_data
 from shokuba.llm.quality import score_documents
 from shokuba.llm.simhash import near_duplicates
 from shokuba.llm.substring_dedup import remove_repeats
@@ -31,6 +32,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(_table(spark, sf_dir, "pages"))
 
@@ -62,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_benchmark_decontamination, op4_url_filters, op5_simhash_near_dedup, op6_quality_classifier, op7_language_id, op8_packing, op9_substring_dedup, op10_exact_dedup)
+    for f in (op1_html_extraction, op2_benchmark_decontamination, op3_pii, op4_url_filters, op5_simhash_near_dedup, op6_quality_classifier, op7_language_id, op8_packing, op9_substring_dedup, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
