@@ -32,7 +32,7 @@ class Bands:
     samples: int = 4
     walks: int = 4
     agree: float = 0.55
-    recall: float = 0.9
+    recall: float = 0.95
     segment: int = 64
     ratio: float = 1.25
 
@@ -54,6 +54,8 @@ class ItemIndex:
             for at in range(0, len(w), bands.segment):
                 part = w[at : at + bands.segment] if len(w) - at >= bands.segment // 4 or not at else w[-bands.segment // 4 :]
                 self.items.append((item_id, np.array(part, np.int32)))
+        grams = [self._grams(x) for _, x in self.items if len(x) > 2]
+        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         rng = np.random.default_rng(seed)
         self.classes, lo = [], 1
         longest = max((len(x) for _, x in self.items), default=0)
@@ -62,6 +64,22 @@ class ItemIndex:
             if own := [k for k, (_, x) in enumerate(self.items) if lo <= len(x) <= hi]:
                 self.classes.append(self._class(own, lo, hi, rng))
             lo = hi + 1
+        self.least = min((c[5] for c in self.classes), default=1)
+
+    def _grams(self, x: np.ndarray) -> np.ndarray:
+        """Codes of the trigrams of x."""
+        v, x = len(self.vocab) + 1, x.astype(np.int64)
+        return (x[:-2] * v + x[1:-1]) * v + x[2:]
+
+    def _known_grams(self, x: np.ndarray) -> np.ndarray:
+        """Where in x a trigram of any item starts."""
+        hit = np.zeros(len(x), bool)
+        if len(x) > 2 and len(self.grams):
+            at = np.flatnonzero((x[:-2] > 0) & (x[1:-1] > 0) & (x[2:] > 0))
+            v, y = len(self.vocab) + 1, x.astype(np.int64)
+            code = (y[at] * v + y[at + 1]) * v + y[at + 2]
+            hit[at] = self.grams[np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)] == code
+        return hit
 
     def _class(self, own: list[int], lo: int, hi: int, rng) -> tuple:
         steps = max(2 * lo, self.bands.samples)
@@ -76,25 +94,28 @@ class ItemIndex:
         for row in keys:
             order = np.argsort(row, kind="stable")
             tables.append((row[order], np.array(own)[order]))
-        return lo, hi, walks, picks, tables
+        shared = max(0, min(n - 2 - 3 * self.bands.edits(n) for n in {len(self.items[k][1]) for k in own}))
+        return lo, hi, walks, picks, tables, shared
 
     @staticmethod
     def sketch(x: np.ndarray, starts: np.ndarray, walks: np.ndarray, picks: list) -> list[np.ndarray]:
         """Keys of the windows of x at `starts`. A walk (CGK) writes the word under it, then moves on one word or not
         as the random bit of this step and word says; two windows walk with the same bits."""
+        need = {int(p) for own in picks for pick in own for p in pick}
+        at = np.tile(starts.astype(np.int64), (len(walks), 1))
+        table = np.arange(len(walks))[:, None] << 8
+        seen: dict[int, np.ndarray] = {}
+        for j in range(max(need) + 1):
+            word = x[at]
+            if j in need:
+                seen[j] = word.astype(np.uint64)
+            at += walks[:, j].ravel()[table + (word & 255)]
         out = []
-        for bits, own in zip(walks, picks):
-            need = {int(p) for pick in own for p in pick}
-            at, seen = starts.astype(np.int64), {}
-            for j in range(max(need) + 1):
-                word = x[at]
-                if j in need:
-                    seen[j] = word.astype(np.uint64)
-                at = at + bits[j, word & 255]
+        for i, own in enumerate(picks):
             for pick in own:
                 key = np.zeros(len(starts), np.uint64)
                 for p in pick.tolist():
-                    key = (key ^ seen[p]) * np.uint64(0x9E3779B97F4A7C15)
+                    key = (key ^ seen[p][i]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(29)
                 out.append(key)
         return out
@@ -104,16 +125,24 @@ class ItemIndex:
         words = words_of(text)
         n = len(words)
         x = np.fromiter(map(self.vocab.get, words, repeat(0)), np.int32, n)
-        known = np.concatenate(([0], np.cumsum(x > 0)))
+        grams = self._known_grams(x)
+        total = int(grams.sum())
+        if total < self.least:
+            return []
+        known, common = np.concatenate(([0], np.cumsum(x > 0))), np.concatenate(([0], np.cumsum(grams)))
         pad = None
         found: dict[int, tuple[int, int, int, int]] = {}
-        for lo, hi, walks, picks, tables in self.classes:
+        for lo, hi, walks, picks, tables, shared in self.classes:
+            if total < shared:
+                continue
             k = self.bands.edits(hi)
+            # An edit spoils at most three trigrams, so a match holds at least `shared` of the items' trigrams.
             # An item within k edits leaves at most k words of its first lo - k outside the items' vocabulary.
             front = max(1, lo - k)
             if n < front:
                 continue
             starts = np.flatnonzero((known[front:] - known[:-front] >= front - k) & (x[: n - front + 1] > 0))
+            starts = starts[common[np.minimum(starts + hi + k, n)] - common[starts] >= shared]
             if not len(starts):
                 continue
             if pad is None:
@@ -151,7 +180,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, bands: Bands = Bands(), bl
 
     An item is found where a stretch of the document lies within the similarity of it, counted in word edits; items
     longer than `segment` words are searched by segments of it, any of which counts. Windows at every word of the
-    whole text are considered. Those that can't match are left out first: too few of their words occur in any item.
+    whole text are considered. Those that can't match are left out first: too few of their words or word trigrams
+    occur in any item.
     Items or texts that are null or without words match nothing. The benchmark is the query set: it comes to the
     tasks in blocks of about `block_chars` characters, with one pass over the documents for each block.
     """
