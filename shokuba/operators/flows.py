@@ -105,7 +105,8 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float = 0.1)
 
     A polygon covers the grid cells of its bounding box; points meet it by cell, so the join is an equality.
     """
-    box = polygons.select("name", "ring", *[f(F.transform("ring", lambda p, c=c: p[c])).alias(n) for n, f, c in (("x0", F.array_min, "lat"), ("x1", F.array_max, "lat"), ("y0", F.array_min, "lng"), ("y1", F.array_max, "lng"))])
+    lats, lngs = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lng"])
+    box = polygons.select("name", "ring", F.array_min(lats).alias("x0"), F.array_max(lats).alias("x1"), F.array_min(lngs).alias("y0"), F.array_max(lngs).alias("y1"))
     step = lambda c: F.floor(F.col(c) / cell)
     box = box.withColumn("cx", F.explode(F.sequence(step("x0"), step("x1")))).withColumn("cy", F.explode(F.sequence(step("y0"), step("y1"))))
     near = points.withColumn("cx", step("lat")).withColumn("cy", step("lng")).join(box, ["cx", "cy"])
@@ -138,9 +139,8 @@ def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     n = nodes.count()
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
-    dangling = nodes.select("node").join(out.select(F.col("src").alias("node")), "node", "left_anti").withColumn("dangling", F.lit(True))
-    base = cut_lineage(nodes.select("node").join(dangling, "node", "left"))
-    ranks = base.select("node", F.lit(1.0 / max(1, n)).alias("rank"))
+    dangling = cut_lineage(nodes.select("node").join(out.select(F.col("src").alias("node")), "node", "left_anti"))
+    ranks = nodes.select("node", F.lit(1.0 / max(1, n)).alias("rank"))
     for _ in range(rounds):
         lost = ranks.join(dangling, "node", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
         got = steps.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
