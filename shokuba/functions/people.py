@@ -92,7 +92,7 @@ def holds_any(held: Column, names: Sequence[str], part: bool = False) -> Column:
 
 def graduation_year(c: Column, low: int = 1950, high: int = 2030) -> Column:
     """Last year of the form 2016年 in a career text, if between low and high."""
-    year = F.element_at(F.regexp_extract_all(c, F.lit(r"((?:19|20)[0-9]{2})年"), 1), -1).try_cast("int")
+    year = F.try_element_at(F.regexp_extract_all(c, F.lit(r"((?:19|20)[0-9]{2})年"), 1), F.lit(-1)).try_cast("int")
     return F.when(year.between(low, high), year)
 
 

@@ -19,13 +19,20 @@ APPLICANTS = T.StructType([T.StructField(c, T.StringType()) for c in (
 )])
 
 
+def _allow(spark: SparkSession, encoding: str) -> None:
+    """Spark reads other encodings than UTF and Latin-1 only under this setting, which then stays on in the session."""
+    if encoding not in ENCODINGS:
+        raise ValueError(f"encoding {encoding}; known are {ENCODINGS}")
+    if encoding != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, encoding: str = "UTF-8", multiline: bool = False, parts: int | None = None) -> DataFrame:
     """CSV with a header and '' as null. multiline: line breaks inside quotes (such a file is read by one task each).
 
     Gzip files are read the same way; they can't be split, so `parts` spreads their rows. A byte-order mark is dropped.
     """
-    if encoding not in ENCODINGS:
-        raise ValueError(f"encoding {encoding}; known are {ENCODINGS}")
+    _allow(spark, encoding)
     reader = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     df = (reader.schema(schema) if schema else reader).csv(path)
     df = df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
@@ -93,6 +100,7 @@ def read_indicators(spark: SparkSession, paths: Sequence[str], base: DataFrame,
 def read_geocodes(spark: SparkSession, path, encoding: str = "ISO-2022-JP") -> DataFrame:
     """address, lat, lng, confidence, level: the most confident result above 0 of each address. A line is the address and
     five quoted fields at its end."""
+    _allow(spark, encoding)
     pattern = r'^(.*?),"([^"]*)","([^"]*)","([^"]*)","([^"]*)","([^"]*)"\s*$'
     lines = spark.read.option("encoding", encoding).option("header", False).option("sep", "\x00").option("quote", "\x00").csv(path, schema="line string")
     f = [F.regexp_extract("line", pattern, i) for i in range(1, 7)]
