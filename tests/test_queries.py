@@ -7,8 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from shokuba.plans import queries as plans
+from shokuba.plans import serving
 
 SF = "/root/testdata/sf0.001"
+assert serving  # it adds to the queries
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
