@@ -116,6 +116,31 @@ def test_components_match_brute_force(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_similar_documents_by_shingle_similarity(spark):
+    from shokuba.llm.simhash import drop_near_duplicates, similar_documents
+
+    def jaccard(a, b):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    r, rows = random.Random(4), []
+    for g in range(25):
+        base = words(400, 900 + g).split()
+        rows.append((g * 10, " ".join(base)))
+        for c, edits in ((1, 4), (2, 6), (3, 60)):
+            w = list(base)
+            for p in r.sample(range(400), edits):
+                w[p] = "changed"
+            rows.append((g * 10 + c, " ".join(w)))
+    assert all(jaccard(rows[i][1], rows[i + 1][1]) > 0.85 and jaccard(rows[i][1], rows[i + 3][1]) < 0.5 for i in range(0, 100, 4))
+    got = {x.doc_id: x.component_id for x in similar_documents(docs(spark, rows)).collect()}
+    near = [got[g * 10 + c] == g * 10 for g in range(25) for c in (1, 2)]
+    assert sum(near) >= 48 and all(got[g * 10 + 3] == g * 10 + 3 for g in range(25))
+    kept = drop_near_duplicates(docs(spark, rows + [(None, "a b")]))
+    assert 51 <= kept.count() <= 53 and kept.columns == docs(spark, []).columns
+    assert drop_near_duplicates(docs(spark, [])).count() == 0
+
+
 # -- substring dedup
 
 
