@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shokuba.functions.dictionaries import BENEFITS, HOLIDAYS, SHIFTS, TAG_PATTERNS, TAG_SYNONYMS, TAGS
 from shokuba.functions.people import extract, fold_width
+from shokuba.operators.core import bands
 
 
 def base_salary(c: Column) -> Column:
@@ -122,3 +124,59 @@ def tier_label(scores: Mapping[str, Mapping[str, Column]], patterns: Sequence[tu
     fit = {label: reduce(lambda a, b: a + b, [(winner[a] == v).cast("double") for a, v in want.items()]) / len(want) for label, want in patterns}
     best = F.greatest(*fit.values()) if len(fit) > 1 else next(iter(fit.values()))
     return F.when(best >= least, best_of(fit)).otherwise(F.concat_ws("×", *winner.values()))
+
+
+def advert_tags(c: Column) -> Column:
+    """Tags of an advert's text: by the word itself, another wording or a pattern; the holiday rule adds 4週8休以上."""
+    def pattern(tag: str) -> str:
+        words = "|".join(f"\\Q{w}\\E" for w in (tag, *TAG_SYNONYMS.get(tag, "").split()))
+        return "|".join((words, TAG_PATTERNS[tag])) if tag in TAG_PATTERNS else words
+
+    found = {t: pattern(t) for t in TAGS} | {"4週8休以上": r"\Q4週8休\E|4週[89]休"}
+    return tags(c, found)
+
+
+def benefit_flags(c: Column) -> dict[str, Column]:
+    """The 25 benefit flags of a text."""
+    return flags(c, BENEFITS)
+
+
+def benefit_score(c: Column) -> Column:
+    return flag_score(c, BENEFITS)
+
+
+def holiday_pattern(c: Column) -> Column:
+    """Pattern of days off; Chinese numerals for two and three days count as digits, null and blank text give null."""
+    s = F.replace(F.replace(fold_width(c), F.lit("二日"), F.lit("2日")), F.lit("三日"), F.lit("3日"))
+    return F.when(F.length(F.trim(c)) > 0, first_of(s, HOLIDAYS, "その他"))
+
+
+def holiday_band(days: Column) -> Column:
+    return bands(days, (100, 105, 110, 115, 120), ("<100", "100-104", "105-109", "110-114", "115-119", "120+"))
+
+
+def shift_type(c: Column) -> Column:
+    """Named shift type, else by the time spans: two or more, or flexible hours, are shifts, one is fixed."""
+    s = fold_width(c)
+    n = working_hours(c)["n"]
+    flexible = s.rlike(r"変形労働時間|[0-9]{1,2}:[0-9]{2}.*の間で[0-9]時間") | (F.regexp_count(s, F.lit(r"[（(]?\s*[①-⑩0-9]\s*[）)]")) >= 2)
+    return F.coalesce(first_of(s, SHIFTS), F.when(flexible | (n >= 2), "シフト制").when(n == 1, "固定時間").otherwise("不明"))
+
+
+def hour_bands(start: Column, end: Column) -> tuple[Column, Column]:
+    """Bands of the first starting and the last ending hour; hours before 5 and 15 are unknown."""
+    s = F.when(start >= 5, bands(start, (7, 9, 11), ("早朝(5-7時)", "朝(7-9時)", "午前(9-11時)", "午後(11時以降)")))
+    e = F.when(end >= 15, bands(end, (17, 19, 21), ("午後早(15-17時)", "夕方(17-19時)", "夜(19-21時)", "深夜(21時以降)")))
+    return F.coalesce(s, F.lit("不明")), F.coalesce(e, F.lit("不明"))
+
+
+def age_signals(c: Column, patterns: Mapping[str, Sequence[str]]) -> Column:
+    """struct<scores,primary,all> of decades by the number of their patterns in a text; the youngest wins a tie."""
+    scores = {d: reduce(lambda a, b: a + b, [F.coalesce(c.rlike(f"(?U){p}"), F.lit(False)).cast("int") for p in ps]) for d, ps in patterns.items()}
+    every = F.array_compact(F.array(*[F.when(s >= 1, F.lit(d)) for d, s in scores.items()]))
+    return F.struct(F.struct(*[s.alias(d) for d, s in scores.items()]).alias("scores"), F.when(F.size(every) > 0, best_of(scores)).alias("primary"), every.alias("all"))
+
+
+def experience_quadrant(beginner: Column, unlicensed: Column) -> Column:
+    """Who an advert is for: by whether beginners and people without a licence are welcome."""
+    return F.when(beginner & unlicensed, "未経験×無資格").when(beginner, "未経験×有資格").when(unlicensed, "経験者×無資格").otherwise("経験者×有資格")

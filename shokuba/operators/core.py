@@ -69,6 +69,8 @@ def scopes(df: DataFrame, levels: dict[str, Sequence[str]], measures: Sequence[C
     levels: name of the level and its columns, e.g. {"nation": [], "prefecture": ["pref"]}. Rows with a null in any of
     the columns are left out.
     """
+    if len({frozenset(cols) for cols in levels.values()}) < len(levels):
+        raise ValueError("two levels have the same columns")
     every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
     out = known(df, every).groupingSets([[F.col(c) for c in cols] for cols in levels.values()], *[F.col(c) for c in every]).agg(F.grouping_id().alias("_set"), *measures)
     name = F.lit(None).cast("string")

@@ -572,18 +572,69 @@ def clu01_clusters(spark, d):
     return C.assign_clusters(e, [f"x{i}" for i in range(8)], scaling="standard").select("vec_id", F.col("cluster").cast("int").alias("cluster"))
 
 
+#: Row types of the integrated table that are groupings of one table: place columns are common, these are the categories.
+WANTED = {
+    "AGE_GENDER": ["age_group", "gender"], "PERSONA_MUNI": ["age_group", "gender", "license"], "WORKSTYLE_DISTRIBUTION": ["employment"],
+    "WORKSTYLE_AGE": ["employment", "age_group"], "WORKSTYLE_GENDER": ["employment", "gender"], "WORKSTYLE_AGE_GENDER": ["employment", "age_group", "gender"],
+    "WORKSTYLE_QUALIFICATION": ["employment", "qualifications"], "URGENCY": ["urgency"], "URGENCY_AGE": ["urgency", "age_group"],
+    "URGENCY_EMPLOYMENT": ["urgency", "employment"], "URGENCY_GENDER": ["urgency", "gender"], "MOBILITY_PATTERN": ["home_prefecture", "age_group", "gender"], "RESIDENCE_FLOW": ["home_prefecture", "home_municipality"],
+}
+RESIDENT = {
+    "AGE_GENDER_RESIDENCE": ["age_group", "gender"], "PERSONA": ["age_group", "gender", "license"], "CAREER_CROSS": ["employment", "age_group"],
+    "EMPLOYMENT_AGE_GENDER": ["employment", "age_group", "gender"], "QUALIFICATION_DETAIL": ["qualifications"], "QUALIFICATION_PERSONA": ["qualifications", "age_group", "gender"],
+}
+
+
+def _row_types(df, kinds):
+    """All groupings in one pass, as row_type, place, category1..3 and measures; each with its share of the place."""
+    out = core.scopes(df, {k: [*HOME, *c] for k, c in kinds.items()}, [F.count("*").alias("count"), F.avg("age").alias("avg_age"), F.avg("qualification_count").alias("avg_qualifications")], "row_type")
+    for i in range(3):
+        picked = F.coalesce(*[F.when(F.col("row_type") == k, F.col(c[i])) for k, c in kinds.items() if len(c) > i], F.lit(None).cast("string"))
+        out = out.withColumn(f"category{i + 1}", picked)
+    return core.with_share(out.select("row_type", *HOME, "category1", "category2", "category3", "count", "avg_age", "avg_qualifications"), "count", ["row_type", *HOME])
+
+
+def _labelled(df):
+    return df.fillna("unknown", ["gender"]).withColumn("license", F.col("has_license").cast("string")).withColumn("qualifications", F.col("qualification_count").cast("string"))
+
+
+def _rows_sql(table: str, kinds: dict, place: str) -> str:
+    parts = []
+    for k, c in kinds.items():
+        cats = [*c, *["NULL"] * (3 - len(c))]
+        parts.append(f"""SELECT '{k}' AS row_type, prefecture, municipality, CAST({cats[0]} AS VARCHAR) AS category1, CAST({cats[1]} AS VARCHAR) AS category2, CAST({cats[2]} AS VARCHAR) AS category3, count(*) AS count,
+            round(avg(age), 6) AS avg_age, round(avg(qualification_count), 6) AS avg_qualifications, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY prefecture, municipality), 6) AS share_pct FROM {table} GROUP BY prefecture, municipality, {', '.join(c)}""")
+    return " UNION ALL ".join(parts)
+
+
+@query(""", home AS (SELECT want_prefecture AS prefecture, want_municipality AS municipality, prefecture AS home_prefecture, municipality AS home_municipality, age, age_group, coalesce(gender, 'unknown') AS gender, employment, urgency, qualification_count,
+    CAST(has_license AS VARCHAR) AS license, CAST(qualification_count AS VARCHAR) AS qualifications FROM wishes) """ + _rows_sql("home", WANTED, "want"))
+def int01_integrated_wanted(spark, d):
+    home = _labelled(wishes(spark, d)).withColumnsRenamed({"prefecture": "home_prefecture", "municipality": "home_municipality"})
+    return rounded(_row_types(home.withColumnsRenamed({"want_prefecture": "prefecture", "want_municipality": "municipality"}), WANTED))
+
+
+@query(""", residents AS (SELECT prefecture, municipality, age, age_group, coalesce(gender, 'unknown') AS gender, employment, qualification_count, CAST(has_license AS VARCHAR) AS license, CAST(qualification_count AS VARCHAR) AS qualifications FROM people) """ + _rows_sql("residents", RESIDENT, "home"))
+def int01_integrated_resident(spark, d):
+    return rounded(_row_types(_labelled(people(spark, d)), RESIDENT))
+
+
 @query()
 def int01_integrated(spark, d):
-    """Several aggregates as one long table: row_type, place, categories, measures."""
+    """The integrated long table: row_type, place, categories, measures."""
     p, w = people(spark, d), wishes(spark, d)
-    named = lambda df, t, c1=None, c2=None: df.select(F.lit(t).alias("row_type"), "*").withColumnsRenamed({k: v for k, v in ((c1, "category1"), (c2, "category2")) if k})
-    home = w.select(F.col("want_prefecture").alias("prefecture"), F.col("want_municipality").alias("municipality"), "age", "age_group", "gender", "employment", "urgency", "qualification_count", "has_license")
+    named = lambda df, t, *cats: df.select(F.lit(t).alias("row_type"), "*").withColumnsRenamed({c: f"category{i + 1}" for i, c in enumerate(cats)})
+    home = w.withColumnsRenamed({"prefecture": "home_prefecture", "municipality": "home_municipality"}).withColumnsRenamed({"want_prefecture": "prefecture", "want_municipality": "municipality"})
+    pairs = A.area_pairs(areas(spark, d), "person_id", "want_municipality", "want_prefecture", 20, 6)
+    flow = G.flow_balance(G.aggregate_flow(w.filter("municipality <> want_municipality"), ["municipality", "want_municipality"]), "municipality", "want_municipality", "flow_count")
     return rounded(core.union_tables(
+        _row_types(_labelled(home), WANTED),
+        _row_types(_labelled(p), RESIDENT),
         named(A.map_metrics(p), "SUMMARY"),
-        named(core.cross(p, [*HOME, "age_group", "gender"], [F.avg("age").alias("avg_age")]), "AGE_GENDER", "age_group", "gender"),
         named(A.demand_supply_gap(home, p, HOME), "GAP"),
         named(A.competition(p, HOME), "COMPETITION"),
         named(A.rarity(p, [*HOME, "age_group", "gender"]), "RARITY", "age_group", "gender"),
-        named(A.urgency_profile(home, [*HOME, "urgency", "age_group"], "qualification_count"), "URGENCY_AGE", "urgency", "age_group"),
-        named(A.urgency_profile(home, [*HOME, "urgency", "employment"], "qualification_count"), "URGENCY_EMPLOYMENT", "urgency", "employment"),
+        named(flow.withColumnRenamed("place", "municipality"), "FLOW"),
+        named(core.cross(pairs, ["place1", "place2"]).withColumnsRenamed({"place1": "municipality"}), "DESIRED_AREA_PATTERN", "place2"),
+        named(A.retention(p, "employment", HOME), "RETENTION", "employment"),
     ))

@@ -175,3 +175,15 @@ def test_pairs_of_one_person_are_bounded(spark):
 def test_unknown_encoding_is_refused(spark):
     with pytest.raises(ValueError):
         readers.read_csv(spark, "x.csv", encoding="latin-9")
+
+
+def test_advert_dictionaries(spark):
+    rows = [("未経験歓迎、駅から徒歩3分。賞与あり",), ("完全週休二日制 4週8休",), (None,)]
+    got = values(spark, rows, "s string", J.advert_tags(F.col("s")), J.benefit_score(F.col("s")), J.holiday_pattern(F.col("s")))
+    assert got[0] == (["未経験可", "駅近"], 1, "その他")
+    assert got[1] == (["4週8休以上", "完全週休2日"], 0, "完全週休2日") and got[2] == ([], 0, None)
+    rows = [("夜勤専従",), ("日勤のみ",), ("日勤のみ(夜勤あり)9:00-18:00",), ("9:00〜18:00",), ("9:00〜18:00 13:00〜22:00",), ("",)]
+    assert [v[0] for v in values(spark, rows, "s string", J.shift_type(F.col("s")))] == ["夜勤専従", "日勤のみ", "固定時間", "固定時間", "シフト制", "不明"]
+    assert values(spark, [(9, 18), (None, 22), (3, 10)], "a int, b int", *J.hour_bands(F.col("a"), F.col("b"))) == [("午前(9-11時)", "夕方(17-19時)"), ("不明", "深夜(21時以降)"), ("不明", "不明")]
+    got = values(spark, [("若手 学生",), ("シニア",), ("なし",)], "s string", J.age_signals(F.col("s"), {"20代": ["若手", "学生"], "60代": ["シニア"]}))
+    assert [(g[0].primary, g[0].all) for g in got] == [("20代", ["20代"]), ("60代", ["60代"]), (None, [])]
