@@ -23,7 +23,7 @@ class WordEncoder:
     and only units never met are sent to the tokenizer, many in one text; the token with the word end closes a unit.
     """
 
-    def __init__(self, path: str, words: int = 300_000, units: int = 300_000):
+    def __init__(self, path: str, words: int = 800_000, units: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
