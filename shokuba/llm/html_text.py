@@ -18,6 +18,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+_HAS = re.compile(r"\b(?:has|with|without|no)[-_][\w-]+", re.I)  # says what else the page has
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _BLOCK = frozenset(
@@ -54,7 +55,7 @@ def _unwanted(tag: str, raw: str, inside: bool) -> str:
         return "tag"
     if a.get("role", "").lower() in _ROLES and tag not in _SAFE:
         return "tag"
-    names = {x.lower() for x in _PART.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+    names = {x.lower() for x in _PART.findall(_HAS.sub(" ", f"{a.get('class', '')} {a.get('id', '')}"))}
     if names & _COMMENT:
         return "comment"
     if tag in _SAFE:

@@ -332,6 +332,7 @@ def test_quality_held_out(spark):
         (None, ""), ("", ""), ("<nav><a href=x>Home</a></nav>", ""), ("<p>a &lt; b&nbsp;&amp;\n c</p>", "a < b & c"),
         ("<article><h1>T</h1><p>one<p>two <b>three</b><script>x</script></article><footer>f</footer>", "T\n\none\n\ntwo three"),
         ("<div class='ad'>buy <div>now</div> more</div><main><p>" + "long text " * 9 + "</p><p>end</p></main><div id='comments'><article>" + "I think so " * 9 + "</article></div>", ("long text " * 9).strip() + "\n\nend"),
+        ("<div class='page has-sidebar'><p>" + "kept text " * 6 + "</p><div class='sidebar'>not this</div></div>", ("kept text " * 6).strip()),
         ("<article><p>cut off in a tag</p><a hre", "cut off in a tag"), ("<!-- <p>no</p> --><p>yes</p>", "yes"),
     ],
 )
