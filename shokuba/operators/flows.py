@@ -121,6 +121,17 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float = 0.1)
     return near.filter(inside).drop("cx", "cy", "ring", "x0", "x1", "y0", "y1")
 
 
+def spread_score(areas: DataFrame, person: str, most: int = 50) -> DataFrame:
+    """How widely a person's desired places lie: 50 x deviation of the coordinates + 0.3 x largest distance (degrees x
+    111 km), at most 100, with bands at 70, 40 and 10. `most` places of a person count, in the order of coordinates."""
+    points = F.slice(F.array_sort(F.collect_set(F.struct("lat", "lng"))), 1, most)
+    one = areas.filter("lat is not null and lng is not null").groupBy(person).agg(points.alias("p"), F.stddev_pop("lat").alias("a"), F.stddev_pop("lng").alias("b"))
+    apart = F.array_max(F.flatten(F.transform("p", lambda x: F.transform("p", lambda y: F.sqrt(F.pow(x["lat"] - y["lat"], 2) + F.pow(x["lng"] - y["lng"], 2)) * 111))))
+    score = F.least(F.lit(100.0), (F.col("a") + F.col("b")) / 2 * 50 + apart * 0.3)
+    band = F.when(score >= 70, "A").when(score >= 40, "B").when(score >= 10, "C").otherwise("D")
+    return one.select(person, F.size("p").alias("places"), score.alias("spread_score"), band.alias("spread_band"))
+
+
 def degree_centrality(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """In-, out- and total degree of each node over n - 1 (edges are distinct pairs)."""
     n = F.lit(max(1, nodes.count() - 1)).cast("double")

@@ -121,3 +121,18 @@ def add_missing(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 def overall_report(tables: dict[str, DataFrame]) -> DataFrame:
     """null_report of several tables in one."""
     return reduce(DataFrame.unionByName, [null_report(t).select(F.lit(n).alias("table"), "*") for n, t in tables.items()])
+
+
+def table_quality(df: DataFrame, columns: Sequence[str], crosses: Sequence[tuple[str, str]], least: float = 60.0) -> DataFrame:
+    """One row: rows, reliable columns and crosses, score (0-100), status, and whether the table passes the gate."""
+    single = sample_report(df, columns).agg(F.count_if(F.col("reliability").isin("HIGH", "MEDIUM")).alias("reliable_columns"))
+    pairs = reduce(DataFrame.unionByName, [cross_reliability(df, a, b) for a, b in crosses]).agg(F.count_if("reliable").alias("reliable_crosses"))
+    one = df.agg(F.count("*").alias("rows")).join(single, F.lit(True)).join(pairs, F.lit(True))  # one row each
+    score = quality_score(F.col("rows"), F.col("reliable_columns"), F.lit(len(columns)), F.col("reliable_crosses"), F.lit(len(crosses)))
+    status = F.when(score >= 80, "EXCELLENT").when(score >= 60, "GOOD").when(score >= 40, "ACCEPTABLE").otherwise("POOR")
+    return one.withColumn("score", score).withColumn("status", status).withColumn("passed", score >= least)
+
+
+def difficulty_summary(df: DataFrame, score: str, level: str) -> DataFrame:
+    """Average score, and score and level of the hardest row."""
+    return df.agg(F.avg(score).alias("avg_score"), F.max(score).alias("max_score"), F.max_by(level, F.struct(score, level)).alias("max_level"))

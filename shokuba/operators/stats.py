@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +90,30 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     return out.select("n", "groups", f.alias("f_statistic"), F.try_divide(F.col("b"), F.col("b") + F.col("w")).alias("eta_squared"))
 
 
+def _p_value(f, *columns: str) -> Column:
+    @F.pandas_udf("double")
+    def p(*cols: pd.Series) -> pd.Series:
+        return pd.Series([f(*row) if None not in row and row[0] == row[0] else None for row in zip(*cols)], dtype="float64")
+
+    return p(*columns)
+
+
+def chi_square_test(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
+    """chi_square with p_value, significant, and the effect's name by Cramer's V (0.1, 0.3, 0.5)."""
+    out = chi_square(df, a, b).withColumn("p_value", _p_value(lambda x, k: chi_square_p(x, int(k)), "chi_square", "dof"))
+    v = F.col("cramers_v")
+    effect = F.when(v >= 0.5, "large").when(v >= 0.3, "medium").when(v >= 0.1, "small").otherwise("negligible")
+    return out.withColumn("effect", effect).withColumn("significant", F.col("p_value") < alpha)
+
+
+def anova_test(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """anova with p_value, significant, and the effect's name by eta squared (0.01, 0.06, 0.14)."""
+    out = anova(df, group, value).withColumn("p_value", _p_value(lambda f, k, n: anova_p(f, int(k) - 1, int(n) - int(k)), "f_statistic", "groups", "n"))
+    e = F.col("eta_squared")
+    effect = F.when(e >= 0.14, "large").when(e >= 0.06, "medium").when(e >= 0.01, "small").otherwise("negligible")
+    return out.withColumn("effect", effect).withColumn("significant", F.col("p_value") < alpha)
+
+
 def gini(df: DataFrame, by: Sequence[str], value: str, least: int = 10) -> DataFrame:
     """Gini coefficient per group; null for fewer than `least` values."""
     w = Window.partitionBy(*by).orderBy(value)

@@ -308,3 +308,36 @@ def agg61_gap_ranking(spark, d):
 def sta03_gini_balance(spark, d):
     c = table(spark, d, "customer").filter("c_acctbal > 0").withColumn("g", F.lit(1))
     return rounded(S.gini(c, ["g"], "c_acctbal").select("gini"))
+
+
+@query()
+def sta01_tests(spark, d):
+    """Independence of several pairs of columns with p-values and effects."""
+    p = people(spark, d)
+    pairs = [("gender", "age_group"), ("gender", "has_license"), ("employment", "age_group"), ("prefecture", "has_license")]
+    out = core.union_tables(*[S.chi_square_test(p, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*") for a, b in pairs])
+    return rounded(out)
+
+
+@query()
+def sta02_tests(spark, d):
+    a = adverts(spark, d)
+    return rounded(core.union_tables(*[S.anova_test(a, g, "salary").select(F.lit(g).alias("group"), "*") for g in ("job_type", "employment", "prefecture")]))
+
+
+@query(f", {_COORDINATES}, w AS (SELECT person_id, lat, lng FROM areas JOIN coords ON municipality = want_municipality), u AS (SELECT DISTINCT * FROM w), far AS (SELECT a.person_id, max(sqrt(pow(a.lat - b.lat, 2) + pow(a.lng - b.lng, 2)) * 111) AS m FROM u a JOIN u b USING (person_id) GROUP BY 1)" + """
+    SELECT person_id, places, round(s, 4) AS spread_score, CASE WHEN s >= 70 THEN 'A' WHEN s >= 40 THEN 'B' WHEN s >= 10 THEN 'C' ELSE 'D' END AS spread_band
+    FROM (SELECT person_id, (SELECT count(*) FROM u WHERE u.person_id = w.person_id) AS places, least(100.0, (stddev_pop(lat) + stddev_pop(lng)) / 2 * 50 + any_value(m) * 0.3) AS s FROM w JOIN far USING (person_id) GROUP BY 1)""")
+def fun50_spread_score(spark, d):
+    c = _coordinates(spark, d).select(F.col("municipality").alias("want_municipality"), "lat", "lng")
+    return rounded(G.spread_score(areas(spark, d).join(c, "want_municipality"), "person_id"), 4)
+
+
+@query()
+def val04_table_quality(spark, d):
+    return rounded(V.table_quality(people(spark, d), ["gender", "age_group", "municipality"], [("gender", "age_group"), ("municipality", "age_group")]))
+
+
+@query("SELECT round(avg(n), 6) AS avg_score, max(n) AS max_score, arg_max(municipality, (n, municipality)) AS max_level FROM (SELECT municipality, count(*) AS n FROM people GROUP BY 1)")
+def val17_difficulty_summary(spark, d):
+    return rounded(V.difficulty_summary(core.cross(people(spark, d), ["municipality"]), "count", "municipality"))
