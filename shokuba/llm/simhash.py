@@ -154,7 +154,7 @@ def _link(entries: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFra
     bucket, so each link between components is found.
     """
     keys = entries.select("fp", "e.m", "e.key")
-    buckets = keys.groupBy("m", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
+    buckets = stage(keys.groupBy("m", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1"), "buckets")
     shared = stage(join_by_heavy(keys, buckets, ["m", "key"], "n").select("m", "key", "fp", "low", "high"), "blocks")
     hubs = shared.select(F.col("fp").alias("u"), F.explode(F.array("low", "high")).alias("v")).filter("u <> v").distinct()
     first = stage(near(hubs), "star")
