@@ -17,19 +17,33 @@ from shokuba.llm.common import components, join_by_heavy, stage, text_or_empty
 SEED = 42  # of XXH64
 _LANES = np.uint64(0x0101010101010101)
 _RUN = 255  # hashes whose bits add up in a byte
-_SLAB = _RUN * 128  # hashes that are counted at once
+_SLAB = _RUN * 32  # hashes that are counted at once
 #: Odd multipliers of further fingerprint words, from a linear congruential rule.
 _STEP, _MIX = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each of the 64 bits: bits of equal place in their byte add up in byte lanes."""
-    h = np.concatenate((h, np.zeros(-len(h) % _RUN, np.uint64)))
-    out = np.empty((8, 8), np.int64)
+    """For each row of hashes, how many have each of the 64 bits: bits of equal place in their byte add up in byte lanes."""
+    rows, n = h.shape
+    run = min(_RUN, n)
+    if pad := -n % run:
+        h = np.concatenate((h, np.zeros((rows, pad), np.uint64)), axis=1)
+    out = np.empty((rows, 8, 8), np.int64)
     for k in range(8):
-        lanes = (h >> np.uint64(k) & _LANES).reshape(-1, _RUN).sum(axis=1, dtype=np.uint64)
-        out[:, k] = lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return out.ravel()
+        lanes = (h >> np.uint64(k) & _LANES).reshape(rows, -1, run).sum(axis=2, dtype=np.uint64)
+        out[:, :, k] = lanes.view(np.uint8).reshape(rows, -1, 8).sum(axis=1, dtype=np.int64)
+    return out.reshape(rows, 64)
+
+
+def mixes(h: np.ndarray, size: int) -> np.ndarray:
+    """The hashes and size - 1 rows of mixes of them."""
+    odd = np.array([(_MIX + 2 * w * _STEP) % 2**64 | 1 for w in range(size)], np.uint64)[:, None]
+    m = (h ^ h >> np.uint64(32)) * odd
+    m ^= m >> np.uint64(29)
+    m *= np.uint64(0xBF58476D1CE4E5B9)
+    m ^= m >> np.uint64(32)
+    m[0] = h
+    return m
 
 
 def simhash_words(text: str, shingle: int = 4, size: int = 1) -> list[int]:
@@ -54,11 +68,7 @@ def simhash_words(text: str, shingle: int = 4, size: int = 1) -> list[int]:
     for at in range(0, count, _SLAB):
         a, b = starts[at : at + _SLAB].tolist(), ends[at : at + _SLAB].tolist()
         h = np.fromiter((digest(line[i:j], SEED) for i, j in zip(a, b)), np.uint64, len(a))
-        ones[0] += bit_counts(h)
-        for w in range(1, size):
-            mixed = (h ^ h >> np.uint64(32)) * np.uint64((_MIX + 2 * w * _STEP) % 2**64 | 1)
-            mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            ones[w] += bit_counts(mixed ^ mixed >> np.uint64(32))
+        ones += bit_counts(mixes(h, size) if size > 1 else h[None, :])
     return np.packbits(ones * 2 > count, axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
