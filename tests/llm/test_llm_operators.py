@@ -141,6 +141,30 @@ def test_similar_documents_by_shingle_similarity(spark):
     assert drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_similar_documents_recall_near_the_bound(spark):
+    from shokuba.llm.simhash import similar_documents
+
+    def shingles(t):
+        return {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+
+    r, rows = random.Random(7), []
+    for g in range(400):
+        base = words(300, 5000 + g).split()
+        w = list(base)
+        for p in r.sample(range(300), r.randrange(5, 9)):
+            w[p] = "changed"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(w))]
+    near = {}
+    for g in range(400):
+        x, y = shingles(rows[2 * g][1]), shingles(rows[2 * g + 1][1])
+        near[g] = len(x & y) / len(x | y)
+    got = {x.doc_id: x.component_id for x in similar_documents(docs(spark, rows)).collect()}
+    found = {g: got[2 * g + 1] == 2 * g for g in near}
+    close = [found[g] for g, s in near.items() if 0.8 <= s <= 0.85]
+    assert len(close) >= 100 and sum(close) >= 0.97 * len(close)
+    assert not any(found[g] for g, s in near.items() if s < 0.8) and min(near.values()) < 0.78
+
+
 # -- substring dedup
 
 
