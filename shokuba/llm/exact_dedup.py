@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shokuba.llm.common import SPACE, join_by_heavy, stage, text_or_empty
 
 
+def _norm() -> Column:
+    return F.regexp_replace(text_or_empty(), SPACE + "+", " ")
+
+
 def digest_runs(docs: DataFrame, runs: int = 64) -> DataFrame:
     """One narrow row per document: its run, a 64-bit digest to sort by, and what verifies it (SHA-256 and length)."""
-    norm = F.regexp_replace(text_or_empty(), SPACE + "+", " ")
     return (
-        docs.select(F.col("doc_id"), norm.alias("norm"))
+        docs.select(F.col("doc_id"), _norm().alias("norm"))
         .select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.length("norm").cast("long").alias("norm_chars"))
         .withColumn("digest", F.xxhash64("text_sha256", "norm_chars"))
         .withColumn("row", F.monotonically_increasing_id())
@@ -64,8 +67,18 @@ def exact_duplicates(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFr
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; as `exact_duplicates` decides.
 
-    The row numbers of that operator follow the scan, so the rows themselves are matched by number.
+    Row numbers follow the scan, which another job may split anew, so rows are matched by doc_id and text. Where rows
+    repeat both, their first one is picked in one pass.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    lost = exact_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("row").alias("_row"))
-    return numbered.join(lost, "_row", "left_anti").drop("_row")
+    key, columns = ["doc_id", "text_sha256"], docs.columns
+    found = exact_duplicates(docs, **options).groupBy(*key).agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
+    found = stage(found.filter("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "stays"), "lost")
+    again = stage(found.filter("stays").select("_id", "_text"), "repeated")
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_doc"), F.sha2(_norm(), 256).alias("_sha"), F.monotonically_increasing_id().alias("_at"))
+
+    def same(keys: DataFrame) -> Column:
+        return rows["_doc"].eqNullSafe(keys["_id"]) & (rows["_sha"] == keys["_text"])
+
+    once = rows.join(found, same(found), "left_anti").select("_row")
+    first = rows.join(again, same(again), "left_semi").groupBy("_doc", "_sha").agg(F.min_by("_row", "_at").alias("_row")).select("_row")
+    return once.union(first).select("_row.*")

@@ -85,6 +85,24 @@ def test_masks_cover_every_pair(n):
         assert any(not diff & (m % 2**64) for m in masks)
 
 
+def test_exact_dedup_when_the_scan_is_split_anew(spark, tmp_path):
+    from shokuba.llm.exact_dedup import drop_exact_duplicates
+
+    path = str(tmp_path / "docs")
+    docs(spark, [(i, f"text {i % 60}") for i in range(120)]).repartition(8).write.parquet(path)
+    kept = drop_exact_duplicates(spark.read.parquet(path))
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    spark.conf.set("spark.sql.files.minPartitionNum", "16")
+    try:
+        got = [(x.doc_id, x.text) for x in kept.collect()]
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(got) == sorted((i, f"text {i}") for i in range(60))
+
+
 def test_components_match_brute_force(spark):
     from shokuba.llm.simhash import link_fingerprints, near_duplicates
 
