@@ -95,12 +95,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     plain = main = link = 0
 
     def close(gap: int = 0) -> None:
-        nonlocal plain
+        nonlocal plain, link
         text = " ".join(html.unescape("".join(words)).split())
         if text:
             lines.append((text, min(plain, len(text)), main > 0))
         words.clear()
-        plain = 0
+        plain = link = 0  # a link that is never closed ends with its block
         lines.extend([("", 0, main > 0)] * gap)
 
     i, skip_to = 0, -1
@@ -141,7 +141,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close(WINDOW * (main == 0))
             main += 1
         elif tag == "a":
-            link = 1
+            link = int(not raw.endswith("/") and bool(_attributes(raw).get("href")))
         elif tag in ("br", "td", "th"):
             words.append(" ")
         elif tag in _BLOCK:
@@ -154,8 +154,9 @@ def main_text(page: str) -> str:
     """Main text of one page: its blocks in page order, parted by an empty line; empty if there is none.
 
     The text lengths of each WINDOW lines are summed. Text begins where this sum surges over SURGE, or over the page's
-    largest sum where that is less, and ends where it dives to nothing; what lies between is kept, short lines too.
-    Where an article or main part holds a quarter of the kept text or more, only that part counts.
+    largest sum where that is less, and ends where it dives to nothing; what lies between is kept, short lines too, and so
+    are short lines between two such stretches. Where an article or main part holds a quarter of the kept text or more,
+    only that part counts, with all its lines.
     """
     lines = lines_of(page)
     sums = [sum(x[1] for x in lines[i : i + WINDOW]) for i in range(len(lines))]
@@ -164,7 +165,7 @@ def main_text(page: str) -> str:
     if not any(sums):  # links only
         return ""
     surge = min(SURGE, max(sums))
-    kept: list[tuple[str, int, bool]] = []
+    regions: list[tuple[int, list[tuple[str, int, bool]]]] = []
     region: list[tuple[str, int, bool]] = []
     peak = 0
     for line, total in zip([*lines, ("", 0, False)], [*sums, 0]):
@@ -172,12 +173,13 @@ def main_text(page: str) -> str:
             region.append(line)
             peak = max(peak, total)
             continue
-        if peak >= surge:
-            kept += [x for x in region if x[0]]
+        if region:
+            regions.append((peak, region))
         region, peak = [], 0
-    inner = [x for x in kept if x[2]]
-    if 4 * sum(len(x[0]) for x in inner) >= sum(len(x[0]) for x in kept):
-        kept = inner or kept
+    surged = [i for i, (peak, _) in enumerate(regions) if peak >= surge]
+    kept = [x for _, region in regions[surged[0] : surged[-1] + 1] for x in region if x[0]]
+    if 4 * sum(len(x[0]) for x in kept if x[2]) >= sum(len(x[0]) for x in kept):
+        kept = [x for x in lines if x[0] and x[2]] or kept
     return "\n\n".join(x[0] for x in kept)
 
 

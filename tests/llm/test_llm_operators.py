@@ -85,6 +85,18 @@ def test_masks_cover_every_pair(n):
         assert any(not diff & (m % 2**64) for m in masks)
 
 
+def test_html_keeps_what_follows_open_anchors_and_short_lines():
+    from shokuba.llm.html_text import main_text
+
+    body = "A paragraph of the article that is long enough to be text."
+    for anchor in ("<a name=top>", "<a id='x'/>", "<a href='/y'>link"):
+        assert body in main_text(f"<body><article>{anchor}<p>{body}</p></article></body>")
+    links = "".join(f"<p><a href='/{i}'>Source {i}</a></p>" for i in range(4))
+    assert all(f"Source {i}" in main_text(f"<article><p>{body}</p>{links}</article>") for i in range(4))
+    page = f"<body><p>{body}</p><nav>menu</nav><h2>Short</h2><nav>menu</nav><p>{body}</p></body>"
+    assert main_text(page).split("\n\n") == [body, "Short", body]
+
+
 def test_exact_dedup_when_the_scan_is_split_anew(spark, tmp_path):
     from shokuba.llm.exact_dedup import drop_exact_duplicates
 
