@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import zlib
 from bisect import bisect_right
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -51,20 +50,21 @@ def plan_cuts(at: np.ndarray, cost: np.ndarray, capacity: int, last: bool) -> li
     stay in a queue whose values rise, and each boundary enters and leaves it once.
     """
     at, cost, n = [0, *at.tolist()], [0.0, *cost.tolist()], len(at) + 1
-    value, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    key, back, queue, head, tail = [0.0] * n, [0] * n, [0] * n, 0, 1  # key: f(i) + at(i)
     for j in range(1, n):
-        here = at[j]
-        while here - at[queue[0][1]] > capacity:
-            queue.popleft()
-        least, i = queue[0]
-        value[j], back[j] = least + capacity - here + cost[j], i
-        key = value[j] + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        reach = at[j] - capacity
+        i = queue[head]
+        while at[i] < reach:
+            head += 1
+            i = queue[head]
+        back[j] = i
+        key[j] = new = key[i] + capacity + cost[j]
+        while tail > head and key[queue[tail - 1]] >= new:
+            tail -= 1
+        queue[tail] = j
+        tail += 1
     left = [i for i in range(n) if at[-1] - at[i] < capacity]
-    j = min(left, key=lambda i: (value[i] + (tail_cost(at[-1] - at[i], capacity) if last else 0.0), -i))
+    j = min(left, key=lambda i: (key[i] - at[i] + (tail_cost(at[-1] - at[i], capacity) if last else 0.0), -i))
     cuts = []
     while j:
         cuts.append(at[j])
@@ -144,10 +144,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
+        end = np.uint32(end_id).tobytes()
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out += packer.add(doc_id, np.append(encoder.encode(text), np.uint32(end_id)))
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_many(b.column(1).to_pylist(), end)):
+                out += packer.add(doc_id, ids)
             if out:
                 yield batch(out)
         if out := packer.flush(True):

@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import regex
 
 #: Words of these characters are lower-cased and split here as the tokenizer's own rules do; all others go to it whole.
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-įı-ɏ]+\Z")
+_BUNCH = 256  # units in one text
 #: White space on which Python and the tokenizer may differ; texts with it are encoded whole.
-_BUNCH = 64  # units in one text
 _ODD = re.compile(r"[\x1c-\x1f\x85᠎]")
+_GROUP = 20_000  # characters of texts whose words are learnt together, few enough for a processor's cache
 
 
 class WordEncoder:
@@ -25,9 +28,12 @@ class WordEncoder:
 
     def __init__(self, path: str, words: int = 800_000, units: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # units are lower-case, composed and free of white space already
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab = spec["model"]["vocab"]
@@ -35,7 +41,7 @@ class WordEncoder:
         self.last = np.zeros(1 + max(self.vocab.values()), bool)
         self.last[[i for t, i in self.vocab.items() if t.endswith("</w>")]] = True
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = regex.compile(rf"\n|{split['pattern']['Regex']}")
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
         self.most_words, self.most_units = words, units
@@ -48,34 +54,63 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _encode_units(self, missing: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast([" ".join(missing[i : i + _BUNCH]) for i in range(0, len(missing), _BUNCH)], add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
-        ends = np.flatnonzero(self.last[ids]) + 1
-        for unit, a, b in zip(missing, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            self.units[unit] = ids[a:b].tobytes()
+        found = self.bare.encode_batch_fast([" ".join(missing[i : i + _BUNCH]) for i in range(0, len(missing), _BUNCH)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32)
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        every, units = ids.tobytes(), self.units
+        at = 0
+        for unit, end in zip(missing, ends.tolist(), strict=True):
+            units[unit] = every[at:end]
+            at = end
 
     def _learn(self, missing: set[str]) -> None:
         if len(self.units) > self.most_units:
             self.units.clear()
-        cut = {w: self.pattern.findall(w.lower()) for w in missing if _PLAIN.match(w)}
-        new = sorted({u for us in cut.values() for u in us}.difference(self.units))
+        plain = list(missing) if _PLAIN.match("".join(missing)) else list(filter(_PLAIN.match, missing))
+        cut = self.pattern.findall("\n".join(plain).lower())
+        new = set(cut).difference(self.units)
+        new.discard("\n")
         if new:
-            self._encode_units(new)
-        get = self.units.__getitem__
-        for w, us in cut.items():
-            self.words[w] = b"".join(map(get, us))
-        for w in missing.difference(cut):
+            self._encode_units(list(new))
+        get, at, learnt = self.units.__getitem__, 0, []
+        for i, unit in enumerate(cut):
+            if unit == "\n":
+                learnt.append(get(cut[at]) if i - at == 1 else b"".join(map(get, cut[at:i])))
+                at = i + 1
+        learnt.append(b"".join(map(get, cut[at:])))
+        self.words.update(zip(plain, learnt))
+        for w in missing.difference(plain):
             self.words[w] = self._whole(w)
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids (uint32) of one text."""
-        if any(s in text for s in self.special) or _ODD.search(text):
-            return np.frombuffer(self._whole(text), np.uint32)
-        words = text.split()
-        missing = set(words).difference(self.words)
+    def encode_many(self, texts: Iterable[str], end: bytes = b"") -> Iterator[np.ndarray]:
+        """Ids (uint32) of each text and of `end`, in order; words that no text before has are learnt for several texts at once."""
+        waiting: list[str | list[str]] = []  # texts whose words are still to be learnt, cut into words
+        missing: set[str] = set()
+        size = 0
+        for text in texts:
+            if _ODD.search(text) or any(s in text for s in self.special):
+                waiting.append(text)
+            else:
+                words = text.split()
+                waiting.append(words)
+                missing.update(set(words).difference(self.words))
+            size += len(text)
+            if not missing or size >= _GROUP:
+                yield from self._answer(waiting, missing, end)
+                waiting, missing, size = [], set(), 0
+        yield from self._answer(waiting, missing, end)
+
+    def _answer(self, texts: list[str | list[str]], missing: set[str], end: bytes) -> Iterator[np.ndarray]:
+        if len(self.words) > self.most_words:
+            self.words.clear()
+            missing = set().union(*(x for x in texts if isinstance(x, list)))
         if missing:
-            if len(self.words) > self.most_words:
-                self.words.clear()
-                missing = set(words)
             self._learn(missing)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.uint32)
+        get = self.words.__getitem__
+        for x in texts:
+            ids = b"".join(map(get, x)) if isinstance(x, list) else self._whole(x)
+            yield np.frombuffer(ids + end, np.uint32)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids (uint32) of one text."""
+        return next(self.encode_many([text]))
