@@ -99,11 +99,11 @@ HOLIDAYS = (
     ("パート応相談", r"週[1-3]日.{0,5}(OK|可|勤務|から)|応相談"),
 )
 
-# Shift types that a text names, first match wins.
+# Shift types that a text names, first match wins; day work only holds where no night work is named.
 SHIFTS = (
     ("夜勤専従", r"夜勤専従"),
     ("3交替", r"[3三]交[替代]"),
     ("2交替", r"[2二]交[替代]"),
-    ("日勤のみ", r"日勤\s*の\s*み(?!.*夜勤(?!\s*なし))"),
+    ("日勤のみ", r"日勤\s*の\s*み"),
     ("シフト制", r"シフト制"),
 )

@@ -159,8 +159,10 @@ def shift_type(c: Column) -> Column:
     """Named shift type, else by the time spans: two or more, or flexible hours, are shifts, one is fixed."""
     s = fold_width(c)
     n = working_hours(c)["n"]
+    night = s.rlike("夜勤") & ~s.rlike(r"(?U)夜勤\s*なし")
+    named = first_of(F.when(night, F.regexp_replace(s, r"(?U)日勤\s*の\s*み", "")).otherwise(s), SHIFTS)
     flexible = s.rlike(r"変形労働時間|[0-9]{1,2}:[0-9]{2}.*の間で[0-9]時間") | (F.regexp_count(s, F.lit(r"[（(]?\s*[①-⑩0-9]\s*[）)]")) >= 2)
-    return F.coalesce(first_of(s, SHIFTS), F.when(flexible | (n >= 2), "シフト制").when(n == 1, "固定時間").otherwise("不明"))
+    return F.coalesce(named, F.when(flexible | (n >= 2), "シフト制").when(n == 1, "固定時間").otherwise("不明"))
 
 
 def hour_bands(start: Column, end: Column) -> tuple[Column, Column]:

@@ -134,15 +134,17 @@ def older_density(people: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.withColumn("density_score", score).withColumn("density_rank", rank)
 
 
-def diversity(df: DataFrame, by: Sequence[str], segment: str) -> DataFrame:
-    """Per place: dominant segment and its share, number of segments, 1 - HHI of the shares."""
+def diversity(df: DataFrame, by: Sequence[str], segment: str, shares: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Per place: dominant segment (the smallest on ties) and its share, number of segments, 1 - HHI of the shares, and
+    the joint share of the segments named in `shares`."""
     parts = with_share(cross(df, [*by, segment]), "count", by, "p", 1.0)
     return parts.groupBy(*by).agg(
         F.sum("count").alias("total"),
         F.count("*").alias("segments"),
-        F.max_by(segment, F.struct("count", segment)).alias("dominant"),
+        F.min_by(segment, F.struct(-F.col("count"), segment)).alias("dominant"),
         F.max("p").alias("dominant_share"),
         (1 - F.sum(F.col("p") * F.col("p"))).alias("diversity"),
+        *[F.sum(F.when(F.col(segment).isin(list(names)), F.col("p")).otherwise(0.0)).alias(n) for n, names in (shares or {}).items()],
     )
 
 

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shokuba.operators.core import cross, mode, with_share
+from shokuba.operators.stats import percentiles
+from shokuba.sources.scratch import cut_lineage
 
 
 def fill_median(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Nulls become the median of their group, else of all rows, else 0."""
-    every = df.agg(*[F.median(c).alias(f"_a_{c}") for c in columns])
-    group = df.groupBy(*by).agg(*[F.median(c).alias(f"_g_{c}") for c in columns])
-    out = df.join(group, list(by), "left").join(F.broadcast(every), F.lit(True))  # every is one row
+    out = df
+    for c in columns:
+        every, group = percentiles(df, [], c, (0.5,)).select(F.col("q")[0].alias(f"_a_{c}")), percentiles(df, by, c, (0.5,)).select(*by, F.col("q")[0].alias(f"_g_{c}"))
+        out = out.join(group, list(by), "left").join(F.broadcast(every), F.lit(True), "left")  # every is one row
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), f"_g_{c}", f"_a_{c}", F.lit(0.0)) for c in columns}).drop(*[f"_{x}_{c}" for c in columns for x in "ag"])
 
 
@@ -38,7 +41,7 @@ def assign_clusters(df: DataFrame, features: Sequence[str], flags: Sequence[str]
         out = VectorAssembler(inputCols=list(flags), outputCol="_f").transform(out)
         out = PCA(k=min(components, len(flags)), inputCol="_f", outputCol="_p").fit(out).transform(out)
         parts, drop = [*parts, "_p"], [*drop, "_f", "_p"]
-    out = VectorAssembler(inputCols=parts, outputCol="_v").transform(out)
+    out = cut_lineage(VectorAssembler(inputCols=parts, outputCol="_v").transform(out))  # every fit reads it
     judge = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster")
     models = {k: KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(out) for k in dict.fromkeys([*ks, fallback])}
     scores = {k: judge.evaluate(models[k].transform(out)) if models[k].summary.k > 1 else -1.0 for k in ks}
@@ -46,12 +49,17 @@ def assign_clusters(df: DataFrame, features: Sequence[str], flags: Sequence[str]
     return models[best if scores[best] >= least else fallback].transform(out).drop(*drop)
 
 
-def cluster_profile(df: DataFrame, value: str, kind: str, features: Sequence[str]) -> DataFrame:
-    """Per cluster: size, share, mean and median of a value, dominant kind, feature means as JSON."""
+def cluster_profile(df: DataFrame, value: str, kind: str, features: Sequence[str], flags: Sequence[str] = (), top: int = 5) -> DataFrame:
+    """Per cluster: size, share, mean and median of a value, dominant kind, feature means as JSON, and as JSON the `top`
+    flags with the highest rates."""
     out = df.groupBy("cluster").agg(
-        F.count("*").alias("count"), F.avg(value).alias("avg_value"), F.median(value).alias("median_value"), mode(kind).alias("dominant"),
+        F.count("*").alias("count"), F.avg(value).alias("avg_value"), mode(kind).alias("dominant"),
         F.to_json(F.struct(*[F.avg(f).alias(f) for f in features])).alias("means"),
+        F.array(*[F.struct(F.avg(F.col(f).cast("double")).alias("rate"), F.lit(f).alias("flag")) for f in flags]).alias("top_flags"),
     )
+    median = percentiles(df, ["cluster"], value, (0.5,)).select("cluster", F.col("q")[0].alias("median_value"))
+    out = out.join(median, "cluster", "left")
+    out = out.withColumn("top_flags", F.to_json(F.slice(F.sort_array("top_flags", False), 1, top))) if flags else out.drop("top_flags")
     return with_share(out, "count", [])
 
 

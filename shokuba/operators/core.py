@@ -42,13 +42,16 @@ def cross(df: DataFrame, dims: Sequence[str], measures: Sequence[Column] = (), m
     """
     out = known(df, dims).groupBy(*dims).agg(F.count("*").alias("count"), *measures)
     if within is not None:
-        out = out.withColumn("share_pct", share(F.col("count"), F.sum("count").over(Window.partitionBy(*within))))
+        out = with_share(out, "count", within)
     return out.filter(F.col("count") >= min_count) if min_count else out
 
 
 def with_share(df: DataFrame, value: str, within: Sequence[str], name: str = "share_pct", scale: float = 100.0) -> DataFrame:
-    """`value` as a share of its sum over `within` (row %, column % or share of all)."""
-    return df.withColumn(name, share(F.col(value), F.sum(value).over(Window.partitionBy(*within)), scale))
+    """`value` as a share of its sum over `within` (row %, column % or, with none, share of all)."""
+    if within:
+        return df.withColumn(name, share(F.col(value), F.sum(value).over(Window.partitionBy(*within)), scale))
+    whole = F.broadcast(df.agg(F.sum(value).alias("_whole")))  # one row
+    return df.join(whole, F.lit(True)).withColumn(name, share(F.col(value), F.col("_whole"), scale)).drop("_whole")
 
 
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shokuba.operators.core import cross, mode, outer_counts
+from shokuba.operators.core import cross, known, mode, outer_counts
+from shokuba.operators.stats import percentiles
 from shokuba.sources.scratch import cut_lineage
 
 
@@ -72,13 +73,13 @@ def mobility_type(km: Column, same_region: Column) -> Column:
     return F.when(~same_region | km.isNull(), "far").when(km < 0.001, "same").when(km < 30, "near").when(km < 80, "middle").otherwise("far")
 
 
-def distance_profile(trips: DataFrame, by: Sequence[str], km: str = "distance_km") -> DataFrame:
-    """Per group: count, mean, median, quartiles, range and sample deviation of distances, modal distance in tens of km."""
-    q = F.percentile(km, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = trips.groupBy(*by).agg(
-        F.count("*").alias("count"), F.avg(km).alias("avg_km"), q.alias("_q"), F.min(km).alias("min_km"), F.max(km).alias("max_km"),
-        F.stddev_samp(km).alias("std_km"), mode(F.floor(F.col(km) / 10) * 10).alias("mode_km"),
-    )
+def distance_profile(trips: DataFrame, by: Sequence[str], km: str = "distance_km", measures: Sequence[Column] = ()) -> DataFrame:
+    """Per group: count, mean, median, quartiles, range and sample deviation of distances, modal distance in tens of km,
+    and further measures. Null keys are left out."""
+    out = known(trips, by).groupBy(*by).agg(
+        F.count("*").alias("count"), F.avg(km).alias("avg_km"), F.min(km).alias("min_km"), F.max(km).alias("max_km"),
+        F.stddev_samp(km).alias("std_km"), mode(F.floor(F.col(km) / 10) * 10).alias("mode_km"), *measures,
+    ).join(percentiles(trips, by, km, (0.25, 0.5, 0.75), "_q"), list(by), "left")
     return out.select("*", F.col("_q")[0].alias("q25_km"), F.col("_q")[1].alias("median_km"), F.col("_q")[2].alias("q75_km")).drop("_q")
 
 
@@ -121,10 +122,10 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float = 0.1)
     return near.filter(inside).drop("cx", "cy", "ring", "x0", "x1", "y0", "y1")
 
 
-def spread_score(areas: DataFrame, person: str, most: int = 50) -> DataFrame:
+def spread_score(areas: DataFrame, person: str) -> DataFrame:
     """How widely a person's desired places lie: 50 x deviation of the coordinates + 0.3 x largest distance (degrees x
-    111 km), at most 100, with bands at 70, 40 and 10. `most` places of a person count, in the order of coordinates."""
-    points = F.slice(F.array_sort(F.collect_set(F.struct("lat", "lng"))), 1, most)
+    111 km), at most 100, with bands at 70, 40 and 10. A person has at most as many places as there are municipalities."""
+    points = F.array_sort(F.collect_set(F.struct("lat", "lng")))
     one = areas.filter("lat is not null and lng is not null").groupBy(person).agg(points.alias("p"), F.stddev_pop("lat").alias("a"), F.stddev_pop("lng").alias("b"))
     apart = F.array_max(F.flatten(F.transform("p", lambda x: F.transform("p", lambda y: F.sqrt(F.pow(x["lat"] - y["lat"], 2) + F.pow(x["lng"] - y["lng"], 2)) * 111))))
     score = F.least(F.lit(100.0), (F.col("a") + F.col("b")) / 2 * 50 + apart * 0.3)

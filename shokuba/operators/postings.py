@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shokuba.operators.core import bands, cross, known, scopes, share, suppress, top_n, with_share
+from shokuba.operators.core import bands, cross, known, scopes, share, suppress, top_n
+from shokuba.operators.stats import percentiles, with_percentiles
 
 
-def level_shares(df: DataFrame, dims: Sequence[str], levels: dict[str, Sequence[str]], least: int = 5) -> DataFrame:
-    """Share of each combination of `dims` at each level (grouping sets), for levels' groups of at least `least` rows."""
+def level_shares(df: DataFrame, dims: Sequence[str], levels: dict[str, Sequence[str]], least: int = 5, within: Sequence[str] = ()) -> DataFrame:
+    """Share of each combination of `dims` at each level (grouping sets), for levels' groups of at least `least` rows.
+
+    within: those of `dims` that part a group further, so shares add up to 100 for each of their values."""
     every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
     out = scopes(df, {n: [*cols, *dims] for n, cols in levels.items()}, [F.count("*").alias("count")])
-    out = with_share(out.withColumn("total", F.lit(0)).drop("total"), "count", ["scope", *every])
-    total = F.round(F.col("count") * 100 / F.col("share_pct")).cast("long")
-    return out.withColumn("total", total).filter(F.col("total") >= least)
+    out = out.withColumn("total", F.sum("count").over(Window.partitionBy("scope", *every, *within)))
+    return out.filter(F.col("total") >= least).withColumn("share_pct", share(F.col("count"), F.col("total")))
 
 
 def axis_shares(df: DataFrame, axes: Sequence[str], levels: dict[str, Sequence[str]], least: int = 5) -> DataFrame:
-    """level_shares of several category columns at once, as axis and category."""
+    """level_shares of several category columns at once, as axis and category; the shares of an axis add up to 100."""
     keys = list(dict.fromkeys(c for cols in levels.values() for c in cols))
-    return level_shares(df.select(*keys, *axes).unpivot(keys, list(axes), "axis", "category").filter("category is not null"), ["axis", "category"], levels, least).withColumn("total", F.col("total"))
+    picked = df.select(*keys, *[F.col(a).cast("string").alias(a) for a in axes])
+    return level_shares(picked.unpivot(keys, list(axes), "axis", "category").filter("category is not null"), ["axis", "category"], levels, least, ["axis"])
 
 
 def tag_frequency(df: DataFrame, tags: str, by: Sequence[str]) -> DataFrame:
@@ -46,12 +49,13 @@ def flag_frequency(df: DataFrame, flags: Sequence[str], by: Sequence[str]) -> Da
     return out.withColumn("share_pct", share(F.col("count"), F.col("total")))
 
 
-def salary_stats(df: DataFrame, low: str, high: str, levels: dict[str, Sequence[str]], least: int = 3) -> DataFrame:
-    """At each level: count, mean and median of the lower and upper end, cut to whole units; groups of `least` or more."""
-    out = scopes(df.filter(F.col(low).isNotNull()), levels, [
-        F.count("*").alias("n"), F.avg(low).cast("long").alias("mean_low"), F.median(low).cast("long").alias("median_low"),
-        F.avg(high).cast("long").alias("mean_high"), F.median(high).cast("long").alias("median_high"),
-    ])
+def salary_stats(df: DataFrame, low: str, high: str, levels: dict[str, Sequence[str]], least: int = 3, means: Sequence[str] = ()) -> DataFrame:
+    """At each level: count, mean and median of the lower and upper end, cut to whole units, and the means of further
+    columns (days off, benefits); groups of `least` or more."""
+    rows = df.filter(F.col(low).isNotNull())
+    out = scopes(rows, levels, [F.count("*").alias("n"), F.avg(low).cast("long").alias("mean_low"), F.avg(high).cast("long").alias("mean_high"), *[F.avg(c).alias(f"mean_{c}") for c in means]])
+    for name, column in (("median_low", low), ("median_high", high)):
+        out = with_percentiles(out, rows, levels, column, (0.5,), "_q").withColumn(name, F.col("_q")[0].cast("long")).drop("_q")
     return suppress(out, "n", least)
 
 
@@ -59,12 +63,14 @@ def salary_bands(df: DataFrame, value: str, edges: Sequence[float], by: Sequence
     """Counts, shares and medians by band of a value; a band is named by its lower edge."""
     labels = [f"<{edges[0]:g}", *[f"{e:g}+" for e in edges]]
     out = df.withColumn("band", bands(value, edges, labels))
-    return cross(out, [*by, "band"], [F.median(value).alias("median_value")], within=by)
+    median = percentiles(out, [*by, "band"], value, (0.5,)).select(*by, "band", F.col("q")[0].alias("median_value"))
+    return cross(out, [*by, "band"], within=by).join(median, [*by, "band"], "left")
 
 
 def grade_by_quartile(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """A-D by the quartile of a value within its group, best first; quartiles are one row per group."""
-    q = known(df, [*by, value]).groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    """A-D by the quartile of a value (pay, or the composite of a text's quality) within its group, best first; quartiles
+    are one row per group."""
+    q = percentiles(df, by, value, (0.25, 0.5, 0.75), "_q")
     v = F.col(value)
     grade = F.when(v >= F.col("_q")[2], "A").when(v >= F.col("_q")[1], "B").when(v >= F.col("_q")[0], "C").when(v.isNotNull(), "D")
     return df.join(q, list(by), "left").withColumn("grade", grade).drop("_q")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shokuba.operators.core import cross, known, share
+from shokuba.operators.core import cross, known, scopes, share
 
 
 def _gamma_q(a: float, x: float) -> float:
@@ -67,15 +68,18 @@ def anova_p(f: float, between: int, within: int) -> float:
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """Independence of two columns, one row: n, dof, chi_square, cramers_v. 2 x 2 tables get Yates' correction."""
     cells = known(df, [a, b]).groupBy(a, b).agg(F.count("*").alias("o"))
-    rows = cells.groupBy(a).agg(F.sum("o").alias("ra"))
-    cols = cells.groupBy(b).agg(F.sum("o").alias("cb"))
-    size = cells.agg(F.sum("o").alias("n"), F.countDistinct(a).alias("ka"), F.countDistinct(b).alias("kb"))
-    # the grid of both domains: empty cells count too, and domains of categories are small
-    grid = rows.join(cols, F.lit(True)).join(size, F.lit(True)).join(cells, [a, b], "left")
-    e = F.col("ra").cast("double") * F.col("cb") / F.col("n")
-    gap = F.abs(F.coalesce("o", F.lit(0)) - e)
-    gap = F.when((F.col("ka") == 2) & (F.col("kb") == 2), F.greatest(F.lit(0.0), gap - F.least(F.lit(0.5), gap))).otherwise(gap)
-    out = grid.agg(F.max("n").alias("n"), F.max((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"), F.sum(gap * gap / e).alias("chi_square"), F.max(F.least("ka", "kb") - 1).alias("k"))
+    size = cells.agg(F.sum("o").cast("double").alias("n"), F.countDistinct(a).alias("ka"), F.countDistinct(b).alias("kb"))
+    met = cells.withColumns({"ra": F.sum("o").over(Window.partitionBy(a)).cast("double"), "cb": F.sum("o").over(Window.partitionBy(b)).cast("double")})
+    met = met.join(F.broadcast(size), F.lit(True))  # one row
+    # the sum of (o - e)^2 / e over all cells is that of o^2 / e over the filled ones, less n; so no grid is needed
+    e = F.col("ra") * F.col("cb") / F.col("n")
+    out = met.agg(F.max("n").alias("n"), F.max("ka").alias("ka"), F.max("kb").alias("kb"), F.sum(F.col("o") * F.col("o") / e).alias("s"), F.max("o").alias("o"), F.max_by("ra", "o").alias("r"), F.max_by("cb", "o").alias("c"))
+    # of a 2 x 2 table every cell lies equally far from what is expected
+    gap = F.abs(F.col("o") - F.col("r") * F.col("c") / F.col("n"))
+    gap = F.greatest(F.lit(0.0), gap - F.least(F.lit(0.5), gap))
+    yates = gap * gap * F.col("n") * F.col("n") * F.col("n") / (F.col("r") * (F.col("n") - F.col("r")) * F.col("c") * (F.col("n") - F.col("c")))
+    chi = F.when((F.col("ka") == 2) & (F.col("kb") == 2), yates).otherwise(F.greatest(F.lit(0.0), F.col("s") - F.col("n")))
+    out = out.select(F.col("n").cast("long").alias("n"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"), chi.alias("chi_square"), (F.least("ka", "kb") - 1).alias("k"))
     return out.select("n", "dof", "chi_square", F.sqrt(F.try_divide(F.col("chi_square"), F.col("n") * F.col("k"))).alias("cramers_v"))
 
 
@@ -114,15 +118,45 @@ def anova_test(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> Da
     return out.withColumn("effect", effect).withColumn("significant", F.col("p_value") < alpha)
 
 
+def places(df: DataFrame, by: Sequence[str], value: str, slices: int = 64) -> DataFrame:
+    """Per group and distinct value: k, how many rows have it, and before, how many have a smaller one; nulls are left out.
+
+    Each group is cut at approximate quantiles into about `slices` ranges, which are sorted apart; the ranges' totals give
+    what lies before each. So the counts are exact and no group, however large, is sorted in one task.
+    """
+    cells = known(df, [*by, value]).groupBy(*by, value).agg(F.count("*").alias("k"))
+    cuts = cells.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / slices) for i in range(1, slices)]), 10 * slices).alias("_cuts"))
+    met = cells.join(cuts, list(by)) if by else cells.join(F.broadcast(cuts), F.lit(True))  # one row
+    met = met.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = met.groupBy(*by, "_slice").agg(F.sum("k").alias("_sum"))
+    upto = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most `slices` rows a group
+    totals = totals.select(*by, "_slice", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("_upto", F.sum("k").over(inside) - F.col("k"))
+    return met.join(totals, [*by, "_slice"]).select(*by, value, "k", (F.col("_before") + F.col("_upto")).alias("before"))
+
+
+def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str = "q") -> DataFrame:
+    """Per group the exact percentiles at `points`, linearly interpolated, as an array; groups of any size (places)."""
+    cells = places(df, by, value)
+    n = cells.groupBy(*by).agg(F.sum("k").alias("_n"))
+    met = cells.join(n, list(by)) if by else cells.join(F.broadcast(n), F.lit(True))  # one row
+    x, first, last = F.col(value).cast("double"), F.col("before"), F.col("before") + F.col("k") - 1
+    out = []
+    for i, p in enumerate(points):
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        low, high = F.floor(at), F.ceil(at)
+        out += [F.max(F.when((first <= low) & (low <= last), x)).alias(f"_l{i}"), F.max(F.when((first <= high) & (high <= last), x)).alias(f"_h{i}"), F.max(at - low).alias(f"_f{i}")]
+    parts = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}") for i in range(len(points))]
+    return met.groupBy(*by).agg(*out).select(*by, F.array(*parts).alias(name))
+
+
 def gini(df: DataFrame, by: Sequence[str], value: str, least: int = 10) -> DataFrame:
     """Gini coefficient per group; null for fewer than `least` values."""
-    w = Window.partitionBy(*by).orderBy(value)
-    # equal values share their places, so counts of distinct values are all that is sorted
-    cells = known(df, [*by, value]).groupBy(*by, value).agg(F.count("*").alias("k"))
-    cells = cells.withColumn("before", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
+    cells = places(df, by, value)  # equal values share their places
     x, k = F.col(value).cast("double"), F.col("k")
-    places = k * F.col("before") + k * (k + 1) / 2.0
-    out = cells.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(x * places).alias("s"), F.sum(x * k).alias("t"))
+    shared = k * F.col("before") + k * (k + 1) / 2.0
+    out = cells.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(x * shared).alias("s"), F.sum(x * k).alias("t"))
     g = F.when((F.col("n") >= least) & (F.col("t") != 0), 2 * F.col("s") / (F.col("n") * F.col("t")) - (F.col("n") + 1) / F.col("n"))
     return out.select(*by, "n", g.alias("gini"))
 
@@ -147,7 +181,7 @@ def entropy(df: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
         F.sum("count").alias("total"),
         F.sum(-F.col("p") * F.log2("p")).alias("entropy"),
         F.log2(F.count("*")).alias("max_entropy"),
-        F.max_by(kind, F.struct("count", kind)).alias("dominant"),
+        F.min_by(kind, F.struct(-F.col("count"), kind)).alias("dominant"),
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "count"))))).alias("distribution"),
     )
     return out.withColumn("evenness", F.when(F.col("max_entropy") > 0, F.col("entropy") / F.col("max_entropy")))
@@ -155,7 +189,7 @@ def entropy(df: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles (linear interpolation) of each group and the bounds `reach` interquartile ranges beyond them."""
-    q = known(df, [*by, value]).groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = percentiles(df, by, value, (0.25, 0.75))
     lo, hi = F.col("q")[0], F.col("q")[1]
     return q.select(*by, lo.alias("q25"), hi.alias("q75"), (lo - reach * (hi - lo)).alias("low"), (hi + reach * (hi - lo)).alias("high"))
 
@@ -167,11 +201,19 @@ def trim_outliers(df: DataFrame, by: Sequence[str], value: str, reach: float = 1
 
 def distribution(df: DataFrame, levels: dict[str, Sequence[str]], value: str, least: int = 10) -> DataFrame:
     """At each level: n, mean, median, quartiles, 90th percentile of all rows, for groups of at least `least`."""
-    from shokuba.operators.core import scopes
-
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)]))
-    out = scopes(df.filter(F.col(value).isNotNull()), levels, [F.count("*").alias("n"), F.avg(value).alias("mean"), q.alias("q")]).filter(F.col("n") >= least)
-    return out.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "median", "p75", "p90"))]).drop("q")
+    out = with_percentiles(scopes(df.filter(F.col(value).isNotNull()), levels, [F.count("*").alias("n"), F.avg(value).alias("mean")]), df, levels, value, (0.25, 0.5, 0.75, 0.9))
+    return out.filter(F.col("n") >= least).select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "median", "p75", "p90"))]).drop("q")
+
+
+def with_percentiles(table: DataFrame, df: DataFrame, levels: dict[str, Sequence[str]], value: str, points: Sequence[float], name: str = "q") -> DataFrame:
+    """`table`, made by core.scopes from `df`, with the percentiles of a value at each level as an array."""
+    every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
+    parts = []
+    for level, cols in levels.items():
+        q = percentiles(known(df, every), cols, value, points, name)
+        parts.append(q.select(F.lit(level).alias("_scope"), *[(F.col(c) if c in cols else F.lit(None).cast(df.schema[c].dataType)).alias(f"_k_{c}") for c in every], name))
+    same = [F.col("scope") == F.col("_scope"), *[F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in every]]
+    return table.join(reduce(DataFrame.unionByName, parts), same, "left").drop("_scope", *[f"_k_{c}" for c in every])
 
 
 def completeness(df: DataFrame, columns: Sequence[str], valid: dict[str, tuple[float, float]] | None = None) -> DataFrame:

@@ -61,22 +61,21 @@ def flag_association(df: DataFrame, flags: Sequence[str], support: float = 0.05,
     return out.filter((F.col("support") >= support) & ((F.col("lift") > high) | (F.col("lift") < low)))
 
 
-def pair_npmi(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_word: int = 3, min_pair: int = 5, least: float = 0.15, top: int = 100, most_words: int | None = None) -> DataFrame:
+def pair_npmi(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_word: int = 3, min_pair: int = 5, least: float = 0.15, top: int = 100) -> DataFrame:
     """Per group the `top` word pairs by normalised pointwise mutual information of sharing a document.
 
-    Words in fewer than min_word documents go first. most_words, if given, keeps that many of the most frequent words
-    of a group, which bounds the pairs of a document.
+    Words in fewer than min_word documents go first, and those in fewer than min_pair, which can't make a pair.
     """
     word = tokens.select(*group, doc, "token").distinct()
     n = tokens.groupBy(*group).agg(F.countDistinct(doc).alias("n"))
-    df = word.groupBy(*group, "token").agg(F.count("*").alias("df")).filter(F.col("df") >= min_word)
-    if most_words:
-        df = top_n(df, group, [F.desc("df"), F.asc("token")], most_words)
+    df = word.groupBy(*group, "token").agg(F.count("*").alias("df")).filter(F.col("df") >= max(min_word, min_pair))
+    df = df.join(n, list(group)) if group else df.join(F.broadcast(n), F.lit(True))  # one row
     word = word.join(df, [*group, "token"])
-    a = word.select(*group, doc, F.col("token").alias("word_a"), F.col("df").alias("da"))
+    a = word.select(*group, doc, F.col("token").alias("word_a"), F.col("df").alias("da"), "n")
     b = word.select(*group, doc, F.col("token").alias("word_b"), F.col("df").alias("db"))
-    pairs = a.join(b, [*group, doc]).filter("word_a < word_b").groupBy(*group, "word_a", "word_b", "da", "db").agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
-    pairs = pairs.join(n, list(group)) if group else pairs.crossJoin(F.broadcast(n))  # n is one row
+    # a pair shares at most the rarer word's documents, which bounds its NPMI before it is counted
+    reach = F.greatest("da", "db") <= F.col("n") * F.pow(F.least("da", "db") / F.col("n"), F.lit(least)) * 1.000001
+    pairs = a.join(b, [*group, doc]).filter(F.col("word_a") < F.col("word_b")).filter(reach).groupBy(*group, "word_a", "word_b", "da", "db", "n").agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
     p = F.col("pair_count") / F.col("n")
     pmi = F.log2(F.col("pair_count") * F.col("n") / (F.col("da") * F.col("db")))
     pairs = pairs.withColumn("npmi", F.when(p < 1, pmi / -F.log2(p)).otherwise(1.0)).filter(F.col("npmi") >= least)

@@ -99,14 +99,19 @@ def agg13_age_gender_cross(spark, d):
     return core.cross(wishes(spark, d).fillna("unknown", ["gender"]), ["want_municipality", "age_group", "gender"], min_count=5)
 
 
-@query("""SELECT urgency, employment, count(*) AS count, round(avg(age), 6) AS avg_age, round(avg(qualification_count), 6) AS avg_urgency_score FROM wishes GROUP BY 1, 2""")
+def _urgent(spark, d):
+    """Wishes with the points of their priority, 5 for the most urgent."""
+    return wishes(spark, d).withColumn("urgency_score", 6 - F.substring("urgency", 1, 1).cast("int"))
+
+
+@query("""SELECT urgency, employment, count(*) AS count, round(avg(age), 6) AS avg_age, round(avg(6 - CAST(urgency[1] AS INTEGER)), 6) AS avg_urgency_score FROM wishes GROUP BY 1, 2""")
 def agg19_urgency_by_employment(spark, d):
-    return rounded(A.urgency_profile(wishes(spark, d), ["urgency", "employment"], "qualification_count"))
+    return rounded(A.urgency_profile(_urgent(spark, d), ["urgency", "employment"]))
 
 
-@query("""SELECT want_municipality, urgency, age_group, count(*) AS count, round(avg(age), 6) AS avg_age, round(avg(qualification_count), 6) AS avg_urgency_score FROM wishes GROUP BY 1, 2, 3""")
+@query("""SELECT want_municipality, urgency, age_group, count(*) AS count, round(avg(age), 6) AS avg_age, round(avg(6 - CAST(urgency[1] AS INTEGER)), 6) AS avg_urgency_score FROM wishes GROUP BY 1, 2, 3""")
 def agg20_urgency_by_municipality(spark, d):
-    return rounded(A.urgency_profile(wishes(spark, d), ["want_municipality", "urgency", "age_group"], "qualification_count"))
+    return rounded(A.urgency_profile(_urgent(spark, d), ["want_municipality", "urgency", "age_group"]))
 
 
 @query("""SELECT municipality, age_group, gender, has_license, count(*) AS count, round(1.0 / count(*), 6) AS rarity_score,
@@ -157,11 +162,12 @@ def agg35_older_density(spark, d):
     return rounded(A.older_density(people(spark, d), ["municipality"]))
 
 
-@query("""SELECT municipality, CAST(sum(n) AS BIGINT) AS total, count(*) AS segments, arg_max(segment, (n, segment)) AS dominant, round(max(n / t), 6) AS dominant_share, round(1 - sum((n / t) * (n / t)), 6) AS diversity
+@query("""SELECT municipality, CAST(sum(n) AS BIGINT) AS total, count(*) AS segments, arg_min(segment, (-n, segment)) AS dominant, round(max(n / t), 6) AS dominant_share, round(1 - sum((n / t) * (n / t)), 6) AS diversity,
+    round(coalesce(sum(n / t) FILTER (segment IN ('20sF', '30sF')), 0), 6) AS young_female, round(coalesce(sum(n / t) FILTER (segment IN ('40sF', '50sF')), 0), 6) AS middle_female
     FROM (SELECT municipality, segment, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY municipality) AS DOUBLE) AS t FROM (SELECT municipality, age_group || coalesce(gender, '?') AS segment FROM people) GROUP BY 1, 2) GROUP BY 1""")
 def agg37_diversity(spark, d):
     df = people(spark, d).withColumn("segment", F.concat("age_group", F.coalesce("gender", F.lit("?"))))
-    return rounded(A.diversity(df, ["municipality"], "segment"))
+    return rounded(A.diversity(df, ["municipality"], "segment", {"young_female": ["20sF", "30sF"], "middle_female": ["40sF", "50sF"]}))
 
 
 @query("""SELECT employment, count(*) AS count, round(avg(age), 6) AS avg_age, round(avg(CASE WHEN gender = 'F' THEN 1.0 WHEN gender = 'M' THEN 0.0 END), 6) AS female_share, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share_pct,
@@ -207,9 +213,9 @@ def agg58_flow_balance(spark, d):
     return rounded(G.flow_balance(G.aggregate_flow(edges, ["municipality", "want_municipality"]), "municipality", "want_municipality", "flow_count"))
 
 
-@query("""SELECT municipality, openings, seekers, round(openings / CAST(sum(openings) OVER () AS DOUBLE), 6) AS opening_share, round(seekers / CAST(sum(seekers) OVER () AS DOUBLE), 6) AS seeker_share,
-    round((seekers / CAST(sum(seekers) OVER () AS DOUBLE)) / (openings / CAST(sum(openings) OVER () AS DOUBLE)), 6) AS competition_ratio
-    FROM (SELECT municipality, count(*) AS openings FROM adverts GROUP BY 1) JOIN (SELECT municipality, count(*) AS seekers FROM people GROUP BY 1) USING (municipality)""")
+@query("""SELECT municipality, openings, seekers, round(a, 6) AS opening_share, round(b, 6) AS seeker_share, CASE WHEN a > 0 THEN round(b / a, 6) ELSE 0 END AS competition_ratio
+    FROM (SELECT *, openings / CAST(sum(openings) OVER () AS DOUBLE) AS a, seekers / CAST(sum(seekers) OVER () AS DOUBLE) AS b FROM (SELECT municipality, coalesce(openings, 0) AS openings, coalesce(seekers, 0) AS seekers
+    FROM (SELECT municipality, count(*) AS openings FROM adverts GROUP BY 1) FULL JOIN (SELECT municipality, count(*) AS seekers FROM people GROUP BY 1) USING (municipality)))""")
 def agg60_openings_competition(spark, d):
     o = adverts(spark, d).groupBy("municipality").agg(F.count("*").alias("openings"))
     s = people(spark, d).groupBy("municipality").agg(F.count("*").alias("seekers"))
@@ -408,7 +414,7 @@ def pos15_concentration(spark, d):
     return rounded(S.concentration(adverts(spark, d), ["job_type"], "facility"))
 
 
-@query("""SELECT municipality, CAST(sum(c) AS BIGINT) AS total, round(-sum(p * log2(p)), 6) AS entropy, round(log2(count(*)), 6) AS max_entropy, arg_max(employment, (c, employment)) AS dominant,
+@query("""SELECT municipality, CAST(sum(c) AS BIGINT) AS total, round(-sum(p * log2(p)), 6) AS entropy, round(log2(count(*)), 6) AS max_entropy, arg_min(employment, (-c, employment)) AS dominant,
     '{' || string_agg('"' || employment || '":' || c, ',' ORDER BY employment) || '}' AS distribution, round(-sum(p * log2(p)) / log2(count(*)), 6) AS evenness
     FROM (SELECT municipality, employment, c, c / CAST(sum(c) OVER (PARTITION BY municipality) AS DOUBLE) AS p FROM (SELECT municipality, employment, count(*) AS c FROM adverts GROUP BY 1, 2)) GROUP BY 1""")
 def pos16_employment_entropy(spark, d):
@@ -478,20 +484,19 @@ def txt03_tf_idf(spark, d):
 
 @query("""SELECT flag_a, flag_b, "both", round("both" / n, 6) AS support, round(ca * cb / n, 4) AS expected, round("both" / (ca * cb / n), 6) AS lift, round((n * "both" - ca * cb) / sqrt(ca * cb * (n - ca) * (n - cb)), 6) AS phi FROM (
     SELECT 'has_bulk' AS flag_a, 'has_discount' AS flag_b, count(*) FILTER (has_bulk AND has_discount) AS "both", CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (has_bulk) AS DOUBLE) AS ca, CAST(count(*) FILTER (has_discount) AS DOUBLE) AS cb FROM adverts
-    UNION ALL SELECT 'has_bulk', 'has_tax', count(*) FILTER (has_bulk AND has_tax), count(*), count(*) FILTER (has_bulk), count(*) FILTER (has_tax) FROM adverts
-    UNION ALL SELECT 'has_discount', 'has_tax', count(*) FILTER (has_discount AND has_tax), count(*), count(*) FILTER (has_discount), count(*) FILTER (has_tax) FROM adverts)""")
+    """ + " ".join(f"UNION ALL SELECT '{a}', '{b}', count(*) FILTER ({a} AND {b}), count(*), count(*) FILTER ({a}), count(*) FILTER ({b}) FROM adverts" for i, a in enumerate(FLAGS) for b in FLAGS[i + 1 :] if (a, b) != FLAGS[:2]) + ")")
 def txt06_flag_association(spark, d):
-    out = T.flag_association(adverts(spark, d), FLAGS[:3], support=0.0, high=0.0)
+    out = T.flag_association(adverts(spark, d), FLAGS, support=0.0, high=0.0)
     return rounded(out.withColumn("expected", F.round("expected", 4)))
 
 
-@query(_WORDS + """, word AS (SELECT DISTINCT doc_id, token FROM tokens), n AS (SELECT count(DISTINCT doc_id) AS n FROM tokens), df AS (SELECT token, count(*) AS df FROM word GROUP BY 1 HAVING count(*) >= 3 ORDER BY df DESC, token LIMIT 200),
+@query(_WORDS + """, word AS (SELECT DISTINCT doc_id, token FROM tokens), n AS (SELECT count(DISTINCT doc_id) AS n FROM tokens), df AS (SELECT token, count(*) AS df FROM word GROUP BY 1 HAVING count(*) >= 5),
     k AS (SELECT doc_id, token, df FROM word JOIN df USING (token)),
     p AS (SELECT a.token AS word_a, b.token AS word_b, a.df AS da, b.df AS db, count(*) AS pair_count FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.token < b.token GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5)
     SELECT word_a, word_b, pair_count, round(npmi, 5) AS npmi FROM (SELECT *, log2(pair_count * n / CAST(da * db AS DOUBLE)) / -log2(pair_count / CAST(n AS DOUBLE)) AS npmi FROM p, n WHERE pair_count < n) WHERE npmi >= 0.15 ORDER BY npmi DESC, pair_count DESC, word_a, word_b LIMIT 100""", base=False)
 def txt07_npmi(spark, d):
     tokens = T.tokenise(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", r"[a-zà-ÿ]+")
-    return rounded(T.pair_npmi(tokens, "doc_id", most_words=200), 5)
+    return rounded(T.pair_npmi(tokens, "doc_id"), 5)
 
 
 @query()
@@ -551,25 +556,27 @@ def set04_latest(spark, d):
 
 
 @query("""SELECT doc_id, CAST(coalesce(richness, 0) AS INTEGER) AS richness, marks FROM (SELECT doc_id, CAST(length(text) >= 50 AS INTEGER) + CAST(length(text) >= 200 AS INTEGER) + CAST(n_chars >= 50 AS INTEGER) + CAST(n_chars >= 200 AS INTEGER) AS richness,
-    CAST(2 * len(regexp_extract_all(text, 'the')) + 3 * len(regexp_extract_all(text, 'und')) AS INTEGER) AS marks FROM documents)""", base=False)
+    CAST(2 * (len(regexp_extract_all(text, 'the')) - len(regexp_extract_all(text, '[ao]the'))) + 3 * (len(regexp_extract_all(text, 'und')) - len(regexp_extract_all(text, '[ao]und'))) AS INTEGER) AS marks FROM documents)""", base=False)
 def fun43_signals(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", advert.richness([F.length("text"), F.col("n_chars")]).alias("richness"), advert.signal_score(F.col("text"), {"the": 2, "und": 3}, "").alias("marks"))
+    return docs.select("doc_id", advert.richness([F.length("text"), F.col("n_chars")]).alias("richness"), advert.signal_score(F.col("text"), {"the": 2, "und": 3}, "ao").alias("marks"))
 
 
-@query("""SELECT o_orderkey, round(CASE WHEN days >= 0 THEN greatest(1.0, p - days / 60.0) ELSE greatest(1.0, p - days / 60.0) END, 1) AS urgency, days > 90 AS stale
-    FROM (SELECT o_orderkey, 6 - CAST(o_orderpriority[1] AS INTEGER) AS p, datediff('day', CAST(o_orderdate AS DATE), DATE '1996-01-01') AS days FROM orders) WHERE days BETWEEN 0 AND 120 AND days % 6 = 0""", base=False)
+@query("""SELECT o_orderkey, round(greatest(1.0, p - days / 60.0), 2) AS urgency, days > 90 AS stale
+    FROM (SELECT o_orderkey, 6 - CAST(o_orderpriority[1] AS INTEGER) AS p, datediff('day', CAST(o_orderdate AS DATE), DATE '1996-01-01') AS days FROM orders)""", base=False)
 def fun17_start_urgency(spark, d):
     ref = F.to_date(F.lit("1996-01-01"))
-    o = table(spark, d, "orders").withColumn("wished", F.to_date("o_orderdate")).withColumn("days", F.datediff(ref, "wished")).filter("days between 0 and 120 and days % 6 = 0")
+    o = table(spark, d, "orders").withColumn("wished", F.to_date("o_orderdate"))
     points = 6 - F.substring("o_orderpriority", 1, 1).cast("int")
-    return o.select("o_orderkey", F.round(person.start_urgency(points, F.col("wished"), ref), 1).alias("urgency"), person.stale(F.col("wished"), ref).alias("stale"))
+    return o.select("o_orderkey", person.start_urgency(points, F.col("wished"), ref).alias("urgency"), person.stale(F.col("wished"), ref).alias("stale"))
 
 
 @query()
 def clu01_clusters(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-    return C.assign_clusters(e, [f"x{i}" for i in range(8)], scaling="standard").select("vec_id", F.col("cluster").cast("int").alias("cluster"))
+    e = table(spark, d, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"x{i}" for i in range(width)]
+    return C.assign_clusters(e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names, scaling="standard").select("vec_id", F.col("cluster").cast("int").alias("cluster"))
 
 
 #: Row types of the integrated table that are groupings of one table: place columns are common, these are the categories.

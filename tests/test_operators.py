@@ -182,8 +182,28 @@ def test_advert_dictionaries(spark):
     got = values(spark, rows, "s string", J.advert_tags(F.col("s")), J.benefit_score(F.col("s")), J.holiday_pattern(F.col("s")))
     assert got[0] == (["未経験可", "駅近"], 1, "その他")
     assert got[1] == (["4週8休以上", "完全週休2日"], 0, "完全週休2日") and got[2] == ([], 0, None)
-    rows = [("夜勤専従",), ("日勤のみ",), ("日勤のみ(夜勤あり)9:00-18:00",), ("9:00〜18:00",), ("9:00〜18:00 13:00〜22:00",), ("",)]
-    assert [v[0] for v in values(spark, rows, "s string", J.shift_type(F.col("s")))] == ["夜勤専従", "日勤のみ", "固定時間", "固定時間", "シフト制", "不明"]
+    rows = [("夜勤専従",), ("日勤のみ",), ("日勤のみ(夜勤あり)9:00-18:00",), ("9:00〜18:00",), ("9:00〜18:00 13:00〜22:00",), ("",), ("夜勤あり\n日勤のみ可",), ("日勤のみ可\n夜勤あり",), ("日勤のみ 夜勤なし",)]
+    assert [v[0] for v in values(spark, rows, "s string", J.shift_type(F.col("s")))] == ["夜勤専従", "日勤のみ", "固定時間", "固定時間", "シフト制", "不明", "不明", "不明", "日勤のみ"]
     assert values(spark, [(9, 18), (None, 22), (3, 10)], "a int, b int", *J.hour_bands(F.col("a"), F.col("b"))) == [("午前(9-11時)", "夕方(17-19時)"), ("不明", "深夜(21時以降)"), ("不明", "不明")]
     got = values(spark, [("若手 学生",), ("シニア",), ("なし",)], "s string", J.age_signals(F.col("s"), {"20代": ["若手", "学生"], "60代": ["シニア"]}))
     assert [(g[0].primary, g[0].all) for g in got] == [("20代", ["20代"]), ("60代", ["60代"]), (None, [])]
+
+
+def test_percentiles_of_large_and_small_groups(spark):
+    rows = [("a", float(i * 7 % 1000)) for i in range(1000)] + [("b", 1.0), ("b", 2.0), ("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: [round(x, 9) for x in r.q] for r in stats.percentiles(df, ["g"], "v", (0.0, 0.25, 0.5, 1.0)).collect()}
+    assert got == {"a": [0.0, 249.75, 499.5, 999.0], "b": [1.0, 1.25, 1.5, 2.0], "c": [5.0] * 4}
+    assert stats.percentiles(df.filter("false"), ["g"], "v", (0.5,)).count() == 0
+
+
+def test_axis_shares_add_up_by_axis(spark):
+    df = spark.createDataFrame([("x", "u")] * 6 + [("y", None)] * 4, "a string, b string")
+    got = {(r.axis, r.category): (r["count"], r.total, r.share_pct) for r in PO.axis_shares(df, ["a", "b"], {"nation": []}).collect()}
+    assert got == {("a", "x"): (6, 10, 60.0), ("a", "y"): (4, 10, 40.0), ("b", "u"): (6, 6, 100.0)}
+
+
+def test_ties_take_the_smallest(spark):
+    df = spark.createDataFrame([("p", "b"), ("p", "a")], "place string, kind string")
+    assert A.diversity(df, ["place"], "kind").first().dominant == "a"
+    assert stats.entropy(df, ["place"], "kind").first().dominant == "a"
