@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shokuba.functions.dictionaries import BENEFITS, HOLIDAYS, SHIFTS, TAG_PATTERNS, TAG_SYNONYMS, TAGS
+from shokuba.functions.dictionaries import AGE_DECADES, BENEFITS, CONTENT, EMPLOYMENT_ALIASES, GENDER_SIGNALS, HOLIDAYS, LIFE_STAGES, SHIFTS, TAG_PATTERNS, TAG_SYNONYMS, TAGS, TONES
 from shokuba.functions.people import extract, fold_width
 from shokuba.operators.core import bands
 
@@ -182,3 +182,118 @@ def age_signals(c: Column, patterns: Mapping[str, Sequence[str]]) -> Column:
 def experience_quadrant(beginner: Column, unlicensed: Column) -> Column:
     """Who an advert is for: by whether beginners and people without a licence are welcome."""
     return F.when(beginner & unlicensed, "未経験×無資格").when(beginner, "未経験×有資格").when(unlicensed, "経験者×無資格").otherwise("経験者×有資格")
+
+
+def employment_type(c: Column) -> Column:
+    """Standard employment type of a text without its brackets; null if it is none."""
+    s = F.trim(F.translate(c, "【】", ""))
+    out = F.lit(None).cast("string")
+    for name, words in EMPLOYMENT_ALIASES.items():
+        out = F.when(s.isin(*words), F.lit(name)).otherwise(out)
+    return out
+
+
+def employment_in_salary(c: Column) -> Column:
+    """Employment type named in a text on pay: in 【】, at its start, or anywhere, in this order."""
+    words = "正職員|正社員|パート・バイト|パート|バイト|契約職員|契約社員|業務委託|派遣|アルバイト"
+    bracket = extract(c, "【(.+?)】")
+    return F.when(bracket.isNotNull(), employment_type(bracket)).otherwise(F.coalesce(employment_type(extract(F.trim(c), f"^({words})")), employment_type(extract(c, f"({words})"))))
+
+
+def annual_income(c: Column) -> Column:
+    """Lower end of a stated annual income in yen: amounts in 万円, else a bare number, read as 万円 from 100 to 999."""
+    s = F.trim(fold_width(c))
+    bare = F.replace(extract(s, "^([0-9,]+)$"), F.lit(","), F.lit("")).try_cast("long")
+    man = F.replace(extract(s, r"([0-9,]+)\s*万\s*円?"), F.lit(","), F.lit("")).try_cast("long")
+    return F.coalesce(man * 10000, F.when(bare.between(100, 999), bare * 10000).when(bare >= 1_000_000, bare))
+
+
+def beginners_welcome(requirements: Column, welcome: Column) -> Column:
+    s = F.concat_ws(" ", requirements, welcome)
+    return s.rlike("未経験可|未経験OK|未経験ok|未経験歓迎|未経験者歓迎|未経験の方|経験不問|経験問わず")
+
+
+def shorten(c: Column, most: int = 60) -> Column:
+    """A text in one line, cut to `most` characters and an ellipsis."""
+    s = F.trim(F.translate(c, "\n\r", "  "))
+    return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("…"))).otherwise(s)
+
+
+def hours_summary(c: Column) -> Column:
+    """The first time span as 9:00-18:00, else the words on nights and overtime, else the shortened text."""
+    s = fold_width(c)
+    span = r"([0-9]{1,2})[：:]([0-9]{2})\s*[~～〜ー-]\s*([0-9]{1,2})[：:]([0-9]{2})"
+    parts = [F.regexp_extract(s, span, i) for i in (1, 2, 3, 4)]
+    times = F.concat(parts[0], F.lit(":"), parts[1], F.lit("-"), parts[2], F.lit(":"), parts[3])
+    words = F.array_join(F.array_compact(F.array(*[F.when(F.contains(s, F.lit(w)), F.lit(w)) for w in ("日勤のみ", "夜勤あり", "夜勤なし", "残業なし", "残業ほぼなし")])), " ")
+    return F.when(s.rlike(span), times).when(words != "", words).otherwise(shorten(s, 40))
+
+
+def break_minutes(c: Column) -> Column:
+    return extract(fold_width(c), r"休憩\s*([0-9]{1,3})\s*分").try_cast("int")
+
+
+def overtime(c: Column) -> Column:
+    """Class of overtime: none, hardly any (five hours a month at most), within 20 hours, some, unknown."""
+    s = fold_width(c)
+    lead = r"(?:残業|時間外(?:労働)?)\s*"
+    hours = extract(s, lead + r"月\s*(?:平均\s*)?([0-9]{1,2})\s*時間").try_cast("int")
+    out = F.when(s.rlike(lead + "(なし|ゼロ|0)"), "残業なし").when(s.rlike(lead + r"(ほぼ\s*なし|少な)"), "残業ほぼなし")
+    out = out.when(hours <= 5, "残業ほぼなし").when(hours <= 20, "月20h以内").when(hours.isNotNull(), "残業あり")
+    return out.when(s.rlike("時間外|超過勤務"), "残業あり").otherwise("不明")
+
+
+def weekday_off(c: Column) -> Column:
+    """Which weekday is off for good."""
+    return first_of(c, (("土日", "土日(祝)?(.{0,2})(休|お休み)"), ("日曜", "日曜(日)?(.{0,2})(休|固定)"), ("平日", "平日(.{0,2})(休|お休み)"), ("水曜", "水曜.{0,5}(休|午後休)"), ("木曜", "木曜.{0,5}(休|午後休)")), "不明")
+
+
+def special_leave(c: Column) -> Column:
+    """array of the special leaves a text names."""
+    return tags(c, {"年末年始": "年末年始", "夏季": "お盆|夏季休暇|夏期休暇", "GW": "GW|ゴールデンウィーク", "慶弔": "慶弔|冠婚葬祭", "リフレッシュ": "リフレッシュ休暇|アニバーサリー"})
+
+
+def holiday_score(days: Column) -> Column:
+    """0 without days off stated, 1 below 96, 2 from 96, 3 from 105, 4 from 120."""
+    return F.when(days <= 0, 0).when(days >= 120, 4).when(days >= 105, 3).when(days >= 96, 2).otherwise(1)
+
+
+def content(c: Column) -> Column:
+    """struct<categories,primary,tone,detail> of a job description; one under 10 characters has none, unknown and low.
+
+    The primary task is the first category found; a tone needs two of its marks, urgent before casual before formal.
+    """
+    found = tags(c, {name: "|".join(patterns) for name, patterns in CONTENT.items()})
+    marks = {tone: flag_score(c, {p: p for p in patterns}) for tone, patterns in TONES.items()}
+    tone = F.when(marks["urgent"] >= 2, "urgent").when(marks["casual"] >= 2, "casual").when(marks["formal"] >= 2, "formal").otherwise("neutral")
+    n = F.length(c)
+    detail = F.when(n >= 500, "high").when(n >= 200, "medium").otherwise("low")
+    enough = F.coalesce(F.length(F.trim(c)) >= 10, F.lit(False))
+    return F.struct(
+        F.when(enough, found).otherwise(F.array().cast("array<string>")).alias("categories"), F.when(enough, F.get(found, F.lit(0))).alias("primary"),
+        F.when(enough, tone).otherwise("unknown").alias("tone"), F.when(enough, detail).otherwise("low").alias("detail"),
+    )
+
+
+def decades(c: Column) -> Column:
+    """age_signals by the fixed patterns."""
+    return age_signals(c, AGE_DECADES)
+
+
+def gender_and_stage(c: Column) -> Column:
+    """struct<female,male,signal,stages,primary>: scores by patterns, which side leans, and the life stages named, the one
+    with most patterns first and in the order of life on ties. A stage around birth or return leans female by itself."""
+    f, m = (flag_score(c, {p: p for p in GENDER_SIGNALS[k]}) for k in ("female", "male"))
+    scored = F.array(*[F.struct(flag_score(c, {p: p for p in patterns}).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, patterns) in enumerate(LIFE_STAGES.items())])
+    stages = F.transform(F.sort_array(F.filter(scored, lambda x: x["n"] > 0), False), lambda x: x["name"])
+    first = F.get(stages, F.lit(0))
+    implied = (f == 0) & (m == 0) & F.coalesce(first.isin("結婚・出産期", "育児期", "復職期"), F.lit(False))
+    signal = F.when((f > m) | implied, "female_leaning").when(m > f, "male_leaning").when(f > 0, "neutral")
+    return F.struct((f + implied.cast("int")).alias("female"), m.alias("male"), signal.alias("signal"), stages.alias("stages"), first.alias("primary"))
+
+
+def text_scores(original: Column, terms: Mapping[str, Mapping[str, int]], n: Column, top: int = 3) -> Column:
+    """struct<scores,top>: weighted signals of each kind for 1000 characters of a text, and the names of the highest."""
+    scores = {k: F.coalesce(F.try_divide(signal_score(original, t) * F.lit(1000.0), n), F.lit(0.0)) for k, t in terms.items()}
+    best = F.sort_array(F.filter(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("place"), F.lit(k).alias("k")) for i, (k, s) in enumerate(scores.items())]), lambda x: x["s"] > 0), False)
+    return F.struct(F.struct(*[s.alias(k) for k, s in scores.items()]).alias("scores"), F.transform(F.slice(best, 1, top), lambda x: x["k"]).alias("top"))

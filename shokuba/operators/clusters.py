@@ -80,3 +80,11 @@ def region_heat(df: DataFrame, region: str) -> DataFrame:
     cells = cross(df, [region, "cluster"], within=[region])
     total = cross(df, ["cluster"], within=()).select("cluster", F.col("share_pct").alias("national_pct"))
     return cells.join(total, "cluster").withColumn("deviation", F.col("share_pct") - F.col("national_pct"))
+
+
+def segment_names(df: DataFrame, age: str, areas: str) -> DataFrame:
+    """Per cluster: size, share, mean age and area count, and a name by both."""
+    out = with_share(df.groupBy("cluster").agg(F.count("*").alias("count"), F.avg(age).alias("avg_age"), F.avg(areas).alias("avg_areas")), "count", [])
+    young = F.when(F.col("avg_age") < 30, "young").when(F.col("avg_age") < 45, "middle").when(F.col("avg_age") < 60, "older").otherwise("senior")
+    wide = F.when(F.col("avg_areas") >= 10, "wide").when(F.col("avg_areas") >= 4, "several").otherwise("local")
+    return out.withColumn("name", F.concat_ws(" ", young, wide)).withColumn("cluster", F.col("cluster").cast("int"))

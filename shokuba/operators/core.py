@@ -159,3 +159,13 @@ def difference(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
 def sample_per_group(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int = 0) -> DataFrame:
     """At most `n` rows of each group, the same ones in each run: those with the smallest hash of `key`."""
     return top_n(df, by, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], n)
+
+
+def join_chain(tables: dict[str, DataFrame], links: Sequence[tuple[str, str]]) -> DataFrame:
+    """Named tables joined one after the other: links are pairs ("orders.o_custkey", "customer.c_custkey"), each of which
+    brings in the table of its right side."""
+    out = tables[links[0][0].split(".")[0]]
+    for left, right in links:
+        name, key = right.split(".")
+        out = out.join(tables[name], F.col(left.split(".")[1]) == F.col(key))
+    return out

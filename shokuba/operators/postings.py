@@ -110,3 +110,25 @@ def match_addresses(df: DataFrame, geocodes: DataFrame, address: Column, shorten
     out = out.join(g.select(F.col("address").alias("_k1"), F.col("lat").alias("_lat1"), F.col("lng").alias("_lng1")), "_k1", "left")
     out = out.join(g.select(F.col("address").alias("_k2"), F.col("lat").alias("_lat2"), F.col("lng").alias("_lng2")), "_k2", "left")
     return out.withColumns({"lat": F.coalesce("_lat1", "_lat2"), "lng": F.coalesce("_lng1", "_lng2")}).drop("_k1", "_k2", "_lat1", "_lng1", "_lat2", "_lng2")
+
+
+def grouped_elements(df: DataFrame, element: str, alias: DataFrame, groups: DataFrame) -> DataFrame:
+    """Elements with the columns of their group; alias (element, whole) first makes cut forms whole. Both are dimension
+    tables; elements without a group are left out."""
+    out = df.join(alias.select(F.col("element").alias(element), "whole"), element, "left").withColumn(element, F.coalesce("whole", element)).drop("whole")
+    return out.join(groups.withColumnRenamed("element", element), element)
+
+
+#: Least information score of each grade.
+GRADES = ((0.20, "A"), (0.14, "B"), (0.10, "C"))
+
+
+def scored_scopes(df: DataFrame, levels: dict[str, Sequence[str]], measures: Sequence[Column], score: str, job: str, least: int = 3) -> DataFrame:
+    """Measures at each level (the first one is the nation's) for groups of at least `least` rows, with the grade of
+    `score` and its gap to the nation's of the same job."""
+    out = suppress(scopes(df, levels, measures), "n", least)
+    grade = F.lit("D")
+    for edge, name in reversed(GRADES):
+        grade = F.when(F.col(score) >= edge, F.lit(name)).otherwise(grade)
+    nation = out.filter(F.col("scope") == next(iter(levels))).select(job, F.col(score).alias("_nation"))
+    return out.join(nation, job, "left").withColumn("grade", grade).withColumn("gap", F.col(score) - F.col("_nation")).drop("_nation")
