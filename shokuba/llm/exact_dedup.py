@@ -67,18 +67,27 @@ def exact_duplicates(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFr
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; as `exact_duplicates` decides.
 
-    Row numbers follow the scan, which another job may split anew, so rows are matched by doc_id and text. Where rows
-    repeat both, their first one is picked in one pass.
+    Row numbers follow the scan, which another job may split anew, so rows are matched by doc_id and text, in one join;
+    keys that many rows repeat are broadcast. Only if rows repeat both doc_id and text, these are read once more and
+    their first one is picked.
     """
     key, columns = ["doc_id", "text_sha256"], docs.columns
     found = exact_duplicates(docs, **options).groupBy(*key).agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
-    found = stage(found.filter("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "stays"), "lost")
-    again = stage(found.filter("stays").select("_id", "_text"), "repeated")
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_doc"), F.sha2(_norm(), 256).alias("_sha"), F.monotonically_increasing_id().alias("_at"))
+    found = stage(found.filter("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "stays", "n"), "lost")
+    total, repeats = found.agg(F.sum("n"), F.count_if("stays")).first()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.sha2(_norm(), 256).alias("_sha"))
 
     def same(keys: DataFrame) -> Column:
         return rows["_doc"].eqNullSafe(keys["_id"]) & (rows["_sha"] == keys["_text"])
 
-    once = rows.join(found, same(found), "left_anti").select("_row")
-    first = rows.join(again, same(again), "left_semi").groupBy("_doc", "_sha").agg(F.min_by("_row", "_at").alias("_row")).select("_row")
-    return once.union(first).select("_row.*")
+    often, seldom = F.col("n") > (total or 0) / 1000, F.col("n") <= (total or 0) / 1000  # fewer than 1000 keys are often
+    out = rows
+    if total and (heavy := found.filter(often)).count():
+        out = out.join(F.broadcast(heavy), same(heavy), "left_anti")
+    light = found.filter(seldom).hint("merge")  # alike at every size
+    out = out.join(light, same(light), "left_anti").select("_row")
+    if repeats:
+        again = stage(found.filter("stays").select("_id", "_text"), "repeated")
+        first = rows.withColumn("_at", F.monotonically_increasing_id()).join(again, same(again), "left_semi")
+        out = out.union(first.groupBy("_doc", "_sha").agg(F.min_by("_row", "_at").alias("_row")).select("_row"))
+    return out.select("_row.*")
