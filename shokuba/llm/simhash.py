@@ -7,7 +7,7 @@ from itertools import combinations
 from math import comb, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,23 +90,34 @@ def simhash(text: str, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp for every row of `docs`; null text counts as empty."""
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(x, shingle) for x in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array((simhash(x.as_py(), shingle) for x in texts), pa.int64())
 
     return docs.select("doc_id", fp(text_or_empty()).alias("fp"))
 
 
+_LONGS = pa.list_(pa.int64())
+
+
+def _set_hash(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
+
+
 def band_rows(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, the hash fp of the set of shingles, keys (a hash for each of `bands` bands of `rows` MinHashes) and low
     (their low bytes) for every row of `docs`."""
 
-    @F.pandas_udf("struct<fp: long, keys: array<long>, low: array<long>>")
-    def hashes(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(shingle_hashes(x, shingle)) for x in texts]
-        found = [band_hashes(h, bands, rows) for h in sets]
-        fp = pd.Series([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype="uint64").astype("int64")
-        return pd.DataFrame({"fp": fp, "keys": pd.Series([x[0] for x in found], dtype="object"), "low": pd.Series([x[1] for x in found], dtype="object")})
+    @F.arrow_udf("struct<fp: long, keys: array<long>, low: array<long>>")
+    def hashes(texts: pa.Array) -> pa.Array:
+        fp, keys, low = [], [], []
+        for x in texts:
+            h = np.unique(shingle_hashes(x.as_py(), shingle))
+            found = band_hashes(h, bands, rows)
+            fp.append(_set_hash(h))
+            keys.append(found[0])
+            low.append(found[1])
+        return pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(keys, _LONGS), pa.array(low, _LONGS)], ["fp", "keys", "low"])
 
     return docs.select("doc_id", hashes(text_or_empty()).alias("s")).select("doc_id", "s.fp", "s.keys", "s.low")
 
@@ -114,13 +125,13 @@ def band_rows(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """fp as in band_rows, and the set of shingle hashes s, for every row of `docs`."""
 
-    @F.pandas_udf("struct<fp: long, s: array<long>>")
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        found = [np.unique(shingle_hashes(x, shingle)) for x in texts]
-        fp = pd.Series([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], dtype="uint64").astype("int64")
-        return pd.DataFrame({"fp": fp, "s": pd.Series([h.view(np.int64) for h in found], dtype="object")})
+    @F.arrow_udf("struct<fp: long, s: array<long>>")
+    def sets(texts: pa.Array) -> pa.Array:
+        found = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in texts]
+        return pa.StructArray.from_arrays([pa.array(map(_set_hash, found), pa.int64()), pa.array([h.view(np.int64) for h in found], _LONGS)], ["fp", "s"])
 
-    return docs.select(sets(text_or_empty()).alias("s")).select("s.fp", "s.s")
+    # not deterministic, or a join's filter on fp would compute it a second time
+    return docs.select(sets.asNondeterministic()(text_or_empty()).alias("s")).select("s.fp", "s.s")
 
 
 def block_masks(n: int, bits: int) -> list[int]:
@@ -149,70 +160,136 @@ def link_fingerprints(nodes: DataFrame, n: int, bits: int = 4) -> DataFrame:
     def near(pairs: DataFrame) -> DataFrame:
         return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
 
-    return _link(nodes.select("fp", F.explode(F.array(*entries)).alias("e")), near)
+    def tools(fps: DataFrame) -> tuple:
+        return near, fps.select("fp", F.array("fp").alias("low"), F.expr("cast(array() as array<bigint>)").alias("s"))
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= bits
+
+    return _link(nodes.select("fp", F.explode(F.array(*entries)).alias("e")), tools, close)
 
 
 def link_sets(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
     """Components of distinct shingle sets `nodes` (fp, least, keys, low) that link at a Jaccard similarity of
     `similarity` or more: fp, component_fp.
 
-    Candidates agree on a band. Those whose MinHashes agree in six standard deviations less than the similarity means
-    go first, which loses less than one link in a million; the sets of shingles, from the texts, decide all others.
+    Candidates agree on a band. Those whose MinHashes agree in three standard deviations less than the similarity means
+    go first, which loses one link in 700 at the similarity; the sets of shingles, from the texts, decide all others.
     """
     size = bands * rows
-    least = int(size * similarity - 6 * sqrt(size * similarity * (1 - similarity)))
+    least = int(size * similarity - 3 * sqrt(size * similarity * (1 - similarity)))
     seven, high = sum(0x7F << 8 * i for i in range(rows)), sum(0x80 << 8 * i for i in range(rows))
 
     def equal_bytes(x: Column, y: Column) -> Column:
         z = x.bitwiseXOR(y)
         return rows - F.bit_count((z.bitwiseAND(F.lit(seven)) + F.lit(seven)).bitwiseOR(z).bitwiseAND(F.lit(high)))
 
-    def near(pairs: DataFrame) -> DataFrame:
+    def tools(fps: DataFrame) -> tuple:
+        """The sets of all texts that share a band are made once: one shuffle and one pass over the texts."""
+        met = stage(nodes.join(fps, "fp", "left_semi").select("fp", "least", "low"), "met")
+        ids = stage(met.select(F.col("least").alias("id")).distinct(), "ids")
+        texts = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")  # alike at every size
+        sets = shingle_sets(texts, shingle).groupBy("fp").agg(F.first("s").alias("s"))  # equal for a fp
+        drawn = stage(met.select("fp", "low").join(sets, "fp"), "sets")
+        return lambda pairs: near(pairs, drawn), drawn
+
+    def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         agree = F.aggregate(F.zip_with("a", "b", equal_bytes), F.lit(0), lambda t, x: t + x)
-        likely = pairs.join(nodes.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v")
+        likely = pairs.join(sets.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v")
         likely = stage(likely.filter(agree >= least).select("u", "v"), "likely")
-        met = stage(nodes.join(likely.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp").select("fp", "least"), "met")
-        ids = stage(met.select(F.col("least").alias("id")).distinct(), "ids")
-        texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        sets = stage(shingle_sets(texts, shingle).join(met.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("s").alias("s")), "sets")  # equal for a fp
         right = likely.groupBy(F.col("v").alias("fp")).agg(F.count("*").alias("n")).join(sets, "fp").select(F.col("fp").alias("v"), "n", F.col("s").alias("b"))
         both = join_by_heavy(likely, right, ["v"], "n").join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u")
         common = F.size(F.array_intersect("a", "b"))
         return stage(both.filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"), "near")
 
-    return _link(nodes.select("fp", F.posexplode("keys").alias("m", "key")).select("fp", F.struct("m", "key").alias("e")), near)
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), bands, 8)[:, :, :rows].reshape(len(x), size) for x in (a, b))
+        return np.stack([(x == b).sum(axis=1) for x in a]) >= least
+
+    def holds(a: np.ndarray, b: np.ndarray) -> bool:
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+            return False
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return common >= similarity * (len(a) + len(b) - common)
+
+    return _link(nodes.select("fp", F.posexplode("keys").alias("m", "key")).select("fp", F.struct("m", "key").alias("e")), tools, close, holds)
 
 
-def _link(entries: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the links among fingerprints that share a block: fp, component_fp. near keeps the pairs (u, v) that
-    link.
+def _link(entries: DataFrame, tools: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame]], close: Callable, holds: Callable | None = None, rounds: int = 2, spare: int = 64, cell: int = 128) -> DataFrame:
+    """Components of the links among fingerprints that share a block: fp, component_fp.
 
-    Every pair that shares a block is decided, yet a bucket of any size costs no square: first all members are held
-    against the bucket's smallest and largest fingerprint, and the components of these links are taken. Members of one
-    component need no more links; what is left of a bucket outside its largest component is held against all of the
-    bucket, so each link between components is found.
+    tools is called with the fingerprints (fp) that share a block and gives near, which keeps the pairs (u, v) that link,
+    and a table of them with low and s (arrays of longs). close says of two arrays of low which pairs may link, and
+    holds of two s whether they do.
+
+    Every pair that shares a block is decided or lies within one component already. First all members of a bucket are
+    held against its most central one, whose buckets hold most members in all: the original of a family of copies.
+    While what is left of the buckets outside their largest components makes more than `spare` pairs a member, up to
+    `rounds` times, members are held against the most central one outside the largest component. Then the members
+    outside the largest component are held against the whole bucket in cells of about `cell` times `cell` members, so a
+    bucket of any size is spread over tasks and only links become rows. Members that agree on a block and yet form no
+    components cost their square / `cell` in rows of this last step; no other step has a square.
     """
     keys = entries.select("fp", "e.m", "e.key")
-    buckets = stage(keys.groupBy("m", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1"), "buckets")
-    shared = stage(join_by_heavy(keys, buckets, ["m", "key"], "n").select("m", "key", "fp", "low", "high"), "blocks")
-    hubs = shared.select(F.col("fp").alias("u"), F.explode(F.array("low", "high")).alias("v")).filter("u <> v").distinct()
-    first = stage(near(hubs), "star")
-    part = components(first, "parts")
-    size = shared.groupBy("fp").count()
-    part = size.join(part.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"), F.col("count").alias("n"))
-    members = stage(join_by_heavy(shared, stage(part, "part"), ["fp"], "n").select("m", "key", "fp", "part"), "members")
-    mixed = (
-        members.groupBy("m", "key", "part").count().groupBy("m", "key")
-        .agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("n"))
-        .filter("parts > 1")
-    )
-    mixed = stage(join_by_heavy(members, stage(mixed, "main"), ["m", "key"], "n").select("m", "key", "fp", "part", "main"), "mixed")
-    rest = mixed.filter("part <> main").select("m", "key", F.col("fp").alias("fp2"), F.col("part").alias("part2"))
-    second = mixed.join(rest, ["m", "key"]).filter("part <> part2 and fp <> fp2").select(F.least("fp", "fp2").alias("u"), F.greatest("fp", "fp2").alias("v")).distinct()
-    links = first.union(near(second).select("u", "v"))
+    buckets = stage(keys.groupBy("m", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = stage(join_by_heavy(keys, buckets, ["m", "key"], "n").select("m", "key", "fp", "n"), "blocks")
+    score = stage(shared.groupBy("fp").agg(F.sum("n").alias("score"), F.count("*").alias("held")), "scores")
+    near, drawn = tools(score.select("fp"))
+    members = stage(join_by_heavy(shared, score, ["fp"], "held").select("m", "key", "fp", "score"), "members")
+    hubs = members.groupBy("m", "key").agg(F.max_by("fp", F.struct("score", "fp")).alias("v"), F.count("*").alias("n"))
+    pairs = join_by_heavy(members, stage(hubs, "hubs"), ["m", "key"], "n").select(F.col("fp").alias("u"), "v").filter("u <> v").distinct()
+    links = stage(near(pairs).select("u", "v"), "star")
+    for turn in range(rounds + 1):
+        part = components(links, "parts").withColumnRenamed("node", "fp")
+        part = stage(score.join(part, "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"), "held"), "part")
+        members = stage(join_by_heavy(members.select("m", "key", "fp", "score"), part, ["fp"], "held").select("m", "key", "fp", "score", "part"), "members")
+        parts = members.groupBy("m", "key", "part").agg(F.count("*").alias("size"))
+        mixed = parts.groupBy("m", "key").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("n"), F.max("size").alias("most"))
+        mixed = stage(mixed.filter("parts > 1").select("m", "key", "main", "n", "most"), "mixed")
+        left, total = mixed.agg(F.sum(F.expr("(n - most) * n")), F.sum("n")).first()
+        members = stage(join_by_heavy(members, mixed, ["m", "key"], "n"), "members")
+        if turn == rounds or not total or left <= spare * total:
+            break
+        outer = members.filter("part <> main").groupBy("m", "key").agg(F.max_by(F.struct("fp", "part"), F.struct("score", "fp")).alias("hub"), F.first("n").alias("n"))  # one n for a bucket
+        pairs = join_by_heavy(members.drop("n"), stage(outer, "hubs"), ["m", "key"], "n").filter("part <> hub.part").select(F.col("fp").alias("u"), F.col("hub.fp").alias("v")).distinct()
+        links = stage(links.union(near(pairs).select("u", "v")), "star")
+    if total:
+        links = links.union(_cell_links(members, drawn, close, holds, cell))
     return components(links, "links").select(F.col("node").alias("fp"), F.col("component").alias("component_fp"))
 
 
+def _cell_links(members: DataFrame, drawn: DataFrame, close: Callable, holds: Callable | None, cell: int) -> DataFrame:
+    """u, v: the links, between different parts, of a member outside its bucket's largest part and any member of the bucket."""
+    wide, high = F.ceil(F.col("n") / cell), F.ceil((F.col("n") - F.col("most")) / cell)
+    rows = members.select("m", "key", "fp", "part", (F.col("part") != F.col("main")).alias("outer"), wide.alias("wide"), high.alias("high"), F.xxhash64("fp").alias("at"))
+    upto = [F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1) for c in ("wide", "high")]
+    places = [
+        rows.filter("outer").select("m", "key", F.pmod("at", "high").alias("row"), F.explode(upto[0]).alias("column"), F.lit(True).alias("outer"), "fp", "part"),
+        rows.select("m", "key", F.explode(upto[1]).alias("row"), F.pmod("at", "wide").alias("column"), F.lit(False).alias("outer"), "fp", "part"),
+    ]
+    dealt = stage(places[0].unionByName(places[1]), "dealt")
+    often = drawn.join(dealt.groupBy("fp").agg(F.count("*").alias("held")), "fp")
+    dealt = join_by_heavy(dealt, often, ["fp"], "held")
+    member = F.struct("fp", "part", "low", "s")
+    cells = dealt.groupBy("m", "key", "row", "column").agg(F.collect_list(F.when(F.col("outer"), member)).alias("o"), F.collect_list(F.when(~F.col("outer"), member)).alias("a"))
+
+    def fields(x: pa.StructArray) -> tuple:
+        fp, part, low, s = (x.field(k) for k in ("fp", "part", "low", "s"))
+        return fp.to_numpy(), part.to_numpy(), low.flatten().to_numpy().reshape(len(fp), -1), s.offsets.to_numpy(), s.values.to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            for outer, every in zip(batch.column(0), batch.column(1)):
+                (fp, part, low, at, s), (fp2, part2, low2, at2, s2) = fields(outer.values), fields(every.values)
+                pairs = zip(*(x.tolist() for x in np.nonzero(close(low, low2) & (part[:, None] != part2[None, :]))))
+                if holds:
+                    pairs = ((i, j) for i, j in pairs if holds(s[at[i] : at[i + 1]], s2[at2[j] : at2[j + 1]]))
+                if found := [(int(fp[i]), int(fp2[j])) for i, j in pairs]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
+
+    return stage(cells.filter("size(o) > 0 and size(a) > 0").select("o", "a").mapInArrow(run, "u long, v long").distinct(), "near")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fp, component_id: one row per row of `docs`; component_id is the smallest doc_id reachable by links.
 
@@ -251,4 +328,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     doc_ids are taken to be unique (as after exact deduplication); a null doc_id stays only where a class has no other.
     """
     kept = stage(similar_documents(docs, shingle, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")  # alike at every size
