@@ -33,7 +33,9 @@ def boundaries(ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.
     gaps = np.diff(at, prepend=0)
     long = np.flatnonzero(gaps > 2 * _FREE_STEP)
     if len(long):
-        free = np.concatenate([np.arange(at[i] - gaps[i] + _FREE_STEP, at[i], _FREE_STEP) for i in long.tolist()])
+        many = (gaps[long] - 1) // _FREE_STEP
+        nth = np.arange(1, many.sum() + 1) - np.repeat(np.cumsum(many) - many, many)
+        free = np.repeat(at[long] - gaps[long], many) + nth * _FREE_STEP
         at, cost = np.concatenate((at, free)), np.concatenate((cost, np.full(len(free), FREE_CUT)))
         order = np.argsort(at, kind="stable")
         at, cost = at[order], cost[order]
@@ -147,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
         end = np.uint32(end_id).tobytes()
         for b in batches:
             out = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_many(b.column(1).to_pylist(), end)):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_many((x.as_py() for x in b.column(1)), end)):
                 out += packer.add(doc_id, ids)
             if out:
                 yield batch(out)

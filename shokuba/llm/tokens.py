@@ -26,7 +26,7 @@ class WordEncoder:
     and only units never met are sent to the tokenizer, many in one text; the token with the word end closes a unit.
     """
 
-    def __init__(self, path: str, words: int = 800_000, units: int = 800_000):
+    def __init__(self, path: str, words: int = 300_000, units: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -42,8 +42,11 @@ class WordEncoder:
         self.last[[i for t, i in self.vocab.items() if t.endswith("</w>")]] = True
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(rf"\n|{split['pattern']['Regex']}")
+        # two generations: a full cache becomes the old one, and what is met again moves back
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
         self.most_words, self.most_units = words, units
 
     def sentence_ends(self) -> np.ndarray:
@@ -65,10 +68,16 @@ class WordEncoder:
 
     def _learn(self, missing: set[str]) -> None:
         if len(self.units) > self.most_units:
-            self.units.clear()
+            self.old_units, self.units = self.units, {}
+        known = self.old_words.keys() & missing
+        self.words.update((w, self.old_words[w]) for w in known)
+        missing = missing - known
         plain = list(missing) if _PLAIN.match("".join(missing)) else list(filter(_PLAIN.match, missing))
         cut = self.pattern.findall("\n".join(plain).lower())
         new = set(cut).difference(self.units)
+        known = self.old_units.keys() & new
+        self.units.update((u, self.old_units[u]) for u in known)
+        new -= known
         new.discard("\n")
         if new:
             self._encode_units(list(new))
@@ -102,7 +111,7 @@ class WordEncoder:
 
     def _answer(self, texts: list[str | list[str]], missing: set[str], end: bytes) -> Iterator[np.ndarray]:
         if len(self.words) > self.most_words:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
             missing = set().union(*(x for x in texts if isinstance(x, list)))
         if missing:
             self._learn(missing)
