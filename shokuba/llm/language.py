@@ -83,7 +83,7 @@ class Mixture:
         return share, float(c @ np.log(share @ g))
 
     def languages(self, text: str, penalty: float, least: float) -> tuple[str, float, list[str], list[float]]:
-        """Best language, its share under all languages, and the selected set with shares.
+        """Best language of the selected set, its share there, and the set with shares.
 
         Languages with less than `least` of the mixture are left out; of the sets of the largest remaining ones, the
         one wins whose log-likelihood, less `penalty` times ln(1 + trigrams) for each language, is highest.
@@ -100,27 +100,29 @@ class Mixture:
         g = self.p[:, found]
         share, _ = self.fit(g, c)
         order = np.argsort(-share, kind="stable")
-        best = int(order[0])
         sets = [order[: k + 1] for k in range(int((share >= least).sum()) or 1)]
         if len(sets) == 1:
-            chosen, part = [best], np.ones(1)
+            chosen, part = [int(order[0])], share[order[:1]]
         else:
             cost = penalty * np.log1p(c.sum())
             fits = [self.fit(g[s], c) for s in sets]
             k = int(np.argmax([ll - cost * len(s) for s, (_, ll) in zip(sets, fits)]))
             chosen, part = sets[k], fits[k][0]
-        return self.langs[best], min(1.0, float(share[best])), [self.langs[i] for i in chosen], [float(x) for x in part]
+        best = int(np.argmax(part))
+        return self.langs[chosen[best]], min(1.0, float(part[best])), [self.langs[i] for i in chosen], [float(x) for x in part]
 
 
 def train(docs: DataFrame, per_language: int = 4000, languages: int = 1000) -> Mixture:
     """Fit a Mixture on rows of `docs` (doc_id, lang, text) with a language and a letter in the text.
 
-    per_language bounds (in expectation) the documents taken of a language, chosen by a hash of doc_id and read whole;
-    languages bounds the number of languages, largest first. The counts that reach the driver are at most
-    languages x BUCKETS numbers.
+    per_language bounds (in expectation) the documents taken of a language, chosen by a hash of doc_id and read whole.
+    All languages are learnt; more than `languages` are refused, since the model, of languages x BUCKETS numbers, goes
+    through the driver to all tasks.
     """
     docs = docs.filter(F.col("lang").isNotNull())
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    sizes = docs.groupBy("lang").count()
+    if (found := sizes.count()) > languages:
+        raise ValueError(f"{found} languages exceed the bound of {languages}")
     take = F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE)) < F.ceil(F.lit(_SCALE) * F.least(F.lit(1.0), F.lit(per_language) / F.col("count")))
     sample = docs.join(F.broadcast(sizes), "lang").filter(take).select("lang", text_or_empty().alias("text"))
     return Mixture(learn_counts(sample).toPandas())
@@ -128,14 +130,20 @@ def train(docs: DataFrame, per_language: int = 4000, languages: int = 1000) -> M
 
 def identify(docs: DataFrame, model: Mixture, penalty: float = 2.0, least: float = 0.02) -> DataFrame:
     """`docs` with lang_pred (`und` if the text is null or has no letter), score (0 to 1), languages and shares."""
+    return docs.withColumn("_lang", _predictor(docs, model, penalty, least)(text_or_empty())).select(*docs.columns, "_lang.*")
+
+
+def _predictor(docs: DataFrame, model: Mixture, penalty: float = 2.0, least: float = 0.02):
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, languages array<string>, shares array<double>")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        rows = [spread.value.languages(x, penalty, least) for x in texts]
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "languages", "shares"])
+    @F.arrow_udf("lang_pred string, score double, languages array<string>, shares array<double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        rows = (spread.value.languages(x.as_py(), penalty, least) for x in texts)
+        kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang_pred", "score", "languages", "shares"])
 
-    return docs.withColumn("_lang", predict(text_or_empty())).select(*docs.columns, "_lang.*")
+    return predict
 
 
 def fold(modulus: int) -> Column:
@@ -156,6 +164,7 @@ def language_id(docs: DataFrame) -> DataFrame:
 def keep_known_languages(docs: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """The rows of `docs` with a determined language (one of `allowed`, if given), with their columns unchanged."""
     model = train(docs.filter(fold(3) != 1).select("doc_id", "lang", "text"))
-    found = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text")), model)
-    good = F.col("lang_pred") != UNDETERMINED if allowed is None else F.col("lang_pred").isin(allowed)
-    return found.filter(good).select("_doc.*")
+    name = max(docs.columns, key=len) + "_"  # of no column
+    found = docs.withColumn(name, _predictor(docs, model)(text_or_empty())["lang_pred"])
+    lang = F.col(f"`{name}`")
+    return found.filter(lang != UNDETERMINED if allowed is None else lang.isin(allowed)).drop(lang)
