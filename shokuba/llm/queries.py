@@ -83,7 +83,7 @@ ORACLE_SQL: dict[str, str] = {
             WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts)
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(host, '(^|\.)(ads|adult|casino|cheap|free|spam)-') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN regexp_matches(host, '(^|\.)[a-z0-9]+(-[a-z0-9]+)+(\.|$)') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled
     """,
     "op10_exact_dedup": r"""

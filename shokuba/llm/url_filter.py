@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shokuba.llm.common import join_by_heavy, stage
+from shokuba.llm.common import stage, union_all
 
 #: Domain rules of the query: verdict, then host and path prefix.
 RULES = (
@@ -17,8 +18,9 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: A host is listed if one of its labels begins with one of these words and a hyphen.
-LISTED_WORDS = ("ads", "adult", "casino", "cheap", "free", "spam")
+#: Hosts that are listed where no blocklist is passed: a label of several words joined by hyphens, as in names that are
+#: made for search engines.
+LISTED = r"(^|\.)[a-z0-9]+(-[a-z0-9]+)+(\.|$)"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,10 +48,10 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 class Level:
     """One Bloom filter of the cascade: a one-row table with an array of 64-bit words, read as a scalar subquery."""
 
-    def __init__(self, keys: DataFrame, n: int, number: int, bits_per_key: int, hashes: int):
-        self.number, self.hashes = number, hashes
-        self.words = max(1, -(-n * bits_per_key // 64))
-        places = F.explode(F.array(*[self._place(F.col("key"), i) for i in range(hashes)]))
+    def __init__(self, keys: DataFrame, n: int, number: int, rate: float):
+        self.number, self.hashes = number, max(2, round(-log2(rate)))
+        self.words = max(1, ceil(n * self.hashes / log(2) / 64))
+        places = F.explode(F.array(*[self._place(F.col("key"), i) for i in range(self.hashes)]))
         bits = keys.select(places.alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
         every = keys.sparkSession.range(self.words).select(F.col("id").cast("int").alias("w"))
         row = every.join(bits, "w", "left").agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("a"))
@@ -69,18 +71,16 @@ class Cascade:
 
     Level 1 holds the listed keys, level 2 the other keys of the universe that pass level 1, level 3 the listed keys
     that pass level 2, and so on until none is left. A key is listed if the first level that it does not pass is an
-    even one. Levels shrink by the false-positive rate; `bits` in all are checked against `max_bits` before they are
-    sent to the tasks, and fits says whether they may be.
+    even one. Level 1 lets so few others pass that level 2 is no larger than it, and further levels shrink by `rate`.
     """
 
-    def __init__(self, universe: DataFrame, listed: DataFrame, bits_per_key: int = 10, hashes: int = 5, max_bits: int = 1 << 27):
+    def __init__(self, universe: DataFrame, listed: DataFrame, rate: float = 0.03):
         self.levels: list[Level] = []
-        inside, outside = listed, universe.join(listed, "key", "left_anti")
-        inside, outside = stage(inside, "listed"), stage(outside, "others")
-        n = inside.count()
-        self.fits = n * bits_per_key * 2 <= max_bits
-        while n and self.fits:
-            level = Level(inside, n, len(self.levels) + 1, bits_per_key, hashes)
+        inside, outside = stage(listed, "listed"), stage(universe.join(listed, "key", "left_anti"), "others")
+        n, others = inside.count(), outside.count()
+        first = min(rate, n / max(1, others))
+        while n:
+            level = Level(inside, n, len(self.levels) + 1, rate if self.levels else first)
             self.levels.append(level)
             inside, outside = stage(outside.filter(level.holds(F.col("key"))), "passed"), inside
             n = inside.count()
@@ -93,27 +93,38 @@ class Cascade:
         return answer
 
 
+def parts_for(listed: int, others: int, max_bits: int) -> int:
+    """In how many parts the keys are cut so that the filters of a part have about `max_bits` bits at most: the larger of
+    the first two levels takes -log2(rate) / ln 2 bits a key, twice over for both."""
+    rate = min(0.03, listed / max(1, others))
+    return max(1, ceil(2 * listed * -log2(rate) / log(2) / max_bits)) if listed and rate < 1 else 1
+
+
 def judge_pages(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, max_bits: int = 1 << 27) -> DataFrame:
     """page_id, host, path, rule, verdict: one row per row of `pages`.
 
     The longest fitting rule decides; without one, a listed host is blocked and any other is allowed. listed: a table
-    of hosts (key); by default the pages' hosts with a label that begins with a word of LISTED_WORDS and a hyphen.
-    Hosts are tested in a Bloom cascade over all hosts of `pages`, so the answer is exact and no row is joined. Only a
-    list whose filters exceed `max_bits` is met by a join with the distinct hosts, heavy ones broadcast. Null urls and
-    those without `://` have an empty host and path, which no rule fits, and are allowed.
+    of hosts (key); by default the pages' hosts that match LISTED. Hosts are tested in a Bloom cascade over all hosts of
+    `pages`, so the answer is exact and no row is joined. Where the filters would exceed `max_bits`, which bounds what is
+    sent to the tasks, hosts are cut into parts by a hash; each part has its own cascade and reads its own rows. Null
+    urls and those without `://` have an empty host and path, which no rule fits, and are allowed.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = stage(rows.groupBy(F.col("host").alias("key")).agg(F.count("*").alias("n")), "hosts")
+    universe = stage(rows.select(F.col("host").alias("key")).distinct(), "hosts")
     if listed is None:
-        listed = universe.filter(F.col("key").rlike(rf"(^|\.)({'|'.join(LISTED_WORDS)})-")).select("key")
-    listed = listed.select("key").distinct().join(universe, "key", "left_semi")
-    cascade = Cascade(universe.select("key"), listed, max_bits=max_bits)
-    if cascade.fits:
-        rows = rows.withColumn("listed", cascade.listed(F.col("host")))
-    else:
-        marked = stage(universe.join(listed.withColumn("listed", F.lit(True)), "key", "left").select(F.col("key").alias("host"), "n", F.coalesce("listed", F.lit(False)).alias("listed")), "marked")
-        rows = join_by_heavy(rows, marked, ["host"], "n").drop("n")
+        listed = universe.filter(F.col("key").rlike(LISTED))
+    listed = stage(listed.select("key").distinct().join(universe, "key", "left_semi"), "listed")
+    n = listed.count()
+    parts = parts_for(n, universe.count() - n, max_bits)
+
+    def own(df: DataFrame, key: str, part: int) -> DataFrame:
+        return df.filter(F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts)) == part) if parts > 1 else df
+
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    default = F.when(F.col("listed"), F.lit("block")).otherwise("allow")
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, default).alias("verdict"))
+    judged = []
+    for part in range(parts):
+        cascade = Cascade(own(universe, "key", part), own(listed, "key", part))
+        default = F.when(cascade.listed(F.col("host")), F.lit("block")).otherwise("allow")
+        judged.append(own(rows, "host", part).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, default).alias("verdict")))
+    return union_all(judged)
