@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shokuba.llm.common import text_or_empty
 
-_RAW = "script|style|noscript|template|iframe|svg|textarea|select|button|object|audio|video|canvas|math|title"
+_RAW = "script|style|noscript|template|iframe|svg|textarea|select|button|title"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|<[a-z/!][^<>]*\Z",
@@ -35,6 +36,10 @@ _NAMES = _COMMENT | frozenset(
     "popup modal overlay share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer".split()
 )
 _SAFE = frozenset("html body main article".split())
+_PARTS = frozenset("article main section div footer body h1 h2 p".split())
+
+_SENTENCE = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*\Z")
+_COPYRIGHT = re.compile(r"©|\(c\)\s*\d{4}|copyright|all rights reserved", re.I)
 
 WINDOW = 3  # lines
 SURGE = 40  # characters in a window
@@ -63,20 +68,20 @@ def _unwanted(tag: str, raw: str, inside: bool) -> str:
     return "name" if names & _NAMES or ("header" in names and not inside) else ""
 
 
-def _closing(tokens: list, at: int, tag: str) -> int:
-    """Index of the token that ends the element opened at `at`: its own end, or what implies it; -1 if none does."""
-    depth = 1
-    for i in range(at + 1, len(tokens)):
-        _, slash, name, _ = tokens[i]
-        if name == tag:
-            depth += -1 if slash else 1
-            if not depth:
-                return i
-            if tag == "p":
-                return i - 1
-        elif tag == "p" and name in _BLOCK:
-            return i - 1
-    return -1
+def _ends(tokens: list) -> list[int]:
+    """Of each opening token the index of the one that ends its element: its own end, or what implies it (the next block
+    after a paragraph); -1 if none does. One pass with a stack for each tag."""
+    ends, opened = [-1] * len(tokens), {}
+    for i, (_, slash, name, _) in enumerate(tokens):
+        if name in _BLOCK and not (slash and name == "p"):
+            for at in opened.pop("p", ()):
+                ends[at] = i - 1
+        own = opened.setdefault(name, [])
+        if not slash:
+            own.append(i)
+        elif own:
+            ends[own.pop()] = i
+    return ends
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
@@ -90,6 +95,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         tokens.append((m, m[2] or "", (m[3] or "").lower(), m[4] or ""))
         at = m.end()
     texts.append(page[at:])
+    ends, n = _ends(tokens), len(tokens)
+    mains = [0, *itertools.accumulate(int(t[2] in ("article", "main") and not t[1]) for t in tokens)]  # opened before each token
+    parts = [n] * (n + 1)  # where the next part starts
+    for j in range(n - 1, -1, -1):
+        parts[j] = j if tokens[j][2] in _PARTS else parts[j + 1]
     lines: list[tuple[str, int, bool]] = []
     words: list[str] = []
     plain = main = link = 0
@@ -129,11 +139,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         why = _unwanted(tag, raw, main > 0) if tag not in _VOID and not raw.endswith("/") else ""
         if why:
-            end = _closing(tokens, i, tag)
-            holds_main = why != "comment" and any(t[2] in ("article", "main") and not t[1] for t in tokens[i + 1 : end if end >= 0 else None])
+            end = ends[i]
+            holds_main = why != "comment" and mains[end if end >= 0 else n] > mains[i + 1]
+            whole = tag == "form" and end >= 0 and 2 * (tokens[end][0].start() - m.end()) > len(page)  # a form around the page
             if end < 0:  # never closed: up to the next part
-                end = next((j - 1 for j in range(i + 1, len(tokens)) if tokens[j][2] in ("article", "main", "section", "div", "footer", "body", "h1", "h2", "p")), len(tokens))
-            if not holds_main or tag in _DROP and end < next(j for j in range(i + 1, len(tokens)) if tokens[j][2] in ("article", "main")):
+                end = parts[i + 1] - 1 if parts[i + 1] < n else n
+                holds_main = why != "comment" and mains[min(end, n)] > mains[i + 1]
+            if not holds_main and not whole:
                 close(1 if main else WINDOW)
                 skip_to = end
                 continue
@@ -150,12 +162,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
+def trimmed(region: list[tuple[str, int, bool]]) -> list[tuple[str, int, bool]]:
+    """A stretch of lines without what its window let in at its ends: outside of the main part, links alone before it, and
+    after it short lines that end no sentence and copyright notes."""
+    first, last = 0, len(region)
+    while first < last and not region[first][1] and not region[first][2]:
+        first += 1
+    while first < last - 1 and not region[last - 1][2] and (region[last - 1][1] < SURGE and not _SENTENCE.search(region[last - 1][0]) or _COPYRIGHT.search(region[last - 1][0])):
+        last -= 1
+    return region[first:last]
+
+
 def main_text(page: str) -> str:
     """Main text of one page: its blocks in page order, parted by an empty line; empty if there is none.
 
     The text lengths of each WINDOW lines are summed. Text begins where this sum surges over SURGE, or over the page's
-    largest sum where that is less, and ends where it dives to nothing; what lies between is kept, short lines too, and so
-    are short lines between two such stretches. Where an article or main part holds a quarter of the kept text or more,
+    largest sum where that is less, and ends where it dives to nothing, less what the windows let in at its ends (trimmed);
+    what lies between is kept, short lines too, and so are short lines between two such stretches. Where an article or main part holds a quarter of the kept text or more,
     only that part counts, with all its lines.
     """
     lines = lines_of(page)
@@ -173,7 +196,7 @@ def main_text(page: str) -> str:
             region.append(line)
             peak = max(peak, total)
             continue
-        if region:
+        if region := trimmed(region):
             regions.append((peak, region))
         region, peak = [], 0
     surged = [i for i, (peak, _) in enumerate(regions) if peak >= surge]
@@ -190,9 +213,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     element that is never closed ends at the next part. A map without shuffle; other columns are ignored.
     """
 
-    @F.pandas_udf("string")
-    def extract(pages: pd.Series) -> pd.Series:
-        return pages.map(main_text)
+    @F.arrow_udf("string")
+    def extract(pages: pa.Array) -> pa.Array:
+        return pa.array((main_text(x.as_py()) for x in pages), pa.string())
 
     out = pages.select("page_id", "url", extract(text_or_empty("html")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
