@@ -29,10 +29,10 @@ class Bands:
     a pair at the similarity are expected to agree; with it, `recall` sets how many keys are drawn."""
 
     similarity: float = 0.8
-    samples: int = 4
-    walks: int = 4
-    agree: float = 0.55
-    recall: float = 0.95
+    samples: int = 3
+    walks: int = 6
+    agree: float = 0.5
+    recall: float = 0.99
     segment: int = 64
     ratio: float = 1.25
 
@@ -49,11 +49,13 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], bands: Bands, seed: int = 7):
         self.bands, self.vocab, self.items = bands, {}, []
+        self.whole: list[tuple[int, np.ndarray]] = []  # of each segment: its first word in the item, and the whole item
         for item_id, text in items:
-            w = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in words_of(text or "")]
+            w = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in words_of(text or "")], np.int32)
             for at in range(0, len(w), bands.segment):
-                part = w[at : at + bands.segment] if len(w) - at >= bands.segment // 4 or not at else w[-bands.segment // 4 :]
-                self.items.append((item_id, np.array(part, np.int32)))
+                at = at if len(w) - at >= bands.segment // 4 or not at else len(w) - bands.segment // 4
+                self.items.append((item_id, w[at : at + bands.segment]))
+                self.whole.append((at, w))
         grams = [self._grams(x) for _, x in self.items if len(x) > 2]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         rng = np.random.default_rng(seed)
@@ -153,10 +155,14 @@ class ItemIndex:
                 for s in np.flatnonzero(b > a).tolist():
                     pairs.update(zip(repeat(int(starts[s])), owner[a[s] : b[s]].tolist()))
             for s, item in sorted(pairs):
-                item_id, want = self.items[item]
+                item_id, own = self.items[item]
                 if item_id in found and not found[item_id][3]:
                     continue
+                at, want = self.whole[item]
                 most = self.bands.edits(len(want))
+                if len(want) > len(own) and best_edits(own, x[max(0, s - most) : s + len(own) + most]) > self.bands.edits(len(own)):
+                    continue  # of the segments of an item within the similarity, one at least is within it too
+                s = max(0, s - at)
                 edits = best_edits(want, x[max(0, s - most) : s + len(want) + most])
                 if edits <= most and (item_id not in found or edits < found[item_id][3]):
                     found[item_id] = (item_id, s, len(want), edits)
@@ -178,10 +184,10 @@ def best_edits(want: np.ndarray, region: np.ndarray) -> int:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, bands: Bands = Bands(), block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, start_word, item_words, edits: one row per row of `docs` and benchmark item found in it.
 
-    An item is found where a stretch of the document lies within the similarity of it, counted in word edits; items
-    longer than `segment` words are searched by segments of it, any of which counts. Windows at every word of the
-    whole text are considered. Those that can't match are left out first: too few of their words or word trigrams
-    occur in any item.
+    An item is found where a stretch of the document lies within the similarity of it, counted in word edits. Items
+    longer than `segment` words are searched by their segments, one of which at least lies within the similarity where
+    the item does, and the whole item is verified at a segment's place. Windows at every word of the whole text are
+    considered. Those that can't match are left out first: too few of their words or word trigrams occur in any item.
     Items or texts that are null or without words match nothing. The benchmark is the query set: it comes to the
     tasks in blocks of about `block_chars` characters, with one pass over the documents for each block.
     """
@@ -196,7 +202,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, bands: Bands = Bands(), bl
 
         def run(batches):
             for b in batches:
-                rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in index.value.search(t)]
+                rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for hit in index.value.search(t.as_py())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [f.split()[0] for f in _HIT.split(", ")])
 
