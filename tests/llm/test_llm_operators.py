@@ -408,7 +408,9 @@ def test_pages(spark):
 
 
 def test_url_rules_and_cascade(spark):
-    from shokuba.llm.url_filter import Cascade, judge_pages
+    from shokuba.llm.url_filter import Cascade, judge_pages, parts_for
+
+    assert parts_for(1, 9, 8) > 1 == parts_for(0, 9, 8)
 
     urls = [None, "", "nohost", "http://A.Example.ORG/es/x?y", "http://example.org/en/12", "http://notexample.org/es/", "http://x.com/fr/", "http://x.com/de/#a", "http://www.spam-farm.net", "http://ok.net/p", "x://h?/de/"]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
@@ -417,11 +419,11 @@ def test_url_rules_and_cascade(spark):
     assert got[3] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[4][2:] == ("example.org/en/1", "block")
     assert got[5][2:] == ("org/", "allow") and got[6][2:] == ("com/fr/", "allow") and got[7][1:] == ("/de/", "com/de/", "block")
     assert got[8] == ("www.spam-farm.net", "", None, "block") and got[9][3] == "allow" and got[10] == ("h", "", None, "allow")
-    assert {r.page_id: r.verdict for r in judge_pages(df, max_bits=0).collect()} == {k: v[3] for k, v in got.items()}
+    assert {r.page_id: r.verdict for r in judge_pages(df, max_bits=8).collect()} == {k: v[3] for k, v in got.items()}
     assert judge_pages(df.limit(0)).count() == 0
     universe = spark.range(4000).select(F.concat(F.lit("h"), F.col("id")).alias("key"))
     listed = universe.filter(F.xxhash64("key") % 7 == 0)
-    cascade = Cascade(universe, listed, bits_per_key=3, hashes=2)
+    cascade = Cascade(universe, listed, rate=0.3)
     assert len(cascade.levels) > 2
     said = universe.filter(cascade.listed(F.col("key")))
     assert said.count() == listed.count() and said.join(listed, "key", "left_anti").count() == 0
