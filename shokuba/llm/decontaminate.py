@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shokuba.llm.common import stage, text_or_empty, union_all
+from shokuba.llm.common import text_or_empty, union_all
 
 _KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _HIT = "doc_id long, item_id long, start_word long, item_words long, edits long"
@@ -30,8 +30,8 @@ class Bands:
 
     similarity: float = 0.8
     samples: int = 3
-    walks: int = 6
-    agree: float = 0.5
+    walks: int = 7
+    agree: float = 0.475
     recall: float = 0.99
     segment: int = 64
     ratio: float = 1.25
@@ -154,13 +154,22 @@ class ItemIndex:
                 a, b = np.searchsorted(table, key, "left"), np.searchsorted(table, key, "right")
                 for s in np.flatnonzero(b > a).tolist():
                     pairs.update(zip(repeat(int(starts[s])), owner[a[s] : b[s]].tolist()))
+            met = np.zeros(len(self.vocab) + 1, bool)
             for s, item in sorted(pairs):
                 item_id, own = self.items[item]
+                fits = self.bands.edits(len(own))
+                region = x[max(0, s - fits) : s + len(own) + fits]
+                met[region] = True
+                met[0] = False
+                held = np.count_nonzero(met[own])
+                met[region] = False
+                if held < len(own) - fits:  # each word of the item that isn't there costs an edit
+                    continue
                 if item_id in found and not found[item_id][3]:
                     continue
                 at, want = self.whole[item]
                 most = self.bands.edits(len(want))
-                if len(want) > len(own) and best_edits(own, x[max(0, s - most) : s + len(own) + most]) > self.bands.edits(len(own)):
+                if len(want) > len(own) and best_edits(own, region) > fits:
                     continue  # of the segments of an item within the similarity, one at least is within it too
                 s = max(0, s - at)
                 edits = best_edits(want, x[max(0, s - most) : s + len(want) + most])
@@ -181,6 +190,16 @@ def best_edits(want: np.ndarray, region: np.ndarray) -> int:
     return int(row.min())
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, bands: Bands, block_chars: int):
+    """Broadcast indexes of the benchmark, block by block, so the driver holds one block at a time."""
+    items = benchmark.select("item_id", text_or_empty().alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    for block in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
+        yield docs.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in own], bands))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, bands: Bands = Bands(), block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, start_word, item_words, edits: one row per row of `docs` and benchmark item found in it.
 
@@ -188,18 +207,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, bands: Bands = Bands(), bl
     longer than `segment` words are searched by their segments, one of which at least lies within the similarity where
     the item does, and the whole item is verified at a segment's place. Windows at every word of the whole text are
     considered. Those that can't match are left out first: too few of their words or word trigrams occur in any item.
-    Items or texts that are null or without words match nothing. The benchmark is the query set: it comes to the
-    tasks in blocks of about `block_chars` characters, with one pass over the documents for each block.
+    Items or texts that are null or without words match nothing; rows that repeat an item_id are one item, of which the
+    best match counts. The benchmark is the query set: it comes to the tasks in blocks of about `block_chars`
+    characters, with one pass over the documents for each block.
     """
-    items = benchmark.select("item_id", text_or_empty().alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    sc = docs.sparkSession.sparkContext
-
-    def search(block: int) -> DataFrame:
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = sc.broadcast(ItemIndex([tuple(r) for r in own], bands))
-
+    def search(index) -> DataFrame:
         def run(batches):
             for b in batches:
                 rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for hit in index.value.search(t.as_py())]
@@ -208,10 +220,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, bands: Bands = Bands(), bl
 
         return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, _HIT)
 
-    return union_all([search(b) for b in range(blocks)])
+    return union_all([search(index) for index in _indexes(docs, benchmark, bands, block_chars)])
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, bands: Bands = Bands(), block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of `docs` in whose text no benchmark item is found, with their columns; each row is judged by its own text
+    where it lies, so nothing is joined or shuffled, and repeated or null doc_ids don't matter."""
+    def free_of(index):
+        @F.arrow_udf("boolean")
+        def clean(texts: pa.Array) -> pa.Array:
+            return pa.array((not index.value.search(x.as_py()) for x in texts), pa.bool_())
 
+        return clean
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` in which no benchmark item is found, with their columns; rows are matched by doc_id."""
-    leaks = stage(find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    for index in _indexes(docs, benchmark, bands, block_chars):
+        docs = docs.filter(free_of(index)(text_or_empty()))
+    return docs
