@@ -105,7 +105,7 @@ def _set_hash(h: np.ndarray) -> int:
 
 
 def band_rows(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, the hash fp of the set of shingles, keys (a hash for each of `bands` bands of `rows` MinHashes) and low
+    """doc_id, text_hash, the hash fp of the set of shingles, keys (a hash for each of `bands` bands of `rows` MinHashes) and low
     (their low bytes) for every row of `docs`."""
 
     @F.arrow_udf("struct<fp: long, keys: array<long>, low: array<long>>")
@@ -119,7 +119,7 @@ def band_rows(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
             low.append(found[1])
         return pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(keys, _LONGS), pa.array(low, _LONGS)], ["fp", "keys", "low"])
 
-    return docs.select("doc_id", hashes(text_or_empty()).alias("s")).select("doc_id", "s.fp", "s.keys", "s.low")
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), hashes(text_or_empty()).alias("s")).select("doc_id", "text_hash", "s.fp", "s.keys", "s.low")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -164,7 +164,7 @@ def link_fingerprints(nodes: DataFrame, n: int, bits: int = 4) -> DataFrame:
         return near, fps.select("fp", F.array("fp").alias("low"), F.expr("cast(array() as array<bigint>)").alias("s"))
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= bits
+        return np.bitwise_count((a[:, None, 0] ^ b[None, :, 0]).view(np.uint64)) <= bits
 
     return _link(nodes.select("fp", F.explode(F.array(*entries)).alias("e")), tools, close)
 
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     """
     rows = stage(fingerprints(docs, shingle), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    return _classes(rows, nodes, link_fingerprints(nodes.select("fp"), nodes.count(), bits))
+    return _classes(rows, nodes, link_fingerprints(nodes.select("fp"), nodes.count(), bits)).select("doc_id", "fp", "component_id")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 7) -> DataFrame:
@@ -308,24 +308,32 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Candidates agree on all MinHashes of a band, which a pair at similarity s does with 1 - (1 - s^rows)^bands whatever
     the number of texts: 0.991 at 0.8 and over 0.999 at 0.85. Their sets decide, so no pair below links.
     """
+    return _similar(docs, shingle, similarity, bands, rows).select("doc_id", "fp", "component_id")
+
+
+def _similar(docs: DataFrame, shingle: int, similarity: float, bands: int = 20, rows: int = 7) -> DataFrame:
     texts = stage(band_rows(docs, shingle, bands, rows), "bands")
     every = [F.first(c).alias(c) for c in ("keys", "low")]  # equal for a fp
     nodes = stage(texts.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *every), "nodes")
     linked = link_sets(nodes, docs, shingle, similarity, bands, rows)
-    return _classes(texts.select("doc_id", "fp"), nodes.select("fp", "least", "n"), linked)
+    return _classes(texts.select("doc_id", "text_hash", "fp"), nodes.select("fp", "least", "n"), linked)
 
 
 def _classes(rows: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
     classes = nodes.join(linked, "fp", "left").withColumn("component_fp", F.coalesce("component_fp", "fp"))
     least = classes.groupBy("component_fp").agg(F.min("least").alias("component_id"))
-    classes = stage(classes.join(least, "component_fp").select("fp", "component_id", "n"), "classes")
-    return join_by_heavy(rows, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
+    classes = stage(classes.join(least, "component_fp").select("fp", "component_fp", "component_id", "n"), "classes")
+    return join_by_heavy(rows, classes, ["fp"], "n").drop("n")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of their class of similar documents, with all their columns.
+    """One row of each class of similar documents, with all its columns: that with the smallest doc_id.
 
-    doc_ids are taken to be unique (as after exact deduplication); a null doc_id stays only where a class has no other.
+    Of rows with this doc_id and different texts the one with the smallest hash of its text stays; rows that repeat both
+    are all kept (exact deduplication goes before). A null doc_id stays only where a class has no other.
     """
-    kept = stage(similar_documents(docs, shingle, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")), "kept")
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")  # alike at every size
+    rows = _similar(docs, shingle, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = rows.groupBy("component_fp").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("k"))
+    kept = stage(kept.select(F.col("k.doc_id").alias("_kept"), F.col("k.text_hash").alias("_hash")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64(text_or_empty()) == F.col("_hash"))
+    return docs.join(kept.hint("merge"), same, "left_semi")  # alike at every size

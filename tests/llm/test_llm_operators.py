@@ -306,10 +306,10 @@ def test_leaks_are_found_and_clean_documents_left(spark):
         w[len(w) // 2] = "changed"
         rows.append((200 + i, f"{words(10, i)} {' '.join(w)}"))
         rows.append((300 + i, words(150, 5000 + i)))
-    rows.append((400, words(300, 77)[:700]))
+    rows += [(400, f"{words(9, 3)} {words(300, 77)} {words(9, 4)}"), (401, words(300, 77)[:700])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in find_leaks(docs(spark, rows), bench).collect()}
-    assert {(100 + i, i) for i in range(20)} | {(400, 92)} <= found
+    assert {(100 + i, i) for i in range(20)} | {(400, 92)} <= found and (401, 92) not in found
     assert len({(200 + i, i) for i in range(20)} & found) >= 18
     assert all(d // 100 in (1, 2, 4) for d, _ in found)
     assert {(r.doc_id, r.item_id) for r in find_leaks(docs(spark, rows), bench, block_chars=700).collect()} >= {(100 + i, i) for i in range(20)}
@@ -502,3 +502,126 @@ def test_pipeline(spark):
     for r in now.select("text").collect():
         flat = " ".join(r.text.split())
         assert not any(" ".join(t.split()) in flat for t in items)
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    import shutil
+
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `key` string, `fp` long, `lang_pred` string, `component_id` long"
+    long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+    rows = [(None, None, None, None, 0, "a", 1, "z", 9), (1, "", "en", "s", 0, "a", 1, "z", 9), (2, "the same words here and there", "en", "s", 9, "a", 1, "z", 9), (2, "the same  words here and there", "en", "s", 9, "b", 2, "y", 8), (2, "other words", "de", None, 9, "b", 2, "y", 8), (3, long, "en", "s", 9, "a", 1, "z", 9), (4, "!!! 123", "en", "s", 9, "a", 1, "z", 9)]
+    rows += [(i, words(40, i), "en", "s", 9, "a", 1, "z", 9) for i in range(20, 32)]
+    for name, table in (("empty", []), ("odd", rows)):
+        folder = tmp_path / name
+        folder.mkdir()
+        shutil.copy(f"{SF}/benchmark.parquet", folder / "benchmark.parquet")
+        spark.createDataFrame(table, schema).write.parquet(str(folder / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r.doc_id for r in got} == ({2, 3, *range(20, 32)} if table else set())
+    now = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path / "odd"))
+        assert now.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "fp", "lang_pred", "component_id"]
+    assert sorted((r.doc_id, r.text[:5]) for r in now.collect() if r.doc_id < 20) == [(2, "other"), (2, "the s"), (3, long[:5])]
+
+
+def edited(text, shares, rng):
+    w = text.split()
+    for _ in range(shares):
+        w[rng.randrange(len(w))] = f"q{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_at_the_similarity(spark):
+    from shokuba.llm.simhash import similar_documents
+
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 300:
+        a = " ".join(f"v{rng.randrange(10**6)}" for _ in range(200))
+        b = edited(a, 4, rng)
+        if 0.8 <= jaccard(a, b) < 0.86:
+            pairs.append((a, b))
+    rows = [(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    got = {r.doc_id: r.component_id for r in similar_documents(docs(spark, rows)).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(len(pairs))) >= 0.97 * len(pairs)
+
+
+def test_a_family_below_the_similarity_makes_no_square_of_rows(spark, monkeypatch):
+    from shokuba.llm import simhash
+
+    rng = random.Random(12)
+    base = " ".join(f"v{rng.randrange(10**6)}" for _ in range(200))
+    rows = [(i, edited(base, 9, rng)) for i in range(600)]
+    sizes, plain = [], simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name: (out := plain(df, name), sizes.append(out.count()))[0])
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, rows)).collect()}
+    assert max(sizes) < 60 * len(rows)
+    links = [(i, j) for i in range(0, 600, 7) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    assert all(got[i] == got[j] for i, j in links)
+
+
+def test_fingerprints_of_one_bucket(spark):
+    from shokuba.llm.simhash import link_fingerprints
+
+    rng = random.Random(13)
+    fps = sorted({(rng.getrandbits(24) << 40 | 0x123456789A) - (1 << 63) for _ in range(1500)})
+    fps += [f ^ 0b1011 for f in fps[:40]]
+    n = len(fps)
+    got = {r.fp: r.component_fp for r in link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long"), n).collect()}
+    parent = {f: f for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(got.get(f, f) == find(f) for f in fps)
+
+
+def test_whole_items_are_verified(spark):
+    from shokuba.llm.decontaminate import ItemIndex, Bands
+
+    rng = random.Random(14)
+    item = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    index = ItemIndex([(1, " ".join(item))], Bands())
+    assert index.search(" ".join(item[:64])) == []  # a part of an item isn't the item
+    found = index.search(" ".join(["x"] * 50 + item[:100] + ["y"] * 5 + item[110:]))
+    assert [(r[0], r[2]) for r in found] == [(1, 300)] and found[0][3] == 10
+
+
+def test_html_forms_formulas_and_time():
+    import time
+
+    from shokuba.llm.html_text import main_text
+
+    text = "This is the main text, and it is long enough. " * 4
+    assert main_text(f"<form><h1>Head</h1><p>{text}</p></form>") == f"Head\n\n{text.strip()}"
+    assert main_text("<article><p>Let <math><mi>x</mi></math> be.</p></article>") == "Let x be."
+    assert main_text(f"<div><a href=1>Home</a></div><p>{text}</p><div><a href=2>Imprint</a></div><div>© 2020 Foo</div>") == text.strip()
+    began = time.time()
+    main_text("<nav><p>x</p>" * 80_000)
+    assert time.time() - began < 10
+
+
+def test_added_spans(spark):
+    from shokuba.llm.pii import find_personal_data, train
+
+    df = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    model = train(df)
+    probes = ["write anna (at) example (dot) com now", 'the token = "f33e61083db5dbdf4bd2369d2f"', "from 1999-2003 it was", "Donaudampfschifffahrtsgesellschaft", "", None]
+    got = {r.doc_id: r.spans for r in find_personal_data(docs(spark, list(enumerate(probes))), model).collect()}
+    assert got == {0: "other:6:33", 1: "other:13:39", 2: "", 3: "", 4: "", 5: ""}
+    planted = df.filter(F.col("text").rlike('token = "[0-9a-f]{40}"'))
+    assert planted.count() > 0 and find_personal_data(planted, model).filter("spans like '%other%'").count() == planted.count()
