@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shokuba.operators.core import top_n
+from shokuba.sources.scratch import cut_lineage
 
 
 def tokenise(df: DataFrame, key: Sequence[str], text: str, pattern: str, least: int = 2, stop: Sequence[str] = (), synonyms: DataFrame | None = None) -> DataFrame:
@@ -20,22 +21,56 @@ def tokenise(df: DataFrame, key: Sequence[str], text: str, pattern: str, least:
     return out.filter(~F.col("token").isin(*stop)) if stop else out
 
 
-def tf_idf(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_df: int = 2, max_df: float = 0.95, terms: int = 3000, top: int = 50) -> DataFrame:
+def with_bigrams(tokens: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The tokens and each two of a document that follow each other, as one term; key names the document."""
+    after = F.lead("token").over(Window.partitionBy(*key).orderBy("position"))
+    pairs = tokens.withColumn("_after", after).filter("_after is not null").withColumn("token", F.concat_ws(" ", "token", "_after")).drop("_after")
+    return tokens.unionByName(pairs)
+
+
+def tf_idf(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_df: int | None = None, max_df: float = 0.95, terms: int = 3000, top: int = 50) -> DataFrame:
     """Per group the `top` terms by mean weight over the documents that hold them: token, df, score.
 
     Weights: (1 + ln tf) x (ln((1 + n) / (1 + df)) + 1), of length 1 in each document; only the `terms` most frequent
-    terms with document frequency from min_df to max_df x n count.
+    terms with document frequency from min_df to max_df x n count. min_df is a hundredth of the documents, 2 at least and
+    5 at most, if not given.
     """
-    tf = tokens.groupBy(*group, doc, "token").agg(F.count("*").alias("tf"))
-    n = tokens.groupBy(*group).agg(F.countDistinct(doc).alias("n"))
+    tf = cut_lineage(tokens.groupBy(*group, doc, "token").agg(F.count("*").alias("tf")))  # read three times
+    n = tf.groupBy(*group).agg(F.countDistinct(doc).alias("n"))
     df = tf.groupBy(*group, "token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     df = df.join(n, list(group)) if group else df.crossJoin(F.broadcast(n))  # n is one row
-    df = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df))
+    least = F.lit(min_df) if min_df is not None else F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.col("n") / 100)))
+    df = df.filter((F.col("df") >= least) & (F.col("df") <= F.col("n") * max_df))
     df = top_n(df, group, [F.desc("cf"), F.asc("token")], terms).withColumn("idf", F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     w = tf.join(df, [*group, "token"]).withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
     norm = w.groupBy(*group, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scored = w.join(norm, [*group, doc]).groupBy(*group, "token").agg(F.count("*").alias("df"), F.avg(F.col("w") / F.col("norm")).alias("score"))
-    return top_n(scored, group, [F.desc("score"), F.asc("token")], top)
+    order = [F.desc(F.round("score", 9)), F.asc("token")]  # sums of equal weights differ in their last digits
+    return top_n(scored, group, order, top) if group else scored.orderBy(*order).limit(top)
+
+
+def extra_keywords(tokens: DataFrame, doc: str, vocabulary: DataFrame, group: Sequence[str] = (), top: int = 50) -> DataFrame:
+    """Per group the `top` terms outside of `vocabulary` (group, token) by tf x (ln(n / df) + 1): token, tf, df, score."""
+    n = tokens.groupBy(*group).agg(F.countDistinct(doc).alias("n"))
+    own = tokens.join(vocabulary.select(*group, "token").distinct(), [*group, "token"], "left_anti")
+    df = own.groupBy(*group, "token").agg(F.count("*").alias("tf"), F.countDistinct(doc).alias("df"))
+    df = df.join(n, list(group)) if group else df.join(F.broadcast(n), F.lit(True))  # one row
+    df = df.withColumn("score", F.col("tf") * (F.ln(F.col("n") / F.col("df")) + 1)).drop("n")
+    return top_n(df, group, [F.desc("score"), F.asc("token")], top) if group else df.orderBy(F.desc("score"), "token").limit(top)
+
+
+def regional_keywords(tokens: DataFrame, doc: str, group: Sequence[str], region: str, ratio: float = 1.5, least: int = 3, top: int = 50) -> DataFrame:
+    """Per group and region the `top` terms whose share of the region's documents is at least `ratio` times that of all
+    regions, or that no other region has, in `least` or more documents: token, df, lift."""
+    one = tokens.select(*group, region, doc, "token").distinct()
+    keys = [*group, "token"]
+    n_region = tokens.groupBy(*group, region).agg(F.countDistinct(doc).alias("n"))
+    n_all = tokens.groupBy(*group).agg(F.countDistinct(doc).alias("n_all"))
+    df = one.groupBy(*keys, region).agg(F.count("*").alias("df"))
+    df = df.join(one.groupBy(*keys).agg(F.countDistinct(doc).alias("df_all")), keys).join(n_region, [*group, region]).join(n_all, list(group))
+    lift = (F.col("df") / F.col("n")) / (F.col("df_all") / F.col("n_all"))
+    kept = df.filter(F.col("df") >= least).withColumn("lift", lift).filter((F.col("lift") >= ratio) | (F.col("df") == F.col("df_all")))
+    return top_n(kept.select(*group, region, "token", "df", "lift"), [*group, region], [F.desc("lift"), F.desc("df"), F.asc("token")], top)
 
 
 def keyword_layers(scores: DataFrame, group: str, ratio: float = 2.0, most: float = 0.5) -> DataFrame:

@@ -473,13 +473,33 @@ def sta08_completeness(spark, d):
 _WORDS = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS token FROM documents), tokens AS (SELECT doc_id, token FROM w WHERE length(token) >= 2)"""
 
 
-@query(_WORDS + """, tf AS (SELECT doc_id, token, count(*) AS tf FROM tokens GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM tokens),
-    df AS (SELECT token, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1), top AS (SELECT token, df, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM df, n WHERE df >= 2 AND df <= n * 0.95 ORDER BY cf DESC, token LIMIT 3000),
+_PAIRS = r"""WITH l AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS a FROM documents), w AS (SELECT doc_id, lang, source, unnest(a) AS token, generate_subscripts(a, 1) AS position FROM l),
+    one AS (SELECT * FROM w WHERE length(token) >= 2), tokens AS (SELECT doc_id, lang, source, token FROM one UNION ALL SELECT doc_id, lang, source, token || ' ' || next FROM (SELECT *, lead(token) OVER (PARTITION BY doc_id ORDER BY position) AS next FROM one) WHERE next IS NOT NULL)"""
+
+
+@query(_PAIRS + """, tf AS (SELECT doc_id, token, count(*) AS tf FROM tokens GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM tokens),
+    df AS (SELECT token, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1), top AS (SELECT token, df, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM df, n WHERE df >= least(5, greatest(2, floor(n / 100))) AND df <= n * 0.95 ORDER BY cf DESC, token LIMIT 3000),
     x AS (SELECT doc_id, token, (1 + ln(tf)) * idf AS w FROM tf JOIN top USING (token)), norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1)
-    SELECT token, df, round(score, 5) AS score FROM (SELECT token, count(*) AS df, avg(w / norm) AS score FROM x JOIN norm USING (doc_id) GROUP BY 1) ORDER BY score DESC, token LIMIT 50""", base=False)
+    SELECT token, df, round(score, 5) AS score FROM (SELECT token, count(*) AS df, avg(w / norm) AS score FROM x JOIN norm USING (doc_id) GROUP BY 1) ORDER BY round(score, 9) DESC, token LIMIT 50""", base=False)
 def txt03_tf_idf(spark, d):
     tokens = T.tokenise(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", r"[a-zà-ÿ]+")
-    return rounded(T.tf_idf(tokens, "doc_id").drop("_rank"), 5)
+    return rounded(T.tf_idf(T.with_bigrams(tokens, ["doc_id"]), "doc_id").drop("_rank"), 5)
+
+
+@query(_PAIRS + """, n AS (SELECT count(DISTINCT doc_id) AS n FROM tokens), known AS (SELECT token FROM one GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 1000)
+    SELECT token, tf, df, round(tf * (ln(n / CAST(df AS DOUBLE)) + 1), 4) AS score FROM (SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM one WHERE token NOT IN (SELECT token FROM known) GROUP BY 1), n ORDER BY tf * (ln(n / CAST(df AS DOUBLE)) + 1) DESC, token LIMIT 50""", base=False)
+def txt04_extra_keywords(spark, d):
+    tokens = T.tokenise(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", r"[a-zà-ÿ]+")
+    known = tokens.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(1000)
+    return rounded(T.extra_keywords(tokens, "doc_id", known), 4)
+
+
+@query(_PAIRS + """, d AS (SELECT DISTINCT lang, source, doc_id, token FROM one WHERE lang IS NOT NULL AND source IS NOT NULL), r AS (SELECT lang, source, count(DISTINCT doc_id) AS n FROM d GROUP BY 1, 2), a AS (SELECT lang, count(DISTINCT doc_id) AS n_all FROM d GROUP BY 1)
+    SELECT lang, source, token, df, round(lift, 4) AS lift FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY lift DESC, df DESC, token) AS k FROM (SELECT lang, source, token, df, df_all, (df / CAST(n AS DOUBLE)) / (df_all / CAST(n_all AS DOUBLE)) AS lift FROM (SELECT lang, source, token, count(*) AS df FROM d GROUP BY 1, 2, 3)
+    JOIN (SELECT lang, token, count(DISTINCT doc_id) AS df_all FROM d GROUP BY 1, 2) USING (lang, token) JOIN r USING (lang, source) JOIN a USING (lang)) WHERE df >= 3 AND (lift >= 1.5 OR df = df_all)) WHERE k <= 50""", base=False)
+def txt05_regional_keywords(spark, d):
+    docs = core.known(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), ["lang", "source"])
+    return rounded(T.regional_keywords(T.tokenise(docs, ["doc_id", "lang", "source"], "text", r"[a-zà-ÿ]+"), "doc_id", ["lang"], "source"), 4)
 
 
 @query("""SELECT flag_a, flag_b, "both", round("both" / n, 6) AS support, round(ca * cb / n, 4) AS expected, round("both" / (ca * cb / n), 6) AS lift, round((n * "both" - ca * cb) / sqrt(ca * cb * (n - ca) * (n - cb)), 6) AS phi FROM (
