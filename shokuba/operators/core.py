@@ -146,9 +146,10 @@ def facets(df: DataFrame, wanted: dict[str, str | Sequence[str] | None], everyth
 
 
 def union_tables(*frames: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Union by name with missing columns null; columns fixes the order and drops the rest."""
+    """Union by name with missing columns null; columns fixes the order and drops the rest, and those that no frame has
+    are null texts."""
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return out.select(*columns) if columns else out
+    return out.select(*[F.col(f"`{c}`") if c in out.columns else F.lit(None).cast("string").alias(c) for c in columns]) if columns else out
 
 
 def difference(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

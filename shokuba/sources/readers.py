@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,9 +40,10 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, enco
     return df.repartition(parts) if parts else df
 
 
-def read_postings(spark: SparkSession, path, names: Mapping[str, str] | None = None, **options) -> DataFrame:
-    """Adverts: texts with line breaks, rows without any value dropped, headers renamed by `names`."""
-    return rename(read_csv(spark, path, multiline=True, **options).dropna(how="all"), names or {})
+def read_postings(spark: SparkSession, path, names: Mapping[str, str] | None = None, parsed: Mapping[str, Column] | None = None, **options) -> DataFrame:
+    """Adverts: texts with line breaks, rows without any value dropped, headers renamed by `names`, and columns that are
+    parsed from them (functions.postings) added."""
+    return rename(read_csv(spark, path, multiline=True, **options).dropna(how="all"), names or {}).withColumns(dict(parsed or {}))
 
 
 def rename(df: DataFrame, names: Mapping[str, str], keep: bool = False) -> DataFrame:
@@ -93,7 +94,7 @@ def read_coordinates(spark: SparkSession, csv_path, json_path=None) -> DataFrame
 
 def read_indicators(spark: SparkSession, paths: Sequence[str], base: DataFrame, key: str = "prefecture") -> DataFrame:
     """`base` with the columns of one CSV per indicator, by left joins on the key."""
-    tables = [read_csv(spark, p).dropDuplicates([key]) for p in paths]
+    tables = [latest(t, [key], [F.asc_nulls_last(f"`{c}`") for c in t.columns]) for t in (read_csv(spark, p) for p in paths)]
     return reduce(lambda a, b: a.join(b, key, "left"), tables, base)
 
 
@@ -109,11 +110,13 @@ def read_geocodes(spark: SparkSession, path, encoding: str = "ISO-2022-JP") -> D
 
 
 def synonym_table(base: DataFrame, overlay: DataFrame | None = None) -> DataFrame:
-    """(domain, token, canonical) from tables of domain, canonical, synonyms (parted by a bar); the overlay wins."""
+    """(domain, token, canonical and what else the tables have, as display, family, national) from tables of domain,
+    canonical, synonyms (parted by a bar); the overlay wins."""
     tables = [base.withColumn("_p", F.lit(1))] + ([overlay.withColumn("_p", F.lit(0))] if overlay is not None else [])
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     tokens = F.concat(F.array("canonical"), F.coalesce(F.split("synonyms", r"\|"), F.array().cast("array<string>")))
-    rows = every.select("domain", "canonical", "_p", F.explode(tokens).alias("token")).withColumn("token", F.trim("token")).filter("token <> ''")
+    more = [c for c in every.columns if c not in ("domain", "canonical", "synonyms", "_p")]
+    rows = every.select("domain", "canonical", "_p", *more, F.explode(tokens).alias("token")).withColumn("token", F.trim("token")).filter("token <> ''")
     return latest(rows, ["domain", "token"], [F.asc("_p"), F.asc("canonical")]).drop("_p")
 
 

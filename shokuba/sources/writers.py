@@ -7,12 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shokuba.operators.core import top_n
+from shokuba.operators.core import top_n, union_tables
+from shokuba.operators.quality import orphans
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, form: str = "parquet", by: Sequence[str] = ()) -> None:
-    """One directory per table; form parquet, csv (with header) or json."""
+    """One directory per table; form parquet, csv (with header, each file beginning with a byte-order mark) or json."""
     for name, df in tables.items():
+        if form == "csv":
+            first = df.columns[0]
+            df = df.withColumnRenamed(first, f"\ufeff{first}")
         writer = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
         (writer.option("header", True) if form == "csv" else writer).format(form).save(f"{folder}/{name}")
 
@@ -24,6 +28,32 @@ def save_tables(tables: Mapping[str, DataFrame], by: str | None = None) -> None:
         (writer.partitionBy(by) if by else writer).saveAsTable(name)
 
 
+def migrate(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], parents: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """Catalog tables from frames (read_csv), and what was found: table, check, rows.
+
+    keys: of each table the columns that should be unique; its first row in the order of all columns stays. parents:
+    (table, column, parent table, parent column); rows without a parent are counted and kept.
+    """
+    found = []
+    for name, df in tables.items():
+        own = list(keys.get(name, ()))
+        if own:
+            kept = top_n(df, own, [F.asc_nulls_last(f"`{c}`") for c in df.columns], 1)
+            found.append(df.agg(F.count("*").alias("n")).join(kept.agg(F.count("*").alias("k")), F.lit(True)).select(F.lit(name).alias("table"), F.lit("duplicate keys").alias("check"), (F.col("n") - F.col("k")).alias("rows")))
+            df = kept
+        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+    for name, column, parent, parent_column in parents:
+        lost = orphans(tables[name], tables[parent], column, parent_column).agg(F.count("*").alias("rows"))
+        found.append(lost.select(F.lit(name).alias("table"), F.lit(f"orphans of {parent}").alias("check"), "rows"))
+    return union_tables(*found)
+
+
+def promote(tokens: DataFrame, table: str) -> None:
+    """Appends the tokens that unmatched_tokens found frequent enough to an overlay table, as their own canonical name."""
+    fit = tokens.filter("promote").select("domain", F.col("token").alias("canonical"), F.lit(None).cast("string").alias("synonyms"))
+    fit.write.mode("append").format("parquet").saveAsTable(table)
+
+
 def replace_by_key(df: DataFrame, folder: str, key: str) -> None:
     """Replaces the partitions of the keys in `df` and leaves all others; running it again changes nothing."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
