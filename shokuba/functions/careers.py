@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shokuba.functions.people import PREFECTURES, _PREFECTURE, blank_to_null, extract, fold_width
+from shokuba.functions.dictionaries import NATIONAL_LICENCES
+from shokuba.functions.people import PREFECTURES, _PREFECTURE, age_decade, age_gender, blank_to_null, desired_areas, extract, fold_width, holds_any, qualifications, region
 from shokuba.operators.core import bands
 
 # School levels by the words that name them, highest first.
@@ -224,3 +225,29 @@ def repaired_place(prefecture: Column, municipality: Column) -> Column:
     kept = F.when((m != "") & ~m.rlike("[市区町村郡]"), "").otherwise(m)
     known = p.isin(*PREFECTURES)
     return F.struct(F.when(known | (found == ""), p).otherwise(found).alias("prefecture"), F.when(known, kept).when(found == "", m).otherwise(town).alias("municipality"))
+
+
+def national_licence(held: Column, policy: str = "exact") -> Column:
+    """Whether a list of qualifications holds a national licence: by whole names (exact, master) or parts of names."""
+    return F.coalesce(holds_any(held, NATIONAL_LICENCES[policy], part=policy.endswith("part")), F.lit(False))
+
+
+def applicant_table(df: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
+    """The processed table of job seekers from their raw texts, every other column kept.
+
+    names: columns of age_gender, residence, desired_area, qualifications, career, desired_start, where they are called
+    otherwise; texts that a table lacks count as null. Adds age, gender, age_bucket, age_group, residence_pref,
+    residence_muni, desired_areas (50 at most), area_count, held, qualification_count, has_national_licence, school, start.
+    """
+    def text(name: str) -> Column:
+        own = (names or {}).get(name, name)
+        return F.col(f"`{own}`") if own in df.columns else F.lit(None).cast("string")
+
+    age, sex = age_gender(text("age_gender"))
+    prefecture, municipality = region(text("residence"))
+    areas, held = desired_areas(text("desired_area")), qualifications(text("qualifications"))
+    return df.select(
+        "*", age.alias("age"), sex.alias("gender"), age_decade(age).alias("age_bucket"), age_five(age).alias("age_group"), prefecture.alias("residence_pref"), municipality.alias("residence_muni"),
+        areas.alias("desired_areas"), F.size(areas).alias("area_count"), held.alias("held"), F.size(held).alias("qualification_count"), national_licence(held).alias("has_national_licence"),
+        career(text("career")).alias("school"), start_category(text("desired_start")).alias("start"),
+    )

@@ -180,3 +180,14 @@ LIFE_STAGES = {
     "セカンドキャリア期": (r"管理職", r"主任", r"リーダー", r"経験.{0,3}(活かせる|を活かし)", r"キャリア.{0,3}チェンジ", r"転職.{0,3}(歓迎|支援)"),
     "介護離職・復帰期": (r"介護休(暇|業)", r"家族.{0,3}介護", r"家庭都合.{0,3}休", r"短時間.{0,3}(勤務|パート)", r"柔軟.{0,5}(勤務|シフト|働)"),
 }
+
+# What counts as a national licence, by policy.
+NATIONAL_LICENCES = {
+    "exact": ("看護師", "准看護師", "保健師", "助産師", "理学療法士", "作業療法士"),
+    "master": ("看護師", "准看護師", "保健師", "助産師", "理学療法士", "作業療法士", "介護福祉士", "社会福祉士", "精神保健福祉士", "保育士", "栄養士", "管理栄養士"),
+    "part": (
+        "介護福祉士", "看護師", "准看護師", "理学療法士", "作業療法士", "言語聴覚士", "社会福祉士", "精神保健福祉士", "管理栄養士", "栄養士", "保健師", "助産師", "薬剤師", "歯科衛生士", "歯科技工士",
+        "臨床検査技師", "診療放射線技師", "臨床工学技士", "義肢装具士", "あん摩マッサージ指圧師", "はり師", "きゅう師", "柔道整復師", "視能訓練士", "救急救命士",
+    ),
+    "wide part": ("国家", "看護師", "介護福祉士", "保育士", "薬剤師", "医師", "理学療法士", "作業療法士"),
+}

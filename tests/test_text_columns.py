@@ -53,6 +53,16 @@ def test_fill_missing(spark):
     assert tuple(K.fill_missing(df).first()) == ([], 0, "なし", None)
 
 
+def test_applicant_table(spark):
+    rows = [("49歳 女性", "京都府京都市", "京都府京都市北区,x,大阪府", "准看護師,なし", "看護科(専門学校)(2001年卒)", "今すぐに（2025/1/1時点）", 7), (None, None, None, None, None, None, 8)]
+    got = K.applicant_table(spark.createDataFrame(rows, "s string, residence string, desired_area string, qualifications string, career string, desired_start string, member_id int"), {"age_gender": "s"}).collect()
+    a, b = got
+    assert (a.age, a.gender, a.age_bucket, a.age_group, a.residence_pref, a.residence_muni, a.area_count, a.held, a.has_national_licence, a.school.level, a.start, a.member_id) == (49, "女性", "40s", "40代", "京都府", "京都市", 2, ["准看護師"], True, "専門", "今すぐに", 7)
+    assert (b.age, b.age_group, b.area_count, b.qualification_count, b.has_national_licence, b.school.level, b.start) == (None, None, 0, 0, False, "なし", "その他")
+    held = spark.createDataFrame([(["管理栄養士"],)], "h array<string>")
+    assert tuple(held.select(*[K.national_licence(F.col("h"), p) for p in ("exact", "master", "part", "wide part")]).first()) == (False, True, True, False)
+
+
 def test_advert_texts(spark):
     assert [v for (v,) in values(spark, ["【正社員】", "非常勤", "x", None], J.employment_type(F.col("s")))] == ["正職員", "パート・バイト", None, None]
     assert [v for (v,) in values(spark, ["月給 派遣社員", "契約社員 月給", "【?】正職員", None], J.employment_in_salary(F.col("s")))] == ["派遣", "契約職員", None, None]
