@@ -105,16 +105,20 @@ def pair_npmi(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_word:
     n = tokens.groupBy(*group).agg(F.countDistinct(doc).alias("n"))
     df = word.groupBy(*group, "token").agg(F.count("*").alias("df")).filter(F.col("df") >= max(min_word, min_pair))
     df = df.join(n, list(group)) if group else df.join(F.broadcast(n), F.lit(True))  # one row
+    df = cut_lineage(df.withColumn("id", F.xxhash64("token")))  # pairs are counted by 64-bit keys, which are narrow
     word = word.join(df, [*group, "token"])
-    a = word.select(*group, doc, F.col("token").alias("word_a"), F.col("df").alias("da"), "n")
-    b = word.select(*group, doc, F.col("token").alias("word_b"), F.col("df").alias("db"))
+    a = word.select(*group, doc, F.col("id").alias("ia"), F.col("df").alias("da"), "n")
+    b = word.select(*group, doc, F.col("id").alias("ib"), F.col("df").alias("db"))
     # a pair shares at most the rarer word's documents, which bounds its NPMI before it is counted
     reach = F.greatest("da", "db") <= F.col("n") * F.pow(F.least("da", "db") / F.col("n"), F.lit(least)) * 1.000001
-    pairs = a.join(b, [*group, doc]).filter(F.col("word_a") < F.col("word_b")).filter(reach).groupBy(*group, "word_a", "word_b", "da", "db", "n").agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
+    pairs = a.join(b, [*group, doc]).filter(F.col("ia") < F.col("ib")).filter(reach).groupBy(*group, "ia", "ib").agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
+    pairs = pairs.join(df.select(*group, F.col("id").alias("ia"), F.col("token").alias("ta"), F.col("df").alias("da"), "n"), [*group, "ia"])
+    pairs = pairs.join(df.select(*group, F.col("id").alias("ib"), F.col("token").alias("tb"), F.col("df").alias("db")), [*group, "ib"])
     p = F.col("pair_count") / F.col("n")
     pmi = F.log2(F.col("pair_count") * F.col("n") / (F.col("da") * F.col("db")))
-    pairs = pairs.withColumn("npmi", F.when(p < 1, pmi / -F.log2(p)).otherwise(1.0)).filter(F.col("npmi") >= least)
-    return top_n(pairs, group, [F.desc("npmi"), F.desc("pair_count"), F.asc("word_a"), F.asc("word_b")], top).drop("da", "db", "n")
+    pairs = pairs.select(*group, F.least("ta", "tb").alias("word_a"), F.greatest("ta", "tb").alias("word_b"), "pair_count", F.when(p < 1, pmi / -F.log2(p)).otherwise(1.0).alias("npmi")).filter(F.col("npmi") >= least)
+    order = [F.desc("npmi"), F.desc("pair_count"), F.asc("word_a"), F.asc("word_b")]
+    return top_n(pairs, group, order, top) if group else pairs.orderBy(*order).limit(top)
 
 
 def association_rules(df: DataFrame, items: str, support: float = 0.01, confidence: float = 0.3, lift: float = 1.2) -> DataFrame:

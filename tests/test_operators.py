@@ -207,3 +207,28 @@ def test_ties_take_the_smallest(spark):
     df = spark.createDataFrame([("p", "b"), ("p", "a")], "place string, kind string")
     assert A.diversity(df, ["place"], "kind").first().dominant == "a"
     assert stats.entropy(df, ["place"], "kind").first().dominant == "a"
+
+
+def test_pair_npmi_against_plain_counts(spark):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from shokuba.operators.textmining import pair_npmi, with_bigrams
+
+    rng = random.Random(3)
+    rows = [(g, d, w) for g in "xy" for d in range(60) for w in rng.choices("abcdefghijklmnop", weights=range(1, 17), k=8)]
+    got = {(r.g, r.word_a, r.word_b): (r.pair_count, round(r.npmi, 9)) for r in pair_npmi(spark.createDataFrame(rows, "g string, d int, token string"), "d", ["g"], least=0.05).collect()}
+    want = {}
+    for g in "xy":
+        held = {d: sorted({w for a, b, w in rows if (a, b) == (g, d)}) for d in range(60)}
+        df = Counter(w for ws in held.values() for w in ws)
+        pairs = Counter(p for ws in held.values() for p in combinations(ws, 2))
+        for (a, b), c in pairs.items():
+            if min(df[a], df[b]) >= 5 and c >= 5:
+                npmi = math.log2(c * 60 / (df[a] * df[b])) / -math.log2(c / 60) if c < 60 else 1.0
+                if npmi >= 0.05:
+                    want[g, a, b] = (c, round(npmi, 9))
+    assert got == want
+    tokens = spark.createDataFrame([(1, 0, "a"), (1, 2, "b"), (1, 3, "c"), (2, 0, "z")], "d int, position int, token string")
+    assert sorted(r.token for r in with_bigrams(tokens, ["d"]).collect()) == ["a", "a b", "b", "b c", "c", "z"]
