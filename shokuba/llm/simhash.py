@@ -9,7 +9,7 @@ from math import comb, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shokuba.llm.common import components, join_by_heavy, stage, text_or_empty
@@ -161,7 +161,7 @@ def link_fingerprints(nodes: DataFrame, n: int, bits: int = 4) -> DataFrame:
         return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
 
     def tools(fps: DataFrame) -> tuple:
-        return near, fps.select("fp", F.array("fp").alias("low"), F.expr("cast(array() as array<bigint>)").alias("s"))
+        return near, None  # a fingerprint is its own sketch
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count((a[:, None, 0] ^ b[None, :, 0]).view(np.uint64)) <= bits
@@ -215,11 +215,11 @@ def link_sets(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float
     return _link(nodes.select("fp", F.posexplode("keys").alias("m", "key")).select("fp", F.struct("m", "key").alias("e")), tools, close, holds)
 
 
-def _link(entries: DataFrame, tools: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame]], close: Callable, holds: Callable | None = None, rounds: int = 2, spare: int = 64, cell: int = 128) -> DataFrame:
+def _link(entries: DataFrame, tools: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame | None]], close: Callable, holds: Callable | None = None, rounds: int = 2, spare: int = 64, cell: int = 128) -> DataFrame:
     """Components of the links among fingerprints that share a block: fp, component_fp.
 
     tools is called with the fingerprints (fp) that share a block and gives near, which keeps the pairs (u, v) that link,
-    and a table of them with low and s (arrays of longs). close says of two arrays of low which pairs may link, and
+    and a table of them with low and s (arrays of longs; without a table low is the fingerprint). close says of two arrays of low which pairs may link, and
     holds of two s whether they do.
 
     Every pair that shares a block is decided or lies within one component already. First all members of a bucket are
@@ -235,7 +235,7 @@ def _link(entries: DataFrame, tools: Callable[[DataFrame], tuple[Callable[[DataF
     shared = stage(join_by_heavy(keys, buckets, ["m", "key"], "n").select("m", "key", "fp", "n"), "blocks")
     score = stage(shared.groupBy("fp").agg(F.sum("n").alias("score"), F.count("*").alias("held")), "scores")
     near, drawn = tools(score.select("fp"))
-    members = stage(join_by_heavy(shared, score, ["fp"], "held").select("m", "key", "fp", "score"), "members")
+    members = stage(shared.select("m", "key", "fp", F.sum("n").over(Window.partitionBy("fp")).alias("score")), "members")  # as many rows a fp as masks
     hubs = members.groupBy("m", "key").agg(F.max_by("fp", F.struct("score", "fp")).alias("v"), F.count("*").alias("n"))
     pairs = join_by_heavy(members, stage(hubs, "hubs"), ["m", "key"], "n").select(F.col("fp").alias("u"), "v").filter("u <> v").distinct()
     links = stage(near(pairs).select("u", "v"), "star")
@@ -258,7 +258,7 @@ def _link(entries: DataFrame, tools: Callable[[DataFrame], tuple[Callable[[DataF
     return components(links, "links").select(F.col("node").alias("fp"), F.col("component").alias("component_fp"))
 
 
-def _cell_links(members: DataFrame, drawn: DataFrame, close: Callable, holds: Callable | None, cell: int) -> DataFrame:
+def _cell_links(members: DataFrame, drawn: DataFrame | None, close: Callable, holds: Callable | None, cell: int) -> DataFrame:
     """u, v: the links, between different parts, of a member outside its bucket's largest part and any member of the bucket."""
     wide, high = F.ceil(F.col("n") / cell), F.ceil((F.col("n") - F.col("most")) / cell)
     rows = members.select("m", "key", "fp", "part", (F.col("part") != F.col("main")).alias("outer"), wide.alias("wide"), high.alias("high"), F.xxhash64("fp").alias("at"))
@@ -268,8 +268,11 @@ def _cell_links(members: DataFrame, drawn: DataFrame, close: Callable, holds: Ca
         rows.select("m", "key", F.explode(upto[1]).alias("row"), F.pmod("at", "wide").alias("column"), F.lit(False).alias("outer"), "fp", "part"),
     ]
     dealt = stage(places[0].unionByName(places[1]), "dealt")
-    often = drawn.join(dealt.groupBy("fp").agg(F.count("*").alias("held")), "fp")
-    dealt = join_by_heavy(dealt, often, ["fp"], "held")
+    if drawn is None:
+        dealt = dealt.withColumns({"low": F.array("fp"), "s": F.expr("cast(array() as array<bigint>)")})
+    else:
+        often = drawn.join(dealt.groupBy("fp").agg(F.count("*").alias("held")), "fp")
+        dealt = join_by_heavy(dealt, often, ["fp"], "held")
     member = F.struct("fp", "part", "low", "s")
     cells = dealt.groupBy("m", "key", "row", "column").agg(F.collect_list(F.when(F.col("outer"), member)).alias("o"), F.collect_list(F.when(~F.col("outer"), member)).alias("a"))
 
