@@ -1,41 +1,41 @@
 """Dictionaries for Japanese job adverts; every operator takes others of the same shape."""
 
 # Tags that stand in a text as they are.
-TAGS = (
-    "未経験可 無資格可 資格不問 学歴不問 新卒可 ブランク可 復職支援 40代活躍 50代活躍 60代活躍 年齢不問 主夫・主婦OK フリーターOK 副業OK WワークOK "
-    "日勤のみ可 夜勤専従 残業ほぼなし 残業なし 4週8休以上 土日祝休み 即日勤務OK オープン3年以内 退職金あり 資格取得支援 研修制度あり 育児支援あり 家庭都合休OK "
-    "テレワーク可 フレックスタイム 転勤なし 駅近 オープニング 高給与 正社員登用あり Web面接可 産休育休実績あり 有給取得率高 見学可 ICT活用 "
-    "完全週休2日 土日休み 20代活躍 30代活躍 週休3日 扶養内OK"
-).split()
+TAGS = [
+    "未経験可", "無資格可", "資格不問", "学歴不問", "新卒可", "ブランク可", "復職支援", "40代活躍", "50代活躍", "60代活躍", "年齢不問", "主夫・主婦OK", "フリーターOK",
+    "副業OK", "WワークOK", "日勤のみ可", "夜勤専従", "残業ほぼなし", "残業なし", "4週8休以上", "土日祝休み", "即日勤務OK", "オープン3年以内", "退職金あり", "資格取得支援",
+    "研修制度あり", "育児支援あり", "家庭都合休OK", "テレワーク可", "フレックスタイム", "転勤なし", "駅近", "オープニング", "高給与", "正社員登用あり", "Web面接可", "産休育休実績あり",
+    "有給取得率高", "見学可", "ICT活用", "完全週休2日", "土日休み", "20代活躍", "30代活躍", "週休3日", "扶養内OK",
+]
 
 # Other wordings of a tag.
 TAG_SYNONYMS = {
-    "未経験可": "経験不問 未経験OK 未経験ok 未経験歓迎 未経験者歓迎",
-    "無資格可": "資格なしOK 無資格OK",
-    "ブランク可": "ブランクOK ブランクok",
-    "主夫・主婦OK": "主婦OK 主夫OK 主婦歓迎 主夫歓迎 主夫・主婦OK",
-    "フリーターOK": "フリーター歓迎",
-    "WワークOK": "ダブルワークOK Wワーク可",
-    "副業OK": "副業可",
-    "残業ほぼなし": "残業少なめ 残業月10時間以内",
-    "退職金あり": "退職金制度",
-    "育児支援あり": "育児支援 託児所あり",
-    "テレワーク可": "リモートワーク可 在宅勤務可 在宅勤務OK",
-    "フレックスタイム": "フレックス制 時差出勤",
-    "転勤なし": "転勤無し 転勤ありません",
-    "駅近": "駅チカ 駅前 駅直結",
-    "オープニング": "オープニングスタッフ 新規オープン",
-    "高給与": "高収入 高年収 高時給",
-    "正社員登用あり": "正社員登用制度 社員登用あり",
-    "Web面接可": "オンライン面接 リモート面接 Zoom面接",
-    "産休育休実績あり": "育休取得実績 産休実績あり",
-    "有給取得率高": "有給消化率高",
-    "見学可": "職場見学OK 見学歓迎 見学会",
-    "ICT活用": "ICT導入 DX推進",
-    "完全週休2日": "完全週休二日 完全週休2日制",
-    "土日休み": "土日お休み 土日祝お休み 土日祝休み",
-    "20代活躍": "20代活躍中 20代が活躍",
-    "30代活躍": "30代活躍中 30代が活躍",
+    "未経験可": ["経験不問", "未経験OK", "未経験ok", "未経験歓迎", "未経験者歓迎"],
+    "無資格可": ["資格なしOK", "無資格OK"],
+    "ブランク可": ["ブランクOK", "ブランクok"],
+    "主夫・主婦OK": ["主婦OK", "主夫OK", "主婦歓迎", "主夫歓迎", "主夫・主婦OK"],
+    "フリーターOK": ["フリーター歓迎"],
+    "WワークOK": ["ダブルワークOK", "Wワーク可"],
+    "副業OK": ["副業可"],
+    "残業ほぼなし": ["残業少なめ", "残業月10時間以内"],
+    "退職金あり": ["退職金制度"],
+    "育児支援あり": ["育児支援", "託児所あり"],
+    "テレワーク可": ["リモートワーク可", "在宅勤務可", "在宅勤務OK"],
+    "フレックスタイム": ["フレックス制", "時差出勤"],
+    "転勤なし": ["転勤無し", "転勤ありません"],
+    "駅近": ["駅チカ", "駅前", "駅直結"],
+    "オープニング": ["オープニングスタッフ", "新規オープン"],
+    "高給与": ["高収入", "高年収", "高時給"],
+    "正社員登用あり": ["正社員登用制度", "社員登用あり"],
+    "Web面接可": ["オンライン面接", "リモート面接", "Zoom面接"],
+    "産休育休実績あり": ["育休取得実績", "産休実績あり"],
+    "有給取得率高": ["有給消化率高"],
+    "見学可": ["職場見学OK", "見学歓迎", "見学会"],
+    "ICT活用": ["ICT導入", "DX推進"],
+    "完全週休2日": ["完全週休二日", "完全週休2日制"],
+    "土日休み": ["土日お休み", "土日祝お休み", "土日祝休み"],
+    "20代活躍": ["20代活躍中", "20代が活躍"],
+    "30代活躍": ["30代活躍中", "30代が活躍"],
 }
 
 # Patterns that also mean a tag.

@@ -129,7 +129,7 @@ def tier_label(scores: Mapping[str, Mapping[str, Column]], patterns: Sequence[tu
 def advert_tags(c: Column) -> Column:
     """Tags of an advert's text: by the word itself, another wording or a pattern; the holiday rule adds 4週8休以上."""
     def pattern(tag: str) -> str:
-        words = "|".join(f"\\Q{w}\\E" for w in (tag, *TAG_SYNONYMS.get(tag, "").split()))
+        words = "|".join(f"\\Q{w}\\E" for w in (tag, *TAG_SYNONYMS.get(tag, ())))
         return "|".join((words, TAG_PATTERNS[tag])) if tag in TAG_PATTERNS else words
 
     found = {t: pattern(t) for t in TAGS} | {"4週8休以上": r"\Q4週8休\E|4週[89]休"}

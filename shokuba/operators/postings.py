@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shokuba.functions import experience
+from shokuba.functions import postings as advert
+from shokuba.functions.classes import AXES, KINDS
+from shokuba.operators import rules
 from shokuba.operators.core import bands, cross, known, scopes, share, suppress, top_n
 from shokuba.operators.stats import percentiles, with_percentiles
 
@@ -35,6 +39,13 @@ def tag_frequency(df: DataFrame, tags: str, by: Sequence[str]) -> DataFrame:
     return hits.join(total, list(by)).withColumn("share_pct", share(F.col("count"), F.col("total")))
 
 
+def feature_frequency(df: DataFrame, by: Sequence[str], features: str = "features") -> DataFrame:
+    """count, share and total of each group and feature found in it; `features` names each of a row's features once."""
+    sizes = known(df, by).groupBy(*by).agg(F.count("*").alias("total"))
+    hits = known(df, by).select(*by, F.explode_outer(features).alias("feature")).filter("feature is not null").groupBy(*by, "feature").agg(F.count("*").alias("count"))
+    return hits.join(sizes, list(by)).withColumn("share", F.col("count") / F.col("total"))
+
+
 def tag_combinations(df: DataFrame, tags: str, by: Sequence[str], most: int = 5, top: int = 30) -> DataFrame:
     """The `top` sets of tags per group: sorted, at least two, the first `most` of them."""
     sets = F.array_join(F.slice(F.array_sort(F.array_distinct(tags)), 1, most), "+")
@@ -132,3 +143,57 @@ def scored_scopes(df: DataFrame, levels: dict[str, Sequence[str]], measures: Seq
         grade = F.when(F.col(score) >= edge, F.lit(name)).otherwise(grade)
     nation = out.filter(F.col("scope") == next(iter(levels))).select(job, F.col(score).alias("_nation"))
     return out.join(nation, job, "left").withColumn("grade", grade).withColumn("gap", F.col(score) - F.col("_nation")).drop("_nation")
+
+
+#: Fields of an advert whose texts are read together.
+TEXT_FIELDS = (
+    "headline", "job_description", "requirements", "benefits", "salary_detail", "working_hours", "holidays", "education_training", "selection_process", "staff_composition", "special_holidays",
+    "welcome_requirements",
+)
+
+
+def enrich_postings(df: DataFrame) -> DataFrame:
+    """Raw adverts with the columns that their classes read. Fields that `df` lacks count as null, and a column that it
+    has already under the name of a result is replaced, but for employment_type, which is kept where it is known.
+
+    all_text, tags, benefit flags (has_*) and benefits_score, employment_type, required_experience_years, age_limit,
+    annual_holidays, bonus_count, content_richness_score, primary_task and tone, age_decade_primary, gender_signal,
+    lifecycle_primary, exp_qual_segment, wh_shift_type, wh_overtime, holiday_pattern.
+    """
+    def field(name: str) -> Column:
+        return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+
+    def told(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit("")) if name in out.columns else F.lit("")
+
+    texts = [field(c) for c in TEXT_FIELDS]
+    out = df.withColumn("all_text", F.concat_ws(" ", *texts))
+    out = out.withColumn("tags", F.array_join(advert.advert_tags(F.col("all_text")), ","))
+    flags = advert.benefit_flags(F.col("all_text"))
+    out = out.withColumns({n: c.cast("int") for n, c in flags.items()})
+    hours, days = field("working_hours"), field("holidays")
+    named = F.coalesce(advert.employment_type(field("employment_type")), advert.employment_type(field("employment_text")), advert.employment_in_salary(field("salary_detail")), F.lit(""))
+    # structs are taken apart in a projection of their own, so that each is worked out once
+    out = out.withColumns({
+        "_content": F.array(advert.content(field("job_description"))), "_ages": F.array(advert.decades(F.col("all_text"))), "_people": F.array(advert.gender_and_stage(F.col("all_text"))),
+    })
+    return out.withColumns({
+        "benefits_score": sum((F.col(n) for n in flags), F.lit(0)),
+        "employment_type": named,
+        "required_experience_years": F.coalesce(advert.required_years(field("requirements")), F.lit(0)),
+        "age_limit": advert.age_limit(field("requirements")),
+        "annual_holidays": advert.annual_holidays(days),
+        "bonus_count": advert.bonus_months(F.concat_ws(" ", field("benefits"), field("salary_detail"))),
+        "content_richness_score": experience.content_richness({c: F.col(c) for c in df.columns}),
+        "primary_task": F.col("_content")[0]["primary"], "tone": F.col("_content")[0]["tone"],
+        "age_decade_primary": F.col("_ages")[0]["primary"],
+        "gender_signal": F.col("_people")[0]["signal"], "lifecycle_primary": F.col("_people")[0]["primary"],
+        "exp_qual_segment": experience.experience_segment(field("requirements"), field("welcome_requirements"), field("job_description"), field("education_training"), field("headline"), told("tags"), field("service_type")),
+        "wh_shift_type": advert.shift_type(hours), "wh_overtime": advert.overtime(hours), "holiday_pattern": advert.holiday_pattern(days),
+    }).drop("_content", "_ages", "_people")
+
+
+def classify_postings(df: DataFrame, axes: rules.Axes = AXES, kinds: Sequence[rules.Kind] = KINDS, least: float = 0.8) -> DataFrame:
+    """Raw adverts enriched and classified, in one job without a shuffle: all columns of `enrich_postings` and of
+    `rules.classify`."""
+    return rules.classify(enrich_postings(df), axes, kinds, least)
