@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shokuba.operators.core import top_n
@@ -96,28 +96,94 @@ def flag_association(df: DataFrame, flags: Sequence[str], support: float = 0.05,
     return out.filter((F.col("support") >= support) & ((F.col("lift") > high) | (F.col("lift") < low)))
 
 
-def pair_npmi(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_word: int = 3, min_pair: int = 5, least: float = 0.15, top: int = 100) -> DataFrame:
-    """Per group the `top` word pairs by normalised pointwise mutual information of sharing a document.
+def job_scopes(df: DataFrame, job: str, region: str, doc: str, top: int = 10) -> DataFrame:
+    """`df` once for its job in the whole nation and once for its region, if this is one of the job's `top` regions by
+    documents: column scope is `nation` or the region. Rows without a job are left out, those without a region are the nation's only."""
+    known = df.filter(F.col(job).isNotNull())
+    sizes = known.filter(F.col(region).isNotNull()).groupBy(job, region).agg(F.countDistinct(doc).alias("_n"))
+    best = top_n(sizes, [job], [F.desc("_n"), F.asc(region)], top).select(job, region)
+    return known.withColumn("scope", F.lit("nation")).unionByName(known.join(best, [job, region], "left_semi").withColumn("scope", F.col(region).cast("string")))
 
-    Words in fewer than min_word documents go first, and those in fewer than min_pair, which can't make a pair.
+
+_ORDER = ("npmi", "pair_count", "word_a", "word_b")
+
+
+def _npmi_pairs(word: DataFrame, group: Sequence[str], pairs: DataFrame, least: Column) -> DataFrame:
+    """group, ia, ib, pair_count, npmi of counted pairs (group, ia, ib, da, db, n, pair_count) that reach `least`."""
+    p = F.col("pair_count") / F.col("n")
+    pmi = F.log2(F.col("pair_count") * F.col("n") / (F.col("da") * F.col("db")))
+    return pairs.withColumn("npmi", F.when(p < 1, pmi / -F.log2(p)).otherwise(1.0)).filter(F.col("npmi") >= least)
+
+
+def _both(word: DataFrame, group: Sequence[str], doc: str, more: Sequence[str] = ()) -> DataFrame:
+    """Pairs of words of one document, the smaller id first: group, doc, ia, ib, da, db, n and the columns `more`."""
+    shared = [*group, doc]
+    a = word.select(*shared, F.col("id").alias("ia"), F.col("df").alias("da"), "n", *more)
+    b = word.select(*shared, F.col("id").alias("ib"), F.col("df").alias("db"))
+    return a.join(b, shared).filter(F.col("ia") < F.col("ib"))
+
+
+def pair_npmi(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_word: int = 3, min_pair: int = 5, least: float = 0.15, top: int = 100, sample: int = 8) -> DataFrame:
+    """Per group the `top` word pairs by normalised pointwise mutual information (NPMI) of sharing a document; ties by
+    pair_count, then by the words. Words in fewer than min_word documents go first, and those in fewer than min_pair.
+
+    No document pairs all its words. First the pairs among one in `sample` words, by hash, are counted. They are pairs
+    like any others, so if a group has `top` of them, the last one's NPMI t is reached by the whole result too. From t
+    follows how many documents a word of d documents must share with any partner: n (d / n)^(1/t) at least. It then
+    shares one of its first d - that + 1 documents, in the order of their number of words, with each partner. So
+    candidates meet in these documents only, and what they share is counted for candidates alone. At t = 1 this is one
+    document a word, and words rarer than the last pair go. The result is the same for any `sample`.
     """
-    word = tokens.select(*group, doc, "token").distinct()
-    n = tokens.groupBy(*group).agg(F.countDistinct(doc).alias("n"))
+    group = list(group)
+    word = cut_lineage(tokens.select(*group, doc, "token").distinct())
+    size = word.groupBy(*group, doc).agg(F.count("*").alias("words"))
+    n = size.groupBy(*group).agg(F.count(doc).alias("n"))
     df = word.groupBy(*group, "token").agg(F.count("*").alias("df")).filter(F.col("df") >= max(min_word, min_pair))
-    df = df.join(n, list(group)) if group else df.join(F.broadcast(n), F.lit(True))  # one row
+    df = df.join(n, group) if group else df.join(F.broadcast(n), F.lit(True))  # one row
     df = cut_lineage(df.withColumn("id", F.xxhash64("token")))  # pairs are counted by 64-bit keys, which are narrow
-    word = word.join(df, [*group, "token"])
-    a = word.select(*group, doc, F.col("id").alias("ia"), F.col("df").alias("da"), "n")
-    b = word.select(*group, doc, F.col("id").alias("ib"), F.col("df").alias("db"))
-    # a pair shares at most the rarer word's documents, which bounds its NPMI before it is counted
-    reach = F.greatest("da", "db") <= F.col("n") * F.pow(F.least("da", "db") / F.col("n"), F.lit(least)) * 1.000001
-    pairs = a.join(b, [*group, doc]).filter(F.col("ia") < F.col("ib")).filter(reach).groupBy(*group, "ia", "ib").agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
-    pairs = pairs.join(df.select(*group, F.col("id").alias("ia"), F.col("token").alias("ta"), F.col("df").alias("da"), "n"), [*group, "ia"])
-    pairs = pairs.join(df.select(*group, F.col("id").alias("ib"), F.col("token").alias("tb"), F.col("df").alias("db")), [*group, "ib"])
-    p = F.col("pair_count") / F.col("n")
-    pmi = F.log2(F.col("pair_count") * F.col("n") / (F.col("da") * F.col("db")))
-    pairs = pairs.select(*group, F.least("ta", "tb").alias("word_a"), F.greatest("ta", "tb").alias("word_b"), "pair_count", F.when(p < 1, pmi / -F.log2(p)).otherwise(1.0).alias("npmi")).filter(F.col("npmi") >= least)
-    order = [F.desc("npmi"), F.desc("pair_count"), F.asc("word_a"), F.asc("word_b")]
+    word = cut_lineage(word.join(df, [*group, "token"]).drop("token").join(size, [*group, doc]))
+    names = df.select(*group, F.col("id"), "token")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        out = pairs.join(names.select(*group, F.col("id").alias("ia"), F.col("token").alias("ta")), [*group, "ia"])
+        out = out.join(names.select(*group, F.col("id").alias("ib"), F.col("token").alias("tb")), [*group, "ib"])
+        return out.select(*group, F.least("ta", "tb").alias("word_a"), F.greatest("ta", "tb").alias("word_b"), "pair_count", "npmi")
+
+    counted = [*group, "ia", "ib", "da", "db", "n"]
+    order = [F.desc(c) if c in _ORDER[:2] else F.asc(c) for c in _ORDER]
+    rough = _both(word.filter(F.pmod("id", F.lit(sample)) == 0), group, doc).groupBy(*counted).agg(F.count("*").alias("pair_count"))
+    rough = _npmi_pairs(word, group, rough.filter(F.col("pair_count") >= min_pair), F.lit(least))
+    # the NPMI and count of the last of `top` pairs, if there are so many
+    if group:
+        last = top_n(rough, group, [F.desc("npmi"), F.desc("pair_count"), F.asc("ia"), F.asc("ib")], top, "_r").filter(F.col("_r") == top)
+        last = last.select(*group, F.col("npmi").alias("_t"), F.col("pair_count").alias("_c"))
+        bound = cut_lineage(n.join(last, group, "left").drop("n"))
+        word = word.join(bound, group)
+    else:
+        last = rough.orderBy(F.desc("npmi"), F.desc("pair_count")).limit(top).agg(F.min(F.when(F.lit(True), F.struct("npmi", "pair_count"))).alias("l"), F.count("*").alias("k"))
+        full = F.col("k") == top
+        bound = cut_lineage(last.select(F.when(full, F.col("l.npmi")).alias("_t"), F.when(full, F.col("l.pair_count")).alias("_c")))
+        word = word.join(F.broadcast(bound), F.lit(True))  # one row
+    t = F.greatest(F.coalesce("_t", F.lit(least)), F.lit(least))
+    n_, d_ = F.col("n").cast("double"), F.col("df")
+    whole = F.coalesce((F.col("_t") >= 1 - 1e-12) & (d_ < F.col("_c")), F.lit(False))
+    need = F.greatest(F.ceil(n_ * F.pow(d_ / n_, 1 / t) * (1 - 1e-9)), F.lit(min_pair))  # lowered by more than its rounding
+    word = word.withColumn("_t", t * (1 - 1e-9)).filter(~whole).withColumn("_first", d_ - need + 1).filter("_first > 0")
+    # the first documents of a word, in two steps, so that no word's documents are sorted in one task
+    rank = [F.asc("words"), F.asc(F.xxhash64(doc)), F.asc(doc)]
+    salted = word.withColumn("_s", F.pmod(F.xxhash64(doc), F.ceil(d_ / 50_000)))
+    salted = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "id", "_s").orderBy(*rank))).filter("_r <= _first")
+    first = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "id").orderBy(*rank))).filter("_r <= _first")
+    # a pair shares at most the rarer word's documents, which bounds its NPMI before it is made
+    reach = F.greatest("da", "db") <= n_ * F.pow(F.least("da", "db") / n_, F.col("_t")) * (1 + 1e-9)
+    met = _both(first, group, doc, ["_t"]).filter(reach).select(*counted, "_t").distinct()
+    # documents of the rarer word that hold the other one too
+    rarer = F.col("da") <= F.col("db")
+    met = met.withColumns({"_a": F.when(rarer, F.col("ia")).otherwise(F.col("ib")), "_b": F.when(rarer, F.col("ib")).otherwise(F.col("ia"))})
+    held = met.join(word.select(*group, doc, F.col("id").alias("_a")), [*group, "_a"]).join(word.select(*group, doc, F.col("id").alias("_b")), [*group, doc, "_b"])
+    pairs = held.groupBy(*counted, "_t").agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
+    pairs = _npmi_pairs(word, group, pairs, F.greatest(F.col("_t"), F.lit(least)))
+    pairs = named(pairs.drop("_t"))
     return top_n(pairs, group, order, top) if group else pairs.orderBy(*order).limit(top)
 
 

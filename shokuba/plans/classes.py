@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shokuba.functions.classes import AXES, KINDS
 from shokuba.functions.dictionaries import AGE_DECADES, BENEFITS, CONTENT, GENDER_SIGNALS, LIFE_STAGES, TAG_PATTERNS, TAG_SYNONYMS, TAGS, TONES
 from shokuba.operators import rules
+from shokuba.operators import textmining as T
+from shokuba.operators.group_clusters import group_clusters
 from shokuba.operators.postings import classify_postings, feature_frequency
 from shokuba.plans.frames import table
 from shokuba.plans.queries import query, rounded
@@ -136,3 +138,24 @@ def cls04_classified_postings(spark, d):
     raw = advert_texts(spark, d).select("doc_id", "job_type", "prefecture", *_FIELDS, F.col("working_hours").alias("holidays"), "salary_min", "salary_max", "service_type", F.col("employment_type").alias("employment_text"))
     done = classify_postings(raw)
     return done.groupBy("kind", "employment_type", "wh_shift_type", "age_decade_primary").agg(F.count("*").alias("count"))
+
+
+@query()
+def clu01_group_clusters(spark, d):
+    """Adverts clustered by a model of their own for each brand and return flag."""
+    l, p = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    rows = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("advert"), F.col("p_brand").alias("job_type"), F.col("l_returnflag").alias("employment"),
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice",
+        (F.col("l_quantity") > 25).alias("bulk"), (F.col("l_discount") > 0.05).alias("discount"), (F.col("l_tax") > 0.04).alias("tax"), (F.col("l_linestatus") == "O").alias("open"),
+    )
+    out = group_clusters(rows, ["job_type", "employment"], "advert", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"], ["bulk", "discount", "tax", "open"], components=2)
+    return rounded(out.select("advert", "job_type", "employment", "cluster", "k", "silhouette"), 4)
+
+
+@query()
+def txt07_npmi_scopes(spark, d):
+    """The strongest word pairs of each language, in all sources and in its ten largest."""
+    docs = T.job_scopes(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), "lang", "source", "doc_id")
+    tokens = T.tokenise(docs, ["doc_id", "lang", "scope"], "text", r"[a-zà-ÿ]+")
+    return rounded(T.pair_npmi(tokens, "doc_id", ["lang", "scope"]), 5)
