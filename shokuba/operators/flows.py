@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,40 +184,78 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, rounds: int = 100
 
 
 def shortest_paths(edges: DataFrame, pivots: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Distances (weight as length) from each pivot (node): pivot, node, dist. Relaxed until nothing shortens."""
-    dist = cut_lineage(pivots.select(F.col("node").alias("pivot"), "node", F.lit(0.0).alias("dist")))
-    size = None
+    """Distances (weight as length) from each pivot (node): pivot, node, dist. A round follows the edges from the nodes
+    that the round before has brought nearer, until there are none; rows are at most pivots x nodes."""
+    dist = cut_lineage(pivots.select(F.col("node").alias("pivot"), "node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")))
     for _ in range(rounds):
-        step = dist.join(edges, F.col("node") == F.col("src")).select("pivot", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
-        dist = cut_lineage(dist.unionByName(step).groupBy("pivot", "node").agg(F.min("dist").alias("dist")))
-        now = tuple(dist.agg(F.count("*"), F.sum("dist")).first())
-        if now == size:
+        step = dist.filter("fresh").join(edges, F.col("node") == F.col("src")).select("pivot", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("new"))
+        both = dist.select("pivot", "node", "dist", F.lit(None).cast("double").alias("new")).unionByName(step.select("pivot", "node", F.lit(None).cast("double").alias("dist"), "new"))
+        both = both.groupBy("pivot", "node").agg(F.min("dist").alias("dist"), F.min("new").alias("new"))
+        dist = cut_lineage(both.select("pivot", "node", F.least("dist", "new").alias("dist"), F.coalesce(F.col("new") < F.col("dist"), F.col("dist").isNull()).alias("fresh")))
+        if dist.filter("fresh").isEmpty():
             break
-        size = now
-    return dist
+    return dist.drop("fresh")
 
 
-def closeness_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Closeness over distances to a node, scaled by the share of nodes that reach it: node, closeness."""
+#: Rows (pivot, node) that one block of pivots may make.
+PIVOT_CELLS = 5_000_000
+
+
+def pivot_blocks(pivots: DataFrame, nodes: int, cells: int | None = None) -> list[DataFrame]:
+    """The pivots dealt by hash into blocks of about `cells` / `nodes` each, so that the distances held at once don't grow
+    with the square of the graph. Each block must have one pivot; a node in each other's reach makes `nodes` rows of it."""
+    kept = cut_lineage(pivots.select("node"))
+    blocks = max(1, -(-kept.count() * nodes // (cells or PIVOT_CELLS)))
+    if blocks == 1:
+        return [kept]
+    dealt = cut_lineage(kept.withColumn("_b", F.pmod(F.xxhash64("node"), F.lit(blocks))))
+    return [dealt.filter(F.col("_b") == b).drop("_b") for b in range(blocks)]
+
+
+def sample_pivots(nodes: DataFrame, error: float = 0.01, risk: float = 0.01, seed: int = 0) -> DataFrame:
+    """So many nodes, by hash, that betweenness from them as sources is within `error` x n / (n - 1) of the whole for all
+    nodes at once, but with probability `risk`: ln(2 n / risk) / (2 error^2) by Hoeffding's inequality, whatever the
+    graph; all nodes where that is not fewer. Distances from a pivot lie in [0, n - 2] dependencies, which it rests on."""
+    n = nodes.count()
+    k = math.ceil(math.log(2 * max(n, 1) / risk) / (2 * error**2))
+    return nodes.select("node") if k >= n else nodes.select("node").orderBy(F.xxhash64(F.col("node"), F.lit(seed)), "node").limit(k)
+
+
+def closeness_centrality(edges: DataFrame, nodes: DataFrame, cells: int | None = None) -> DataFrame:
+    """Closeness over distances to a node, scaled by the share of nodes that reach it: node, closeness. Exact; the
+    distances of one block of nodes are held at a time, of which a row for each node stays."""
     n = nodes.count()
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    d = shortest_paths(back, nodes).groupBy(F.col("pivot").alias("node")).agg(F.count("*").alias("r"), F.sum("dist").alias("total"))
     value = F.when((F.col("total") > 0) & (n > 1), (F.col("r") - 1) / F.col("total") * ((F.col("r") - 1) / max(1, n - 1))).otherwise(0.0)
-    return d.select("node", value.alias("closeness"))
+    done = []
+    for block in pivot_blocks(nodes, n, cells):
+        d = shortest_paths(back, block).groupBy(F.col("pivot").alias("node")).agg(F.count("*").alias("r"), F.sum("dist").alias("total"))
+        done.append(cut_lineage(d.select("node", value.alias("closeness"))))
+    return reduce(DataFrame.unionByName, done)
 
 
-def betweenness_centrality(edges: DataFrame, nodes: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
-    """Betweenness with weight as length: node, betweenness, over all pairs (or the given pivots as sources, scaled up).
+def betweenness_centrality(edges: DataFrame, nodes: DataFrame, pivots: DataFrame | None = None, cells: int | None = None) -> DataFrame:
+    """Betweenness with weight as length: node, betweenness, over all pairs, or from the given pivots (sample_pivots), scaled
+    up. Pivots are taken block by block, and only their sum for each node is carried on."""
+    n = nodes.count()
+    if n < 3:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    chosen = nodes if pivots is None else pivots
+    k, total = chosen.count(), None
+    for block in pivot_blocks(chosen, n, cells):
+        part = _dependencies(edges, block, n)
+        total = cut_lineage(part if total is None else total.unionByName(part).groupBy("node").agg(F.sum("b").alias("b")))
+    scale = n / k / ((n - 1) * (n - 2))
+    return nodes.select("node").join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies(edges: DataFrame, pivots: DataFrame, n: int) -> DataFrame:
+    """node, b: shares of the shortest paths from the pivots that pass a node, summed.
 
     The shortest-path graph of every pivot is found first. Paths are then counted along it round by round outward,
     and dependencies are summed from the far end inward; a round handles the nodes that are done for all pivots at once.
     """
-    n = nodes.count()
-    if n < 3:
-        return nodes.select("node", F.lit(0.0).alias("betweenness"))
-    chosen = pivots if pivots is not None else nodes
-    k = chosen.count()
-    d = shortest_paths(edges, chosen)
+    d = shortest_paths(edges, pivots)
     a, b = d.alias("a"), d.alias("b")
     arcs = edges.join(a, F.col("src") == F.col("a.node")).join(b, (F.col("dst") == F.col("b.node")) & (F.col("a.pivot") == F.col("b.pivot")))
     arcs = cut_lineage(arcs.filter(F.abs(F.col("a.dist") + F.col("weight") - F.col("b.dist")) <= 1e-9 * (1 + F.col("b.dist"))).select(F.col("a.pivot").alias("pivot"), "src", "dst").distinct())
@@ -242,15 +282,13 @@ def betweenness_centrality(edges: DataFrame, nodes: DataFrame, pivots: DataFrame
         if now == before:
             break
         before = now
-    total = part.filter("pivot <> node").groupBy("node").agg(F.sum("delta").alias("b"))
-    scale = n / k / ((n - 1) * (n - 2))
-    return nodes.select("node").join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    return part.filter("pivot <> node").groupBy("node").agg(F.sum("delta").alias("b"))
 
 
-def hub_ranking(edges: DataFrame, nodes: DataFrame, n: int = 20) -> DataFrame:
-    """The first `n` nodes by 0.15 x (degree, in, out, eigenvector, PageRank) + 0.25 x betweenness."""
+def hub_ranking(edges: DataFrame, nodes: DataFrame, n: int = 20, pivots: DataFrame | None = None) -> DataFrame:
+    """The first `n` nodes by 0.15 x (degree, in, out, eigenvector, PageRank) + 0.25 x betweenness (from `pivots` if given)."""
     out = degree_centrality(edges, nodes)
-    for table in (page_rank(edges, nodes), eigenvector_centrality(edges, nodes), betweenness_centrality(edges, nodes)):
+    for table in (page_rank(edges, nodes), eigenvector_centrality(edges, nodes), betweenness_centrality(edges, nodes, pivots)):
         out = out.join(table, "node")
     score = sum(F.col(c) * 0.15 for c in ("degree", "in_degree", "out_degree", "eigenvector", "pagerank")) + F.col("betweenness") * 0.25
     return out.withColumn("hub_score", score).orderBy(F.desc("hub_score"), "node").limit(n)
