@@ -11,6 +11,7 @@ from shokuba.operators import rules
 from shokuba.operators import textmining as T
 from shokuba.operators.group_clusters import group_clusters
 from shokuba.operators.postings import classify_postings, feature_frequency
+from shokuba.operators.texts import Lexicon, ask_texts, text_scopes
 from shokuba.plans.frames import table
 from shokuba.plans.queries import query, rounded
 
@@ -159,3 +160,88 @@ def txt07_npmi_scopes(spark, d):
     docs = T.job_scopes(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), "lang", "source", "doc_id")
     tokens = T.tokenise(docs, ["doc_id", "lang", "scope"], "text", r"[a-zà-ÿ]+")
     return rounded(T.pair_npmi(tokens, "doc_id", ["lang", "scope"]), 5)
+
+
+#: A small lexicon over what the phrases say; ask_texts takes any other.
+LEXICON = Lexicon(
+    template=["ご応募", "応募できます", "書類"],
+    legal="賞与年2回",
+    difference={"strength": [("ICT", 2), ("電子カルテ", 3), ("地域", 2), ("理念", 1)], "workstyle": [("在宅勤務", 3), ("直行直帰", 2), ("フレックス", 2), ("短時間", 1)]},
+    tones={"casual": [("一緒に", 2), ("アットホーム", 2)], "formal": [("ご応募", 2), ("お待ち", 1)], "urgent": [("急募", 3), ("増員", 1)], "warm": [("サポート", 2), ("安心", 2), ("歓迎", 1)]},
+    told={"pay": (3, [("年収", 2), ("手当", 2), ("賞与", 2), ("給与", 2), ("万円", 1)]), "hours": (3, [("残業", 2), ("夜勤", 2), ("日勤", 2), ("シフト", 2)]), "work": (2, [("介護", 1), ("測定", 1), ("配膳", 1), ("電話", 1)])},
+    people={"age": {"young": [("20代", 3), ("若手", 3), ("新卒", 3)], "middle": [("40代", 3), ("即戦力", 2), ("管理職", 2)], "senior": [("50代", 3), ("シニア", 3), ("定年", 2)]}, "life": {"family": [("主婦", 3), ("育休", 2), ("ママ", 3), ("託児", 2)], "career": [("昇進", 2), ("リーダー", 2), ("キャリア", 1)]}},
+    values={"growth": [("研修", 2), ("資格取得", 2), ("キャリアアップ", 3)], "stability": [("退職金", 3), ("社会保険", 2), ("上場", 2)], "income": [("年収", 2), ("高給与", 3), ("お祝い金", 2)], "balance": [("ワークライフバランス", 3), ("残業ほぼなし", 3), ("経験", 1)]},
+)
+_ASKED = ["tone", "people_age", "people_life", "value_first"]
+_LEVELS = {"nation": ["job_type", "employment_type"], "prefecture": ["job_type", "employment_type", "prefecture"], "municipality": ["job_type", "employment_type", "prefecture", "municipality"]}
+
+
+def _asked(spark, d):
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    phrases = F.array(*[F.lit(p) for p in PHRASES])
+    docs = table(spark, d, "documents").withColumn("said", F.transform(words, lambda w: F.get(phrases, (F.ascii(w) * 5 + F.length(w) * 11) % len(PHRASES))))
+    docs = docs.select(
+        "doc_id", F.coalesce("lang", F.lit("none")).alias("job_type"), F.coalesce("source", F.lit("none")).alias("prefecture"), F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("municipality"),
+        F.get(F.array(*[F.lit(j) for j in _JOBS]), (F.col("doc_id") % 3).cast("int")).alias("employment_type"), F.array_join("said", "\n").alias("said"),
+    )
+    return ask_texts(docs, "said", LEXICON).withColumn("value_first", F.col("values")[0])
+
+
+def _count_sql(term: str, text: str) -> str:
+    """Occurrences of a term, those right after a negation left out."""
+    def n(t: str) -> str:
+        return f"((length({text}) - length(replace({text}, '{t}', ''))) // {len(t)})"
+
+    return "(" + " - ".join([n(term), *(n(x + term) for x in LEXICON.negations)]) + ")"
+
+
+def _points_sql(terms, text: str = "said") -> str:
+    return "(" + " + ".join(f"{_count_sql(t, text)} * {w}" for t, w in terms) + ")"
+
+
+def _best_sql(scores: dict) -> str:
+    top = f"greatest({', '.join(scores.values())})"
+    return f"CASE WHEN {top} <= 0 THEN '不明' " + " ".join(f"WHEN {s} = {top} THEN '{n}'" for n, s in scores.items()) + " END"
+
+
+_HELD = " OR ".join(f"contains(x, '{t}')" for t in LEXICON.template)
+_ASKED_SQL = rf"""words AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+lines AS (SELECT doc_id, coalesce(lang, 'none') AS job_type, coalesce(source, 'none') AS prefecture, 'm' || (doc_id % 3) AS municipality, {_pick(_JOBS, "doc_id")} AS employment_type,
+    list_transform(words, lambda w: {_listed(PHRASES)}[CAST({_CODE} % {len(PHRASES)} AS INTEGER) + 1]) AS lines FROM words WHERE len(words) > 0),
+started AS (SELECT *, array_to_string(lines, chr(10)) AS said, coalesce(list_position(list_transform(lines, lambda x: contains(x, '{LEXICON.legal}')), true), 0) AS start FROM lines),
+parts AS (SELECT *, array_to_string(list_filter(lines, lambda x, i: NOT (({_HELD}) OR (start > 0 AND i >= start))), chr(10)) AS own, array_to_string(list_filter(lines, lambda x, i: ({_HELD}) OR (start > 0 AND i >= start)), chr(10)) AS template FROM started),
+scored AS MATERIALIZED (SELECT *, coalesce(length(template), 0) / CAST(length(said) AS DOUBLE) AS template_ratio,
+    {", ".join(f"coalesce({_points_sql(t, 'own')}, 0) AS diff_{n}" for n, t in LEXICON.difference.items())},
+    {", ".join(f"{_points_sql(t)} AS tone_{n}" for n, t in LEXICON.tones.items())},
+    {", ".join("least(1.0, (" + " + ".join(f"CAST({_count_sql(x, 'said')} > 0 AS INTEGER)" for x, _ in t) + f") / {float(len(t))})::DOUBLE AS told_{n}" for n, (_, t) in LEXICON.told.items())},
+    {", ".join(f"{_points_sql(t)} AS {k}_{n}" for k, groups in LEXICON.people.items() for n, t in groups.items())},
+    {", ".join(f"{_points_sql(t)} AS value_{n}" for n, t in LEXICON.values.items())} FROM parts),
+asked AS MATERIALIZED (SELECT *, {" + ".join(f"diff_{n}" for n in LEXICON.difference)} AS diff_total, {_best_sql({n: f"tone_{n}" for n in LEXICON.tones})} AS tone,
+    ({" + ".join(f"told_{n} * {w}" for n, (w, _) in LEXICON.told.items())}) / {float(sum(w for w, _ in LEXICON.told.values()))} AS info,
+    {", ".join(f"{_best_sql({n: f'{k}_{n}' for n in groups})} AS people_{k}" for k, groups in LEXICON.people.items())},
+    {_best_sql({n: f"value_{n}" for n in LEXICON.values})} AS value_first FROM scored)"""
+
+
+@query(f"WITH {_ASKED_SQL} SELECT doc_id, round(template_ratio, 6) AS template_ratio, diff_total, tone, round(info, 6) AS info, people_age, people_life, value_first, {', '.join(f'value_{n}' for n in LEXICON.values)} FROM asked", base=False)
+def fun46_six_questions(spark, d):
+    """The answers of each advert's text."""
+    out = _asked(spark, d).select("doc_id", "template_ratio", F.col("diff_total").cast("long").alias("diff_total"), "tone", "info", "people_age", "people_life", "value_first", *[F.col(f"value_{n}").cast("long").alias(f"value_{n}") for n in LEXICON.values])
+    return rounded(out)
+
+
+def _mode_sql(c: str, what: str = "") -> str:
+    return f"(SELECT {what or c} FROM unnest(list_filter(any_{c}, lambda x: x <> '不明')) t({c}) GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+
+
+@query(f"""WITH {_ASKED_SQL},
+grouped AS (SELECT CASE WHEN grouping(municipality) = 0 THEN 'municipality' WHEN grouping(prefecture) = 0 THEN 'prefecture' ELSE 'nation' END AS scope, job_type, employment_type, prefecture, municipality, count(*) AS n,
+    {", ".join(f"{f}({c}) AS {c}_{n}" for c in ("template_ratio", "diff_total", "info") for n, f in (("mean", "avg"), ("std", "stddev_pop")))}, {", ".join(f"list({c}) AS any_{c}" for c in _ASKED)}
+    FROM asked GROUP BY GROUPING SETS ((job_type, employment_type), (job_type, employment_type, prefecture), (job_type, employment_type, prefecture, municipality)) HAVING count(*) >= 3),
+nation AS (SELECT job_type, employment_type, info_mean AS nation FROM grouped WHERE scope = 'nation')
+SELECT scope, job_type, employment_type, prefecture, municipality, n, {", ".join(f"round({c}_{x}, 6) AS {c}_{x}" for c in ("template_ratio", "diff_total", "info") for x in ("mean", "std"))},
+    CASE WHEN info_mean >= 0.20 THEN 'A' WHEN info_mean >= 0.14 THEN 'B' WHEN info_mean >= 0.10 THEN 'C' ELSE 'D' END AS grade, round(info_mean - nation, 6) AS gap,
+    {", ".join(f"coalesce({_mode_sql(c)}, '不明') AS {c}_mode, round(coalesce({_mode_sql(c, 'count(*)')}, 0) * 100.0 / n, 6) AS {c}_pct" for c in _ASKED)}
+FROM grouped LEFT JOIN nation USING (job_type, employment_type)""", base=False)
+def pos18_text_scores(spark, d):
+    """The six questions by job and employment type in the nation, its regions and places."""
+    return rounded(text_scopes(_asked(spark, d), _LEVELS, ["job_type", "employment_type"], _ASKED))

@@ -691,17 +691,6 @@ def pos20_experience_gap(spark, d):
     return rounded(core.known(adverts(spark, d), ["job_type", "employment"]).groupBy("job_type", "employment").agg((F.avg(F.when(beginners, F.col("salary"))) - F.avg(F.when(~beginners, F.col("salary")))).alias("gap"), F.count_if(beginners).alias("inexperienced"), F.count_if(~beginners).alias("experienced")), 4)
 
 
-@query("""SELECT scope, job_type, prefecture, municipality, n, round(template, 6) AS template, round(differentiation, 6) AS differentiation, round(info, 6) AS info, CASE WHEN info >= 0.20 THEN 'A' WHEN info >= 0.14 THEN 'B' WHEN info >= 0.10 THEN 'C' ELSE 'D' END AS grade, round(info - nation, 6) AS gap FROM (SELECT *, max(info) FILTER (scope = 'nation') OVER (PARTITION BY job_type) AS nation FROM (
-    SELECT CASE WHEN grouping(municipality) = 0 THEN 'municipality' WHEN grouping(prefecture) = 0 THEN 'prefecture' ELSE 'nation' END AS scope, job_type, prefecture, municipality, count(*) AS n, avg(CAST(has_tax AS INTEGER)) AS template, stddev_pop(l) AS differentiation, avg(l) / 100 AS info FROM (SELECT *, length(body) AS l FROM texts) GROUP BY GROUPING SETS ((job_type), (job_type, prefecture), (job_type, prefecture, municipality)) HAVING count(*) >= 3))""".replace("SELECT scope", _TEXTS + " SELECT scope", 1))
-def pos18_text_scores(spark, d):
-    """Of each scope: share of template texts, spread of their lengths, information score with its grade, and the gap to
-    the nation."""
-    t = _texts(spark, d).withColumn("length", F.length("body"))
-    levels = {"nation": ["job_type"], "prefecture": ["job_type", "prefecture"], "municipality": ["job_type", *HOME]}
-    measures = [F.count("*").alias("n"), F.avg(F.col("has_tax").cast("int")).alias("template"), F.stddev_pop("length").alias("differentiation"), (F.avg("length") / 100).alias("info")]
-    return rounded(P.scored_scopes(t, levels, measures, "info", "job_type"))
-
-
 # --- clusters
 
 
