@@ -51,7 +51,7 @@ class Occurrences:
 
     def __init__(self, groups: Iterable[Terms], negations: str):
         terms = {t for g in groups for t, _ in g}
-        self.lead = f"(?<![{negations}])" if negations else ""
+        self.negations, self.lead = negations, f"(?<![{negations}])" if negations else ""
         self.alone = {t for t in terms if _overlaps_itself(t)}  # a pass over every place would count these twice
         self.words = sorted(terms - self.alone)
 
@@ -79,7 +79,10 @@ class Occurrences:
         return reduce(lambda a, b: a + b, [(self._count(t, counts, text) > 0).cast("int") for t, _ in terms], F.lit(0))
 
     def _alone(self, term: str, text: Column) -> Column:
-        return F.coalesce(F.regexp_count(text, F.lit(f"{self.lead}\\Q{term}\\E")), F.lit(0))
+        # an occurrence behind a negation is passed over as a whole, as any other one is
+        passed = f"(?<=[{self.negations}])\\Q{term}\\E|" if self.negations else ""
+        met = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{passed}(\\Q{term}\\E)"), 1)
+        return F.size(F.filter(met, lambda x: x != ""))
 
 
 def split_template(text: Column, template: Sequence[str], legal: str) -> Column:
