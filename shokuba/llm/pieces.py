@@ -47,7 +47,11 @@ class PieceModel:
         self.byte_ids = np.array([lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.is_byte = np.zeros(n, bool)
         self.is_byte[self.byte_ids] = True
+        self.silent = np.array([lib.is_control(i) for i in range(n)])
         self.out = [t.replace(_SPACE, " ").encode() if p else b"" for t, p in zip(texts, plain)]
+        self.unknown = [i for i in range(n) if lib.is_unknown(i)]
+        for i in self.unknown:
+            self.out[i] = lib.decode([i]).encode()
         for b, i in enumerate(self.byte_ids.tolist()):
             self.out[i] = bytes([b])
 
@@ -195,14 +199,20 @@ class PieceModel:
         yield from answer()
 
     def decode(self, ids: np.ndarray) -> str:
-        """Text of ids: blanks for their sign, without the one put before; bytes as UTF-8, each byte that is none as U+FFFD."""
-        raw = b"".join(map(self.out.__getitem__, ids.tolist()))
-        shown = next((i for i in ids.tolist() if self.out[i]), None)
+        """Text of ids: blanks for their sign, without the one put before; bytes as UTF-8, each byte that is none as U+FFFD.
+        Control ids say nothing, but bytes don't join across them."""
+        names = ids.tolist()
+        if (said := ~self.silent[ids]).all():
+            first = names[0] if names else None
+        else:
+            first = names[said.argmax()] if said.any() else None
         try:
-            text = raw.decode()
+            # a control id at the end, as encode puts it, is between no bytes
+            text = b"".join(map(self.out.__getitem__, names)).decode() if said[:-1].all() else self._decode_spoilt(names)
         except UnicodeDecodeError:
-            text = self._decode_spoilt(ids.tolist())
-        return text[1:] if shown is not None and not self.is_byte[shown] and text.startswith(" ") else text
+            text = self._decode_spoilt(names)
+        marked = first is not None and not self.is_byte[first] and first not in self.unknown
+        return text[1:] if marked and text.startswith(" ") else text
 
     def _decode_spoilt(self, ids: list[int]) -> str:
         out, run = [], bytearray()

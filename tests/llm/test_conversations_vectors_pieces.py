@@ -248,7 +248,7 @@ def test_decode_of_any_ids_equals_the_library(library):
     path, lib = library
     m, r = PieceModel(path), random.Random(4)
     for _ in range(3000):
-        ids = [r.randint(3, 258) if r.random() < 0.6 else r.choice([1, 2, r.randint(259, 31999)]) for _ in range(r.randint(0, 9))]
+        ids = [r.randint(3, 258) if r.random() < 0.6 else r.choice([0, 1, 2, r.randint(259, 31999)]) for _ in range(r.randint(0, 9))]
         assert m.decode(np.array(ids, np.int32)) == lib.decode(ids), ids
 
 
