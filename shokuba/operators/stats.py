@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shokuba.operators.core import cross, known, scopes, share
+from shokuba.sources.scratch import cut_lineage
 
 
 def _gamma_q(a: float, x: float) -> float:
@@ -118,13 +119,14 @@ def anova_test(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> Da
     return out.withColumn("effect", effect).withColumn("significant", F.col("p_value") < alpha)
 
 
-def places(df: DataFrame, by: Sequence[str], value: str, slices: int = 64) -> DataFrame:
+def places(df: DataFrame, by: Sequence[str], value: str, slices: int = 64, weight: str | None = None) -> DataFrame:
     """Per group and distinct value: k, how many rows have it, and before, how many have a smaller one; nulls are left out.
+    weight: a column that says how many rows each row of `df` stands for.
 
     Each group is cut at approximate quantiles into about `slices` ranges, which are sorted apart; the ranges' totals give
     what lies before each. So the counts are exact and no group, however large, is sorted in one task.
     """
-    cells = known(df, [*by, value]).groupBy(*by, value).agg(F.count("*").alias("k"))
+    cells = known(df, [*by, value]).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("k"))
     cuts = cells.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / slices) for i in range(1, slices)]), 10 * slices).alias("_cuts"))
     met = cells.join(cuts, list(by)) if by else cells.join(F.broadcast(cuts), F.lit(True))  # one row
     met = met.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -138,7 +140,11 @@ def places(df: DataFrame, by: Sequence[str], value: str, slices: int = 64) -> Da
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str = "q") -> DataFrame:
     """Per group the exact percentiles at `points`, linearly interpolated, as an array; groups of any size (places)."""
-    cells = places(df, by, value)
+    return percentiles_of(places(df, by, value), by, value, points, name)
+
+
+def percentiles_of(cells: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str = "q") -> DataFrame:
+    """The same from a table that `places` has made."""
     n = cells.groupBy(*by).agg(F.sum("k").alias("_n"))
     met = cells.join(n, list(by)) if by else cells.join(F.broadcast(n), F.lit(True))  # one row
     x, first, last = F.col(value).cast("double"), F.col("before"), F.col("before") + F.col("k") - 1
@@ -199,10 +205,48 @@ def trim_outliers(df: DataFrame, by: Sequence[str], value: str, reach: float = 1
     return df.join(iqr_bounds(df, by, value, reach).select(*by, "low", "high"), list(by)).filter(F.col(value).between(F.col("low"), F.col("high"))).drop("low", "high")
 
 
-def distribution(df: DataFrame, levels: dict[str, Sequence[str]], value: str, least: int = 10) -> DataFrame:
-    """At each level: n, mean, median, quartiles, 90th percentile of all rows, for groups of at least `least`."""
-    out = with_percentiles(scopes(df.filter(F.col(value).isNotNull()), levels, [F.count("*").alias("n"), F.avg(value).alias("mean")]), df, levels, value, (0.25, 0.5, 0.75, 0.9))
-    return out.filter(F.col("n") >= least).select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "median", "p75", "p90"))]).drop("q")
+def distribution(df: DataFrame, levels: dict[str, Sequence[str]], value: str, high: str | None = None, least: int = 10, reach: float = 1.5) -> DataFrame:
+    """At each level: n, mean, quartiles, median and 90th percentile of all rows; std (of a sample) and gini of the rows
+    within `reach` interquartile ranges of the quartiles. Groups of fewer than `least` rows, before or after, are left out.
+    high: a column for the upper end; range_pct is the share of rows where it is above 0, range_median the median width.
+
+    Values are counted once for all levels, and each level's counts are put in order once; percentiles, bounds, deviation
+    and Gini all come from them.
+    """
+    every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
+    rows = known(df, [*every, value])
+    base = cut_lineage(rows.groupBy(*every, value).agg(F.count("*").alias("_rows")))
+    wide = None
+    if high:
+        apart = rows.filter(F.col(high) > 0).withColumn("_width", F.col(high).cast("double") - F.col(value))
+        wide = cut_lineage(apart.groupBy(*every, "_width").agg(F.count("*").alias("_rows")))
+
+    def joined(a: DataFrame, b: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+        return a.join(b, list(cols), how) if cols else a.join(F.broadcast(b), F.lit(True), how)  # one row
+
+    out, x = [], F.col(value).cast("double")
+    for level, cols in levels.items():
+        cells = cut_lineage(places(base, cols, value, weight="_rows"))
+        one = cells.groupBy(*cols).agg(F.sum("k").alias("n"), (F.sum(x * F.col("k")) / F.sum("k")).alias("mean")).filter(F.col("n") >= least)
+        q = percentiles_of(cells, cols, value, (0.25, 0.5, 0.75, 0.9), "_q")
+        one = joined(one, q, cols).select(*cols, "n", "mean", *[F.col("_q")[i].alias(c) for i, c in enumerate(("p25", "median", "p75", "p90"))])
+        width = reach * (F.col("p75") - F.col("p25"))
+        kept = joined(cells, one.select(*cols, (F.col("p25") - width).alias("_low"), (F.col("p75") + width).alias("_high"), F.col("median").alias("_m")), cols)
+        k, d = F.col("k"), x - F.col("_m")  # sums around the median keep their digits
+        shared = k * F.col("before") + k * (k + 1) / 2.0
+        sums = kept.filter(x.between(F.col("_low"), F.col("_high"))).groupBy(*cols).agg(
+            F.sum("k").alias("_n"), F.sum(d * k).alias("_d"), F.sum(d * d * k).alias("_dd"), F.sum(x * k).alias("_t"), F.sum(x * shared).alias("_s"), F.min("before").alias("_b")
+        )
+        n = F.col("_n")
+        gini = 2 * (F.col("_s") - F.col("_b") * F.col("_t")) / (n * F.col("_t")) - (n + 1) / n
+        sums = sums.filter(n >= least).select(*cols, F.sqrt(F.greatest((F.col("_dd") - F.col("_d") * F.col("_d") / n) / (n - 1), F.lit(0.0))).alias("std"), F.when(F.col("_t") != 0, gini).alias("gini"))
+        one = joined(one, sums, cols)
+        if wide is not None:
+            ranges = places(wide, cols, "_width", weight="_rows")
+            median = joined(percentiles_of(ranges, cols, "_width", (0.5,), "_w"), ranges.groupBy(*cols).agg(F.sum("k").alias("_k")), cols)
+            one = joined(one, median, cols, "left").withColumns({"range_pct": F.coalesce(F.col("_k") * 100.0 / F.col("n"), F.lit(0.0)), "range_median": F.col("_w")[0]}).drop("_w", "_k")
+        out.append(one.select(F.lit(level).alias("scope"), *[F.col(c) if c in cols else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in every], *one.columns[len(cols) :]))
+    return reduce(DataFrame.unionByName, out)
 
 
 def with_percentiles(table: DataFrame, df: DataFrame, levels: dict[str, Sequence[str]], value: str, points: Sequence[float], name: str = "q") -> DataFrame:

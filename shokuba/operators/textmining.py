@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,33 @@ def tokenise(df: DataFrame, key: Sequence[str], text: str, pattern: str, least:
     return out.filter(~F.col("token").isin(*stop)) if stop else out
 
 
+#: Runs of a script that are words, in the order in which they are taken; and marks that alone are no word.
+SCRIPT_RUNS = [("katakana", r"[ァ-ヶー]{2,}"), ("kanji", r"[一-龥]{2,6}"), ("mixed", r"[一-龥]+[ァ-ヶー]+|[ァ-ヶー]+[一-龥]+")]
+NOISE = r"^[ー\-─━┈┉┄・…。、！？\s　]+$"
+
+
+def script_tokens(df: DataFrame, key: Sequence[str], text: str, synonyms: Mapping[str, str] | None = None, stop: Sequence[str] = (), least: int = 2) -> DataFrame:
+    """Words of a text without blanks between them: key, position, kind, token.
+
+    All katakana runs come first, then kanji runs of two to six characters (a longer run is cut from the left), then
+    mixed runs of both scripts, which may hold words of the first two once more. A synonym takes the place of a word
+    before it is judged: words shorter than `least` go, of katakana and kanji those in `stop`, and runs of marks only.
+    A null text has none. Synonyms are a dictionary, small enough to be a literal; a table is joined by `tokenise`.
+    """
+    runs = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 0), lambda t: F.struct(t.alias("token"))) for _, p in SCRIPT_RUNS]
+    named = [F.transform(r, _named(kind)) for (kind, _), r in zip(SCRIPT_RUNS, runs)]
+    out = df.select(*key, F.posexplode(F.concat(*named)).alias("position", "t")).select(*key, "position", "t.kind", "t.token")
+    if synonyms:
+        table = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
+        out = out.withColumn("token", F.coalesce(table[F.col("token")], "token"))
+    out = out.filter((F.length("token") >= least) & ~(F.col("token").rlike(NOISE) & (F.col("kind") != "kanji")))
+    return out.filter((F.col("kind") == "mixed") | ~F.col("token").isin(*stop)) if stop else out
+
+
+def _named(kind: str):
+    return lambda t: F.struct(F.lit(kind).alias("kind"), t["token"].alias("token"))
+
+
 def with_bigrams(tokens: DataFrame, key: Sequence[str]) -> DataFrame:
     """The tokens and each two of a document that follow each other, as one term; key names the document."""
     after = F.lead("token").over(Window.partitionBy(*key).orderBy("position"))

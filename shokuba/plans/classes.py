@@ -245,3 +245,18 @@ FROM grouped LEFT JOIN nation USING (job_type, employment_type)""", base=False)
 def pos18_text_scores(spark, d):
     """The six questions by job and employment type in the nation, its regions and places."""
     return rounded(text_scopes(_asked(spark, d), _LEVELS, ["job_type", "employment_type"], _ASKED))
+
+
+_SYNONYMS = {"リハビリ": "リハビリテーション", "電子カルテ": "電子カルテシステム", "主婦": "主夫主婦", "イチ": "一"}
+_STOP = ["経験", "資格", "応募", "募集", "仕事"]
+
+
+@query(f"""WITH {TEXTS}, runs AS (SELECT doc_id, job_type, unnest([{", ".join(f"{{'kind': '{k}', 'tokens': regexp_extract_all(all_text, '{p}')}}" for k, p in T.SCRIPT_RUNS)}], recursive := true) FROM texts),
+    words AS (SELECT doc_id, job_type, kind, unnest(tokens) AS raw FROM runs),
+    known AS (SELECT doc_id, job_type, kind, CASE raw {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SYNONYMS.items())} ELSE raw END AS token FROM words)
+    SELECT job_type, kind, token, count(*) AS count, count(DISTINCT doc_id) AS docs FROM known
+    WHERE length(token) >= 2 AND NOT (kind <> 'kanji' AND regexp_matches(token, '^[ー\\-─━┈┉┄・…。、！？\\s　]+$')) AND (kind = 'mixed' OR token NOT IN ({", ".join(f"'{x}'" for x in _STOP)})) GROUP BY ALL""", base=False)
+def txt01_script_tokens(spark, d):
+    """Words of all adverts by job and script: how often, and in how many adverts."""
+    words = T.script_tokens(advert_texts(spark, d), ["doc_id", "job_type"], "all_text", _SYNONYMS, _STOP)
+    return words.groupBy("job_type", "kind", "token").agg(F.count("*").alias("count"), F.countDistinct("doc_id").alias("docs"))

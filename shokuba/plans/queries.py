@@ -401,10 +401,19 @@ def pos13_salary_bands(spark, d):
     return rounded(P.salary_bands(adverts(spark, d), "salary", (20000, 40000, 60000), ["employment"]), 4)
 
 
-@query("""SELECT CASE WHEN grouping(prefecture) = 1 AND grouping(employment) = 1 THEN 'nation' WHEN grouping(employment) = 1 THEN 'prefecture' ELSE 'employment' END AS scope, prefecture, employment, count(*) AS n, round(avg(salary), 4) AS mean,
-    round(quantile_cont(salary, 0.25), 4) AS p25, round(quantile_cont(salary, 0.5), 4) AS median, round(quantile_cont(salary, 0.75), 4) AS p75, round(quantile_cont(salary, 0.9), 4) AS p90 FROM adverts GROUP BY GROUPING SETS ((), (prefecture), (employment)) HAVING count(*) >= 10""")
+@query(""", levels AS (SELECT 'nation' AS scope, CAST(NULL AS VARCHAR) AS prefecture, CAST(NULL AS VARCHAR) AS employment, salary, salary_high FROM adverts
+    UNION ALL SELECT 'prefecture', prefecture, NULL, salary, salary_high FROM adverts UNION ALL SELECT 'employment', NULL, employment, salary, salary_high FROM adverts),
+    q AS (SELECT scope, prefecture, employment, count(*) AS n, avg(salary) AS mean, quantile_cont(salary, 0.25) AS p25, quantile_cont(salary, 0.5) AS median, quantile_cont(salary, 0.75) AS p75, quantile_cont(salary, 0.9) AS p90,
+        count(*) FILTER (salary_high > 0) * 100.0 / count(*) AS range_pct, quantile_cont(salary_high - salary, 0.5) FILTER (salary_high > 0) AS range_median FROM levels GROUP BY ALL HAVING count(*) >= 10),
+    kept AS (SELECT l.*, row_number() OVER (PARTITION BY l.scope, l.prefecture, l.employment ORDER BY salary) AS i FROM levels l JOIN q
+        ON l.scope = q.scope AND l.prefecture IS NOT DISTINCT FROM q.prefecture AND l.employment IS NOT DISTINCT FROM q.employment AND salary BETWEEN p25 - 1.5 * (p75 - p25) AND p75 + 1.5 * (p75 - p25)),
+    t AS (SELECT scope, prefecture, employment, stddev_samp(salary) AS std, 2 * sum(i * salary) / (count(*) * sum(salary)) - (count(*) + 1) / CAST(count(*) AS DOUBLE) AS gini FROM kept GROUP BY ALL HAVING count(*) >= 10)
+    SELECT q.scope, q.prefecture, q.employment, n, round(mean, 4) AS mean, round(p25, 4) AS p25, round(median, 4) AS median, round(p75, 4) AS p75, round(p90, 4) AS p90, round(std, 4) AS std, round(gini, 4) AS gini,
+        round(range_pct, 4) AS range_pct, round(range_median, 4) AS range_median
+    FROM q JOIN t ON q.scope = t.scope AND q.prefecture IS NOT DISTINCT FROM t.prefecture AND q.employment IS NOT DISTINCT FROM t.employment""")
 def pos14_salary_distribution(spark, d):
-    return rounded(S.distribution(adverts(spark, d), {"nation": [], "prefecture": ["prefecture"], "employment": ["employment"]}, "salary"), 4)
+    levels = {"nation": [], "prefecture": ["prefecture"], "employment": ["employment"]}
+    return rounded(S.distribution(adverts(spark, d), levels, "salary", "salary_high"), 4)
 
 
 @query("""SELECT job_type, CAST(sum(c) AS BIGINT) AS total, count(*) AS units, round(sum(CASE WHEN r <= 1 THEN p ELSE 0 END), 6) AS top1_share, round(sum(CASE WHEN r <= 5 THEN p ELSE 0 END), 6) AS top5_share, round(sum(CASE WHEN r <= 10 THEN p ELSE 0 END), 6) AS top10_share,

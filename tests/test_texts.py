@@ -63,3 +63,21 @@ def test_split_is_linear_in_lines(spark):
     df = spark.createDataFrame([(text + "\n個人情報\nあと",)], "body string").select(split_template(F.col("body"), LEXICON.template, LEXICON.legal).alias("s"))
     s = df.first()["s"]
     assert s["original"] == text and s["template"] == "個人情報\nあと"
+
+
+def test_script_tokens_match_plain(spark):
+    from shokuba.operators.textmining import NOISE, SCRIPT_RUNS, script_tokens
+
+    r = random.Random(2)
+    texts = ["".join(r.choices("アイウー漢字語彙の、abc ・", k=r.randint(0, 40))) for _ in range(200)] + ["ーー", "訪問看護師募集中です", "電子カルテ導入", "漢" * 15, None]
+    synonyms, stop = {"アイ": "愛", "漢字": "文字", "ーー": "線です"}, ["語彙", "アア"]
+    want = []
+    for i, t in enumerate(texts):
+        for kind, p in SCRIPT_RUNS:
+            for m in re.finditer(p, t or ""):
+                w = synonyms.get(m.group(), m.group())
+                if len(w) >= 2 and not (kind != "mixed" and w in stop) and not (kind != "kanji" and re.search(NOISE, w)):
+                    want.append((i, kind, w))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    got = script_tokens(df, ["id"], "body", synonyms, stop).orderBy("id", "position").collect()
+    assert [(x.id, x.kind, x.token) for x in got] == want
