@@ -78,6 +78,37 @@ def salary_bands(df: DataFrame, value: str, edges: Sequence[float], by: Sequence
     return cross(out, [*by, "band"], within=by).join(median, [*by, "band"], "left")
 
 
+# Edges and names of pay bands by kind of pay; the last edge is the end of the last band.
+PAY_BANDS = {
+    "月給": ((0, 200000, 250000, 280000, 300000, 350000, 9999999), ("~20万", "20-25万", "25-28万", "28-30万", "30-35万", "35万+")),
+    "時給": ((0, 1200, 1400, 1600, 1800, 2000, 99999), ("~1200円", "1200-1400円", "1400-1600円", "1600-1800円", "1800-2000円", "2000円+")),
+}
+
+
+def pay_by_shift(df: DataFrame, by: Sequence[str], kind: str, pay: str, shift: str, region: str, place: str, least: int = 10, few: int = 2) -> DataFrame:
+    """Per `by`, kind of pay, region (and its places of `least` adverts or more), band of pay and shift type: count, median pay
+    cut to a whole number, and total, the adverts of the region or place. Kinds of pay of fewer than `least` adverts in a
+    group of `by`, and cells of fewer than `few`, are left out. Pay outside the bands and an unknown shift are `不明`.
+
+    Region and place are two levels of one table, and the medians of both come from counts in order (stats.places).
+    """
+    band = F.lit("不明")
+    for name, (edges, labels) in PAY_BANDS.items():
+        for low, high, label in zip(edges, edges[1:], labels):
+            band = F.when((F.col(kind) == name) & (F.col(pay) >= low) & (F.col(pay) < high), label).otherwise(band)
+    named = F.when(F.length(F.trim(F.col(shift))) > 0, F.col(shift)).otherwise("不明")
+    rows = known(df.filter(F.col(kind).isin(*PAY_BANDS)), [*by, region, pay]).select(*by, kind, region, place, pay, band.alias("band"), named.alias("shift"))
+    enough = rows.groupBy(*by, kind).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(*by, kind)
+    rows = rows.join(enough, [*by, kind])
+    keys = [*by, kind, region, place]
+    both = rows.withColumn(place, F.lit("")).unionByName(rows.filter(F.col(place).isNotNull()))  # "" is the region as a whole
+    total = both.groupBy(*keys).agg(F.count("*").alias("total")).filter((F.col(place) == "") | (F.col("total") >= least))
+    cells = both.groupBy(*keys, "band", "shift").agg(F.count("*").alias("count")).filter(F.col("count") >= few)
+    median = percentiles(both, [*keys, "band", "shift"], pay, (0.5,)).select(*keys, "band", "shift", F.col("q")[0].cast("long").alias("median"))
+    out = cells.join(total, keys).join(median, [*keys, "band", "shift"])
+    return out.withColumn(place, F.when(F.col(place) != "", F.col(place)))
+
+
 def grade_by_quartile(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """A-D by the quartile of a value (pay, or the composite of a text's quality) within its group, best first; quartiles
     are one row per group."""

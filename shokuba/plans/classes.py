@@ -10,7 +10,7 @@ from shokuba.functions.dictionaries import AGE_DECADES, BENEFITS, CONTENT, GENDE
 from shokuba.operators import rules
 from shokuba.operators import textmining as T
 from shokuba.operators.group_clusters import group_clusters
-from shokuba.operators.postings import classify_postings, feature_frequency
+from shokuba.operators.postings import PAY_BANDS, classify_postings, feature_frequency, pay_by_shift
 from shokuba.operators.texts import Lexicon, ask_texts, text_scopes
 from shokuba.plans.frames import table
 from shokuba.plans.queries import query, rounded
@@ -260,3 +260,26 @@ def txt01_script_tokens(spark, d):
     """Words of all adverts by job and script: how often, and in how many adverts."""
     words = T.script_tokens(advert_texts(spark, d), ["doc_id", "job_type"], "all_text", _SYNONYMS, _STOP)
     return words.groupBy("job_type", "kind", "token").agg(F.count("*").alias("count"), F.countDistinct("doc_id").alias("docs"))
+
+
+_SHIFTS = ["日勤のみ", "シフト制", "固定時間", "夜勤専従"]
+_BAND_SQL = " ".join(f"WHEN salary_type = '{n}' AND pay >= {low} AND pay < {high} THEN '{label}'" for n, (edges, labels) in PAY_BANDS.items() for low, high, label in zip(edges, edges[1:], labels))
+
+
+@query(f"""WITH paid AS (SELECT c_mktsegment AS job_type, n_name AS prefecture, o_orderpriority AS municipality, CASE WHEN l_linenumber % 3 = 0 THEN '時給' ELSE '月給' END AS salary_type,
+    CASE WHEN l_linenumber % 3 = 0 THEN 900 + l_partkey % 13 * 100 ELSE 150000 + l_partkey % 25 * 10000 END AS pay, {_pick(_SHIFTS, "l_suppkey")} AS shift
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    both_levels AS (SELECT *, CASE {_BAND_SQL} ELSE '不明' END AS band FROM (SELECT job_type, prefecture, '' AS municipality, salary_type, pay, shift FROM paid UNION ALL SELECT job_type, prefecture, municipality, salary_type, pay, shift FROM paid)),
+    sizes AS (SELECT job_type, salary_type, prefecture, municipality, count(*) AS total FROM both_levels GROUP BY ALL HAVING municipality = '' OR count(*) >= 10)
+    SELECT job_type, salary_type, prefecture, nullif(municipality, '') AS municipality, band, shift, count(*) AS count, CAST(trunc(median(pay)) AS BIGINT) AS median, any_value(total) AS total
+    FROM both_levels JOIN sizes USING (job_type, salary_type, prefecture, municipality) GROUP BY job_type, salary_type, prefecture, municipality, band, shift HAVING count(*) >= 2""", base=False)
+def pos13_pay_by_shift(spark, d):
+    """Bands of monthly and hourly pay by shift type in regions and their places."""
+    l, o, c, n = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
+    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    hourly = F.col("l_linenumber") % 3 == 0
+    rows = rows.select(
+        F.col("c_mktsegment").alias("job_type"), F.col("n_name").alias("prefecture"), F.col("o_orderpriority").alias("municipality"), F.when(hourly, "時給").otherwise("月給").alias("salary_type"),
+        F.when(hourly, 900 + F.col("l_partkey") % 13 * 100).otherwise(150000 + F.col("l_partkey") % 25 * 10000).alias("pay"), F.get(F.array(*[F.lit(x) for x in _SHIFTS]), (F.col("l_suppkey") % 4).cast("int")).alias("shift"),
+    )
+    return pay_by_shift(rows, ["job_type"], "salary_type", "pay", "shift", "prefecture", "municipality")
