@@ -222,11 +222,16 @@ asked AS MATERIALIZED (SELECT *, {" + ".join(f"diff_{n}" for n in LEXICON.differ
     {_best_sql({n: f"value_{n}" for n in LEXICON.values})} AS value_first FROM scored)"""
 
 
-@query(f"WITH {_ASKED_SQL} SELECT doc_id, round(template_ratio, 6) AS template_ratio, diff_total, tone, round(info, 6) AS info, people_age, people_life, value_first, {', '.join(f'value_{n}' for n in LEXICON.values)} FROM asked", base=False)
+def _rounded_up(df: DataFrame) -> DataFrame:
+    """rounded, with halves of the last digit moved up first: shares of counts often end there, and engines differ on them."""
+    return rounded(df.select(*[(F.col(c) + 1e-9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
+
+
+@query(f"WITH {_ASKED_SQL} SELECT doc_id, round(template_ratio + 1e-9, 6) AS template_ratio, diff_total, tone, round(info + 1e-9, 6) AS info, people_age, people_life, value_first, {', '.join(f'value_{n}' for n in LEXICON.values)} FROM asked", base=False)
 def fun46_six_questions(spark, d):
     """The answers of each advert's text."""
     out = _asked(spark, d).select("doc_id", "template_ratio", F.col("diff_total").cast("long").alias("diff_total"), "tone", "info", "people_age", "people_life", "value_first", *[F.col(f"value_{n}").cast("long").alias(f"value_{n}") for n in LEXICON.values])
-    return rounded(out)
+    return _rounded_up(out)
 
 
 def _mode_sql(c: str, what: str = "") -> str:
@@ -238,13 +243,13 @@ grouped AS (SELECT CASE WHEN grouping(municipality) = 0 THEN 'municipality' WHEN
     {", ".join(f"{f}({c}) AS {c}_{n}" for c in ("template_ratio", "diff_total", "info") for n, f in (("mean", "avg"), ("std", "stddev_pop")))}, {", ".join(f"list({c}) AS any_{c}" for c in _ASKED)}
     FROM asked GROUP BY GROUPING SETS ((job_type, employment_type), (job_type, employment_type, prefecture), (job_type, employment_type, prefecture, municipality)) HAVING count(*) >= 3),
 nation AS (SELECT job_type, employment_type, info_mean AS nation FROM grouped WHERE scope = 'nation')
-SELECT scope, job_type, employment_type, prefecture, municipality, n, {", ".join(f"round({c}_{x}, 6) AS {c}_{x}" for c in ("template_ratio", "diff_total", "info") for x in ("mean", "std"))},
-    CASE WHEN info_mean >= 0.20 THEN 'A' WHEN info_mean >= 0.14 THEN 'B' WHEN info_mean >= 0.10 THEN 'C' ELSE 'D' END AS grade, round(info_mean - nation, 6) AS gap,
-    {", ".join(f"coalesce({_mode_sql(c)}, '不明') AS {c}_mode, round(coalesce({_mode_sql(c, 'count(*)')}, 0) * 100.0 / n, 6) AS {c}_pct" for c in _ASKED)}
+SELECT scope, job_type, employment_type, prefecture, municipality, n, {", ".join(f"round({c}_{x} + 1e-9, 6) AS {c}_{x}" for c in ("template_ratio", "diff_total", "info") for x in ("mean", "std"))},
+    CASE WHEN info_mean >= 0.20 THEN 'A' WHEN info_mean >= 0.14 THEN 'B' WHEN info_mean >= 0.10 THEN 'C' ELSE 'D' END AS grade, round(info_mean - nation + 1e-9, 6) AS gap,
+    {", ".join(f"coalesce({_mode_sql(c)}, '不明') AS {c}_mode, round(coalesce({_mode_sql(c, 'count(*)')}, 0) * 100.0 / n + 1e-9, 6) AS {c}_pct" for c in _ASKED)}
 FROM grouped LEFT JOIN nation USING (job_type, employment_type)""", base=False)
 def pos18_text_scores(spark, d):
     """The six questions by job and employment type in the nation, its regions and places."""
-    return rounded(text_scopes(_asked(spark, d), _LEVELS, ["job_type", "employment_type"], _ASKED))
+    return _rounded_up(text_scopes(_asked(spark, d), _LEVELS, ["job_type", "employment_type"], _ASKED))
 
 
 _SYNONYMS = {"リハビリ": "リハビリテーション", "電子カルテ": "電子カルテシステム", "主婦": "主夫主婦", "イチ": "一"}
