@@ -18,6 +18,7 @@ _PREFECTURE = f"(?:{'|'.join(PREFECTURES)})"
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 _NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+_BLANK = r"[\s\x1C-\x1F\x85\p{Z}]"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -29,6 +30,22 @@ def fold_width(c: Column) -> Column:
     return F.translate(c, _WIDE, _NARROW)
 
 
+def nfkc(c: Column) -> Column:
+    """Compatibility composition (NFKC) of any text by the ICU library that Spark brings; texts of ASCII alone go past it."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))).otherwise(c)
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, rf"^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$", "")
+
+
+def tokens(c: Column) -> Column:
+    """Parts of a list in text, after NFKC, by commas, slashes, bars and middle dots; repeats stay, null gives none."""
+    parts = F.transform(F.split(nfkc(c), r"[、，,|／/・\u00B7\u2027\u2219]+"), stripped)
+    return F.coalesce(F.filter(parts, lambda x: x != ""), F.array().cast("array<string>"))
+
+
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null if there is none; digits and blanks of any width count."""
     return F.nullif(F.regexp_extract(c, f"(?U){pattern}", group), F.lit(""))

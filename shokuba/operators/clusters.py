@@ -88,3 +88,28 @@ def segment_names(df: DataFrame, age: str, areas: str) -> DataFrame:
     young = F.when(F.col("avg_age") < 30, "young").when(F.col("avg_age") < 45, "middle").when(F.col("avg_age") < 60, "older").otherwise("senior")
     wide = F.when(F.col("avg_areas") >= 10, "wide").when(F.col("avg_areas") >= 4, "several").otherwise("local")
     return out.withColumn("name", F.concat_ws(" ", young, wide)).withColumn("cluster", F.col("cluster").cast("int"))
+
+
+def place_ratios(adverts: DataFrame, place: str, pay: str, shares: dict[str, Column], least: int = 10) -> DataFrame:
+    """Per place with at least `least` adverts: their number, mean pay, and the share of adverts for which each condition
+    of `shares` holds (a null counts as not)."""
+    rates = [F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(n) for n, c in shares.items()]
+    out = adverts.filter(F.col(place).isNotNull()).groupBy(place).agg(F.count("*").alias("job_count"), F.avg(pay).alias("avg_salary"), *rates)
+    return out.filter(F.col("job_count") >= least)
+
+
+def ratio_labels(df: DataFrame, features: Sequence[str], lead: str) -> DataFrame:
+    """Per cluster of places: size, centre, and a label against the mean of all centres: many or few adverts (beyond 1.5
+    and 0.5 of it), high or low pay (1.05, 0.95), much of the share `lead` (1.2); else the standard kind."""
+    centres = df.groupBy("cluster").agg(F.count("*").alias("size"), *[F.avg(f).alias(f) for f in features])
+    judged = list(dict.fromkeys(["job_count", "avg_salary", lead]))
+    whole = centres.agg(*[F.avg(f).alias(f"_{f}") for f in judged])
+    out = centres.join(F.broadcast(whole), F.lit(True))  # one row
+
+    def beyond(name: str, high: float, low: float | None, above: str, below: str = "") -> Column:
+        label = F.when(F.col(name) > F.col(f"_{name}") * high, above)
+        return label if low is None else label.when(F.col(name) < F.col(f"_{name}") * low, below)
+
+    # The labels.
+    parts = F.concat_ws("・", beyond("job_count", 1.5, 0.5, "大都市圏", "地方"), beyond("avg_salary", 1.05, 0.95, "高給与", "低給与"), beyond(lead, 1.2, None, "介護中心"))
+    return out.withColumn("label", F.coalesce(F.nullif(parts, F.lit("")), F.lit("標準型"))).drop(*[f"_{f}" for f in judged])

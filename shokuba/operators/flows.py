@@ -49,12 +49,38 @@ def flow_balance(edges: DataFrame, origin: str, destination: str, count: str) ->
     return out.withColumn("in_share", F.try_divide(F.col("inflow").cast("double"), F.col("inflow") + F.col("outflow")))
 
 
-def realistic(edges: DataFrame, origin: str, destination: str, adjacent: DataFrame) -> DataFrame:
-    """Edges within one region or between regions that `adjacent` (src, dst) lists in either direction."""
-    both = adjacent.select("src", "dst").union(adjacent.select("dst", "src")).distinct()
+def realistic(edges: DataFrame, origin: str, destination: str, adjacent: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
+    """Edges within one region or between regions that `adjacent` (src, dst) lists in either direction, or that `drawn`
+    (src, dst) lists in this one. Both are dimension tables; the edges may be counts, so that few rows meet them."""
+    near = adjacent.select("src", "dst").union(adjacent.select("dst", "src"))
+    if drawn is not None:
+        near = near.union(drawn.select("src", "dst"))
     same = edges.filter(F.col(origin) == F.col(destination))
     other = edges.filter(F.col(origin) != F.col(destination))
-    return same.unionByName(other.join(both, (F.col(origin) == F.col("src")) & (F.col(destination) == F.col("dst")), "left_semi"))
+    return same.unionByName(other.join(near.distinct(), (F.col(origin) == F.col("src")) & (F.col(destination) == F.col("dst")), "left_semi"))
+
+
+def within_steps(adjacent: DataFrame, steps: int) -> DataFrame:
+    """src, dst, steps: places that are reached over at most `steps` borders, with the fewest; a place itself is left out.
+
+    adjacent (src, dst) is a dimension table and counts in either direction; a round joins it once.
+    """
+    both = adjacent.select("src", "dst").union(adjacent.select("dst", "src")).distinct().filter("src <> dst")
+    out = both.withColumn("steps", F.lit(1))
+    for i in range(2, steps + 1):
+        further = out.filter(F.col("steps") == i - 1).join(both.toDF("dst", "_next"), "dst").select("src", F.col("_next").alias("dst"), F.lit(i).alias("steps"))
+        out = out.union(further.filter("src <> dst")).groupBy("src", "dst").agg(F.min("steps").alias("steps"))
+    return out
+
+
+def neighbour_ranks(table: DataFrame, place: str, value: str, near: DataFrame) -> DataFrame:
+    """Each place (one row in `table`) among its neighbours in near (src, dst): how many have a value, their mean, how far
+    it lies off that mean, and its rank with them, equal values sharing one. Without neighbours rank 1, mean null."""
+    other = table.select(F.col(place).alias("dst"), F.col(value).alias("_other"))
+    of_place = near.join(other, "dst").select(F.col("src").alias(place), "_other")
+    out = table.select(place, value).join(of_place, place, "left").groupBy(place, value)
+    out = out.agg(F.count("_other").alias("neighbours"), F.avg("_other").alias("neighbour_mean"), (F.count_if(F.col("_other") > F.col(value)) + 1).alias("rank"))
+    return out.withColumn("deviation", F.col(value) - F.col("neighbour_mean"))
 
 
 def hub_scores(edges: DataFrame, origin: str, destination: str) -> DataFrame:

@@ -18,6 +18,7 @@ from shokuba.operators import quality as V
 from shokuba.operators import stats as S
 from shokuba.operators import textmining as T
 from shokuba.plans.frames import FLAGS, SQL, adverts, areas, people, places, table, wishes
+from shokuba.sources.scratch import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -655,17 +656,53 @@ def int01_integrated_resident(spark, d):
     return rounded(_row_types(_labelled(people(spark, d)), RESIDENT))
 
 
-@query()
+#: Whole numbers that some row types lack; in the long table all measures are doubles.
+WHOLE = ("count", "demand_count", "supply_count", "gap", "inflow", "outflow", "net_flow", "male", "female", "total")
+
+#: Row types that count people by how many places they want and how far these lie.
+MOBILE = {"WORKSTYLE_DESIRED_AREA_COUNT": ["employment", "area_band"], "WORKSTYLE_MOBILITY": ["employment", "mobility"]}
+
+
+def _typed(name: str, sql: str, *cats: str) -> str:
+    """A part of the integrated table: the rows of a query under a row type, its categories renamed."""
+    renamed = "".join(f", {c} AS category{i + 1}" for i, c in enumerate(cats))
+    return f"SELECT '{name}' AS row_type, * {f'EXCLUDE ({', '.join(cats)})' if cats else ''}{renamed} FROM ({sql})"
+
+
+def _placed(name: str) -> str:
+    """A query by municipality with the prefecture; a municipality has one."""
+    return f"SELECT q.*, prefecture FROM ({ORACLE_SQL[name]}) q JOIN (SELECT prefecture, municipality FROM places) USING (municipality)"
+
+
+_INTEGRATED = """, home AS (SELECT want_prefecture AS prefecture, want_municipality AS municipality, prefecture AS home_prefecture, municipality AS home_municipality, age, age_group, coalesce(gender, 'unknown') AS gender, employment, urgency, qualification_count,
+    CAST(has_license AS VARCHAR) AS license, CAST(qualification_count AS VARCHAR) AS qualifications FROM wishes),
+    residents AS (SELECT prefecture, municipality, age, age_group, coalesce(gender, 'unknown') AS gender, employment, qualification_count, CAST(has_license AS VARCHAR) AS license, CAST(qualification_count AS VARCHAR) AS qualifications FROM people),
+    wanted AS (SELECT person_id, count(DISTINCT want_municipality) AS n, count(DISTINCT want_municipality) FILTER (want_prefecture <> prefecture) AS outside FROM wishes GROUP BY 1),
+    mobile AS (SELECT people.*, CASE WHEN n < 2 THEN '1' WHEN n < 4 THEN '2-3' WHEN n < 10 THEN '4-9' ELSE '10+' END AS area_band,
+    CASE WHEN outside / CAST(n AS DOUBLE) >= 0.8 THEN 'A' WHEN outside / CAST(n AS DOUBLE) >= 0.5 THEN 'B' WHEN outside > 0 THEN 'C' ELSE 'D' END AS mobility FROM people JOIN wanted USING (person_id)) """ + f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in WHOLE)}) FROM (" + " UNION ALL BY NAME ".join([
+    f"SELECT * FROM ({_rows_sql('home', WANTED, 'want')})", f"SELECT * FROM ({_rows_sql('residents', RESIDENT, 'home')})", f"SELECT * FROM ({_rows_sql('mobile', MOBILE, 'home')})",
+    _typed("SUMMARY", ORACLE_SQL["agg01_map_metrics"]), _typed("GAP", ORACLE_SQL["agg21_demand_supply_gap"]), _typed("COMPETITION", _placed("agg23_competition")),
+    _typed("RARITY", """SELECT prefecture, municipality, age_group, gender, count(*) AS count, round(1.0 / count(*), 6) AS rarity_score, CASE WHEN count(*) <= 1 THEN 'S' WHEN count(*) <= 2 THEN 'A' WHEN count(*) <= 5 THEN 'B' WHEN count(*) <= 20 THEN 'C' ELSE 'D' END AS rarity_rank FROM people WHERE gender IS NOT NULL GROUP BY 1, 2, 3, 4""", "age_group", "gender"),
+    _typed("FLOW", f"SELECT * EXCLUDE (place), place AS municipality FROM ({ORACLE_SQL['agg58_flow_balance']})"),
+    _typed("DESIRED_AREA_PATTERN", f"SELECT place1 AS municipality, place2, count FROM ({ORACLE_SQL['agg30_desired_pairs']})", "place2"),
+    _typed("RETENTION", _placed("agg28_retention"), "employment"),
+]) + ")"
+
+
+@query(_INTEGRATED)
 def int01_integrated(spark, d):
-    """The integrated long table: row_type, place, categories, measures."""
-    p, w = people(spark, d), wishes(spark, d)
+    """The integrated long table: row_type, place, categories, measures. Wishes are joined once and read by every part."""
+    p, w = people(spark, d), cut_lineage(wishes(spark, d))
     named = lambda df, t, *cats: df.select(F.lit(t).alias("row_type"), "*").withColumnsRenamed({c: f"category{i + 1}" for i, c in enumerate(cats)})
     home = w.withColumnsRenamed({"prefecture": "home_prefecture", "municipality": "home_municipality"}).withColumnsRenamed({"want_prefecture": "prefecture", "want_municipality": "municipality"})
-    pairs = A.area_pairs(areas(spark, d), "person_id", "want_municipality", "want_prefecture", 20, 6)
+    pairs = A.area_pairs(w, "person_id", "want_municipality", "want_prefecture", 20, 6)
     flow = G.flow_balance(G.aggregate_flow(w.filter("municipality <> want_municipality"), ["municipality", "want_municipality"]), "municipality", "want_municipality", "flow_count")
+    wanted = w.groupBy("person_id").agg(F.countDistinct("want_municipality").alias("n"), F.countDistinct(F.when(F.col("want_prefecture") != F.col("prefecture"), F.col("want_municipality"))).alias("outside"))
+    mobile = p.join(wanted, "person_id").withColumns({"area_band": core.bands("n", (2, 4, 10), ("1", "2-3", "4-9", "10+")), "mobility": person.mobility_rank(person.mobility_score(F.col("outside"), F.col("n")))})
     return rounded(core.union_tables(
         _row_types(_labelled(home), WANTED),
         _row_types(_labelled(p), RESIDENT),
+        _row_types(mobile, MOBILE),
         named(A.map_metrics(p), "SUMMARY"),
         named(A.demand_supply_gap(home, p, HOME), "GAP"),
         named(A.competition(p, HOME), "COMPETITION"),
@@ -673,4 +710,4 @@ def int01_integrated(spark, d):
         named(flow.withColumnRenamed("place", "municipality"), "FLOW"),
         named(core.cross(pairs, ["place1", "place2"]).withColumnsRenamed({"place1": "municipality"}), "DESIRED_AREA_PATTERN", "place2"),
         named(A.retention(p, "employment", HOME), "RETENTION", "employment"),
-    ))
+    ).withColumns({c: F.col(c).cast("double") for c in WHOLE}))

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from shokuba.plans import panels, serving
+from shokuba.plans import classes, geography, panels, serving
 from shokuba.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-assert panels and serving  # they add to the queries
+assert classes and geography and panels and serving  # they add to the queries
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
