@@ -10,7 +10,7 @@ from shokuba.llm.decontaminate import drop_leaks
 from shokuba.llm.exact_dedup import drop_exact_duplicates
 from shokuba.llm.language import keep_known_languages
 from shokuba.llm.packing import pack
-from shokuba.llm.simhash import drop_near_duplicates
+from shokuba.llm.simhash import drop_near_duplicates, drop_near_fingerprints
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -26,9 +26,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles (found with 0.991 at 0.8 and over
-    0.999 at 0.85) the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Of documents whose SimHash fingerprints link at 4 or fewer bits the smallest doc_id stays; of those left, and linked by a
+    Jaccard similarity of 0.8 or more of their five-word shingles, which fingerprints can't tell, the smallest again."""
+    return drop_near_duplicates(stage(drop_near_fingerprints(docs), "near"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

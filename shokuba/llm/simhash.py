@@ -87,14 +87,14 @@ def simhash(text: str, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp for every row of `docs`; null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 4, *more: Column) -> DataFrame:
+    """doc_id, fp and the columns `more` for every row of `docs`; null text counts as empty."""
 
     @F.arrow_udf("long")
     def fp(texts: pa.Array) -> pa.Array:
         return pa.array((simhash(x.as_py(), shingle) for x in texts), pa.int64())
 
-    return docs.select("doc_id", fp(text_or_empty()).alias("fp"))
+    return docs.select("doc_id", fp(text_or_empty()).alias("fp"), *more)
 
 
 _LONGS = pa.list_(pa.int64())
@@ -300,9 +300,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     other. Null text counts as empty; a null doc_id is never the smallest unless a component holds no other. Only
     doc_id and text are read.
     """
-    rows = stage(fingerprints(docs, shingle), "fingerprints")
+    return _classes(*_fingerprint_links(docs, shingle, bits)).select("doc_id", "fp", "component_id")
+
+
+def _fingerprint_links(docs: DataFrame, shingle: int, bits: int, *more: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's fingerprint (and the columns `more`), the distinct ones, and the components of those that link."""
+    rows = stage(fingerprints(docs, shingle, *more), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    return _classes(rows, nodes, link_fingerprints(nodes.select("fp"), nodes.count(), bits)).select("doc_id", "fp", "component_id")
+    return rows, nodes, link_fingerprints(nodes.select("fp"), nodes.count(), bits)
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 7) -> DataFrame:
@@ -335,7 +340,17 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     Of rows with this doc_id and different texts the one with the smallest hash of its text stays; rows that repeat both
     are all kept (exact deduplication goes before). A null doc_id stays only where a class has no other.
     """
-    rows = _similar(docs, shingle, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _drop_others(docs, _similar(docs, shingle, similarity))
+
+
+def drop_near_fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """As drop_near_duplicates, for the classes of near_duplicates: SimHash fingerprints that link at `bits` or fewer bits."""
+    rows, nodes, linked = _fingerprint_links(docs, shingle, bits, F.xxhash64(text_or_empty()).alias("text_hash"))
+    return _drop_others(docs, _classes(rows, nodes, linked))
+
+
+def _drop_others(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    rows = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = rows.groupBy("component_fp").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("k"))
     kept = stage(kept.select(F.col("k.doc_id").alias("_kept"), F.col("k.text_hash").alias("_hash")), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64(text_or_empty()) == F.col("_hash"))

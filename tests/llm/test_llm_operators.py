@@ -171,6 +171,19 @@ def test_similar_documents_by_shingle_similarity(spark):
     assert drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_pipeline_links_fingerprints(spark):
+    """Repeats weigh in a fingerprint but not in a set of shingles, so only fingerprints link these two."""
+    import corpus_pipeline
+    from shokuba.llm.simhash import drop_near_fingerprints, near_duplicates
+
+    rows = [(5, "ja " * 200 + "one"), (3, "ja " * 200 + "two"), (9, words(80, 1)), (None, "a b"), (None, "c d")]
+    found = near_duplicates(docs(spark, rows)).collect()
+    assert {x.component_id for x in found if x.doc_id in (3, 5)} == {3}
+    for got in (drop_near_fingerprints(docs(spark, rows)), corpus_pipeline.near_dedup(spark, docs(spark, rows), "")):
+        assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 0, 3, 9]
+    assert drop_near_fingerprints(docs(spark, [])).count() == 0
+
+
 def test_similar_documents_recall_near_the_bound(spark):
     from shokuba.llm.simhash import similar_documents
 
