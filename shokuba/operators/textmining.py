@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shokuba.operators.core import top_n
-from shokuba.sources.scratch import cut_lineage
+from shokuba.sources.scratch import cut_lineage, written
 
 
 def tokenise(df: DataFrame, key: Sequence[str], text: str, pattern: str, least: int = 2, stop: Sequence[str] = (), synonyms: DataFrame | None = None) -> DataFrame:
@@ -135,83 +135,143 @@ def job_scopes(df: DataFrame, job: str, region: str, doc: str, top: int = 10) ->
 _ORDER = ("npmi", "pair_count", "word_a", "word_b")
 
 
-def _npmi_pairs(word: DataFrame, group: Sequence[str], pairs: DataFrame, least: Column) -> DataFrame:
-    """group, ia, ib, pair_count, npmi of counted pairs (group, ia, ib, da, db, n, pair_count) that reach `least`."""
-    p = F.col("pair_count") / F.col("n")
-    pmi = F.log2(F.col("pair_count") * F.col("n") / (F.col("da") * F.col("db")))
-    return pairs.withColumn("npmi", F.when(p < 1, pmi / -F.log2(p)).otherwise(1.0)).filter(F.col("npmi") >= least)
+def _npmi(pair_count: Column, da: Column, db: Column, n: Column) -> Column:
+    p = pair_count / n
+    return F.when(p < 1, F.log2(pair_count * n / (da * db)) / -F.log2(p)).otherwise(1.0)
 
 
 def _both(word: DataFrame, group: Sequence[str], doc: str, more: Sequence[str] = ()) -> DataFrame:
-    """Pairs of words of one document, the smaller id first: group, doc, ia, ib, da, db, n and the columns `more`."""
+    """Pairs of words of one document, the smaller id first: group, doc, ia, ib, da, db, n and for each of `more` two columns."""
     shared = [*group, doc]
-    a = word.select(*shared, F.col("id").alias("ia"), F.col("df").alias("da"), "n", *more)
-    b = word.select(*shared, F.col("id").alias("ib"), F.col("df").alias("db"))
+    a = word.select(*shared, F.col("id").alias("ia"), F.col("df").alias("da"), "n", *[F.col(c).alias(f"{c}_a") for c in more])
+    b = word.select(*shared, F.col("id").alias("ib"), F.col("df").alias("db"), *[F.col(c).alias(f"{c}_b") for c in more])
     return a.join(b, shared).filter(F.col("ia") < F.col("ib"))
 
 
-def pair_npmi(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_word: int = 3, min_pair: int = 5, least: float = 0.15, top: int = 100, sample: int = 8) -> DataFrame:
-    """Per group the `top` word pairs by normalised pointwise mutual information (NPMI) of sharing a document; ties by
-    pair_count, then by the words. Words in fewer than min_word documents go first, and those in fewer than min_pair.
+def _always_together(df: DataFrame, group: Sequence[str], top: int) -> DataFrame:
+    """The best `top` pairs, by _ORDER, of words that occur in the same documents: group, word_a, word_b, pair_count, npmi.
 
-    No document pairs all its words. First the pairs among one in `sample` words, by hash, are counted. They are pairs
-    like any others, so if a group has `top` of them, the last one's NPMI t is reached by the whole result too. From t
-    follows how many documents a word of d documents must share with any partner: n (d / n)^(1/t) at least. It then
-    shares one of its first d - that + 1 documents, in the order of their number of words, with each partner. So
-    candidates meet in these documents only, and what they share is counted for candidates alone. At t = 1 this is one
-    document a word, and words rarer than the last pair go. The result is the same for any `sample`.
+    Words of one class share `same`, 128 bits of all their documents. A class gives pairs of its first top + 1 words only,
+    since of its pairs the first `top` lie among these; and the best `top` classes hold the best `top` pairs.
     """
-    group = list(group)
-    word = cut_lineage(tokens.select(*group, doc, "token").distinct())
-    size = word.groupBy(*group, doc).agg(F.count("*").alias("words"))
-    n = size.groupBy(*group).agg(F.count(doc).alias("n"))
-    df = word.groupBy(*group, "token").agg(F.count("*").alias("df")).filter(F.col("df") >= max(min_word, min_pair))
-    df = df.join(n, group) if group else df.join(F.broadcast(n), F.lit(True))  # one row
-    df = cut_lineage(df.withColumn("id", F.xxhash64("token")))  # pairs are counted by 64-bit keys, which are narrow
-    word = cut_lineage(word.join(df, [*group, "token"]).drop("token").join(size, [*group, doc]))
-    names = df.select(*group, F.col("id"), "token")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        out = pairs.join(names.select(*group, F.col("id").alias("ia"), F.col("token").alias("ta")), [*group, "ia"])
-        out = out.join(names.select(*group, F.col("id").alias("ib"), F.col("token").alias("tb")), [*group, "ib"])
-        return out.select(*group, F.least("ta", "tb").alias("word_a"), F.greatest("ta", "tb").alias("word_b"), "pair_count", "npmi")
+    by = [*group, "df", "same"]
+    kept = top_n(df.filter("same is not null"), by, [F.asc("token")], top + 1)
+    classes = kept.groupBy(*by).agg(F.array_sort(F.collect_list("token")).alias("w"), F.first("n").alias("n")).filter(F.size("w") > 1)  # one n for a group
+    classes = classes.withColumn("npmi", _npmi(F.col("df"), F.col("df"), F.col("df"), F.col("n")))
+    best = [F.desc("npmi"), F.desc("df"), F.asc(F.col("w")[0])]
+    classes = top_n(classes, group, best, top) if group else classes.orderBy(*best).limit(top)
+    pairs = classes.select(*group, "df", "npmi", "w", F.posexplode("w").alias("i", "word_a"))
+    pairs = pairs.select(*group, "word_a", F.explode(F.slice("w", F.col("i") + 2, F.size("w"))).alias("word_b"), F.col("df").alias("pair_count"), "npmi")
+    order = [F.desc(c) if c in _ORDER[:2] else F.asc(c) for c in _ORDER]
+    return top_n(pairs, group, order, top) if group else pairs.orderBy(*order).limit(top)
 
-    counted = [*group, "ia", "ib", "da", "db", "n"]
+
+def pair_npmi(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_word: int = 3, min_pair: int = 5, least: float = 0.15, top: int = 100, sample: int = 32) -> DataFrame:
+    """Per group the `top` word pairs by normalised pointwise mutual information (NPMI) of sharing a document; ties by
+    pair_count, then by the words. Words in fewer than min_word documents go first, and those in fewer than min_pair.
+    `tokens` has a row for each token (doc, token) or, as arrays, for each document.
+    """
+    held = tokens.withColumn("token", F.explode("token")) if dict(tokens.dtypes)["token"].startswith("array") else tokens
+    return _pair_npmi(held.groupBy(*group, doc).agg(F.collect_set("token").alias("tokens")), doc, list(group), max(min_word, min_pair), min_pair, least, top, sample)
+
+
+def npmi_of_texts(docs: DataFrame, doc: str, text: str, pattern: str, group: Sequence[str] = (), min_word: int = 3, min_pair: int = 5, least: float = 0.15, top: int = 100, sample: int = 32) -> DataFrame:
+    """pair_npmi of the tokens of texts, as `tokenise` finds them. A text is a row, and its words are made different where it
+    lies; only if a document has several rows its words are gathered."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(pattern), 0), lambda w: F.length(w) >= 2))
+    sets = docs.select(*group, doc, F.coalesce(words, F.array().cast("array<string>")).alias("tokens")).filter(F.size("tokens") > 0)
+    if not docs.groupBy(*group, doc).count().filter("count > 1").isEmpty():
+        sets = sets.groupBy(*group, doc).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    return _pair_npmi(sets, doc, list(group), max(min_word, min_pair), min_pair, least, top, sample)
+
+
+def _pair_npmi(sets: DataFrame, doc: str, group: list[str], min_df: int, min_pair: int, least: float, top: int, sample: int) -> DataFrame:
+    """pair_npmi of the sets of different tokens of documents (group, doc, tokens).
+
+    No document pairs all its words. Words that occur in the same documents have an NPMI of 1, the highest, and are found
+    from counts and hashes of their documents alone; a group with `top` such pairs is done. In the others, pairs among
+    the `sample` rarest words of each document are counted, of words up to a frequency that at least 2,000 words of the
+    group have. Counts that leave some documents out are too low at most, so if a group has `top` such pairs, the last
+    one's NPMI t is reached by the whole result too. Two words reach t if they share (da db n^(t-1))^(1/(1+t)) documents
+    or more. Their first common one, in the order of the documents' number of words, is then so early in both words'
+    lists that as many can follow. So candidates meet in these documents only, and what they share is counted for
+    candidates alone. The result is the same for any `sample`.
+    """
+    known = sets.filter(F.col(doc).isNotNull())
+    n = cut_lineage(known.groupBy(*group).agg(F.count("*").alias("n")))
+    one = [F.bit_xor(F.xxhash64(doc, F.lit(seed))).alias(f"_x{seed}") for seed in (1, 2)]
+    df = sets.select(*group, doc, F.explode("tokens").alias("token")).groupBy(*group, "token").agg(F.count("*").alias("df"), F.count(doc).alias("_known"), *one).filter(F.col("df") >= min_df)
+    df = df.join(F.broadcast(n), group) if group else df.join(F.broadcast(n), F.lit(True))  # a row for each group
+    same = F.when(F.col("_known") == F.col("df"), F.struct("_x1", "_x2"))
+    df = written(df.select(*group, "token", F.xxhash64("token").alias("id"), "df", "n", same.alias("same")))
     order = [F.desc(c) if c in _ORDER[:2] else F.asc(c) for c in _ORDER]
-    rough = _both(word.filter(F.pmod("id", F.lit(sample)) == 0), group, doc).groupBy(*counted).agg(F.count("*").alias("pair_count"))
-    rough = _npmi_pairs(word, group, rough.filter(F.col("pair_count") >= min_pair), F.lit(least))
-    # the NPMI and count of the last of `top` pairs, if there are so many
+    certain = cut_lineage(_always_together(df, group, top))
+    done = certain.groupBy(*group).agg(F.count("*").alias("k")).filter(F.col("k") >= top)
+    if not group:
+        if not done.isEmpty():
+            return certain.select("word_a", "word_b", "pair_count", "npmi").orderBy(*order)
+        left, words = n, df
+        rows = known
+    else:
+        full = cut_lineage(done.select(*group))
+        left = cut_lineage(n.join(F.broadcast(full), group, "left_anti"))
+        if left.isEmpty():
+            return certain.select(*group, "word_a", "word_b", "pair_count", "npmi")
+        words = df.join(F.broadcast(left.select(*group)), group, "left_semi")  # groups are few
+        rows = known.join(F.broadcast(left.select(*group)), group, "left_semi")
+    rows = rows.select(*group, doc, F.size("tokens").alias("words"), F.explode("tokens").alias("token"))
+    rows = rows.select(*group, doc, "words", F.xxhash64("token").alias("id"))
+    word = written(rows.join(words.select(*group, "id", "df", "n"), [*group, "id"]).select(*group, "id", doc, "words", "df", "n"))
+
+    # a floor for NPMI from pairs of rare words
+    sizes = words.groupBy(*group, "df").agg(F.count("*").alias("_k"))
+    upto = Window.partitionBy(*group).orderBy("df").rowsBetween(Window.unboundedPreceding, -1)
+    rare = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(upto), F.lit(0))).filter("_before < 2000").groupBy(*group).agg(F.max("df").alias("_most"))
+    some = word.join(F.broadcast(rare), group) if group else word.join(F.broadcast(rare), F.lit(True))  # a row for each group
+    some = top_n(some.filter(F.col("df") <= F.col("_most")), [*group, doc], [F.asc("df"), F.asc("id")], sample)
+    counted = [*group, "ia", "ib", "da", "db", "n"]
+    rough = _both(some, group, doc).groupBy(*counted).agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
+    rough = rough.select(*group, "ia", "ib", _npmi(F.col("pair_count"), F.col("da"), F.col("db"), F.col("n")).alias("npmi")).filter(F.col("npmi") >= least)
     if group:
-        last = top_n(rough, group, [F.desc("npmi"), F.desc("pair_count"), F.asc("ia"), F.asc("ib")], top, "_r").filter(F.col("_r") == top)
-        last = last.select(*group, F.col("npmi").alias("_t"), F.col("pair_count").alias("_c"))
-        bound = cut_lineage(n.join(last, group, "left").drop("n"))
-        word = word.join(bound, group)
+        last = top_n(rough, group, [F.desc("npmi"), F.asc("ia"), F.asc("ib")], top, "_r").filter(F.col("_r") == top).select(*group, F.col("npmi").alias("_t"))
+        bound = left.select(*group).join(last, group, "left")
     else:
-        last = rough.orderBy(F.desc("npmi"), F.desc("pair_count")).limit(top).agg(F.min(F.when(F.lit(True), F.struct("npmi", "pair_count"))).alias("l"), F.count("*").alias("k"))
-        full = F.col("k") == top
-        bound = cut_lineage(last.select(F.when(full, F.col("l.npmi")).alias("_t"), F.when(full, F.col("l.pair_count")).alias("_c")))
-        word = word.join(F.broadcast(bound), F.lit(True))  # one row
-    t = F.greatest(F.coalesce("_t", F.lit(least)), F.lit(least))
-    n_, d_ = F.col("n").cast("double"), F.col("df")
-    whole = F.coalesce((F.col("_t") >= 1 - 1e-12) & (d_ < F.col("_c")), F.lit(False))
-    need = F.greatest(F.ceil(n_ * F.pow(d_ / n_, 1 / t) * (1 - 1e-9)), F.lit(min_pair))  # lowered by more than its rounding
-    word = word.withColumn("_t", t * (1 - 1e-9)).filter(~whole).withColumn("_first", d_ - need + 1).filter("_first > 0")
+        bound = rough.orderBy(F.desc("npmi")).limit(top).agg(F.count("*").alias("k"), F.min("npmi").alias("m")).select(F.when(F.col("k") == top, F.col("m")).alias("_t"))
+    bound = cut_lineage(bound.withColumn("_t", F.least(F.greatest(F.coalesce("_t", F.lit(least)), F.lit(least)) * (1 - 1e-9), F.lit(1.0))))
+    word = word.join(F.broadcast(bound), group) if group else word.join(F.broadcast(bound), F.lit(True))  # a row for each group
+
+    def need(a: Column, b: Column) -> Column:
+        """The fewest documents that words of a and b documents share, lowered by more than its rounding."""
+        share = F.pow(a.cast("double") * b * F.pow(F.col("n").cast("double"), F.col("_t") - 1), 1 / (1 + F.col("_t")))
+        return F.greatest(F.ceil(share * (1 - 1e-9)), F.lit(min_pair))
+
+    # the rarest partner that a word can have asks for the fewest documents
+    d, n_ = F.col("df"), F.col("n").cast("double")
+    fewest = F.greatest(F.ceil(n_ * F.pow(d / n_, 1 / F.col("_t")) * (1 - 1e-9)), F.lit(min_pair))
+    word_first = word.withColumn("_first", d - fewest + 1).filter("_first > 0")
     # the first documents of a word, in two steps, so that no word's documents are sorted in one task
     rank = [F.asc("words"), F.asc(F.xxhash64(doc)), F.asc(doc)]
-    salted = word.withColumn("_s", F.pmod(F.xxhash64(doc), F.ceil(d_ / 50_000)))
+    salted = word_first.withColumn("_s", F.pmod(F.xxhash64(doc), F.ceil(d / 50_000)))
     salted = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "id", "_s").orderBy(*rank))).filter("_r <= _first")
     first = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "id").orderBy(*rank))).filter("_r <= _first")
-    # a pair shares at most the rarer word's documents, which bounds its NPMI before it is made
+    met = _both(first, group, doc, ["_r", "_t"]).withColumnRenamed("_t_a", "_t")
     reach = F.greatest("da", "db") <= n_ * F.pow(F.least("da", "db") / n_, F.col("_t")) * (1 + 1e-9)
-    met = _both(first, group, doc, ["_t"]).filter(reach).select(*counted, "_t").distinct()
+    least_both = need(F.col("da"), F.col("db"))
+    late = (F.col("da") - F.col("_r_a") + 1 >= least_both) & (F.col("db") - F.col("_r_b") + 1 >= least_both)
+    met = written(met.filter(reach & late).select(*counted, "_t").distinct())
     # documents of the rarer word that hold the other one too
     rarer = F.col("da") <= F.col("db")
     met = met.withColumns({"_a": F.when(rarer, F.col("ia")).otherwise(F.col("ib")), "_b": F.when(rarer, F.col("ib")).otherwise(F.col("ia"))})
     held = met.join(word.select(*group, doc, F.col("id").alias("_a")), [*group, "_a"]).join(word.select(*group, doc, F.col("id").alias("_b")), [*group, doc, "_b"])
     pairs = held.groupBy(*counted, "_t").agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
-    pairs = _npmi_pairs(word, group, pairs, F.greatest(F.col("_t"), F.lit(least)))
-    pairs = named(pairs.drop("_t"))
-    return top_n(pairs, group, order, top) if group else pairs.orderBy(*order).limit(top)
+    pairs = pairs.withColumn("npmi", _npmi(F.col("pair_count"), F.col("da"), F.col("db"), F.col("n"))).filter(F.col("npmi") >= F.greatest(F.col("_t"), F.lit(least)))
+    names = words.select(*group, "id", "token")
+    pairs = pairs.join(names.select(*group, F.col("id").alias("ia"), F.col("token").alias("ta")), [*group, "ia"])
+    pairs = pairs.join(names.select(*group, F.col("id").alias("ib"), F.col("token").alias("tb")), [*group, "ib"])
+    pairs = pairs.select(*group, F.least("ta", "tb").alias("word_a"), F.greatest("ta", "tb").alias("word_b"), "pair_count", "npmi")
+    if not group:
+        return pairs.orderBy(*order).limit(top)
+    return top_n(pairs, group, order, top).unionByName(certain.join(F.broadcast(full), group, "left_semi").select(*group, "word_a", "word_b", "pair_count", "npmi"))
 
 
 def association_rules(df: DataFrame, items: str, support: float = 0.01, confidence: float = 0.3, lift: float = 1.2) -> DataFrame:

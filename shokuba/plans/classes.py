@@ -158,8 +158,7 @@ def clu01_group_clusters(spark, d):
 def txt07_npmi_scopes(spark, d):
     """The strongest word pairs of each language, in all sources and in its ten largest."""
     docs = T.job_scopes(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), "lang", "source", "doc_id")
-    tokens = T.tokenise(docs, ["doc_id", "lang", "scope"], "text", r"[a-zà-ÿ]+")
-    return rounded(T.pair_npmi(tokens, "doc_id", ["lang", "scope"]), 5)
+    return rounded(T.npmi_of_texts(docs, "doc_id", "text", r"[a-zà-ÿ]+", ["lang", "scope"]), 5)
 
 
 #: A small lexicon over what the phrases say; ask_texts takes any other.

@@ -525,8 +525,7 @@ def txt06_flag_association(spark, d):
     p AS (SELECT a.token AS word_a, b.token AS word_b, a.df AS da, b.df AS db, count(*) AS pair_count FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.token < b.token GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5)
     SELECT word_a, word_b, pair_count, round(npmi, 5) AS npmi FROM (SELECT *, log2(pair_count * n / CAST(da * db AS DOUBLE)) / -log2(pair_count / CAST(n AS DOUBLE)) AS npmi FROM p, n WHERE pair_count < n) WHERE npmi >= 0.15 ORDER BY npmi DESC, pair_count DESC, word_a, word_b LIMIT 100""", base=False)
 def txt07_npmi(spark, d):
-    tokens = T.tokenise(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", r"[a-zà-ÿ]+")
-    return rounded(T.pair_npmi(tokens, "doc_id"), 5)
+    return rounded(T.npmi_of_texts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", r"[a-zà-ÿ]+"), 5)
 
 
 @query()

@@ -57,3 +57,15 @@ def test_without_groups_and_empty(spark):
     got = [tuple(x)[:3] for x in pair_npmi(df, "doc", top=2, sample=1).collect()]
     assert got == [("a", "b", 9), ("a", "c", 9)]
     assert pair_npmi(df.limit(0), "doc").count() == 0
+
+
+def test_words_always_together_need_no_pairs_of_documents(spark, monkeypatch):
+    """A group whose best pairs are words of the same documents is done from counts; rows of one document count once."""
+    from shokuba.operators import textmining as T
+
+    texts = [(d, f"Aa bb cc x{d} y") for d in range(6)] + [(9, "aa bb"), (9, "cc bb"), (None, "y aa")]
+    df = spark.createDataFrame(texts, "doc long, text string")
+    want = [tuple(x) for x in pair_npmi(T.tokenise(df, ["doc"], "text", "[a-z]+"), "doc", top=1).collect()]
+    monkeypatch.setattr(T, "_both", None)  # pairs within documents
+    got = [tuple(x) for x in T.npmi_of_texts(df, "doc", "text", "[a-z]+", top=1).collect()]
+    assert got == want and got[0][:3] == ("bb", "cc", 7)
