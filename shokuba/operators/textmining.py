@@ -76,6 +76,52 @@ def tf_idf(tokens: DataFrame, doc: str, group: Sequence[str] = (), min_df: int |
     return top_n(scored, group, order, top) if group else scored.orderBy(*order).limit(top)
 
 
+def _words(text: str, pattern: str, least: int) -> Column:
+    return F.coalesce(F.filter(F.regexp_extract_all(F.lower(text), F.lit(pattern), 0), lambda w: F.length(w) >= least), F.array().cast("array<string>"))
+
+
+def tf_idf_of_texts(docs: DataFrame, doc: str, text: str, pattern: str, least: int = 2, min_df: int | None = None, max_df: float = 0.95, terms: int = 3000, top: int = 50, buckets: int = 2**18) -> DataFrame:
+    """tf_idf of the words of texts, as `tokenise` finds them, and of each two that follow each other (with_bigrams).
+
+    Terms are counted where the text lies, not for each document first. The words alone give a frequency that the `terms`
+    most frequent ones reach, and pairs are counted by a hash in `buckets` numbers: a pair can only be among them if its
+    bucket reaches it. So only such pairs are counted one by one, and only the chosen terms by document. The result is the
+    same for any number of buckets. If a document has several rows, their words are gathered first.
+    """
+    rows = docs.select(doc, _words(text, pattern, least).alias("w")).filter(F.size("w") > 0)
+    if not docs.groupBy(doc).count().filter("count > 1").isEmpty():
+        rows = rows.groupBy(doc).agg(F.flatten(F.collect_list("w")).alias("w"))
+    n = cut_lineage(rows.agg(F.count(doc).alias("n")))  # one row
+    size = F.size("w")
+    pairs = F.zip_with(F.slice("w", F.lit(1), size - 1), F.slice("w", F.lit(2), size), lambda a, b: F.concat_ws(" ", a, b))
+
+    def counted(found: DataFrame) -> DataFrame:
+        """token, df, cf of arrays `t` of one document each."""
+        once, every = found.select(F.explode(F.array_distinct("t")).alias("token"), F.lit(1).alias("d")), found.select(F.explode("t").alias("token"), F.lit(0).alias("d"))
+        return once.union(every).groupBy("token").agg(F.sum("d").alias("df"), F.count_if(F.col("d") == 0).alias("cf"))
+
+    few = F.lit(min_df) if min_df is not None else F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.col("n") / 100)))
+
+    def fit(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(n), F.lit(True)).filter((F.col("df") >= few) & (F.col("df") <= F.col("n") * max_df))  # one row
+
+    order = [F.desc("cf"), F.asc("token")]
+    words = cut_lineage(fit(counted(rows.select(F.col("w").alias("t")))).orderBy(*order).limit(terms))
+    low = words.agg(F.when(F.count("*") == terms, F.min("cf")).alias("low")).select(F.coalesce("low", F.lit(0)).alias("low"))
+    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets))
+    each = rows.select(doc, F.explode(pairs).alias("token"))
+    full = each.groupBy(bucket.alias("b")).agg(F.count("*").alias("c")).join(F.broadcast(low), F.lit(True)).filter(F.col("c") >= F.col("low"))  # one row
+    full = cut_lineage(full.select("b"))  # `buckets` rows at most
+    some = each.withColumn("b", bucket).join(F.broadcast(full), "b").groupBy(doc, "token").agg(F.count("*").alias("tf"))
+    both = words.unionByName(fit(some.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))).select(*words.columns)).orderBy(*order).limit(terms)
+    chosen = cut_lineage(both.select("token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    tf = rows.select(doc, F.explode(F.concat("w", pairs)).alias("token")).join(F.broadcast(chosen), "token").filter(F.col(doc).isNotNull())  # `terms` rows
+    w = tf.groupBy(doc, "token").agg(F.count("*").alias("tf"), F.first("idf").alias("idf")).withColumn("w", (1 + F.ln("tf")) * F.col("idf"))  # one idf for a token
+    own = w.groupBy(doc).agg(F.collect_list(F.struct("token", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # `terms` at most
+    scored = own.select("norm", F.explode("t").alias("t")).groupBy("t.token").agg(F.count("*").alias("df"), F.avg(F.col("t.w") / F.col("norm")).alias("score"))
+    return scored.orderBy(F.desc(F.round("score", 9)), F.asc("token")).limit(top)
+
+
 def extra_keywords(tokens: DataFrame, doc: str, vocabulary: DataFrame, group: Sequence[str] = (), top: int = 50) -> DataFrame:
     """Per group the `top` terms outside of `vocabulary` (group, token) by tf x (ln(n / df) + 1): token, tf, df, score."""
     n = tokens.groupBy(*group).agg(F.countDistinct(doc).alias("n"))

@@ -492,8 +492,7 @@ _PAIRS = r"""WITH l AS (SELECT doc_id, lang, source, regexp_extract_all(lower(te
     x AS (SELECT doc_id, token, (1 + ln(tf)) * idf AS w FROM tf JOIN top USING (token)), norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1)
     SELECT token, df, round(score, 5) AS score FROM (SELECT token, count(*) AS df, avg(w / norm) AS score FROM x JOIN norm USING (doc_id) GROUP BY 1) ORDER BY round(score, 9) DESC, token LIMIT 50""", base=False)
 def txt03_tf_idf(spark, d):
-    tokens = T.tokenise(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", r"[a-zà-ÿ]+")
-    return rounded(T.tf_idf(T.with_bigrams(tokens, ["doc_id"]), "doc_id").drop("_rank"), 5)
+    return rounded(T.tf_idf_of_texts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", r"[a-zà-ÿ]+"), 5)
 
 
 @query(_PAIRS + """, n AS (SELECT count(DISTINCT doc_id) AS n FROM tokens), known AS (SELECT token FROM one GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 1000)

@@ -69,3 +69,19 @@ def test_words_always_together_need_no_pairs_of_documents(spark, monkeypatch):
     monkeypatch.setattr(T, "_both", None)  # pairs within documents
     got = [tuple(x) for x in T.npmi_of_texts(df, "doc", "text", "[a-z]+", top=1).collect()]
     assert got == want and got[0][:3] == ("bb", "cc", 7)
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_tf_idf_of_texts_counts_few_terms(spark, buckets):
+    """The same as from tokens, with ties at the last term, null documents and empty texts; the tokens' table is not made."""
+    from shokuba.operators import textmining as T
+
+    r = random.Random(2)
+    texts = [(d, " ".join(r.choices([f"w{chr(97 + i)}" for i in range(20)], [1 / (i + 1) for i in range(20)], k=30))) for d in range(36)]
+    df = spark.createDataFrame([*texts, (None, "wa wb"), (50, ""), (51, None)], "doc long, text string")
+    tokens = T.with_bigrams(T.tokenise(df, ["doc"], "text", "[a-z]+"), ["doc"])
+    for terms in (15, 40, 3000):
+        want = [(x.token, x.df, round(x.score, 9)) for x in T.tf_idf(tokens, "doc", terms=terms).collect()]
+        got = T.tf_idf_of_texts(df, "doc", "text", "[a-z]+", terms=terms, buckets=buckets)
+        assert [(x.token, x.df, round(x.score, 9)) for x in got.collect()] == want
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
