@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shokuba.operators.core import scopes, suppress
 from shokuba.operators.postings import GRADES
 from shokuba.operators.rules import scan_pattern
+from shokuba.sources.scratch import written
 
 Terms = Sequence[tuple[str, int]]
 
@@ -142,8 +143,9 @@ def text_scopes(asked: DataFrame, levels: Mapping[str, Sequence[str]], job: Sequ
     `kinds` the most frequent answer (first by name on ties) with its share; `不明` counts for no answer."""
     numbers = ["template_ratio", "diff_total", "info"]
     measures = [F.count("*").alias("n"), *[f(c).alias(f"{c}_{n}") for c in numbers for n, f in (("mean", F.avg), ("std", F.stddev_pop))]]
-    out = suppress(scopes(asked, dict(levels), measures), "n", least)
     every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
+    asked = written(asked.select(*every, *numbers, *kinds))  # read twice, and its texts are much work
+    out = suppress(scopes(asked, dict(levels), measures), "n", least)
     keys = ["scope", *every]
     # answers are few, so their counts are small tables; one row for each level and group remains
     tall = asked.select(*every, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("answer")) for k in kinds])).alias("a")).select(*every, "a.*")

@@ -81,3 +81,20 @@ def test_script_tokens_match_plain(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
     got = script_tokens(df, ["id"], "body", synonyms, stop).orderBy("id", "position").collect()
     assert [(x.id, x.kind, x.token) for x in got] == want
+
+
+def test_text_scopes_asks_each_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from shokuba.operators.texts import text_scopes
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def ask(i):
+        asked.add(1)
+        return float(i)
+
+    df = spark.range(12, numPartitions=2).select(F.lit("a").alias("job"), F.col("id").alias("diff_total"), F.lit("calm").alias("tone"), F.lit(0.5).alias("info"), F.udf(ask, "double")("id").alias("template_ratio"))
+    got = text_scopes(df, {"nation": ["job"]}, ["job"], ["tone"]).collect()
+    assert [(r.n, r.template_ratio_mean, r.tone_mode, r.tone_pct) for r in got] == [(12, 5.5, "calm", 100.0)]
+    assert asked.value == 12
