@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,18 +51,26 @@ def working_hours(c: Column) -> Column:
     return F.struct(starts.alias("starts"), ends.alias("ends"), F.size(pairs).alias("n"), (F.exists(ends, lambda e: e > 24) & ~F.contains(c, F.lit("夜勤なし"))).alias("night"))
 
 
-def flags(c: Column, dictionary: Mapping[str, str]) -> dict[str, Column]:
+#: Whether a text holds a pattern, never null; rules.Scan.held answers from one pass over a text for all patterns.
+Held = Callable[[Column, str], Column]
+
+
+def holds(c: Column, pattern: str) -> Column:
+    return F.coalesce(c.rlike(f"(?U){pattern}"), F.lit(False))
+
+
+def flags(c: Column, dictionary: Mapping[str, str], held: Held = holds) -> dict[str, Column]:
     """One boolean per entry (name: pattern); null text has none."""
-    return {name: F.coalesce(c.rlike(f"(?U){pattern}"), F.lit(False)) for name, pattern in dictionary.items()}
+    return {name: held(c, pattern) for name, pattern in dictionary.items()}
 
 
-def tags(c: Column, dictionary: Mapping[str, str]) -> Column:
+def tags(c: Column, dictionary: Mapping[str, str], held: Held = holds) -> Column:
     """Names of all entries whose pattern is found, in the dictionary's order."""
-    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in flags(c, dictionary).items()]))
+    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in flags(c, dictionary, held).items()]))
 
 
-def flag_score(c: Column, dictionary: Mapping[str, str]) -> Column:
-    return reduce(lambda a, b: a + b, [x.cast("int") for x in flags(c, dictionary).values()])
+def flag_score(c: Column, dictionary: Mapping[str, str], held: Held = holds) -> Column:
+    return reduce(lambda a, b: a + b, [x.cast("int") for x in flags(c, dictionary, held).values()])
 
 
 def first_of(c: Column, ladder: Sequence[tuple[str, str]], otherwise: str | None = None) -> Column:
@@ -126,19 +135,29 @@ def tier_label(scores: Mapping[str, Mapping[str, Column]], patterns: Sequence[tu
     return F.when(best >= least, best_of(fit)).otherwise(F.concat_ws("×", *winner.values()))
 
 
-def advert_tags(c: Column) -> Column:
-    """Tags of an advert's text: by the word itself, another wording or a pattern; the holiday rule adds 4週8休以上."""
-    def pattern(tag: str) -> str:
-        words = "|".join(f"\\Q{w}\\E" for w in (tag, *TAG_SYNONYMS.get(tag, ())))
-        return "|".join((words, TAG_PATTERNS[tag])) if tag in TAG_PATTERNS else words
+#: Of each tag the patterns that mean it: the word itself, other wordings, a pattern; the holiday rule adds 4週8休以上.
+TAG_WORDS = {t: [*map(re.escape, (t, *TAG_SYNONYMS.get(t, ()))), *([TAG_PATTERNS[t]] if t in TAG_PATTERNS else [])] for t in TAGS} | {"4週8休以上": ["4週8休", "4週[89]休"]}
+
 
-    found = {t: pattern(t) for t in TAGS} | {"4週8休以上": r"\Q4週8休\E|4週[89]休"}
-    return tags(c, found)
+def advert_tags(c: Column, held: Held = holds) -> Column:
+    """Tags of an advert's text."""
+    return tags(c, {t: "|".join(words) for t, words in TAG_WORDS.items()}, held)
 
 
-def benefit_flags(c: Column) -> dict[str, Column]:
+def benefit_flags(c: Column, held: Held = holds) -> dict[str, Column]:
     """The 25 benefit flags of a text."""
-    return flags(c, BENEFITS)
+    return flags(c, BENEFITS, held)
+
+
+def advert_patterns() -> dict[str, list[str]]:
+    """All that advert_tags, benefit_flags, decades and gender_and_stage ask of a text, for one pass (rules.Scan)."""
+    alone = [*BENEFITS.values(), *(p for ps in (*AGE_DECADES.values(), *GENDER_SIGNALS.values(), *LIFE_STAGES.values()) for p in ps)]
+    return {"|".join(words): words for words in TAG_WORDS.values()} | {p: [p] for p in alone}
+
+
+def content_patterns() -> dict[str, list[str]]:
+    """All that `content` asks of a text."""
+    return {"|".join(ps): list(ps) for ps in CONTENT.values()} | {p: [p] for ps in TONES.values() for p in ps}
 
 
 def benefit_score(c: Column) -> Column:
@@ -172,9 +191,9 @@ def hour_bands(start: Column, end: Column) -> tuple[Column, Column]:
     return F.coalesce(s, F.lit("不明")), F.coalesce(e, F.lit("不明"))
 
 
-def age_signals(c: Column, patterns: Mapping[str, Sequence[str]]) -> Column:
+def age_signals(c: Column, patterns: Mapping[str, Sequence[str]], held: Held = holds) -> Column:
     """struct<scores,primary,all> of decades by the number of their patterns in a text; the youngest wins a tie."""
-    scores = {d: reduce(lambda a, b: a + b, [F.coalesce(c.rlike(f"(?U){p}"), F.lit(False)).cast("int") for p in ps]) for d, ps in patterns.items()}
+    scores = {d: reduce(lambda a, b: a + b, [held(c, p).cast("int") for p in ps]) for d, ps in patterns.items()}
     every = F.array_compact(F.array(*[F.when(s >= 1, F.lit(d)) for d, s in scores.items()]))
     return F.struct(F.struct(*[s.alias(d) for d, s in scores.items()]).alias("scores"), F.when(F.size(every) > 0, best_of(scores)).alias("primary"), every.alias("all"))
 
@@ -258,13 +277,13 @@ def holiday_score(days: Column) -> Column:
     return F.when(days <= 0, 0).when(days >= 120, 4).when(days >= 105, 3).when(days >= 96, 2).otherwise(1)
 
 
-def content(c: Column) -> Column:
+def content(c: Column, held: Held = holds) -> Column:
     """struct<categories,primary,tone,detail> of a job description; one under 10 characters has none, unknown and low.
 
     The primary task is the first category found; a tone needs two of its marks, urgent before casual before formal.
     """
-    found = tags(c, {name: "|".join(patterns) for name, patterns in CONTENT.items()})
-    marks = {tone: flag_score(c, {p: p for p in patterns}) for tone, patterns in TONES.items()}
+    found = tags(c, {name: "|".join(patterns) for name, patterns in CONTENT.items()}, held)
+    marks = {tone: flag_score(c, {p: p for p in patterns}, held) for tone, patterns in TONES.items()}
     tone = F.when(marks["urgent"] >= 2, "urgent").when(marks["casual"] >= 2, "casual").when(marks["formal"] >= 2, "formal").otherwise("neutral")
     n = F.length(c)
     detail = F.when(n >= 500, "high").when(n >= 200, "medium").otherwise("low")
@@ -275,16 +294,16 @@ def content(c: Column) -> Column:
     )
 
 
-def decades(c: Column) -> Column:
+def decades(c: Column, held: Held = holds) -> Column:
     """age_signals by the fixed patterns."""
-    return age_signals(c, AGE_DECADES)
+    return age_signals(c, AGE_DECADES, held)
 
 
-def gender_and_stage(c: Column) -> Column:
+def gender_and_stage(c: Column, held: Held = holds) -> Column:
     """struct<female,male,signal,stages,primary>: scores by patterns, which side leans, and the life stages named, the one
     with most patterns first and in the order of life on ties. A stage around birth or return leans female by itself."""
-    f, m = (flag_score(c, {p: p for p in GENDER_SIGNALS[k]}) for k in ("female", "male"))
-    scored = F.array(*[F.struct(flag_score(c, {p: p for p in patterns}).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, patterns) in enumerate(LIFE_STAGES.items())])
+    f, m = (flag_score(c, {p: p for p in GENDER_SIGNALS[k]}, held) for k in ("female", "male"))
+    scored = F.array(*[F.struct(flag_score(c, {p: p for p in patterns}, held).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, patterns) in enumerate(LIFE_STAGES.items())])
     stages = F.transform(F.sort_array(F.filter(scored, lambda x: x["n"] > 0), False), lambda x: x["name"])
     first = F.get(stages, F.lit(0))
     implied = (f == 0) & (m == 0) & F.coalesce(first.isin("結婚・出産期", "育児期", "復職期"), F.lit(False))

@@ -198,16 +198,19 @@ def enrich_postings(df: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name), F.lit("")) if name in out.columns else F.lit("")
 
     texts = [field(c) for c in TEXT_FIELDS]
-    out = df.withColumn("all_text", F.concat_ws(" ", *texts))
-    out = out.withColumn("tags", F.array_join(advert.advert_tags(F.col("all_text")), ","))
-    flags = advert.benefit_flags(F.col("all_text"))
+    # each text is read in one pass for all patterns that are asked of it
+    scans = {"all_text": rules.Scan(advert.advert_patterns()), "_work": rules.Scan(advert.content_patterns())}
+    out = rules.with_scans(df.withColumns({"all_text": F.concat_ws(" ", *texts), "_work": field("job_description")}), scans)
+    said, done = (scans[c].held(F.col(f"_hits_{c}")) for c in scans)
+    out = out.withColumn("tags", F.array_join(advert.advert_tags(F.col("all_text"), said), ","))
+    flags = advert.benefit_flags(F.col("all_text"), said)
     out = out.withColumns({n: c.cast("int") for n, c in flags.items()})
     hours, days = field("working_hours"), field("holidays")
     named = F.coalesce(advert.employment_type(field("employment_type")), advert.employment_type(field("employment_text")), advert.employment_in_salary(field("salary_detail")), F.lit(""))
     # structs are taken apart in a projection of their own, so that each is worked out once
     out = out.withColumns({
-        "_content": F.array(advert.content(field("job_description"))), "_ages": F.array(advert.decades(F.col("all_text"))), "_people": F.array(advert.gender_and_stage(F.col("all_text"))),
-    })
+        "_content": F.array(advert.content(F.col("_work"), done)), "_ages": F.array(advert.decades(F.col("all_text"), said)), "_people": F.array(advert.gender_and_stage(F.col("all_text"), said)),
+    }).drop("_work", *[f"_hits_{c}" for c in scans])
     return out.withColumns({
         "benefits_score": sum((F.col(n) for n in flags), F.lit(0)),
         "employment_type": named,

@@ -142,12 +142,19 @@ class Scan:
         self.below = {w: [x for x in self.words if w.startswith(x)] for w in self.words}
         self.exact = {w: sorted(set().union(*(exact.get(x, ()) for x in self.below[w]))) for w in self.words}
         self.exact = {w: g for w, g in self.exact.items() if g}
+        self.marks = [m for m in "。\n " if not any(m in w for w in self.words)]
 
     def found(self, text: Column) -> Column:
-        """array<string> of the texts that occur; where one begins with another, the longer stands for both."""
+        """array<string> of the texts that occur; where one begins with another, the longer stands for both.
+
+        None of them goes over a mark that none holds, so what lies between marks is read once where it repeats.
+        """
         if not self.words:
             return F.array().cast("array<string>")
-        return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(scan_pattern(self.words)), 1))
+        text = F.coalesce(text, F.lit(""))
+        if self.marks:
+            text = F.array_join(F.array_distinct(F.split(text, f"[{''.join(self.marks)}]")), self.marks[0])
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(scan_pattern(self.words)), 1))
 
     def hits(self, found: Column, text: Column) -> Column:
         """array<int> of the places of the groups that occur in `text`, whose pass gave `found`; null has none."""
@@ -165,6 +172,10 @@ class Scan:
             parts.append(F.array_compact(F.array(*tried)))
         return F.array_distinct(F.flatten(F.array(*parts))) if parts else F.array().cast("array<int>")
 
+    def held(self, hits: Column) -> Callable[[Column, str], Column]:
+        """Whether the text of `hits` holds a group, as a function of the text (which it leaves alone) and the group's name."""
+        return lambda text, name: F.array_contains(hits, self.place[name])
+
     def count(self, names: Iterable[str], hits: Column) -> Column:
         """How many of the named groups are among `hits`."""
         return F.size(F.array_intersect(hits, F.array(*[F.lit(self.place[n]) for n in dict.fromkeys(names)])))
@@ -227,13 +238,13 @@ class Spark:
     """What a measure reads when it becomes a column."""
 
     columns: frozenset
-    scan: Scan
+    counts: Mapping[tuple, str]  # column that holds how many of these patterns occur
 
     def column(self, name: str) -> Column:
         return F.col(name) if name in self.columns else F.lit(None)
 
     def count(self, patterns: Iterable[str]) -> Column:
-        return self.scan.count(patterns, F.col("_hits_all_text"))
+        return F.col(self.counts[tuple(patterns)])
 
 
 class Measure:
@@ -248,6 +259,10 @@ class Measure:
     def patterns(self) -> Iterable[str]:
         return ()
 
+    def parts_of(self, kind: type) -> list[Measure]:
+        """Measures of a kind that this one is made of, itself included."""
+        return [self] if isinstance(self, kind) else []
+
 
 def _add(columns: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
@@ -361,6 +376,9 @@ class Between(Measure):
     def patterns(self) -> Iterable[str]:
         return self.of.patterns()
 
+    def parts_of(self, kind: type) -> list[Measure]:
+        return [*super().parts_of(kind), *self.of.parts_of(kind)]
+
 
 @dataclass(frozen=True)
 class Total(Measure):
@@ -375,6 +393,9 @@ class Total(Measure):
     def patterns(self) -> Iterable[str]:
         return (x for p in self.parts for x in p.patterns())
 
+    def parts_of(self, kind: type) -> list[Measure]:
+        return [*super().parts_of(kind), *(x for p in self.parts for x in p.parts_of(kind))]
+
 
 @dataclass(frozen=True)
 class Points:
@@ -442,10 +463,13 @@ def score_columns(df: DataFrame, axes: Axes, kinds: Sequence[Kind] = ()) -> Data
     """`df` with a column for each score. The text in all_text is scanned once for all patterns of scores and kinds."""
     every = [s for scores in axes.values() for s in scores.values()]
     scan = Scan({p: [p] for p in [*(p for s in every for p in s.patterns()), *(p for k in kinds for p in k.texts)]})
-    at = Spark(frozenset(df.columns), scan)
-    scanned = with_scans(df, {"all_text": scan})
+    wanted = [m.found for s in every for p in s.points for m in p.of.parts_of(Texts)] + [m.found for s in every if s.never for m in s.never.parts_of(Texts)] + [k.texts for k in kinds if k.texts]
+    counts = {w: f"_count_{i}" for i, w in enumerate(dict.fromkeys(map(tuple, wanted)))}
+    at = Spark(frozenset(df.columns), counts)
+    # counts are columns of their own, since points with steps read them several times
+    scanned = with_scans(df, {"all_text": scan}).withColumns({n: scan.count(w, F.col("_hits_all_text")) for w, n in counts.items()})
     extra = {"_texts": F.array_compact(F.array(*[F.when(at.count(k.texts) > 0, k.name) for k in kinds if k.texts]).cast("array<string>"))} if kinds else {}
-    return scanned.withColumns({n: s.column(at) for scores in axes.values() for n, s in scores.items()} | extra).drop("_hits_all_text")
+    return scanned.withColumns({n: s.column(at) for scores in axes.values() for n, s in scores.items()} | extra).drop("_hits_all_text", *counts.values())
 
 
 def classify(df: DataFrame, axes: Axes, kinds: Sequence[Kind], least: float = 0.8) -> DataFrame:

@@ -147,3 +147,26 @@ def test_raw_adverts_are_classified_by_one_call(spark):
     assert (first["employment_type"], first["annual_holidays"], first["bonus_count"], first["wh_shift_type"], first["exp_qual_segment"]) == ("正職員", 120, 4.0, "固定時間", "未経験・無資格OK")
     assert first["axis_A"] == "A1" and first["has_退職金"] == 1 and first["content_richness_score"] == 2
     assert second["kind"] == "QUIET_POST" or second["kind"].startswith("AUTO_")
+
+
+def test_enriched_adverts_match_single_patterns_and_read_each_text_once(spark):
+    from shokuba.functions import postings as advert
+    from shokuba.operators.postings import enrich_postings
+
+    texts = [t + "。" + t for t in made_up(60, 11)] + [None]
+    bits = [w for ws in advert.TAG_WORDS.values() for w in ws if re.escape(w) == w] + ["身体介護", "急募", "至急", "20代が活躍", "育休", "力仕事"]
+    texts += ["。".join(random.Random(i).choices(bits, k=6)) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, job_description string")
+    c = F.col("all_text")
+    plain = enrich_postings(df).select(
+        "id", "tags", "primary_task", "tone", "age_decade_primary", "gender_signal", "lifecycle_primary", *advert.BENEFITS,
+        F.array_join(advert.advert_tags(c), ",").alias("w_tags"), advert.content(F.col("job_description"))["primary"].alias("w_primary_task"), advert.content(F.col("job_description"))["tone"].alias("w_tone"),
+        advert.decades(c)["primary"].alias("w_age_decade_primary"), advert.gender_and_stage(c)["signal"].alias("w_gender_signal"), advert.gender_and_stage(c)["primary"].alias("w_lifecycle_primary"),
+        *[f.cast("int").alias(f"w_{n}") for n, f in advert.benefit_flags(c).items()],
+    )
+    rows = plain.collect()
+    for name in ("tags", "primary_task", "tone", "age_decade_primary", "gender_signal", "lifecycle_primary", *advert.BENEFITS):
+        assert [r[name] for r in rows] == [r[f"w_{name}"] for r in rows], name
+    assert sum(r["tags"] != "" for r in rows) > 40
+    # before, each of some 250 patterns read the text for itself; now only those that a text may hold are tried
+    assert enrich_postings(df)._jdf.queryExecution().analyzed().toString().count("RLIKE") < 200
