@@ -115,11 +115,13 @@ def area_pairs(areas: DataFrame, person: str, place: str, region: str, most: int
     """Unordered pairs of distinct places that one person wants; people with 1, `most` or more places, or `regions` or
     more regions, are left out, which bounds the pairs of one person."""
     one = areas.select(person, place, region, *keep).dropDuplicates([person, place])
-    fit = one.groupBy(person).agg(F.count("*").alias("n"), F.countDistinct(region).alias("r")).filter((F.col("n") >= 2) & (F.col("n") < most) & (F.col("r") < regions)).select(person)
-    one = one.join(fit, person, "left_semi")
-    a = one.select(person, F.col(place).alias("place1"), *keep)
-    b = one.select(person, F.col(place).alias("place2"))
-    return a.join(b, person).filter(F.col("place1") < F.col("place2"))
+    fit = one.groupBy(person, region).agg(F.count("*").alias("n")).groupBy(person).agg(F.sum("n").alias("n"), F.count(region).alias("r")).filter((F.col("n") >= 2) & (F.col("n") < most) & (F.col("r") < regions)).select(person)
+    # those left have fewer than `most` places each, so these are one row and become pairs where it lies
+    one = one.join(fit, person, "left_semi").filter(F.col(place).isNotNull())
+    own = one.groupBy(person).agg(F.collect_list(F.struct(F.col(place).alias("place"), *keep)).alias("_all"))
+    a = own.select(person, "_all", F.explode("_all").alias("_a"))
+    pairs = a.select(person, "_a", F.explode(F.filter("_all", lambda b: b["place"] > F.col("_a.place"))).alias("_b"))
+    return pairs.select(person, F.col("_a.place").alias("place1"), *[F.col(f"_a.{k}").alias(k) for k in keep], F.col("_b.place").alias("place2"))
 
 
 def older_density(people: DataFrame, by: Sequence[str]) -> DataFrame:

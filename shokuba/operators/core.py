@@ -18,6 +18,14 @@ def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])) if keys else df
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, most: int = 1_500_000) -> DataFrame:
+    """`df` of about `rows` rows dealt out by `keys` into parts of about `most` rows, where the session's number of parts
+    would make them larger. What is then grouped or joined by these keys stays in its part, so a task holds no more
+    however many rows there are."""
+    parts = -(-rows // most)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def mode(column: str | Column) -> Column:
     """Most frequent value; of equally frequent ones the smallest."""
     return F.mode(column, True)
@@ -46,6 +54,11 @@ def cross(df: DataFrame, dims: Sequence[str], measures: Sequence[Column] = (), m
     return out.filter(F.col("count") >= min_count) if min_count else out
 
 
+def counted(df: DataFrame, *columns: str) -> DataFrame:
+    """The different rows of the columns with their `count`: work on texts that repeat is done once for each."""
+    return df.groupBy(*columns).agg(F.count("*").alias("count"))
+
+
 def with_share(df: DataFrame, value: str, within: Sequence[str], name: str = "share_pct", scale: float = 100.0) -> DataFrame:
     """`value` as a share of its sum over `within` (row %, column % or, with none, share of all)."""
     if within:

@@ -27,10 +27,12 @@ def aggregate_flow(edges: DataFrame, ends: Sequence[str], unknown: str = "unknow
 
 def flow_nodes(edges: DataFrame, person: str, origin: str, destination: str) -> DataFrame:
     """Per place: inflow, outflow, net flow and the people at either end."""
-    both = edges.select(F.col(destination).alias("location"), F.lit(1).alias("i"), F.lit(0).alias("o"), person).unionAll(
-        edges.select(F.col(origin).alias("location"), F.lit(0).alias("i"), F.lit(1).alias("o"), person)
-    )
-    out = both.groupBy("location").agg(F.sum("i").alias("inflow"), F.sum("o").alias("outflow"), F.countDistinct(person).alias("applicant_count"))
+    # a person's edges first become one row for each pair of places, then one for each place; no row is held twice
+    pairs = edges.groupBy(person, origin, destination).agg(F.count("*").alias("n"))
+    end = lambda place, i, o: F.struct(F.col(place).alias("location"), F.col(i).alias("i") if i else F.lit(0).cast("long").alias("i"), F.col(o).alias("o") if o else F.lit(0).cast("long").alias("o"))
+    both = pairs.select(person, F.explode(F.array(end(destination, "n", None), end(origin, None, "n"))).alias("e")).select(person, "e.*")
+    once = both.groupBy(person, "location").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    out = once.groupBy("location").agg(F.sum("i").alias("inflow"), F.sum("o").alias("outflow"), F.count(person).alias("applicant_count"))
     return out.withColumn("net_flow", F.col("inflow") - F.col("outflow"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shokuba.functions.people import age_decade
+from shokuba.operators.core import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,8 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wishes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return areas(spark, sf_dir).join(people(spark, sf_dir), "person_id")
+    rows = table(spark, sf_dir, "lineitem").count()  # from the files' footers
+    return dealt(areas(spark, sf_dir), rows, "person_id").join(people(spark, sf_dir), "person_id")
 
 
 def adverts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,7 +252,7 @@ def agg78_descriptive(spark, d):
     WHEN sum(i) / CAST(sum(i) + sum(o) AS DOUBLE) > 0.55 THEN 'leaning in' ELSE 'leaning out' END AS node_class
     FROM (SELECT want_municipality AS location, 1 AS i, 0 AS o, person_id FROM wishes WHERE municipality <> want_municipality UNION ALL SELECT municipality, 0, 1, person_id FROM wishes WHERE municipality <> want_municipality) GROUP BY 1""")
 def grf02_flow_nodes(spark, d):
-    edges = G.flow_edges(people(spark, d), areas(spark, d), "person_id", "municipality", "want_municipality")
+    edges = wishes(spark, d).filter("municipality <> want_municipality")
     return rounded(G.node_class(G.flow_nodes(edges, "person_id", "municipality", "want_municipality")))
 
 
