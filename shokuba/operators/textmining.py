@@ -135,10 +135,11 @@ def extra_keywords(tokens: DataFrame, doc: str, vocabulary: DataFrame, group: Se
 def regional_keywords(tokens: DataFrame, doc: str, group: Sequence[str], region: str, ratio: float = 1.5, least: int = 3, top: int = 50) -> DataFrame:
     """Per group and region the `top` terms whose share of the region's documents is at least `ratio` times that of all
     regions, or that no other region has, in `least` or more documents: token, df, lift."""
-    one = tokens.select(*group, region, doc, "token").distinct()
+    one = written(tokens.select(*group, region, doc, "token").distinct())  # read four times; texts are cut once
     keys = [*group, "token"]
-    n_region = tokens.groupBy(*group, region).agg(F.countDistinct(doc).alias("n"))
-    n_all = tokens.groupBy(*group).agg(F.countDistinct(doc).alias("n_all"))
+    docs = one.select(*group, region, doc).distinct()
+    n_region = docs.groupBy(*group, region).agg(F.count(doc).alias("n"))
+    n_all = docs.groupBy(*group).agg(F.countDistinct(doc).alias("n_all"))
     df = one.groupBy(*keys, region).agg(F.count("*").alias("df"))
     df = df.join(one.groupBy(*keys).agg(F.countDistinct(doc).alias("df_all")), keys).join(n_region, [*group, region]).join(n_all, list(group))
     lift = (F.col("df") / F.col("n")) / (F.col("df_all") / F.col("n_all"))
