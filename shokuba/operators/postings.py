@@ -13,23 +13,26 @@ from shokuba.functions.classes import AXES, KINDS
 from shokuba.operators import rules
 from shokuba.operators.core import bands, cross, known, scopes, share, suppress, top_n
 from shokuba.operators.stats import percentiles, with_percentiles
+from shokuba.sources.scratch import written
 
 
-def level_shares(df: DataFrame, dims: Sequence[str], levels: dict[str, Sequence[str]], least: int = 5, within: Sequence[str] = ()) -> DataFrame:
+def level_shares(df: DataFrame, dims: Sequence[str], levels: dict[str, Sequence[str]], least: int = 5, within: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Share of each combination of `dims` at each level (grouping sets), for levels' groups of at least `least` rows.
 
-    within: those of `dims` that part a group further, so shares add up to 100 for each of their values."""
+    within: those of `dims` that part a group further, so shares add up to 100 for each of their values. weight: a column
+    that says how many rows each row of `df` stands for."""
     every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
-    out = scopes(df, {n: [*cols, *dims] for n, cols in levels.items()}, [F.count("*").alias("count")])
+    out = scopes(df, {n: [*cols, *dims] for n, cols in levels.items()}, [(F.sum(weight) if weight else F.count("*")).alias("count")])
     out = out.withColumn("total", F.sum("count").over(Window.partitionBy("scope", *every, *within)))
     return out.filter(F.col("total") >= least).withColumn("share_pct", share(F.col("count"), F.col("total")))
 
 
-def axis_shares(df: DataFrame, axes: Sequence[str], levels: dict[str, Sequence[str]], least: int = 5) -> DataFrame:
+def axis_shares(df: DataFrame, axes: Sequence[str], levels: dict[str, Sequence[str]], least: int = 5, weight: str | None = None) -> DataFrame:
     """level_shares of several category columns at once, as axis and category; the shares of an axis add up to 100."""
     keys = list(dict.fromkeys(c for cols in levels.values() for c in cols))
-    picked = df.select(*keys, *[F.col(a).cast("string").alias(a) for a in axes])
-    return level_shares(picked.unpivot(keys, list(axes), "axis", "category").filter("category is not null"), ["axis", "category"], levels, least, ["axis"])
+    more = [weight] if weight else []
+    picked = df.select(*keys, *more, *[F.col(a).cast("string").alias(a) for a in axes])
+    return level_shares(picked.unpivot([*keys, *more], list(axes), "axis", "category").filter("category is not null"), ["axis", "category"], levels, least, ["axis"], weight)
 
 
 def tag_frequency(df: DataFrame, tags: str, by: Sequence[str]) -> DataFrame:
@@ -53,9 +56,11 @@ def tag_combinations(df: DataFrame, tags: str, by: Sequence[str], most: int = 5,
     return top_n(cross(rows, [*by, "combination"]), by, [F.desc("count"), F.asc("combination")], top)
 
 
-def flag_frequency(df: DataFrame, flags: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Rows that have each flag, per group, with their share; one pass, one row per group and flag."""
-    one = known(df, by).groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(F.col(f)).alias(f) for f in flags])
+def flag_frequency(df: DataFrame, flags: Sequence[str], by: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Rows that have each flag, per group, with their share; one pass, one row per group and flag. weight: a column that
+    says how many rows each row stands for."""
+    n = F.col(weight) if weight else F.lit(1).cast("long")
+    one = known(df, by).groupBy(*by).agg(F.sum(n).alias("total"), *[F.sum(F.when(F.col(f), n).otherwise(0)).alias(f) for f in flags])
     out = one.unpivot([*by, "total"], list(flags), "flag", "count")
     return out.withColumn("share_pct", share(F.col("count"), F.col("total")))
 
@@ -63,10 +68,18 @@ def flag_frequency(df: DataFrame, flags: Sequence[str], by: Sequence[str]) -> Da
 def salary_stats(df: DataFrame, low: str, high: str, levels: dict[str, Sequence[str]], least: int = 3, means: Sequence[str] = ()) -> DataFrame:
     """At each level: count, mean and median of the lower and upper end, cut to whole units, and the means of further
     columns (days off, benefits); groups of `least` or more."""
-    rows = df.filter(F.col(low).isNotNull())
-    out = scopes(rows, levels, [F.count("*").alias("n"), F.avg(low).cast("long").alias("mean_low"), F.avg(high).cast("long").alias("mean_high"), *[F.avg(c).alias(f"mean_{c}") for c in means]])
+    every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
+    # all levels and medians come from one table of counts, so `df` is worked out once
+    sums = [f(c).alias(f"_{n}_{c}") for c in means for n, f in (("sum", F.sum), ("n", F.count))]
+    rows = written(known(df, [*every, low]).groupBy(*every, low, high).agg(F.count("*").alias("_rows"), *sums))
+    n = F.col("_rows")
+
+    def mean(c: str) -> Column:
+        return (F.sum(F.col(c) * n) / F.sum(F.when(F.col(c).isNotNull(), n))).cast("long").alias(f"mean_{'low' if c == low else 'high'}")
+
+    out = scopes(rows, levels, [F.sum(n).alias("n"), mean(low), mean(high), *[(F.sum(f"_sum_{c}") / F.sum(f"_n_{c}")).alias(f"mean_{c}") for c in means]])
     for name, column in (("median_low", low), ("median_high", high)):
-        out = with_percentiles(out, rows, levels, column, (0.5,), "_q").withColumn(name, F.col("_q")[0].cast("long")).drop("_q")
+        out = with_percentiles(out, rows, levels, column, (0.5,), "_q", "_rows").withColumn(name, F.col("_q")[0].cast("long")).drop("_q")
     return suppress(out, "n", least)
 
 
@@ -98,13 +111,15 @@ def pay_by_shift(df: DataFrame, by: Sequence[str], kind: str, pay: str, shift: s
             band = F.when((F.col(kind) == name) & (F.col(pay) >= low) & (F.col(pay) < high), label).otherwise(band)
     named = F.when(F.length(F.trim(F.col(shift))) > 0, F.col(shift)).otherwise("不明")
     rows = known(df.filter(F.col(kind).isin(*PAY_BANDS)), [*by, region, pay]).select(*by, kind, region, place, pay, band.alias("band"), named.alias("shift"))
-    enough = rows.groupBy(*by, kind).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(*by, kind)
+    # equal rows are counted first, so what follows moves counts, however many rows a kind of pay or a region has
+    rows = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("_rows")))
+    enough = rows.groupBy(*by, kind).agg(F.sum("_rows").alias("_n")).filter(F.col("_n") >= least).select(*by, kind)
     rows = rows.join(enough, [*by, kind])
     keys = [*by, kind, region, place]
     both = rows.withColumn(place, F.lit("")).unionByName(rows.filter(F.col(place).isNotNull()))  # "" is the region as a whole
-    total = both.groupBy(*keys).agg(F.count("*").alias("total")).filter((F.col(place) == "") | (F.col("total") >= least))
-    cells = both.groupBy(*keys, "band", "shift").agg(F.count("*").alias("count")).filter(F.col("count") >= few)
-    median = percentiles(both, [*keys, "band", "shift"], pay, (0.5,)).select(*keys, "band", "shift", F.col("q")[0].cast("long").alias("median"))
+    total = both.groupBy(*keys).agg(F.sum("_rows").alias("total")).filter((F.col(place) == "") | (F.col("total") >= least))
+    cells = both.groupBy(*keys, "band", "shift").agg(F.sum("_rows").alias("count")).filter(F.col("count") >= few)
+    median = percentiles(both, [*keys, "band", "shift"], pay, (0.5,), weight="_rows").select(*keys, "band", "shift", F.col("q")[0].cast("long").alias("median"))
     out = cells.join(total, keys).join(median, [*keys, "band", "shift"])
     return out.withColumn(place, F.when(F.col(place) != "", F.col(place)))
 

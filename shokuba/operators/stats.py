@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shokuba.operators.core import cross, known, scopes, share
-from shokuba.sources.scratch import cut_lineage
+from shokuba.sources.scratch import cut_lineage, written
 
 
 def _gamma_q(a: float, x: float) -> float:
@@ -138,9 +138,9 @@ def places(df: DataFrame, by: Sequence[str], value: str, slices: int = 64, weigh
     return met.join(totals, [*by, "_slice"]).select(*by, value, "k", (F.col("_before") + F.col("_upto")).alias("before"))
 
 
-def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str = "q") -> DataFrame:
+def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str = "q", weight: str | None = None) -> DataFrame:
     """Per group the exact percentiles at `points`, linearly interpolated, as an array; groups of any size (places)."""
-    return percentiles_of(places(df, by, value), by, value, points, name)
+    return percentiles_of(places(df, by, value, weight=weight), by, value, points, name)
 
 
 def percentiles_of(cells: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str = "q") -> DataFrame:
@@ -215,11 +215,12 @@ def distribution(df: DataFrame, levels: dict[str, Sequence[str]], value: str, hi
     """
     every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
     rows = known(df, [*every, value])
-    base = cut_lineage(rows.groupBy(*every, value).agg(F.count("*").alias("_rows")))
+    both = base = written(rows.groupBy(*every, value, *([high] if high else [])).agg(F.count("*").alias("_rows")))  # `df` is worked out once
     wide = None
     if high:
-        apart = rows.filter(F.col(high) > 0).withColumn("_width", F.col(high).cast("double") - F.col(value))
-        wide = cut_lineage(apart.groupBy(*every, "_width").agg(F.count("*").alias("_rows")))
+        base = cut_lineage(both.groupBy(*every, value).agg(F.sum("_rows").alias("_rows")))
+        apart = both.filter(F.col(high) > 0).withColumn("_width", F.col(high).cast("double") - F.col(value))
+        wide = cut_lineage(apart.groupBy(*every, "_width").agg(F.sum("_rows").alias("_rows")))
 
     def joined(a: DataFrame, b: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
         return a.join(b, list(cols), how) if cols else a.join(F.broadcast(b), F.lit(True), how)  # one row
@@ -249,12 +250,12 @@ def distribution(df: DataFrame, levels: dict[str, Sequence[str]], value: str, hi
     return reduce(DataFrame.unionByName, out)
 
 
-def with_percentiles(table: DataFrame, df: DataFrame, levels: dict[str, Sequence[str]], value: str, points: Sequence[float], name: str = "q") -> DataFrame:
+def with_percentiles(table: DataFrame, df: DataFrame, levels: dict[str, Sequence[str]], value: str, points: Sequence[float], name: str = "q", weight: str | None = None) -> DataFrame:
     """`table`, made by core.scopes from `df`, with the percentiles of a value at each level as an array."""
     every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
     parts = []
     for level, cols in levels.items():
-        q = percentiles(known(df, every), cols, value, points, name)
+        q = percentiles(known(df, every), cols, value, points, name, weight)
         parts.append(q.select(F.lit(level).alias("_scope"), *[(F.col(c) if c in cols else F.lit(None).cast(df.schema[c].dataType)).alias(f"_k_{c}") for c in every], name))
     same = [F.col("scope") == F.col("_scope"), *[F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in every]]
     return table.join(reduce(DataFrame.unionByName, parts), same, "left").drop("_scope", *[f"_k_{c}" for c in every])
