@@ -624,16 +624,17 @@ def pos07_segment_pay(spark, d):
 
 @query(_TEXTS + """ SELECT prefecture, flag, CAST(sum(n) AS BIGINT) AS count, any_value(total) AS total, round(sum(n) * 100.0 / any_value(total), 6) AS share_pct FROM (SELECT prefecture, unnest(['20代', '30代', '40代', '50代', '60代']) AS flag, unnest([CAST(has_tax AS INTEGER), CAST(has_open AS INTEGER), CAST(has_discount AS INTEGER), 0, 0]) AS n FROM texts) JOIN (SELECT prefecture, count(*) AS total FROM texts GROUP BY 1) USING (prefecture) GROUP BY 1, 2""")
 def pos08_age_signals(spark, d):
-    t = _texts(spark, d).withColumn("a", advert.decades(F.col("body")))
+    t = core.counted(_texts(spark, d), "prefecture", "body").withColumn("a", advert.decades(F.col("body")))
     names = ["20代", "30代", "40代", "50代", "60代"]
-    t = t.select("prefecture", *[(F.col("a.scores")[n] >= 1).alias(n) for n in names])
-    return rounded(P.flag_frequency(t, names, ["prefecture"]))
+    t = t.select("prefecture", "count", *[(F.col("a.scores")[n] >= 1).alias(n) for n in names])
+    return rounded(P.flag_frequency(t, names, ["prefecture"], "count"))
 
 
 @query(_TEXTS + """ SELECT prefecture, signal, stage, count(*) AS count FROM (SELECT prefecture, CASE WHEN has_open AND has_discount THEN 'male_leaning' WHEN has_open THEN 'female_leaning' WHEN has_discount THEN 'male_leaning' ELSE 'none' END AS signal, CASE WHEN has_open AND has_discount THEN 'キャリア形成期' WHEN has_open THEN '育児期' WHEN has_discount THEN 'キャリア形成期' ELSE 'none' END AS stage FROM texts) GROUP BY 1, 2, 3""")
 def pos09_gender_and_stage(spark, d):
-    t = _texts(spark, d).withColumn("g", advert.gender_and_stage(F.col("body")))
-    return core.cross(t.select("prefecture", F.coalesce("g.signal", F.lit("none")).alias("signal"), F.coalesce("g.primary", F.lit("none")).alias("stage")), ["prefecture", "signal", "stage"])
+    t = core.counted(core.known(_texts(spark, d), ["prefecture"]), "prefecture", "body").withColumn("g", advert.gender_and_stage(F.col("body")))
+    t = t.select("prefecture", "count", F.coalesce("g.signal", F.lit("none")).alias("signal"), F.coalesce("g.primary", F.lit("none")).alias("stage"))
+    return t.groupBy("prefecture", "signal", "stage").agg(F.sum("count").alias("count"))
 
 
 @query(_TEXTS + """ SELECT prefecture, segment, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY prefecture), 6) AS share_pct FROM (SELECT prefecture, CASE WHEN has_tax AND has_discount THEN '未経験×無資格' WHEN has_tax THEN '未経験×有資格' WHEN has_discount THEN '経験者×無資格' ELSE '経験者×有資格' END AS segment FROM texts) GROUP BY 1, 2""")
@@ -649,10 +650,10 @@ _HOURS = ["9:00～18:00 休憩60分 残業なし", "8:30〜17:30 残業月20時
 @query(f""" SELECT prefecture, axis, category, count(*) AS count, CAST(sum(count(*)) OVER (PARTITION BY prefecture, axis) AS BIGINT) AS total, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY prefecture, axis), 6) AS share_pct, 'prefecture' AS scope FROM (SELECT prefecture, unnest(['shift', 'start', 'overtime']) AS axis, unnest([
     ['固定時間', '固定時間', '夜勤専従', '日勤のみ', 'シフト制'][1 + facility % 5], ['午前(9-11時)', '朝(7-9時)', '午後(11時以降)', '不明', '朝(7-9時)'][1 + facility % 5], ['残業なし', '月20h以内', '不明', '残業あり', '不明'][1 + facility % 5]]) AS category FROM adverts) GROUP BY 1, 2, 3""")
 def pos11_work_schedule(spark, d):
-    a = adverts(spark, d).withColumn("hours", _pick(F.col("facility"), _HOURS))
+    a = core.counted(adverts(spark, d).withColumn("hours", _pick(F.col("facility"), _HOURS)), "prefecture", "hours")
     w = advert.working_hours(F.col("hours"))
-    a = a.select("prefecture", advert.shift_type(F.col("hours")).alias("shift"), advert.hour_bands(F.array_min(w["starts"]), F.array_max(w["ends"]))[0].alias("start"), advert.overtime(F.col("hours")).alias("overtime"))
-    return rounded(P.axis_shares(a, ["shift", "start", "overtime"], {"prefecture": ["prefecture"]}, 1))
+    a = a.select("prefecture", "count", advert.shift_type(F.col("hours")).alias("shift"), advert.hour_bands(F.array_min(w["starts"]), F.array_max(w["ends"]))[0].alias("start"), advert.overtime(F.col("hours")).alias("overtime"))
+    return rounded(P.axis_shares(a, ["shift", "start", "overtime"], {"prefecture": ["prefecture"]}, 1, "count"))
 
 
 _DAYS = ["完全週休2日 年間休日120日", "4週8休 年間休日108日", "シフトによる 年末年始", "日曜固定 木曜午後休", "土日祝休み GW お盆"]
