@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shokuba.operators.stats import percentiles
-from shokuba.sources.scratch import cut_lineage
+from shokuba.sources.scratch import written
 
 _SEED_ROWS = 256  # rows of a group among which first centres are chosen
 _MODEL_CELLS = 1_000_000  # numbers in models that are fitted together
+_ROWS = 100_000  # rows that a task takes apart by group at once
 
 
 def joint_components(df: DataFrame, by: Sequence[str], flags: Sequence[str], n: int = 4, prefix: str = "pc") -> DataFrame:
@@ -24,10 +25,21 @@ def joint_components(df: DataFrame, by: Sequence[str], flags: Sequence[str], n:
     The products of all flags are summed in one aggregation for all groups; a matrix as wide as the flags is taken apart
     for each group. A component's largest weight is positive, the first one on ties. Flags that are null count as 0.
     """
-    n, pairs = min(n, len(flags)), [(a, b) for i, a in enumerate(flags) for b in flags[i:]]
-    x = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in flags}
+    n, keep = min(n, len(flags)), df.columns
+    row = _numbers(df.join(_components(df, by, flags, n), list(by)), [], flags, n)
+    return row.select(*keep, *[F.col("_x")[i].alias(f"{prefix}{i}") for i in range(n)])
+
+
+def _flags(flags: Sequence[str]) -> dict[str, Column]:
+    return {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in flags}
+
+
+def _components(df: DataFrame, by: Sequence[str], flags: Sequence[str], n: int, rows: Column | None = None) -> DataFrame:
+    """by, _w: the means of the flags, then their weights in each component. A row of `df` stands for `rows` rows (1)."""
+    n, pairs, k = min(n, len(flags)), [(a, b) for i, a in enumerate(flags) for b in flags[i:]], F.lit(1) if rows is None else rows
+    x = _flags(flags)
     sums = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.array(*[F.sum(x[f]) for f in flags]).alias("s"), F.array(*[F.sum(x[a] * x[b]) for a, b in pairs]).alias("p")
+        F.sum(k).alias("n"), F.array(*[F.sum(x[f] * k) for f in flags]).alias("s"), F.array(*[F.sum(x[a] * x[b] * k) for a, b in pairs]).alias("p")
     )
 
     @F.pandas_udf("array<array<double>>")
@@ -43,34 +55,69 @@ def joint_components(df: DataFrame, by: Sequence[str], flags: Sequence[str], n:
         return pd.Series(out)
 
     means = F.transform("s", lambda v: v / F.col("n"))
-    model = sums.select(*by, weights("n", "s", "p").alias("_w"), means.alias("_m"))
-    centred = F.zip_with(F.array(*[x[f] for f in flags]), "_m", lambda a, b: a - b)
-    row = df.join(model, list(by)).withColumn("_c", centred)
-    return row.withColumns({f"{prefix}{i}": _dot(F.col("_w")[i], F.col("_c")) for i in range(n)}).drop("_w", "_m", "_c")
+    return sums.select(*by, F.concat(means, F.flatten(weights("n", "s", "p"))).alias("_w"))
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    """Arrays of one length as rows; null is NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+
+
+def _vectors(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), np.ascontiguousarray(x).ravel())
+
+
+def _numbers(df: DataFrame, features: Sequence[str], flags: Sequence[str], n: int) -> DataFrame:
+    """`df` with an array _x: the features, null, NaN and infinite values as 0, then the components of the flags by _w."""
+
+    @F.arrow_udf("array<double>")
+    def numbers(x: pa.Array, f: pa.Array, w: pa.Array) -> pa.Array:
+        rows, k = len(x), len(flags)
+        x, f, w = (_matrix(c, rows) if rows else np.zeros((0, 1)) for c in (x, f, w))
+        parts = [np.where(np.isfinite(x), x, 0.0)] if features else []
+        for i in range(n if rows else 0):
+            pc = np.zeros(rows)
+            for j in range(k):
+                pc += w[:, k * (i + 1) + j] * (np.nan_to_num(f[:, j]) - w[:, j])
+            parts.append(pc[:, None])
+        return _vectors(np.hstack(parts)) if rows else pa.array([], pa.list_(pa.float64()))
 
+    def array(columns: Sequence[str]) -> Column:
+        return F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>")
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return df.withColumn("_x", numbers(array(features), array(flags), F.col("_w") if flags else array([])))
 
 
-def joint_scaling(df: DataFrame, by: Sequence[str], features: Sequence[str], into: str = "_v") -> DataFrame:
-    """`df` with an array of the features less their group's median, over its interquartile range (1 where that is 0);
-    null, NaN and infinite values count as 0 before. One call finds the quartiles of all features of all groups."""
-    safe = {f: F.coalesce(F.when(F.abs(F.col(f).cast("double")) < float("inf"), F.col(f).cast("double")), F.lit(0.0)) for f in features}
-    tall = df.select(*by, F.posexplode(F.array(*safe.values())).alias("_f", "_x"))
-    q = percentiles(tall, [*by, "_f"], "_x", (0.25, 0.5, 0.75))
-    q = q.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_f", "q"))).alias("_q"))  # one entry for each feature
-    width = lambda q: F.when(q[2] > q[0], q[2] - q[0]).otherwise(1.0)
-    scaled = F.zip_with(F.array(*safe.values()), "_q", lambda x, e: (x - e["q"][1]) / width(e["q"]))
-    return df.join(q, list(by)).withColumn(into, scaled).drop("_q")
+def _scales(df: DataFrame, by: Sequence[str], rows: str) -> DataFrame:
+    """by, _s: medians of all numbers of _x, then their interquartile ranges (1 where that is 0), found by one call for all
+    groups; a row of `df` stands for `rows` rows."""
+    tall = df.select(*by, rows, F.posexplode("_x").alias("_f", "_z"))
+    few = written(tall.groupBy(*by, "_f", "_z").agg(F.sum(rows).alias(rows)))  # read several times
+    q = percentiles(few, [*by, "_f"], "_z", (0.25, 0.5, 0.75), weight=rows)
+    q = q.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_f", "q"))).alias("_q"))  # one entry for each number
+    width = lambda e: F.when(e["q"][2] > e["q"][0], e["q"][2] - e["q"][0]).otherwise(1.0)
+    return q.select(*by, F.concat(F.transform("_q", lambda e: e["q"][1]), F.transform("_q", width)).alias("_s"))
 
 
-def _first_centres(points: DataFrame, by: Sequence[str], key: str, ks: Sequence[int], seed: int) -> DataFrame:
-    """by, models: for each k the first centres, chosen among the rows of a group with the smallest hashes of `key`: first
-    the one nearest to their mean, then always the one farthest from those chosen."""
+def _scaled(df: DataFrame) -> DataFrame:
+    """`df` with an array _v: the numbers of _x less their medians, over their ranges, as _s says."""
+
+    @F.arrow_udf("array<double>")
+    def scaled(x: pa.Array, s: pa.Array) -> pa.Array:
+        if not len(x):
+            return pa.array([], pa.list_(pa.float64()))
+        v, s = _matrix(x, len(x)), _matrix(s, len(x))
+        return _vectors((v - s[:, : v.shape[1]]) / s[:, v.shape[1] :])
+
+    return df.withColumn("_v", scaled("_x", "_s"))
+
+
+def _first_centres(points: DataFrame, key: str, ks: Sequence[int], seed: int, vectors: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """_g, models: for each k the first centres, chosen among the rows of a group with the smallest hashes of `key`: first
+    the one nearest to their mean, then always the one farthest from those chosen. `vectors` adds _v to these rows."""
     order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
-    some = points.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= _SEED_ROWS)
-    rows = some.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_r", "_v"))).alias("_rows"))
+    some = points.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).filter(F.col("_r") <= _SEED_ROWS)
+    rows = vectors(some).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_r", "_v"))).alias("_rows"))
     most = max(ks)
 
     @F.pandas_udf("array<array<double>>")
@@ -86,21 +133,38 @@ def _first_centres(points: DataFrame, by: Sequence[str], key: str, ks: Sequence[
             out.append(x[picked].tolist())
         return pd.Series(out)
 
-    chosen = rows.select(*by, spread("_rows").alias("_c"))
-    return chosen.select(*by, F.array(*[F.struct(F.lit(k).alias("k"), F.slice("_c", 1, k).alias("centres")) for k in ks]).alias("models"))
+    chosen = rows.select("_g", spread("_rows").alias("_c"))
+    return chosen.select("_g", F.array(*[F.struct(F.lit(k).alias("k"), F.slice("_c", 1, k).alias("centres")) for k in ks]).alias("models"))
+
+
+Models = dict[int, dict[int, np.ndarray]]
 
 
-Models = dict[tuple, dict[int, np.ndarray]]
+def _split(g: np.ndarray):
+    """(group, its rows) of each group among `g`."""
+    order = np.argsort(g, kind="stable")
+    stops = np.flatnonzero(np.diff(g[order], append=-1))
+    for rows in np.split(order, stops[:-1] + 1) if len(g) else ():
+        yield int(g[rows[0]]), rows
 
 
-def _by_group(batches, keys: Sequence[str]):
-    """(key, rows, vectors) of each group in each batch."""
+def _by_group(batches):
+    """(group, vectors, rows that each stands for) of each group in some batches at a time."""
+
+    def answer(waiting):
+        b = pa.Table.from_batches(waiting).combine_chunks()
+        x, n = _matrix(b.column("_v").combine_chunks(), b.num_rows), b.column("_rows").to_numpy().astype(float)
+        for g, rows in _split(b.column("_g").to_numpy()):
+            yield g, x[rows], n[rows]
+
+    waiting, size = [], 0
     for b in batches:
-        if b.num_rows:
-            column = b.column("_v")
-            x = column.flatten().to_numpy().reshape(b.num_rows, -1)
-            for key, rows in b.select(list(keys)).to_pandas().groupby(list(keys), sort=False).indices.items():
-                yield (key if isinstance(key, tuple) else (key,)), rows, x[rows]
+        waiting, size = [*waiting, b], size + b.num_rows
+        if size >= _ROWS:
+            yield from answer(waiting)
+            waiting, size = [], 0
+    if size:
+        yield from answer(waiting)
 
 
 def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,48 +174,65 @@ def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return c, d[np.arange(len(x)), c]
 
 
-def _cluster_sums(points: DataFrame, keys: Sequence[str], models: Models) -> dict:
-    """(key, k, c) -> rows, sum of squared lengths, sum of vectors. Each task adds up what it reads and sends one row for each
+def _nearest(x: np.ndarray, q: np.ndarray, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For each k the numbers that `_assigned` finds, from one product with all centres; rows for which that product can't
+    tell the two nearest centres apart are asked exactly. q: squared lengths of the rows."""
+    every = np.concatenate(list(models.values()))
+    size = (every * every).sum(1)
+    d = size[:, None] - 2 * (every @ x.T)
+    slack = 1e-12 * (q + size.max())
+    out, at = {}, 0
+    for k, centres in models.items():
+        mine, at = d[at : at + len(centres)], at + len(centres)
+        c, best, second = np.zeros(len(x), int), mine[0], np.full(len(x), np.inf)
+        for j in range(1, len(centres)):
+            second = np.minimum(second, np.maximum(best, mine[j]))
+            c[mine[j] < best] = j
+            best = np.minimum(best, mine[j])
+        if len(close := np.flatnonzero(second - best <= slack)):
+            c[close] = _assigned(x[close], centres)[0]
+        out[k] = c
+    return out
+
+
+def _cluster_sums(points: DataFrame, models: Models) -> dict:
+    """(group, k, c) -> rows, sum of squared lengths, sum of vectors. Each task adds up what it reads and sends one row for each
     group, k and centre that it met; Spark adds these up."""
 
     def run(batches):
         found: dict = {}
-        for key, _, x in _by_group(batches, keys):
+        for g, x, n in _by_group(batches):
             q = (x * x).sum(1)
-            for k, centres in models[key].items():
-                c, _ = _assigned(x, centres)
-                for j in np.unique(c).tolist():
-                    mine = c == j
-                    new = np.array([mine.sum(), q[mine].sum(), *x[mine].sum(0)])
-                    at = (*key, k, j)
-                    found[at] = found[at] + new if at in found else new
-        if found:
-            names = [*keys, "k", "c"]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*found)] + [pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))], names=[*names, "s"])
+            whole = np.column_stack((np.ones(len(x)), q, x)) * n[:, None]
+            for k, c in _nearest(x, q, models[g]).items():
+                new = (c == np.arange(len(models[g][k]))[:, None]).astype(float) @ whole
+                found[g, k] = found[g, k] + new if (g, k) in found else new
+        rows = [(g, k, j, s.tolist()) for (g, k), sums in found.items() for j, s in enumerate(sums) if s[0]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in list(zip(*rows))[:3]), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["_g", "k", "c", "s"])
 
-    schema = ", ".join([*(f"{k} string" for k in keys), "k long, c long, s array<double>"])
     width = 2 + next(iter(next(iter(models.values())).values())).shape[1]
-    sums = points.select(*keys, "_v").mapInArrow(run, schema).groupBy(*keys, "k", "c").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"))
-    return {(tuple(r[k] for k in keys), r["k"], r["c"]): np.array(r["s"]) for r in sums.collect()}  # as many as centres
+    sums = points.select("_g", "_v", "_rows").mapInArrow(run, "_g long, k long, c long, s array<double>").groupBy("_g", "k", "c").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"))
+    return {(r["_g"], r["k"], r["c"]): np.array(r["s"]) for r in sums.collect()}  # as many as centres
 
 
-def _silhouettes(points: DataFrame, keys: Sequence[str], models: Models) -> dict:
-    """(key, k) -> mean silhouette: (b - a) / max(a, b) of each row, where a and b are mean squared distances to its own
+def _silhouettes(points: DataFrame, models: Models) -> dict:
+    """(group, k) -> mean silhouette: (b - a) / max(a, b) of each row, where a and b are mean squared distances to its own
     cluster and to the nearest other one, from each cluster's count and sums, without pairs of rows. Rows alone in their
     cluster count 0, and so does a model with one cluster left."""
     stats: dict = {}
-    for (key, k, c), s in _cluster_sums(points, keys, models).items():
-        stats.setdefault((key, k), {})[c] = s
+    for (g, k, c), s in _cluster_sums(points, models).items():
+        stats.setdefault((g, k), {})[c] = s
 
     def run(batches):
         found: dict = {}
-        for key, _, x in _by_group(batches, keys):
+        for g, x, w in _by_group(batches):
             q = (x * x).sum(1)
-            for k, centres in models[key].items():
-                here = stats[key, k]
+            for k, c in _nearest(x, q, models[g]).items():
+                here = stats[g, k]
                 names = sorted(here)
                 n, mean_q, y = (np.array([here[c][0] for c in names]), np.array([here[c][1] / here[c][0] for c in names]), np.array([here[c][2:] / here[c][0] for c in names]))
-                own = np.searchsorted(names, _assigned(x, centres)[0])
+                own = np.searchsorted(names, c)
                 d = np.maximum(q[:, None] + mean_q - 2 * x @ y.T, 0)
                 rows = np.arange(len(x))
                 a = d[rows, own] * n[own] / np.maximum(n[own] - 1, 1)
@@ -159,53 +240,52 @@ def _silhouettes(points: DataFrame, keys: Sequence[str], models: Models) -> dict
                 b = d.min(1)
                 most = np.maximum(a, b)
                 s = np.where((n[own] > 1) & np.isfinite(b) & (most > 0), (b - a) / np.where(np.isfinite(most) & (most > 0), most, 1), 0.0)
-                new = np.array([len(x), s.sum()])
-                found[(*key, k)] = found.get((*key, k), 0) + new
+                found[g, k] = found.get((g, k), 0) + np.array([w.sum(), (s * w).sum()])
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*found)] + [pa.array([v[i] for v in found.values()], pa.float64()) for i in (0, 1)], names=[*keys, "k", "n", "s"])
+            groups, numbers = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(numbers, pa.int64()), *(pa.array([v[i] for v in found.values()], pa.float64()) for i in (0, 1))], names=["_g", "k", "n", "s"])
 
-    schema = ", ".join([*(f"{k} string" for k in keys), "k long, n double, s double"])
-    out = points.select(*keys, "_v").mapInArrow(run, schema).groupBy(*keys, "k").agg((F.sum("s") / F.sum("n")).alias("s"))
-    return {(tuple(r[k] for k in keys), r["k"]): r["s"] for r in out.collect()}  # as many as models
+    out = points.select("_g", "_v", "_rows").mapInArrow(run, "_g long, k long, n double, s double").groupBy("_g", "k").agg((F.sum("s") / F.sum("n")).alias("s"))
+    return {(r["_g"], r["k"]): r["s"] for r in out.collect()}  # as many as models
 
 
-def _fit(points: DataFrame, keys: Sequence[str], key: str, ks: Sequence[int], least: float, fallback: int, rounds: int, seed: int) -> DataFrame:
-    """`points` with cluster, k, silhouette and distance, for groups whose models are of bounded size together."""
-    every = sorted({*ks, fallback})
-    models: Models = {tuple(r[k] for k in keys): {m["k"]: np.array(m["centres"], float) for m in r["models"]} for r in _first_centres(points, keys, key, every, seed).collect()}
+def _fit(points: DataFrame, first: DataFrame, ks: Sequence[int], least: float, fallback: int, rounds: int) -> dict[int, tuple[int, float, np.ndarray]]:
+    """k, silhouette and centres of each group among `points`, whose models are of bounded size together."""
+    models: Models = {r["_g"]: {m["k"]: np.array(m["centres"], float) for m in r["models"]} for r in first.collect()}
     moving = models
     for _ in range(rounds):
         if not moving:
             break
         steps = dict.fromkeys(moving, 0.0)
-        chosen = [F.concat_ws("\x00", *keys).isin(*["\x00".join(g) for g in moving])] if len(moving) < len(models) else []
-        for (g, k, c), s in _cluster_sums(points.filter(*chosen) if chosen else points, keys, moving).items():
+        for (g, k, c), s in _cluster_sums(points.filter(F.col("_g").isin(*moving)) if len(moving) < len(models) else points, moving).items():
             new = s[2:] / s[0]
             steps[g] = max(steps[g], ((new - models[g][k][c]) ** 2).sum())
             models[g][k][c] = new
         moving = {g: models[g] for g, step in steps.items() if step > 1e-9}
-    if not models:
-        return points.withColumns({"cluster": F.lit(0), "k": F.lit(0), "silhouette": F.lit(0.0), "distance": F.lit(0.0)})
-    scores = _silhouettes(points, keys, models)
+    scores = _silhouettes(points, models) if models else {}
     best: dict = {}
     for g in models:
         k = max(ks, key=lambda k: (round(scores[g, k], 9), -k))
         s = scores[g, k]
-        best[g] = (k if s >= least else fallback, s)
-    final = {g: {best[g][0]: models[g][best[g][0]]} for g in models}
+        k = k if s >= least else fallback
+        best[g] = (k, s, models[g][k])
+    return best
+
+
+def _placed(rows: DataFrame, best: dict[int, tuple[int, float, np.ndarray]]) -> DataFrame:
+    """`rows` with cluster, k, silhouette and distance."""
 
-    @F.pandas_udf("struct<cluster: int, k: int, silhouette: double, distance: double>")
-    def place(name: pd.DataFrame, v: pd.Series) -> pd.DataFrame:
-        out = np.zeros((len(v), 4))
-        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, 1))
-        for g, rows in name.groupby(list(name.columns), sort=False).indices.items():
-            g = g if isinstance(g, tuple) else (g,)
-            k, s = best[g]
-            c, d = _assigned(x[rows], final[g][k])
-            out[rows] = np.stack([c, np.full(len(c), k), np.full(len(c), s), np.sqrt(d)], 1)
-        return pd.DataFrame({"cluster": out[:, 0].astype(int), "k": out[:, 1].astype(int), "silhouette": out[:, 2], "distance": out[:, 3]})
+    @F.arrow_udf("struct<cluster: int, k: int, silhouette: double, distance: double>")
+    def place(g: pa.Array, v: pa.Array) -> pa.Array:
+        x, out = _matrix(v, len(v)) if len(v) else None, np.zeros((len(v), 4))
+        for group, mine in _split(g.to_numpy(zero_copy_only=False)):
+            k, s, centres = best[group]
+            c, d = _assigned(x[mine], centres)
+            out[mine] = np.stack([c, np.full(len(c), k), np.full(len(c), s), np.sqrt(d)], 1)
+        c, k, s, d = out.T
+        return pa.StructArray.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(s.copy()), pa.array(d.copy())], names=["cluster", "k", "silhouette", "distance"])
 
-    return points.withColumn("_p", place(F.struct(*keys), "_v")).select("*", "_p.*").drop("_p")
+    return rows.withColumn("_p", place("_g", "_v")).select("*", "_p.*").drop("_p")
 
 
 def group_clusters(df: DataFrame, by: Sequence[str], key: str, features: Sequence[str], flags: Sequence[str] = (), ks: Sequence[int] = (3, 4, 5, 6, 7), components: int = 4, least: float = 0.1, fallback: int = 4, few: int = 100, rounds: int = 20, seed: int = 42) -> DataFrame:
@@ -218,24 +298,38 @@ def group_clusters(df: DataFrame, by: Sequence[str], key: str, features: Sequenc
 
     All models of all groups are fitted together: a round assigns each row to a centre for each k and adds up the
     vectors by group, k and centre, so the number of jobs depends on the rounds only. A group is done when none of its
-    centres moves; a centre without rows stays. No row is shuffled for it, so a group may hold any share of the rows.
+    centres moves; a centre without rows stays. Equal rows of a group are counted first and stand for each other, so
+    rounds work on what is different; no row is shuffled in a round, so a group may hold any share of the rows.
     Models are groups x sum(ks) x features numbers. They go to the tasks, and so groups whose models are over a million
     numbers together are dealt into parts that are fitted one after the other, with the same result.
     """
     names = {c: f"_by{i}" for i, c in enumerate(by)}
     # one text per group, so that nulls are a group too; what is not null begins with =
-    own = df.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c, n in names.items()})
-    keys = list(names.values())
-    sizes = own.groupBy(*keys).agg(F.count("*").alias("_size"))
-    large = own.join(sizes.filter(F.col("_size") >= few), keys).drop("_size")
-    parts = [*features, *[f"_pc{i}" for i in range(min(components, len(flags)))]]
-    if flags:
-        large = joint_components(large, keys, flags, components, "_pc")
-    points = cut_lineage(joint_scaling(large, keys, parts))
-    dealt = -(-points.select(*keys).distinct().count() * sum({*ks, fallback}) * len(parts) // _MODEL_CELLS) or 1
-    part = F.pmod(F.xxhash64(*keys), F.lit(dealt))
-    shown = ["cluster", "k", "silhouette", "distance"]
-    done = [_fit(points.filter(part == i) if dealt > 1 else points, keys, key, ks, least, fallback, rounds, seed).select(*df.columns, *shown) for i in range(dealt)]
-    small = own.join(sizes.filter(F.col("_size") < few), keys)
+    rows = written(df.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c, n in names.items()}))  # `df` is worked out once
+    keys, n = list(names.values()), min(components, len(flags))
+    cells = written(rows.groupBy(*keys, *dict.fromkeys([*features, *flags])).agg(F.count("*").alias("_rows")))
+    sizes = written(cells.groupBy(*keys).agg(F.sum("_rows").alias("_size")).withColumn("_g", F.monotonically_increasing_id()))
+    large = sizes.filter(F.col("_size") >= few).select(*keys, "_g")
+    cells = cells.join(large, keys).drop(*keys)
+    weights = written(_components(cells, ["_g"], flags, n, F.col("_rows"))) if flags else None
+
+    def numbers(x: DataFrame) -> DataFrame:
+        return _numbers(x if weights is None else x.join(weights, "_g"), features, flags, n)
+
+    scales = written(_scales(numbers(cells), ["_g"], "_rows"))
+
+    def vectors(x: DataFrame) -> DataFrame:
+        return _scaled(numbers(x.join(scales, "_g")))
+
+    points = written(vectors(cells).select("_g", "_v", "_rows"))
+    members = rows.join(large, keys)
+    first = written(_first_centres(members, key, sorted({*ks, fallback}), seed, vectors))
+    dealt = -(-first.count() * sum({*ks, fallback}) * (len(features) + n) // _MODEL_CELLS) or 1
+    shown, done = ["cluster", "k", "silhouette", "distance"], []
+    for i in range(dealt):
+        part = [F.pmod(F.xxhash64("_g"), F.lit(dealt)) == i] if dealt > 1 else [F.lit(True)]
+        best = _fit(points.filter(*part), first.filter(*part), ks, least, fallback, rounds)
+        done.append(_placed(vectors(members.filter(*part)), best).select(*df.columns, *shown))
+    small = rows.join(sizes.filter(F.col("_size") < few).select(*keys), keys)
     small = small.withColumns({"cluster": F.lit(0), "k": F.lit(None).cast("int"), "silhouette": F.lit(None).cast("double"), "distance": F.lit(0.0)}).select(*df.columns, *shown)
     return reduce(DataFrame.unionByName, [*done, small])

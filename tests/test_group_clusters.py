@@ -86,3 +86,33 @@ def test_odd_groups(spark):
 def test_components_of_constant_flags_are_zero(spark):
     df = spark.createDataFrame([("g", True, None), ("g", True, None)], "g string, a boolean, b boolean")
     assert {(r["pc0"], r["pc1"]) for r in joint_components(df, ["g"], ["a", "b"], 2).collect()} == {(0.0, 0.0)}
+
+
+def test_rows_are_worked_out_once_and_equal_ones_stand_for_each_other(spark, monkeypatch):
+    from shokuba.operators import group_clusters as G
+
+    made, sizes, sums = spark.sparkContext.accumulator(0), [], G._cluster_sums
+
+    def make(i):
+        made.add(1)
+        return float(i % 40 // 8 * 10 + i % 8)
+
+    def counted(points, models):
+        sizes.append(points.count())
+        return sums(points, models)
+
+    monkeypatch.setattr(G, "_cluster_sums", counted)
+    df = spark.range(400, numPartitions=2).select("id", F.lit("g").alias("g"), F.udf(make, "double")("id").alias("x"))
+    got = G.group_clusters(df, ["g"], "id", ["x"], ks=(5,)).collect()
+    assert made.value == 400 and set(sizes) == {40}
+    assert len(got) == 400 and len({(r["x"] // 10, r["cluster"]) for r in got}) == 5
+
+
+def test_nearest_equals_exact_distances_on_ties():
+    from shokuba.operators.group_clusters import _assigned, _nearest
+
+    r = np.random.default_rng(5)
+    x = r.integers(-3, 4, (500, 2)) + 1e8  # many rows lie between two centres; lengths hide their distances
+    models = {k: r.integers(-3, 4, (k, 2)) + 1e8 + 0.5 for k in (3, 5)}
+    got = _nearest(x, (x * x).sum(1), models)
+    assert all((got[k] == _assigned(x, c)[0]).all() for k, c in models.items())
