@@ -6,13 +6,31 @@ where the docstring says so; ties are always broken by an explicit order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_SHORT, _KEPT = 200, 100_000  # characters of texts, and texts, that a task keeps
+
+
+class Kept(dict):
+    """What a function says of short texts, kept in the task for the next time, as adverts say the same again and again."""
+
+    def __init__(self, f: Callable):
+        self.f = f
+
+    def __missing__(self, text: str):
+        out = self.f(text)
+        if len(text) <= _SHORT:
+            if len(self) >= _KEPT:
+                self.clear()
+            self[text] = out
+        return out
+
+
 def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows in which none of `keys` is null."""
     return df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])) if keys else df

@@ -79,6 +79,33 @@ def required_texts(pattern: str) -> tuple[set[str], bool] | None:
     return (keys, False) if keys else None
 
 
+def plain_pattern(pattern: str, marks: str = "\n") -> bool:
+    """Whether a pattern is made of characters, ranges of them, groups, choices and repeats alone, which Java and Python read
+    alike, and can match none of `marks`; so it occurs in a text if it does in what lies between marks."""
+
+    def plain(items: Iterable) -> bool:
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                good = chr(arg) not in marks
+            elif name == "IN":
+                good = all(str(x) == "LITERAL" and chr(c) not in marks or str(x) == "RANGE" and not any(c[0] <= ord(m) <= c[1] for m in marks) for x, c in arg)
+            elif name == "SUBPATTERN":
+                good = not arg[1] and not arg[2] and plain(arg[3])
+            elif name == "BRANCH":
+                good = all(map(plain, arg[1]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                good = plain(arg[2])
+            else:
+                good = False
+            if not good:
+                return False
+        return True
+
+    parsed = _parser.parse(pattern)
+    return parsed.state.flags & ~32 == 0 and plain(parsed)
+
+
 def _quote(c: str) -> str:
     return rf"\x{{{ord(c):X}}}"
 

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shokuba.operators.core import scopes, suppress
+from shokuba.operators.core import Kept, scopes, suppress
 from shokuba.operators.postings import GRADES
-from shokuba.operators.rules import scan_pattern
+from shokuba.operators.rules import plain_pattern
 from shokuba.sources.scratch import written
 
 Terms = Sequence[tuple[str, int]]
 
 _NEGATIONS = "不非未無"
 _UNKNOWN = "不明"
+_BLANKS = " \t\r　"
 
 
 @dataclass(frozen=True)
@@ -47,23 +52,55 @@ def _overlaps_itself(term: str) -> bool:
     return any(term.startswith(term[i:]) for i in range(1, len(term)))
 
 
+def _add_up(row: np.ndarray, lines: Mapping[str, int], listed: Mapping[str, list[tuple[int, int]]]) -> None:
+    for line, n in lines.items():
+        for i, k in listed[line]:
+            row[i] += k * n
+
+
+def _arrays(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
+
+
 class Occurrences:
     """How often terms occur in a text, from one pass that lists them all; counted from the left without overlap."""
 
     def __init__(self, groups: Iterable[Terms], negations: str):
         terms = {t for g in groups for t, _ in g}
-        self.negations, self.lead = negations, f"(?<![{negations}])" if negations else ""
+        self.negations = negations
         self.alone = {t for t in terms if _overlaps_itself(t)}  # a pass over every place would count these twice
         self.words = sorted(terms - self.alone)
 
-    def found(self, text: Column) -> Column:
-        if not self.words:
-            return F.array().cast("array<string>")
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.lead + scan_pattern(self.words)), 1)
+    @property
+    def apart(self) -> bool:
+        """Whether no term goes over the end of a line."""
+        return not any("\n" in x for x in (*self.words, self.negations))
 
-    def counts(self, found: Column) -> Column:
-        """array<int>: how often each of `words` is among what the pass listed."""
-        return F.transform(F.array(*map(F.lit, self.words)).cast("array<string>"), lambda w: F.size(found) - F.size(F.array_remove(found, w)))
+    def lister(self) -> Callable[[str], list[tuple[int, int]]]:
+        """A function of a text: which of `words` begin in it, not right after a negation, and how often; where several begin
+        at a place, the longest."""
+        if not self.words:
+            return lambda text: []
+        place = {w: i for i, w in enumerate(self.words)}
+        lead = f"(?<![{''.join(map(re.escape, self.negations))}])" if self.negations else ""
+        pattern = re.compile(f"{lead}(?=({'|'.join(map(re.escape, sorted(place, key=len, reverse=True)))}))")
+        return lambda text: list(Counter(place[w] for w in pattern.findall(text)).items())
+
+    def counts(self, text: Column) -> Column:
+        """array<int>: how often `lister` finds each of `words`."""
+        listed, apart, width = self.lister(), self.apart, len(self.words)
+
+        @F.arrow_udf("array<int>")
+        def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = Kept(listed)
+            for batch in texts:
+                out = np.zeros((len(batch), width), np.int32)
+                for row, t in zip(out, batch):
+                    t = t.as_py() or ""
+                    _add_up(row, Counter(t.split("\n") if apart else [t]), known)
+                yield _arrays(out)
+
+        return count(text)
 
     def _count(self, term: str, counts: Column, text: Column) -> Column:
         """Occurrences of a term; a longer one that begins with it stands for both."""
@@ -89,7 +126,7 @@ class Occurrences:
 def split_template(text: Column, template: Sequence[str], legal: str) -> Column:
     """struct<original,template>: the lines of a text, blanks around them cut and empty ones left out, in two texts. A line is
     template if it holds one of the texts, or lies at or behind the first line that matches `legal`."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r　"))), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
     texts = "|".join(f"\\Q{t}\\E" for t in template)
     start = F.array_position(F.transform(lines, lambda x: x.rlike(f"(?U){legal}")), F.lit(True)).cast("int")
     # nothing of the whole text is asked for inside the functions of a line, so the work is in proportion to the lines
@@ -102,6 +139,39 @@ def split_template(text: Column, template: Sequence[str], legal: str) -> Column:
     )
 
 
+def _asked_by_line(text: Column, template: Sequence[str], legal: str, whole: Occurrences, own: Occurrences) -> Column:
+    """struct<whole,own,n>: counts of the whole text and of the original part of split_template, and the length of the
+    template part. Each line is judged once in a task while it is kept; terms don't go over its end."""
+    begins, list_whole, list_own, widths = re.compile(legal), whole.lister(), own.lister(), (len(whole.words), len(own.words))
+
+    def judge(line: str) -> tuple[int, bool, bool]:
+        x = line.strip(_BLANKS)
+        return len(x), bool(begins.search(x)), any(t in x for t in template)
+
+    @F.arrow_udf("struct<whole: array<int>, own: array<int>, n: int>")
+    def ask(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judged, listed, listed_own = Kept(judge), Kept(list_whole), Kept(lambda line: list_own(line.strip(_BLANKS)))
+        for batch in texts:
+            out, sizes = [np.zeros((len(batch), w), np.int32) for w in widths], np.zeros(len(batch), np.int32)
+            for r, t in enumerate(batch):
+                lines = (t.as_py() or "").split("\n")
+                _add_up(out[0][r], Counter(lines), listed)
+                mine, after, size, n = [], False, 0, 0
+                for line in lines:
+                    length, legal_line, held = judged[line]
+                    if length:
+                        after = after or legal_line
+                        if after or held:
+                            size, n = size + length, n + 1
+                        else:
+                            mine.append(line)
+                _add_up(out[1][r], Counter(mine), listed_own)
+                sizes[r] = size + max(0, n - 1)
+            yield pa.StructArray.from_arrays([*map(_arrays, out), pa.array(sizes)], names=["whole", "own", "n"])
+
+    return ask(text)
+
+
 def _top(scores: Mapping[str, Column], n: int = 1) -> Column:
     """The `n` names with the highest scores, first ones on ties, `不明` in place of those without points."""
     rows = F.sort_array(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, s) in enumerate(scores.items())]), False)
@@ -113,13 +183,18 @@ def ask_texts(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
 
     template_ratio, diff_<category> and diff_total, tone_<name> and tone (the strongest), told_<category> (share of its
     terms that occur) and info (their weighted mean), people_<kind> (the group with most points), value_<name> and
-    values (the three highest). What the original part and the whole text hold is listed by one pass each.
+    values (the three highest). Lines are judged one by one, and one that repeats once, if no term goes over the end of a
+    line; otherwise what the original part and the whole text hold is listed by one pass each.
     """
     whole, own = Occurrences(lexicon.everything(), lexicon.negations), Occurrences(lexicon.difference.values(), lexicon.negations)
-    out = df.filter(F.length(text) > 0).withColumn("_parts", F.array(split_template(F.col(text), lexicon.template, lexicon.legal)))
-    out = out.withColumns({"_own": F.col("_parts")[0]["original"], "_n": F.length(F.col("_parts")[0]["template"])}).drop("_parts")
-    out = out.withColumns({"_whole_found": whole.found(F.col(text)), "_own_found": own.found(F.col("_own"))})
-    out = out.withColumns({"_whole_counts": whole.counts(F.col("_whole_found")), "_own_counts": own.counts(F.col("_own_found"))}).drop("_whole_found", "_own_found")
+    out = df.filter(F.length(text) > 0)
+    if whole.apart and own.apart and not own.alone and plain_pattern(lexicon.legal):
+        out = out.withColumn("_asked", _asked_by_line(F.col(text), lexicon.template, lexicon.legal, whole, own))
+        out = out.withColumns({"_whole_counts": F.col("_asked.whole"), "_own_counts": F.col("_asked.own"), "_n": F.col("_asked.n"), "_own": F.lit(None).cast("string")}).drop("_asked")
+    else:
+        out = out.withColumn("_parts", F.array(split_template(F.col(text), lexicon.template, lexicon.legal)))
+        out = out.withColumns({"_own": F.col("_parts")[0]["original"], "_n": F.length(F.col("_parts")[0]["template"])}).drop("_parts")
+        out = out.withColumns({"_whole_counts": whole.counts(F.col(text)), "_own_counts": own.counts(F.col("_own"))})
     found, full = F.col("_whole_counts"), F.col(text)
     points = {f"diff_{n}": own.points(t, F.col("_own_counts"), F.col("_own")) for n, t in lexicon.difference.items()}
     extra = {n: 2 * F.regexp_count(full, F.lit(p)) for n, p in lexicon.marks.items()}

@@ -98,3 +98,35 @@ def test_text_scopes_asks_each_text_once(spark):
     got = text_scopes(df, {"nation": ["job"]}, ["job"], ["tone"]).collect()
     assert [(r.n, r.template_ratio_mean, r.tone_mode, r.tone_pct) for r in got] == [(12, 5.5, "calm", 100.0)]
     assert asked.value == 12
+
+
+def test_lines_that_repeat_are_judged_once(monkeypatch):
+    from shokuba.operators import core
+    from shokuba.operators import texts as T
+
+    judged = []
+    kept = core.Kept(lambda line: judged.append(line) or [(0, 1)])
+    row = [0]
+    for _ in range(3):
+        T._add_up(row, {"a": 2, "b": 1, "x" * 300: 1}, kept)
+    assert row == [12] and judged == ["a", "b", *["x" * 300] * 3]
+    monkeypatch.setattr(core, "_KEPT", 2)
+    assert kept["c"] and set(kept) == {"c"}  # what is kept stays bounded
+
+
+def test_answers_by_line_match_those_of_whole_texts(spark, monkeypatch):
+    from dataclasses import replace
+
+    from shokuba.operators import texts as T
+
+    r = random.Random(3)
+    lexicon = replace(LEXICON, difference={"x": [("強み", 2), ("強", 1)]})
+    bits = ["定型", "個人情報", "強み", "強", "ます", "休憩", "経験", "未", "\n", "\n", " ", "　\n", "\r\n", "文", "𠮷", "々々"]
+    df = spark.createDataFrame([(i, "".join(r.choices(bits, k=r.randint(1, 60)))) for i in range(200)], "id long, body string")
+    rows = lambda: sorted(map(str, ask_texts(df, "body", lexicon).collect()))
+    calls, ask = [], T._asked_by_line
+    monkeypatch.setattr(T, "_asked_by_line", lambda *a: calls.append(1) or ask(*a))
+    by_line = rows()
+    assert calls
+    monkeypatch.setattr(T, "plain_pattern", lambda p: False)
+    assert rows() == by_line and len(calls) == 1
