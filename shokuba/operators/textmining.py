@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shokuba.operators.core import top_n
+from shokuba.operators.core import Kept, top_n
 from shokuba.sources.scratch import cut_lineage, written
 
 
@@ -21,6 +25,8 @@ def tokenise(df: DataFrame, key: Sequence[str], text: str, pattern: str, least:
     return out.filter(~F.col("token").isin(*stop)) if stop else out
 
 
+_COUNTS = 200_000  # words that a task adds up before it sends them
+
 #: Runs of a script that are words, in the order in which they are taken; and marks that alone are no word.
 SCRIPT_RUNS = [("katakana", r"[ァ-ヶー]{2,}"), ("kanji", r"[一-龥]{2,6}"), ("mixed", r"[一-龥]+[ァ-ヶー]+|[ァ-ヶー]+[一-龥]+")]
 NOISE = r"^[ー\-─━┈┉┄・…。、！？\s　]+$"
@@ -40,7 +46,55 @@ def script_tokens(df: DataFrame, key: Sequence[str], text: str, synonyms: Mappin
     if synonyms:
         table = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
         out = out.withColumn("token", F.coalesce(table[F.col("token")], "token"))
-    out = out.filter((F.length("token") >= least) & ~(F.col("token").rlike(NOISE) & (F.col("kind") != "kanji")))
+    return _judged(out, stop, least)
+
+
+def script_token_counts(df: DataFrame, by: Sequence[str], doc: str, text: str, synonyms: Mapping[str, str] | None = None, stop: Sequence[str] = (), least: int = 2) -> DataFrame:
+    """by, kind, token, count, docs: how often script_tokens finds each word, and in how many different documents.
+
+    A task adds up what it reads, so no row for each word is made. What lies between marks is cut once where it repeats
+    while it is kept, as no word goes over a mark. Documents whose key repeats are counted by their keys.
+    """
+    again = written(df.groupBy(doc).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(doc, F.lit(True).alias("_again")))
+    rows = df.select(*by, doc, F.coalesce(text, F.lit("")).alias("_text")).join(again, doc, "left").select(*by, doc, "_again", "_text")
+    runs, renamed, types = [(kind, re.compile(p)) for kind, p in SCRIPT_RUNS], dict(synonyms or {}), [df.select(c).schema[0] for c in (*by, doc)]
+    shown = T.StructType([*types[:-1], *(T.StructField(n, T.StringType()) for n in ("kind", "token")), *(T.StructField(n, T.LongType()) for n in ("count", "docs")), types[-1]])
+
+    def cut(part: str) -> list[tuple[tuple[str, str], int]]:
+        return list(Counter((kind, renamed.get(t, t)) for kind, p in runs for t in p.findall(part)).items())
+
+    def run(batches):
+        known, found, schema = Kept(cut), {}, None
+
+        def flush():
+            columns = list(zip(*((*k[:-1], *v, k[-1]) for k, v in found.items())))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema)], names=shown.names)
+
+        for b in batches:
+            kinds = [f.type for f in b.schema]
+            schema = [*kinds[: len(by)], pa.string(), pa.string(), pa.int64(), pa.int64(), kinds[len(by)]]
+            for *group, key, repeats, t in zip(*(c.to_pylist() for c in b.columns)):
+                met: dict = {}
+                for part, n in Counter(t.replace("\n", "。").replace(" ", "。").split("。")).items():
+                    for word, k in known[part]:
+                        met[word] = met.get(word, 0) + n * k
+                for word, n in met.items():
+                    at = found.setdefault((*group, *word, key if repeats else None), [0, 0])
+                    at[0] += n
+                    at[1] += not repeats and key is not None
+                if len(found) > _COUNTS:
+                    yield flush()
+        if found:
+            yield flush()
+
+    parts = rows.mapInArrow(run, shown)
+    out = parts.groupBy(*by, "kind", "token").agg(F.sum("count").alias("count"), (F.sum("docs") + F.countDistinct(doc)).alias("docs"))
+    return _judged(out, stop, least)
+
+
+def _judged(words: DataFrame, stop: Sequence[str], least: int) -> DataFrame:
+    out = words.filter((F.length("token") >= least) & ~(F.col("token").rlike(NOISE) & (F.col("kind") != "kanji")))
     return out.filter((F.col("kind") == "mixed") | ~F.col("token").isin(*stop)) if stop else out
 
 

@@ -262,8 +262,7 @@ _STOP = ["経験", "資格", "応募", "募集", "仕事"]
     WHERE length(token) >= 2 AND NOT (kind <> 'kanji' AND regexp_matches(token, '^[ー\\-─━┈┉┄・…。、！？\\s　]+$')) AND (kind = 'mixed' OR token NOT IN ({", ".join(f"'{x}'" for x in _STOP)})) GROUP BY ALL""", base=False)
 def txt01_script_tokens(spark, d):
     """Words of all adverts by job and script: how often, and in how many adverts."""
-    words = T.script_tokens(advert_texts(spark, d), ["doc_id", "job_type"], "all_text", _SYNONYMS, _STOP)
-    return words.groupBy("job_type", "kind", "token").agg(F.count("*").alias("count"), F.countDistinct("doc_id").alias("docs"))
+    return T.script_token_counts(advert_texts(spark, d), ["job_type"], "doc_id", "all_text", _SYNONYMS, _STOP)
 
 
 _SHIFTS = ["日勤のみ", "シフト制", "固定時間", "夜勤専従"]

@@ -130,3 +130,16 @@ def test_answers_by_line_match_those_of_whole_texts(spark, monkeypatch):
     assert calls
     monkeypatch.setattr(T, "plain_pattern", lambda p: False)
     assert rows() == by_line and len(calls) == 1
+
+
+def test_script_token_counts_match_rows_of_words(spark):
+    from shokuba.operators.textmining import script_token_counts, script_tokens
+
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([i, i, 7, None]), r.choice([None, "".join(r.choices("アイウー漢字語彙。、ab \n", k=r.randint(0, 60)))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "job string, id long, body string").repartition(3)
+    synonyms, stop = {"アイ": "愛", "漢字": "文字", "ーー": "線です"}, ["語彙", "アア"]
+    want = script_tokens(df, ["job", "id"], "body", synonyms, stop).groupBy("job", "kind", "token").agg(F.count("*").alias("count"), F.countDistinct("id").alias("docs"))
+    got = script_token_counts(df, ["job"], "id", "body", synonyms, stop)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no row for each word
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
