@@ -5,16 +5,25 @@ Every rule compiles to a Spark column and, from the same table, to SQL.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 from re import _parser
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shokuba.operators.core import Kept
+
 _MOST = 64  # different texts of a part of a pattern that are written out
+_FEW = 16  # patterns of a scan up to which a text isn't worth moving
+_REACH = 64  # most characters of a match that goes over the end of a sentence
+#: What Java's (?U)\s matches, and what its dot does not.
+_SPACE, _BREAKS = "\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "\n\r\x85\u2028\u2029"
 
 
 # -- one scan for many patterns
@@ -106,6 +115,141 @@ def plain_pattern(pattern: str, marks: str = "\n") -> bool:
     return parsed.state.flags & ~32 == 0 and plain(parsed)
 
 
+def _translated(items: Iterable, atoms: list[str]) -> str | None:
+    """A parsed pattern as Python writes what Java means by it, its characters and sets of them added to `atoms`; None if
+    it has more than characters, sets, groups, choices and repeats."""
+    out = []
+    for op, arg in items:
+        name = str(op)
+        if name in ("LITERAL", "ANY", "IN"):
+            parts = []
+            for x, c in arg if name == "IN" else [(op, arg)]:
+                part = {"LITERAL": lambda c: re.escape(chr(c)), "RANGE": lambda c: "-".join(re.escape(chr(x)) for x in c), "ANY": lambda c: f"^{_BREAKS}",
+                        "CATEGORY": lambda c: {"CATEGORY_DIGIT": r"\d", "CATEGORY_SPACE": _SPACE}.get(str(c))}.get(str(x), lambda c: None)(c)
+                if part is None:
+                    return None
+                parts.append(part)
+            atoms.append(f"[{''.join(parts)}]")
+            out.append(atoms[-1])
+            continue
+        plain = name in ("BRANCH", "MAX_REPEAT", "MIN_REPEAT") or name == "SUBPATTERN" and not arg[1] and not arg[2]
+        inner = [_translated(x, atoms) for x in (arg[1] if name == "BRANCH" else [arg[-1]])] if plain else [None]
+        if None in inner:
+            return None
+        out.append(f"(?:{'|'.join(inner)})")
+        if name.endswith("REPEAT"):
+            out.append(f"{{{arg[0]},{'' if arg[1] is _parser.MAXREPEAT else arg[1]}}}" + "?" * (name == "MIN_REPEAT"))
+    return "".join(out)
+
+
+def _starts(items: list) -> set[str]:
+    """Texts with one of which every match of a parsed pattern begins; an empty one if they are not known."""
+    texts: list[str] = []
+    for stop in range(1, len(items) + 1):
+        if (here := _texts(items[:stop])) is None:
+            break
+        texts = here if all(here) else texts
+    if texts or not items:
+        return set(texts) or {""}
+    name, arg = str(items[0][0]), items[0][1]
+    inner = {"SUBPATTERN": lambda: [arg[3]], "BRANCH": lambda: arg[1]}.get(name, list)()
+    return set().union(*(_starts(list(b)) for b in inner)) or {""}
+
+
+def _by_first(words: Iterable[str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for w in words:
+        out.setdefault(w[0], []).append(w)
+    return out
+
+
+@dataclass(frozen=True)
+class Tried:
+    """A pattern that is more than texts: its group, the texts it needs, the most characters of a match that may go over
+    the end of a sentence (0: none does, -1: too many to tell) and the texts it begins with."""
+
+    group: int
+    needs: frozenset | None
+    pattern: re.Pattern
+    reach: int
+    starts: frozenset
+
+
+def tried_by_sentence(pattern: str, group: int, needs: set[str] | None, end: str) -> Tried | None:
+    """A pattern that is sought in each sentence, and over the ends of sentences only as far as it reaches; None if Java and
+    Python may read it in different ways."""
+    parsed, atoms = _parser.parse(pattern), []
+    text = None if parsed.state.flags & ~32 else _translated(parsed, atoms)
+    if text is None:
+        return None
+    over = any(re.fullmatch(a, end) for a in atoms)
+    reach = parsed.getwidth()[1] if over else 0
+    starts = _starts(list(parsed)) if over else ()
+    apart = needs is not None and not any(end in w for w in needs)  # so each of them lies in a sentence
+    return Tried(group, frozenset(needs) if apart else None, re.compile(text), reach if reach <= _REACH else -1, frozenset(starts))
+
+
+class Sentences:
+    """The groups that occur in a text, from what occurs in its sentences, each of which is judged once while it is kept.
+
+    A match within a sentence is found there. One that goes over its end begins in its last characters, with a text that
+    the pattern begins with; only behind such a text the pattern is tried on the seam: as many characters of both sides as
+    a match may have. A pattern whose matches may be of any length is tried on the whole text, if a text it needs occurs.
+    """
+
+    def __init__(self, exact: Mapping[str, Iterable[int]], tried: Sequence[Tried], end: str):
+        self.exact, self.tried, self.end = exact, tried, end
+        self.needing: dict[str, list[int]] = {}
+        for i, t in enumerate(tried):
+            for w in t.needs or ():
+                self.needing.setdefault(w, []).append(i)
+        self.always = [i for i, t in enumerate(tried) if t.needs is None]
+        self.words = _by_first({*exact, *self.needing})
+        self.reach = max((t.reach for t in tried), default=0)
+        begins = {i: t.starts for i, t in enumerate(tried) if t.reach > 0}
+        self.anywhere = [i for i, ws in begins.items() if any(not w or w[0] == end for w in ws)]
+        self.opening: dict[str, list[int]] = {}
+        for i, ws in begins.items():
+            for w in ws if i not in self.anywhere else ():
+                self.opening.setdefault(w, []).append(i)
+        self.starts = _by_first(self.opening)
+        self.known = Kept(self._judge)
+
+    def _judge(self, s: str) -> tuple[frozenset, list[int]]:
+        """Groups that occur in a sentence, and patterns that may begin in it and go over its end, or are for the whole text."""
+        found = {w for at, c in enumerate(s) for w in self.words.get(c, ()) if s.startswith(w, at)}
+        hits = {g for w in found for g in self.exact.get(w, ())}
+        needed = {i for w in found for i in self.needing.get(w, ())}.union(self.always)
+        for i in needed:
+            if self.tried[i].group not in hits and self.tried[i].pattern.search(s):
+                hits.add(self.tried[i].group)
+        opened = {i for i in needed if self.tried[i].reach < 0}.union(self.anywhere)
+        for at in range(max(0, len(s) - self.reach), len(s)):
+            for w in self.starts.get(s[at], ()):
+                if s.startswith(w, at) or w.startswith(s[at:]):
+                    opened.update(self.opening[w])
+        return frozenset(hits), [i for i in opened if self.tried[i].group not in hits]
+
+    def __call__(self, text: str | None) -> list[int]:
+        if text is None:
+            return []
+        pieces = text.split(self.end)
+        judged = {p: self.known[p] for p in set(pieces)}
+        hits = set().union(*(h for h, _ in judged.values()))
+        opened = {p: left for p, (_, o) in judged.items() if o and (left := [i for i in o if self.tried[i].group not in hits])}
+        whole = {i for left in opened.values() for i in left if self.tried[i].reach < 0} if opened else ()
+        hits.update(self.tried[i].group for i in whole if self.tried[i].pattern.search(text))
+        opened = {p: [i for i in left if i not in whole] for p, left in opened.items()} if whole else opened
+        for at, p in enumerate(pieces[:-1], 1) if opened else ():
+            if left := opened.get(p):
+                stop, size = at, 0
+                while stop < len(pieces) and size < self.reach:
+                    size, stop = size + len(pieces[stop]) + 1, stop + 1
+                seam = p[-self.reach :] + self.end + self.end.join(pieces[at:stop])[: self.reach]
+                hits.update(t.group for t in map(self.tried.__getitem__, left) if t.group not in hits and t.pattern.search(seam))
+        return sorted(hits)
+
+
 def _quote(c: str) -> str:
     return rf"\x{{{ord(c):X}}}"
 
@@ -139,7 +283,7 @@ def scan_pattern(words: Iterable[str]) -> str:
 
 
 class Scan:
-    """All patterns of one field, compiled into one pass over its text.
+    """All patterns of one field, compiled into one pass over its text; many are sought by sentences (Sentences) if they can be.
 
     `groups` names sets of patterns; a group occurs if one of its patterns does. Each pattern has texts it can't do
     without. The pass collects those that occur, overlapping ones too. A pattern that is nothing but such texts is
@@ -151,6 +295,7 @@ class Scan:
         self.names = list(groups)
         self.place = {n: i for i, n in enumerate(self.names)}
         exact: dict[str, set[int]] = {}
+        parts: list[tuple[str, int, set[str] | None]] = []  # every pattern that is tried
         self.tried: list[tuple[int, set[str] | None, str]] = []  # group, texts it needs, pattern
         for i, patterns in enumerate(groups.values()):
             rest, needs = [], set()
@@ -161,6 +306,7 @@ class Scan:
                         exact.setdefault(w, set()).add(i)
                 else:
                     rest.append(f"(?:{p})")
+                    parts.append((p, i, keys and keys[0]))
                     needs = None if needs is None or not keys else needs | keys[0]
             if rest:
                 self.tried.append((i, needs, "|".join(rest)))
@@ -170,6 +316,14 @@ class Scan:
         self.exact = {w: sorted(set().union(*(exact.get(x, ()) for x in self.below[w]))) for w in self.words}
         self.exact = {w: g for w, g in self.exact.items() if g}
         self.marks = [m for m in "。\n " if not any(m in w for w in self.words)]
+        #: how the scan goes by sentences; None for few patterns, or if one of them can't be tried so
+        self.sentences: tuple[dict, list[Tried], str] | None = None
+        if sum(map(len, groups.values())) > _FEW:
+            for end in (m for m in "。\n" if not any(m in w for w in exact)):
+                tried = [tried_by_sentence(*p, end) for p in parts]
+                if None not in tried:
+                    self.sentences = ({w: sorted(g) for w, g in exact.items()}, tried, end)
+                    break
 
     def found(self, text: Column) -> Column:
         """array<string> of the texts that occur; where one begins with another, the longer stands for both.
@@ -208,10 +362,57 @@ class Scan:
         return F.size(F.array_intersect(hits, F.array(*[F.lit(self.place[n]) for n in dict.fromkeys(names)])))
 
 
+def hits_by_sentence(columns: Sequence[str], scans: Sequence[Scan]) -> Column:
+    """struct of the `hits` of each column's scan, in one pass over all of them."""
+
+    def judges() -> list[Sentences]:
+        return [Sentences(*x) for x in parts]
+
+    parts, kinds = [s.sentences for s in scans], pa.list_(pa.int32())
+    names = [f"h{i}" for i in range(len(columns))]
+
+    @F.arrow_udf(f"struct<{', '.join(f'{n}: array<int>' for n in names)}>")
+    def judge(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        every = judges()
+        for batch in batches:
+            yield pa.StructArray.from_arrays([pa.array([f(t.as_py()) for t in texts], kinds) for f, texts in zip(every, batch)], names=names)
+
+    @F.arrow_udf("struct<h0: array<int>>")
+    def judge_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        (f,) = judges()
+        for texts in batches:
+            yield pa.StructArray.from_arrays([pa.array([f(t.as_py()) for t in texts], kinds)], names=names)
+
+    return (judge_one if len(columns) == 1 else judge)(*columns)
+
+
+def counts_by_sentence(column: str, scan: Scan, wanted: Sequence[Sequence[str]]) -> Column:
+    """array<int>: for each list of names how many of its groups occur in the column, from one pass; null has none."""
+    parts, member = scan.sentences, np.zeros((len(scan.names), len(wanted)), np.int32)
+    for i, names in enumerate(wanted):
+        member[[scan.place[n] for n in names], i] = 1
+
+    @F.arrow_udf("array<int>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge = Sentences(*parts)
+        for texts in batches:
+            out = np.zeros((len(texts), len(wanted)), np.int32)
+            for i, t in enumerate(texts):
+                out[i] = member[judge(t.as_py())].sum(axis=0)
+            yield pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * len(wanted), out.ravel())
+
+    return count(column)
+
+
 def with_scans(df: DataFrame, scans: Mapping[str, Scan], prefix: str = "_hits_") -> DataFrame:
     """`df` with the hits of each scanned column; each text is read once however many patterns ask for it."""
-    found = df.withColumns({f"_found_{c}": s.found(F.col(c)) for c, s in scans.items()})
-    return found.withColumns({f"{prefix}{c}": s.hits(F.col(f"_found_{c}"), F.col(c)) for c, s in scans.items()}).drop(*[f"_found_{c}" for c in scans])
+    apart = [c for c, s in scans.items() if s.sentences]
+    native = {c: s for c, s in scans.items() if not s.sentences}
+    if apart:
+        df = df.withColumn("_scanned", hits_by_sentence(apart, [scans[c] for c in apart]))
+        df = df.withColumns({f"{prefix}{c}": F.col("_scanned")[f"h{i}"] for i, c in enumerate(apart)}).drop("_scanned")
+    found = df.withColumns({f"_found_{c}": s.found(F.col(c)) for c, s in native.items()}) if native else df
+    return found.withColumns({f"{prefix}{c}": s.hits(F.col(f"_found_{c}"), F.col(c)) for c, s in native.items()}).drop(*[f"_found_{c}" for c in native]) if native else found
 
 
 @dataclass(frozen=True)
@@ -494,7 +695,11 @@ def score_columns(df: DataFrame, axes: Axes, kinds: Sequence[Kind] = ()) -> Data
     counts = {w: f"_count_{i}" for i, w in enumerate(dict.fromkeys(map(tuple, wanted)))}
     at = Spark(frozenset(df.columns), counts)
     # counts are columns of their own, since points with steps read them several times
-    scanned = with_scans(df, {"all_text": scan}).withColumns({n: scan.count(w, F.col("_hits_all_text")) for w, n in counts.items()})
+    if scan.sentences:
+        scanned = df.withColumn("_hits_all_text", counts_by_sentence("all_text", scan, list(counts)))
+        scanned = scanned.withColumns({n: F.coalesce(F.get("_hits_all_text", F.lit(i)), F.lit(0)) for i, n in enumerate(counts.values())})
+    else:
+        scanned = with_scans(df, {"all_text": scan}).withColumns({n: scan.count(w, F.col("_hits_all_text")) for w, n in counts.items()})
     extra = {"_texts": F.array_compact(F.array(*[F.when(at.count(k.texts) > 0, k.name) for k in kinds if k.texts]).cast("array<string>"))} if kinds else {}
     return scanned.withColumns({n: s.column(at) for scores in axes.values() for n, s in scores.items()} | extra).drop("_hits_all_text", *counts.values())
 

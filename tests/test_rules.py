@@ -170,3 +170,34 @@ def test_enriched_adverts_match_single_patterns_and_read_each_text_once(spark):
     assert sum(r["tags"] != "" for r in rows) > 40
     # before, each of some 250 patterns read the text for itself; now only those that a text may hold are tried
     assert enrich_postings(df)._jdf.queryExecution().analyzed().toString().count("RLIKE") < 200
+
+
+def test_groups_by_sentence_are_those_of_whole_texts(spark):
+    patterns = [*PATTERNS, "雇。用", "(い|う)。?え", "[急激]募.{0,9}年", r"\d.{0,3}年", "。.{1,3}歓", r"全国\d+.{0,3}拠点", r"年\s*歳"]
+    scan = rules.Scan({p: [p] for p in patterns if "。" not in p})
+    odd = rules.Scan({p: [p] for p in patterns})  # 雇。用 goes over the end of a sentence, so lines are taken instead
+    assert scan.sentences[2] == "。" and odd.sentences[2] == "\n"
+    r = random.Random(7)
+    texts = made_up(300, 6) + ["お祝い金。急募。30万円", "風通し。良", "全国12345678。の拠点", "風通し\n良", "風通し\r良", "家庭。", "。両立", "研修。。。。。充実", "年　歳", "年\x1c歳", "。", "急募\n。3年", "x。年歓"]
+    texts += ["。".join(r.choice(texts)[:6] for _ in range(r.randint(1, 8))) for _ in range(400)]
+    for s in (scan, odd):
+        judge = rules.Sentences(*s.sentences)
+        df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").withColumn("f", s.found(F.col("t")))
+        for row in df.select("i", F.array_sort(s.hits(F.col("f"), F.col("t"))).alias("h")).orderBy("i").collect():
+            text = [*texts, None][row["i"]]
+            assert judge(text) == row["h"], text
+
+
+def test_a_sentence_that_repeats_is_judged_once():
+    scan = rules.Scan({p: [p] for p in PATTERNS})
+    judge, asked = rules.Sentences(*scan.sentences), []
+    plain = judge.known.f
+    judge.known.f = lambda s: asked.append(s) or plain(s)
+    assert judge("残業ほぼなし。家庭" * 500) and judge("家庭。残業ほぼなし")
+    assert len(asked) <= 5
+
+
+def test_scores_and_features_ask_no_pattern_of_whole_texts(spark):
+    adverts = plans.advert_texts(spark, SF)
+    for df in (rules.score_columns(adverts, AXES, KINDS), rules.text_features(adverts, plans.FEATURES)):
+        assert df._jdf.queryExecution().analyzed().toString().count("RLIKE") <= 3
