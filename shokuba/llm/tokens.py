@@ -16,7 +16,7 @@ _PLAIN = re.compile(r"[\x21-\x7e\xa1-įı-ɏ]+\Z")
 _BUNCH = 256  # units in one text
 #: White space on which Python and the tokenizer may differ; texts with it are encoded whole.
 _ODD = re.compile(r"[\x1c-\x1f\x85᠎]")
-_GROUP = 20_000  # characters of texts whose words are learnt together, few enough for a processor's cache
+_GROUP = 60_000  # characters of texts whose words are learnt together
 
 
 class WordEncoder:
