@@ -230,6 +230,7 @@ def job_scopes(df: DataFrame, job: str, region: str, doc: str, top: int = 10) ->
     known = df.filter(F.col(job).isNotNull())
     sizes = known.filter(F.col(region).isNotNull()).groupBy(job, region).agg(F.countDistinct(doc).alias("_n"))
     best = top_n(sizes, [job], [F.desc("_n"), F.asc(region)], top).select(job, region)
+    best = F.broadcast(best)  # `top` rows a job; else the texts would be shuffled
     return known.withColumn("scope", F.lit("nation")).unionByName(known.join(best, [job, region], "left_semi").withColumn("scope", F.col(region).cast("string")))
 
 
@@ -249,6 +250,31 @@ def _both(word: DataFrame, group: Sequence[str], doc: str, more: Sequence[str] =
     return a.join(b, shared).filter(F.col("ia") < F.col("ib"))
 
 
+_LANES, _SIGNS = 8, 4  # numbers of 64 bits in a word's mask; smallest hashes of its documents
+
+
+def _sketches(word: DataFrame, group: Sequence[str], doc: str) -> DataFrame:
+    """group, id, df, n, _m0, _m1, …: the bits that the hashes of a word's documents set, whatever their number; and _sign, the
+    smallest of their hashes by each of some seeds, which words share the likelier the more of their documents they share."""
+    at = F.pmod(F.xxhash64(doc, F.lit(3)), F.lit(64 * _LANES))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    masks = [F.coalesce(F.bit_or(F.when(F.floor(at / 64) == i, bit)), F.lit(0).cast("long")).alias(f"_m{i}") for i in range(_LANES)]
+    return word.groupBy(*group, "id", "df", "n").agg(*masks, F.array(*[F.min(F.xxhash64(doc, F.lit(10 + i))) for i in range(_SIGNS)]).alias("_sign"))
+
+
+def _may_share(a: str, b: str) -> Column:
+    """The most documents of word a that can be b's too: a bit of a that b lacks stands for one or more that are not."""
+    return F.col(f"d{a}") - sum(F.bit_count(F.col(f"_m{i}_{a}").bitwiseAND(F.bitwise_not(F.col(f"_m{i}_{b}")))) for i in range(_LANES))
+
+
+def _shared(met: DataFrame, word: DataFrame, group: Sequence[str], doc: str, by: Sequence[str]) -> DataFrame:
+    """by and pair_count of pairs of words: the documents of the rarer word that hold the other one too."""
+    rarer = F.col("da") <= F.col("db")
+    met = met.withColumns({"_a": F.when(rarer, F.col("ia")).otherwise(F.col("ib")), "_b": F.when(rarer, F.col("ib")).otherwise(F.col("ia"))})
+    held = met.join(word.select(*group, doc, F.col("id").alias("_a")), [*group, "_a"]).join(word.select(*group, doc, F.col("id").alias("_b")), [*group, doc, "_b"])
+    return held.groupBy(*by).agg(F.count("*").alias("pair_count"))
+
+
 def _always_together(df: DataFrame, group: Sequence[str], top: int) -> DataFrame:
     """The best `top` pairs, by _ORDER, of words that occur in the same documents: group, word_a, word_b, pair_count, npmi.
 
@@ -290,13 +316,14 @@ def _pair_npmi(sets: DataFrame, doc: str, group: list[str], min_df: int, min_pai
     """pair_npmi of the sets of different tokens of documents (group, doc, tokens).
 
     No document pairs all its words. Words that occur in the same documents have an NPMI of 1, the highest, and are found
-    from counts and hashes of their documents alone; a group with `top` such pairs is done. In the others, pairs among
-    the `sample` rarest words of each document are counted, of words up to a frequency that at least 2,000 words of the
-    group have. Counts that leave some documents out are too low at most, so if a group has `top` such pairs, the last
-    one's NPMI t is reached by the whole result too. Two words reach t if they share (da db n^(t-1))^(1/(1+t)) documents
+    from counts and hashes of their documents alone; a group with `top` such pairs is done. In the others, pairs of up to
+    `sample` words whose documents have the same smallest hash are ranked by what their masks say, and the best of them
+    are counted. If a group has `top` such pairs, the last one's NPMI t is reached by the whole result too. Two words reach
+    t if they share (da db n^(t-1))^(1/(1+t)) documents
     or more. Their first common one, in the order of the documents' number of words, is then so early in both words'
-    lists that as many can follow. So candidates meet in these documents only, and what they share is counted for
-    candidates alone. The result is the same for any `sample`.
+    lists that as many can follow. So candidates meet in these documents only; there, masks of all their documents leave
+    out pairs that can't share enough, before they are sent anywhere. What is shared is counted for the candidates that
+    are left. The result is the same for any `sample`.
     """
     known = sets.filter(F.col(doc).isNotNull())
     n = cut_lineage(known.groupBy(*group).agg(F.count("*").alias("n")))
@@ -324,14 +351,16 @@ def _pair_npmi(sets: DataFrame, doc: str, group: list[str], min_df: int, min_pai
     rows = rows.select(*group, doc, "words", F.xxhash64("token").alias("id"))
     word = written(rows.join(words.select(*group, "id", "df", "n"), [*group, "id"]).select(*group, "id", doc, "words", "df", "n"))
 
-    # a floor for NPMI from pairs of rare words
-    sizes = words.groupBy(*group, "df").agg(F.count("*").alias("_k"))
-    upto = Window.partitionBy(*group).orderBy("df").rowsBetween(Window.unboundedPreceding, -1)
-    rare = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(upto), F.lit(0))).filter("_before < 2000").groupBy(*group).agg(F.max("df").alias("_most"))
-    some = word.join(F.broadcast(rare), group) if group else word.join(F.broadcast(rare), F.lit(True))  # a row for each group
-    some = top_n(some.filter(F.col("df") <= F.col("_most")), [*group, doc], [F.asc("df"), F.asc("id")], sample)
-    counted = [*group, "ia", "ib", "da", "db", "n"]
-    rough = _both(some, group, doc).groupBy(*counted).agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
+    # a floor for NPMI from pairs of words that are likely to share documents
+    counted, lanes = [*group, "ia", "ib", "da", "db", "n"], [f"_m{i}" for i in range(_LANES)]
+    sketches = written(_sketches(word, group, doc))
+    alike = sketches.select(*group, "id", "df", "n", *lanes, F.posexplode("_sign").alias("_i", "_sign"))
+    alike = top_n(alike, [*group, "_i", "_sign"], [F.asc("df"), F.asc("id")], sample)
+    both = F.least(_may_share("a", "b"), _may_share("b", "a"))
+    likely = _both(alike, [*group, "_i"], "_sign", lanes).withColumn("_npmi", _npmi(both, F.col("da"), F.col("db"), F.col("n"))).filter(both >= min_pair)
+    best = [F.desc("_npmi"), F.desc(both), F.asc("ia"), F.asc("ib")]
+    likely = top_n(likely, group, best, 4 * top * _SIGNS) if group else likely.orderBy(*best).limit(4 * top * _SIGNS)  # a pair may be there for each sign
+    rough = _shared(cut_lineage(likely.select(*counted).distinct()), word, group, doc, counted).filter(F.col("pair_count") >= min_pair)
     rough = rough.select(*group, "ia", "ib", _npmi(F.col("pair_count"), F.col("da"), F.col("db"), F.col("n")).alias("npmi")).filter(F.col("npmi") >= least)
     if group:
         last = top_n(rough, group, [F.desc("npmi"), F.asc("ia"), F.asc("ib")], top, "_r").filter(F.col("_r") == top).select(*group, F.col("npmi").alias("_t"))
@@ -355,16 +384,14 @@ def _pair_npmi(sets: DataFrame, doc: str, group: list[str], min_df: int, min_pai
     salted = word_first.withColumn("_s", F.pmod(F.xxhash64(doc), F.ceil(d / 50_000)))
     salted = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "id", "_s").orderBy(*rank))).filter("_r <= _first")
     first = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "id").orderBy(*rank))).filter("_r <= _first")
-    met = _both(first, group, doc, ["_r", "_t"]).withColumnRenamed("_t_a", "_t")
+    first = first.join(sketches.select(*group, "id", *lanes), [*group, "id"])
+    met = _both(first, group, doc, ["_r", "_t", *lanes]).withColumnRenamed("_t_a", "_t")
     reach = F.greatest("da", "db") <= n_ * F.pow(F.least("da", "db") / n_, F.col("_t")) * (1 + 1e-9)
     least_both = need(F.col("da"), F.col("db"))
     late = (F.col("da") - F.col("_r_a") + 1 >= least_both) & (F.col("db") - F.col("_r_b") + 1 >= least_both)
-    met = written(met.filter(reach & late).select(*counted, "_t").distinct())
-    # documents of the rarer word that hold the other one too
-    rarer = F.col("da") <= F.col("db")
-    met = met.withColumns({"_a": F.when(rarer, F.col("ia")).otherwise(F.col("ib")), "_b": F.when(rarer, F.col("ib")).otherwise(F.col("ia"))})
-    held = met.join(word.select(*group, doc, F.col("id").alias("_a")), [*group, "_a"]).join(word.select(*group, doc, F.col("id").alias("_b")), [*group, doc, "_b"])
-    pairs = held.groupBy(*counted, "_t").agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= min_pair)
+    shared = (_may_share("a", "b") >= least_both) & (_may_share("b", "a") >= least_both)
+    met = written(met.filter(reach & late & shared).select(*counted, "_t").distinct())
+    pairs = _shared(met, word, group, doc, [*counted, "_t"]).filter(F.col("pair_count") >= min_pair)
     pairs = pairs.withColumn("npmi", _npmi(F.col("pair_count"), F.col("da"), F.col("db"), F.col("n"))).filter(F.col("npmi") >= F.greatest(F.col("_t"), F.lit(least)))
     names = words.select(*group, "id", "token")
     pairs = pairs.join(names.select(*group, F.col("id").alias("ia"), F.col("token").alias("ta")), [*group, "ia"])

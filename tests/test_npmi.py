@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from shokuba.operators.textmining import job_scopes, pair_npmi
 
@@ -85,3 +86,55 @@ def test_tf_idf_of_texts_counts_few_terms(spark, buckets):
         got = T.tf_idf_of_texts(df, "doc", "text", "[a-z]+", terms=terms, buckets=buckets)
         assert [(x.token, x.df, round(x.score, 9)) for x in got.collect()] == want
         assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_pairs_are_candidates(spark, monkeypatch):
+    """Words that share most of their documents give the floor, and pairs that can't reach it are not written."""
+    from shokuba.operators import textmining as T
+
+    r = random.Random(7)
+    docs = {d: set() for d in range(200)}
+    for i in range(60):
+        *both, a, b = r.sample(range(200), 12)
+        for d in both:
+            docs[d] |= {f"a{i}", f"b{i}"}
+        docs[a].add(f"a{i}")
+        docs[b].add(f"b{i}")
+    for i in range(300):
+        for d in r.sample(range(200), 12):
+            docs[d].add(f"x{i}")
+    sizes, write = [], T.written
+
+    def counted(df):
+        out = write(df)
+        sizes.extend([out.count()] if {"ia", "_t"} <= set(out.columns) else [])
+        return out
+
+    monkeypatch.setattr(T, "written", counted)
+    df = spark.createDataFrame([("g", d, sorted(w)) for d, w in docs.items()], "g string, doc long, token array<string>")
+    got = pair_npmi(df, "doc", ["g"], top=40, sample=4).collect()
+    assert sorted((-round(x.npmi, 9), -x.pair_count, x.word_a, x.word_b) for x in got) == brute(docs, 5, 0.15, 40)
+    assert len(sizes) == 1 and sizes[0] <= 100
+
+
+def test_a_word_s_masks_never_lose_a_pair(spark):
+    from shokuba.operators import textmining as T
+
+    r = random.Random(3)
+    held = {w: set(r.sample(range(900), r.choice([5, 40, 700]))) for w in range(12)}
+    word = spark.createDataFrame([("g", w, d, len(x), 900) for w, x in held.items() for d in x], "g string, id long, doc long, df long, n long")
+    both = T._both(T._sketches(word, ["g"], "doc").withColumn("one", F.lit(1)), ["g"], "one", [f"_m{i}" for i in range(8)])
+    rows = both.select("ia", "ib", T._may_share("a", "b").alias("k"), T._may_share("b", "a").alias("l")).collect()
+    assert len(rows) == 66 and all(min(x.k, x.l) >= len(held[x.ia] & held[x.ib]) for x in rows)
+    assert any(x.k < len(held[x.ia]) for x in rows)
+
+
+def test_scopes_do_not_shuffle_texts(spark):
+    df = spark.createDataFrame([(d, "x", f"r{d % 3}", "text") for d in range(30)], "doc long, job string, region string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = job_scopes(df, "job", "region", "doc", top=2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
