@@ -69,17 +69,18 @@ def salary_stats(df: DataFrame, low: str, high: str, levels: dict[str, Sequence[
     """At each level: count, mean and median of the lower and upper end, cut to whole units, and the means of further
     columns (days off, benefits); groups of `least` or more."""
     every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
-    # all levels and medians come from one table of counts, so `df` is worked out once
-    sums = [f(c).alias(f"_{n}_{c}") for c in means for n, f in (("sum", F.sum), ("n", F.count))]
-    rows = written(known(df, [*every, low]).groupBy(*every, low, high).agg(F.count("*").alias("_rows"), *sums))
-    n = F.col("_rows")
+    # `df` is worked out once, and its rows are written as they come; all levels' sums are added up from those of the finest groups
+    rows = written(known(df, [*every, low]).select(*dict.fromkeys([*every, low, high, *means])))
+    sums = [f(c).alias(f"_{n}_{c}") for c in dict.fromkeys([low, high, *means]) for n, f in (("sum", F.sum), ("n", F.count))]
+    base = rows.groupBy(*every).agg(F.count("*").alias("_rows"), *sums)
 
     def mean(c: str) -> Column:
-        return (F.sum(F.col(c) * n) / F.sum(F.when(F.col(c).isNotNull(), n))).cast("long").alias(f"mean_{'low' if c == low else 'high'}")
+        return F.sum(f"_sum_{c}") / F.sum(f"_n_{c}")
 
-    out = scopes(rows, levels, [F.sum(n).alias("n"), mean(low), mean(high), *[(F.sum(f"_sum_{c}") / F.sum(f"_n_{c}")).alias(f"mean_{c}") for c in means]])
+    ends = [mean(c).cast("long").alias(f"mean_{n}") for n, c in (("low", low), ("high", high))]
+    out = scopes(base, levels, [F.sum("_rows").alias("n"), *ends, *[mean(c).alias(f"mean_{c}") for c in means]])
     for name, column in (("median_low", low), ("median_high", high)):
-        out = with_percentiles(out, rows, levels, column, (0.5,), "_q", "_rows").withColumn(name, F.col("_q")[0].cast("long")).drop("_q")
+        out = with_percentiles(out, rows, levels, column, (0.5,), "_q").withColumn(name, F.col("_q")[0].cast("long")).drop("_q")
     return suppress(out, "n", least)
 
 

@@ -146,7 +146,11 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[f
 def percentiles_of(cells: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str = "q") -> DataFrame:
     """The same from a table that `places` has made."""
     n = cells.groupBy(*by).agg(F.sum("k").alias("_n"))
-    met = cells.join(n, list(by)) if by else cells.join(F.broadcast(n), F.lit(True))  # one row
+    return _at_points(cells.join(n, list(by)) if by else cells.join(F.broadcast(n), F.lit(True)), by, value, points, name)  # one row
+
+
+def _at_points(met: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str) -> DataFrame:
+    """percentiles from those rows of `places` that the points lie in, with _n, the rows of their group."""
     x, first, last = F.col(value).cast("double"), F.col("before"), F.col("before") + F.col("k") - 1
     out = []
     for i, p in enumerate(points):
@@ -157,6 +161,31 @@ def percentiles_of(cells: DataFrame, by: Sequence[str], value: str, points: Sequ
     return met.groupBy(*by).agg(*out).select(*by, F.array(*parts).alias(name))
 
 
+_STEPS = 128  # ranges of values between a number and its double
+
+
+def _range(value: str | Column) -> Column:
+    """Number of the range that a value lies in: larger values never lie in lower ranges, and NaN is the largest value."""
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    size = F.when(F.abs(x) == float("inf"), 1_000_000).otherwise(F.floor((F.log2(F.abs(x)) + 1075) * _STEPS) + 1)
+    return F.when(F.isnan(x), 2_000_000).when(x > 0, size).when(x < 0, -size).otherwise(0).cast("long")
+
+
+def narrowed_percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str = "q", weight: str | None = None) -> DataFrame:
+    """The same as `percentiles`, for a table that is cheap to read twice. The first pass counts rows by fixed ranges of the
+    value; the second counts values in those ranges only in which the points lie, so of a large table few rows are shuffled."""
+    rows = known(df, [*by, value]).select(*by, value, _range(value).alias("_range"), (F.col(weight) if weight else F.lit(1).cast("long")).alias("_k"))
+    ranges = written(rows.groupBy(*by, "_range").agg(F.sum("_k").alias("_k")))
+    upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # ranges are few
+    ranges = ranges.withColumns({"_from": F.coalesce(F.sum("_k").over(upto), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy(*by))})
+    first, last, n = F.col("_from"), F.col("_from") + F.col("_k") - 1, F.col("_n") - 1
+    held = [(first <= F.ceil(n * F.lit(float(p)))) & (last >= F.floor(n * F.lit(float(p)))) for p in points]
+    ranges = written(ranges.filter(reduce(lambda a, b: a | b, held)).select(*by, "_range", "_from", "_n"))  # a row or two for each group and point
+    some = rows.join(ranges.select(*by, "_range"), [*by, "_range"], "left_semi")
+    cells = places(some, [*by, "_range"], value, weight="_k").join(ranges, [*by, "_range"])
+    return _at_points(cells.withColumn("before", F.col("before") + F.col("_from")), by, value, points, name)
+
+
 def gini(df: DataFrame, by: Sequence[str], value: str, least: int = 10) -> DataFrame:
     """Gini coefficient per group; null for fewer than `least` values."""
     cells = places(df, by, value)  # equal values share their places
@@ -251,11 +280,12 @@ def distribution(df: DataFrame, levels: dict[str, Sequence[str]], value: str, hi
 
 
 def with_percentiles(table: DataFrame, df: DataFrame, levels: dict[str, Sequence[str]], value: str, points: Sequence[float], name: str = "q", weight: str | None = None) -> DataFrame:
-    """`table`, made by core.scopes from `df`, with the percentiles of a value at each level as an array."""
+    """`table`, made by core.scopes from `df`, with the percentiles of a value at each level as an array; `df` is read twice for
+    each level."""
     every = list(dict.fromkeys(c for cols in levels.values() for c in cols))
     parts = []
     for level, cols in levels.items():
-        q = percentiles(known(df, every), cols, value, points, name, weight)
+        q = narrowed_percentiles(known(df, every), cols, value, points, name, weight)
         parts.append(q.select(F.lit(level).alias("_scope"), *[(F.col(c) if c in cols else F.lit(None).cast(df.schema[c].dataType)).alias(f"_k_{c}") for c in every], name))
     same = [F.col("scope") == F.col("_scope"), *[F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in every]]
     return table.join(reduce(DataFrame.unionByName, parts), same, "left").drop("_scope", *[f"_k_{c}" for c in every])
