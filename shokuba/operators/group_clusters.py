@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shokuba.operators.stats import percentiles
+from shokuba.operators.stats import held_ranges, percentiles_in_ranges
 from shokuba.sources.scratch import written
 
 _SEED_ROWS = 256  # rows of a group among which first centres are chosen
 _MODEL_CELLS = 1_000_000  # numbers in models that are fitted together
-_ROWS = 100_000  # rows that a task takes apart by group at once
+_ROWS, _BLOCK = 100_000, 4096  # rows that a task takes apart by group at once; vectors in a block
 
 
 def joint_components(df: DataFrame, by: Sequence[str], flags: Sequence[str], n: int = 4, prefix: str = "pc") -> DataFrame:
@@ -34,13 +34,16 @@ def _flags(flags: Sequence[str]) -> dict[str, Column]:
     return {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in flags}
 
 
-def _components(df: DataFrame, by: Sequence[str], flags: Sequence[str], n: int, rows: Column | None = None) -> DataFrame:
-    """by, _w: the means of the flags, then their weights in each component. A row of `df` stands for `rows` rows (1)."""
-    n, pairs, k = min(n, len(flags)), [(a, b) for i, a in enumerate(flags) for b in flags[i:]], F.lit(1) if rows is None else rows
-    x = _flags(flags)
-    sums = df.groupBy(*by).agg(
-        F.sum(k).alias("n"), F.array(*[F.sum(x[f] * k) for f in flags]).alias("s"), F.array(*[F.sum(x[a] * x[b] * k) for a, b in pairs]).alias("p")
-    )
+def _components(df: DataFrame, by: Sequence[str], flags: Sequence[str], n: int) -> DataFrame:
+    """by, _w: the means of the flags, then their weights in each component."""
+    pairs, x = [(a, b) for i, a in enumerate(flags) for b in flags[i:]], _flags(flags)
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.sum(x[f]) for f in flags]).alias("s"), F.array(*[F.sum(x[a] * x[b]) for a, b in pairs]).alias("p"))
+    return _weights(sums, by, flags, n)
+
+
+def _weights(sums: DataFrame, by: Sequence[str], flags: Sequence[str], n: int) -> DataFrame:
+    """by, _w of the sums: n rows, s of each flag, p of the products of each two."""
+    n = min(n, len(flags))
 
     @F.pandas_udf("array<array<double>>")
     def weights(n_rows: pd.Series, s: pd.Series, p: pd.Series) -> pd.Series:
@@ -67,20 +70,26 @@ def _vectors(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), np.ascontiguousarray(x).ravel())
 
 
+def _numbers_of(x: np.ndarray, f: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """The features `x`, null, NaN and infinite values as 0, then the first `n` components of the flags `f`; w: means and weights of
+    each row, or one for all."""
+    k, parts = f.shape[1], [np.where(np.isfinite(x), x, 0.0)] if x.shape[1] else []
+    for i in range(n):
+        pc = np.zeros(len(f))
+        for j in range(k):
+            pc += w[:, k * (i + 1) + j] * (np.nan_to_num(f[:, j]) - w[:, j])
+        parts.append(pc[:, None])
+    return np.hstack(parts)
+
+
 def _numbers(df: DataFrame, features: Sequence[str], flags: Sequence[str], n: int) -> DataFrame:
     """`df` with an array _x: the features, null, NaN and infinite values as 0, then the components of the flags by _w."""
 
     @F.arrow_udf("array<double>")
     def numbers(x: pa.Array, f: pa.Array, w: pa.Array) -> pa.Array:
-        rows, k = len(x), len(flags)
-        x, f, w = (_matrix(c, rows) if rows else np.zeros((0, 1)) for c in (x, f, w))
-        parts = [np.where(np.isfinite(x), x, 0.0)] if features else []
-        for i in range(n if rows else 0):
-            pc = np.zeros(rows)
-            for j in range(k):
-                pc += w[:, k * (i + 1) + j] * (np.nan_to_num(f[:, j]) - w[:, j])
-            parts.append(pc[:, None])
-        return _vectors(np.hstack(parts)) if rows else pa.array([], pa.list_(pa.float64()))
+        if not len(x):
+            return pa.array([], pa.list_(pa.float64()))
+        return _vectors(_numbers_of(*(_matrix(c, len(x)) for c in (x, f, w)), n))
 
     def array(columns: Sequence[str]) -> Column:
         return F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>")
@@ -88,15 +97,147 @@ def _numbers(df: DataFrame, features: Sequence[str], flags: Sequence[str], n: in
     return df.withColumn("_x", numbers(array(features), array(flags), F.col("_w") if flags else array([])))
 
 
-def _scales(df: DataFrame, by: Sequence[str], rows: str) -> DataFrame:
-    """by, _s: medians of all numbers of _x, then their interquartile ranges (1 where that is 0), found by one call for all
-    groups; a row of `df` stands for `rows` rows."""
-    tall = df.select(*by, rows, F.posexplode("_x").alias("_f", "_z"))
-    few = written(tall.groupBy(*by, "_f", "_z").agg(F.sum(rows).alias(rows)))  # read several times
-    q = percentiles(few, [*by, "_f"], "_z", (0.25, 0.5, 0.75), weight=rows)
-    q = q.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_f", "q"))).alias("_q"))  # one entry for each number
-    width = lambda e: F.when(e["q"][2] > e["q"][0], e["q"][2] - e["q"][0]).otherwise(1.0)
-    return q.select(*by, F.concat(F.transform("_q", lambda e: e["q"][1]), F.transform("_q", width)).alias("_s"))
+class Points:
+    """Vectors of groups, packed: a row of `blocks` has the group _g, a number _n of vectors that a task met together, their
+    numbers _x one after the other, and _k, how many rows each stands for. So a pass over them hands bytes to Python, not rows."""
+
+    def __init__(self, blocks: DataFrame):
+        self.blocks = blocks
+
+    def filter(self, condition: Column) -> Points:
+        return Points(self.blocks.filter(condition))
+
+    def count(self) -> int:
+        return self.blocks.agg(F.sum("_n")).first()[0] or 0
+
+    def mapped(self, f: Callable, schema: str, *more: str) -> DataFrame:
+        """What `f` yields of (group, vectors, rows that each stands for, `more` columns) of each block."""
+        return self.blocks.select("_g", "_n", "_x", "_k", *more).mapInArrow(lambda batches: f(_opened(batches)), schema)
+
+
+_PACKED = "_g long, _n long, _x binary, _k binary"
+
+
+def _blocks(found: list) -> pa.RecordBatch:
+    """Blocks of (group, vectors, rows that each stands for)."""
+    g, x, k = zip(*found)
+    values = [pa.array(g, pa.int64()), pa.array([len(v) for v in x], pa.int64()), *(pa.array([np.ascontiguousarray(v).tobytes() for v in c], pa.binary()) for c in (x, k))]
+    return pa.RecordBatch.from_arrays(values, names=["_g", "_n", "_x", "_k"])
+
+
+def _opened(batches):
+    for b in batches:
+        g, n, x, k, *more = b.columns
+        for i in range(b.num_rows):
+            rows = n[i].as_py()
+            yield g[i].as_py(), np.frombuffer(x[i].as_buffer()).reshape(rows, -1), np.frombuffer(k[i].as_buffer()), *(m[i].as_py() for m in more)
+
+
+def _packed(df: DataFrame, columns: Sequence[str]) -> Points:
+    """The columns of `df` as numbers, null as NaN, by group _g; a row stands for _rows rows."""
+
+    def answer(waiting):
+        g, k, *x = (c.to_numpy() for c in pa.Table.from_batches(waiting).columns)
+        x = np.column_stack(x)
+        parts = [(group, mine[i : i + _BLOCK]) for group, mine in _split(g) for i in range(0, len(mine), _BLOCK)]
+        return _blocks([(group, x[mine], k[mine]) for group, mine in parts])
+
+    def run(batches):
+        waiting, size = [], 0
+        for b in batches:
+            waiting, size = [*waiting, b], size + b.num_rows
+            if size >= _ROWS:
+                yield answer(waiting)
+                waiting, size = [], 0
+        if size:
+            yield answer(waiting)
+
+    numbers = [F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]
+    return Points(df.select("_g", F.col("_rows").cast("double").alias("_rows"), *numbers).mapInArrow(run, _PACKED))
+
+
+def _packed_weights(points: Points, flags: Sequence[str], width: int, n: int) -> DataFrame:
+    """_g, _w of vectors of `width` features and then the flags."""
+    upper = np.triu_indices(len(flags))
+
+    def run(blocks):
+        found: dict = {}
+        for g, x, k in blocks:
+            f = np.nan_to_num(x[:, width:])
+            whole = f * k[:, None]
+            found[g] = found.get(g, 0) + np.concatenate(([k.sum()], whole.sum(0), (whole.T @ f)[upper]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))], names=["_g", "v"])
+
+    each = 1 + len(flags)
+    sums = points.mapped(run, "_g long, v array<double>").groupBy("_g").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(each + len(upper[0]))]).alias("v"))
+    return _weights(sums.select("_g", F.col("v")[0].alias("n"), F.slice("v", 2, len(flags)).alias("s"), F.slice("v", each + 1, len(upper[0])).alias("p")), ["_g"], flags, n)
+
+
+def _ranges_of(x: np.ndarray) -> np.ndarray:
+    """Numbers of ranges in the order of the values: their first 20 bits."""
+    b = (x + 0.0).view(np.int64)
+    return (b ^ ((b >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))) >> 44
+
+
+def _summed(keys: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of `k` of each."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, k, len(keys))
+
+
+def _counts(names: Sequence[str], rows: list) -> pa.RecordBatch:
+    """Rows of (group, number of a column, …, values, counts), where the last two are arrays."""
+    size = [len(r[-1]) for r in rows]
+    columns = [np.repeat(np.array([r[i] for r in rows], np.int64), size) for i in (0, 1)]
+    columns += [np.concatenate([r[i] for r in rows]) for i in range(2, len(names))]
+    columns[-1] = columns[-1].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+
+
+def _scales(points: Points, n: int, width: int, some: Sequence[str]) -> DataFrame:
+    """_g, _s: medians of all numbers of a group's vectors, then their interquartile ranges (1 where that is 0), for all groups
+    at once: rows are counted by ranges of values first, then values in those ranges that hold a quartile."""
+
+    def ranges(blocks):
+        found: dict = {}
+        for g, x, k, *w in blocks:
+            x = _numbers_of(x[:, :width], x[:, width:], np.array(w), n)
+            for f in range(x.shape[1]):
+                keys, sums = _summed(_ranges_of(np.ascontiguousarray(x[:, f])), k)
+                old = found.get((g, f))
+                found[g, f] = (keys, sums) if old is None else _summed(np.concatenate((old[0], keys)), np.concatenate((old[1], sums)))
+        if found:
+            yield _counts(["_g", "_f", "_range", "_k"], [(*at, *v) for at, v in found.items()])
+
+    def values(blocks):
+        waiting, size = [], 0
+        for g, x, k, held, *w in blocks:
+            x = _numbers_of(x[:, :width], x[:, width:], np.array(w), n)
+            for f, wanted in held:  # the entries of a map
+                z = np.ascontiguousarray(x[:, f])
+                mine = np.isin(_ranges_of(z), wanted)
+                z, sums = _summed(z[mine] + 0.0, k[mine])
+                waiting, size = [*waiting, (g, f, _ranges_of(z), z, sums)], size + len(z)
+            if size >= _ROWS:
+                yield _counts(["_g", "_f", "_range", "_z", "_k"], waiting)
+                waiting, size = [], 0
+        if size:
+            yield _counts(["_g", "_f", "_range", "_z", "_k"], waiting)
+
+    by, quarters = ["_g", "_f"], (0.25, 0.5, 0.75)
+    held = held_ranges(points.mapped(ranges, "_g long, _f long, _range long, _k long", *some), by, quarters)
+    wanted = held.groupBy(*by).agg(F.collect_list("_range").alias("_r")).groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_f", "_r"))).alias("_held"))
+    near = Points(points.blocks.join(written(wanted), "_g")).mapped(values, "_g long, _f long, _range long, _z double, _k long", "_held", *some)
+    q = percentiles_in_ranges(written(near), held, by, "_z", quarters)
+    q = q.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_f", "q"))).alias("_q"))  # one entry for each number
+    width_of = lambda e: F.when(e["q"][2] > e["q"][0], e["q"][2] - e["q"][0]).otherwise(1.0)
+    return q.select("_g", F.concat(F.transform("_q", lambda e: e["q"][1]), F.transform("_q", width_of)).alias("_s"))
+
+
+def _scaled_of(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Vectors less their medians, over their ranges; s: these of each row, or one for all."""
+    return (x - s[:, : x.shape[1]]) / s[:, x.shape[1] :]
 
 
 def _scaled(df: DataFrame) -> DataFrame:
@@ -106,8 +247,7 @@ def _scaled(df: DataFrame) -> DataFrame:
     def scaled(x: pa.Array, s: pa.Array) -> pa.Array:
         if not len(x):
             return pa.array([], pa.list_(pa.float64()))
-        v, s = _matrix(x, len(x)), _matrix(s, len(x))
-        return _vectors((v - s[:, : v.shape[1]]) / s[:, v.shape[1] :])
+        return _vectors(_scaled_of(_matrix(x, len(x)), _matrix(s, len(x))))
 
     return df.withColumn("_v", scaled("_x", "_s"))
 
@@ -148,25 +288,6 @@ def _split(g: np.ndarray):
         yield int(g[rows[0]]), rows
 
 
-def _by_group(batches):
-    """(group, vectors, rows that each stands for) of each group in some batches at a time."""
-
-    def answer(waiting):
-        b = pa.Table.from_batches(waiting).combine_chunks()
-        x, n = _matrix(b.column("_v").combine_chunks(), b.num_rows), b.column("_rows").to_numpy().astype(float)
-        for g, rows in _split(b.column("_g").to_numpy()):
-            yield g, x[rows], n[rows]
-
-    waiting, size = [], 0
-    for b in batches:
-        waiting, size = [*waiting, b], size + b.num_rows
-        if size >= _ROWS:
-            yield from answer(waiting)
-            waiting, size = [], 0
-    if size:
-        yield from answer(waiting)
-
-
 def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of and squared distance to the nearest centre of each row, the first one on ties."""
     d = np.stack([((x - c) ** 2).sum(1) for c in centres], 1)
@@ -174,49 +295,53 @@ def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return c, d[np.arange(len(x)), c]
 
 
-def _nearest(x: np.ndarray, q: np.ndarray, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """For each k the numbers that `_assigned` finds, from one product with all centres; rows for which that product can't
-    tell the two nearest centres apart are asked exactly. q: squared lengths of the rows."""
+def _members(x: np.ndarray, q: np.ndarray, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For each k which rows (columns) each centre has by `_assigned`, from one product with all centres; rows for which that
+    product can't tell the nearest centres apart are asked exactly. q: squared lengths of the rows."""
     every = np.concatenate(list(models.values()))
     size = (every * every).sum(1)
-    d = size[:, None] - 2 * (every @ x.T)
+    d = np.column_stack((size, -2 * every)) @ np.column_stack((np.ones(len(x)), x)).T
     slack = 1e-12 * (q + size.max())
     out, at = {}, 0
     for k, centres in models.items():
         mine, at = d[at : at + len(centres)], at + len(centres)
-        c, best, second = np.zeros(len(x), int), mine[0], np.full(len(x), np.inf)
-        for j in range(1, len(centres)):
-            second = np.minimum(second, np.maximum(best, mine[j]))
-            c[mine[j] < best] = j
-            best = np.minimum(best, mine[j])
-        if len(close := np.flatnonzero(second - best <= slack)):
-            c[close] = _assigned(x[close], centres)[0]
-        out[k] = c
+        held = mine <= mine.min(0) + slack
+        if len(close := np.flatnonzero(held.sum(0, dtype=np.int32) != 1)):
+            held[:, close] = False
+            held[_assigned(x[close], centres)[0], close] = True
+        out[k] = held
     return out
 
 
-def _cluster_sums(points: DataFrame, models: Models) -> dict:
+def _nearest(x: np.ndarray, q: np.ndarray, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For each k the numbers that `_assigned` finds."""
+    return {k: held.argmax(0) for k, held in _members(x, q, models).items()}
+
+
+def _cluster_sums(points: Points, models: Models) -> dict:
     """(group, k, c) -> rows, sum of squared lengths, sum of vectors. Each task adds up what it reads and sends one row for each
     group, k and centre that it met; Spark adds these up."""
 
-    def run(batches):
+    def run(blocks):
         found: dict = {}
-        for g, x, n in _by_group(batches):
+        for g, x, n in blocks:
             q = (x * x).sum(1)
             whole = np.column_stack((np.ones(len(x)), q, x)) * n[:, None]
-            for k, c in _nearest(x, q, models[g]).items():
-                new = (c == np.arange(len(models[g][k]))[:, None]).astype(float) @ whole
-                found[g, k] = found[g, k] + new if (g, k) in found else new
-        rows = [(g, k, j, s.tolist()) for (g, k), sums in found.items() for j, s in enumerate(sums) if s[0]]
+            new = np.concatenate(list(_members(x, q, models[g]).values())).astype(float) @ whole  # a row for each centre of each k
+            found[g] = found[g] + new if g in found else new
+        rows = []
+        for g, sums in found.items():
+            names = [(k, j) for k, centres in models[g].items() for j in range(len(centres))]
+            rows += [(g, k, j, s.tolist()) for (k, j), s in zip(names, sums) if s[0]]
         if rows:
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in list(zip(*rows))[:3]), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["_g", "k", "c", "s"])
 
     width = 2 + next(iter(next(iter(models.values())).values())).shape[1]
-    sums = points.select("_g", "_v", "_rows").mapInArrow(run, "_g long, k long, c long, s array<double>").groupBy("_g", "k", "c").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"))
+    sums = points.mapped(run, "_g long, k long, c long, s array<double>").groupBy("_g", "k", "c").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"))
     return {(r["_g"], r["k"], r["c"]): np.array(r["s"]) for r in sums.collect()}  # as many as centres
 
 
-def _silhouettes(points: DataFrame, models: Models) -> dict:
+def _silhouettes(points: Points, models: Models) -> dict:
     """(group, k) -> mean silhouette: (b - a) / max(a, b) of each row, where a and b are mean squared distances to its own
     cluster and to the nearest other one, from each cluster's count and sums, without pairs of rows. Rows alone in their
     cluster count 0, and so does a model with one cluster left."""
@@ -224,9 +349,9 @@ def _silhouettes(points: DataFrame, models: Models) -> dict:
     for (g, k, c), s in _cluster_sums(points, models).items():
         stats.setdefault((g, k), {})[c] = s
 
-    def run(batches):
+    def run(blocks):
         found: dict = {}
-        for g, x, w in _by_group(batches):
+        for g, x, w in blocks:
             q = (x * x).sum(1)
             for k, c in _nearest(x, q, models[g]).items():
                 here = stats[g, k]
@@ -245,11 +370,11 @@ def _silhouettes(points: DataFrame, models: Models) -> dict:
             groups, numbers = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(numbers, pa.int64()), *(pa.array([v[i] for v in found.values()], pa.float64()) for i in (0, 1))], names=["_g", "k", "n", "s"])
 
-    out = points.select("_g", "_v", "_rows").mapInArrow(run, "_g long, k long, n double, s double").groupBy("_g", "k").agg((F.sum("s") / F.sum("n")).alias("s"))
+    out = points.mapped(run, "_g long, k long, n double, s double").groupBy("_g", "k").agg((F.sum("s") / F.sum("n")).alias("s"))
     return {(r["_g"], r["k"]): r["s"] for r in out.collect()}  # as many as models
 
 
-def _fit(points: DataFrame, first: DataFrame, ks: Sequence[int], least: float, fallback: int, rounds: int) -> dict[int, tuple[int, float, np.ndarray]]:
+def _fit(points: Points, first: DataFrame, ks: Sequence[int], least: float, fallback: int, rounds: int) -> dict[int, tuple[int, float, np.ndarray]]:
     """k, silhouette and centres of each group among `points`, whose models are of bounded size together."""
     models: Models = {r["_g"]: {m["k"]: np.array(m["centres"], float) for m in r["models"]} for r in first.collect()}
     moving = models
@@ -272,20 +397,22 @@ def _fit(points: DataFrame, first: DataFrame, ks: Sequence[int], least: float, f
     return best
 
 
-def _placed(rows: DataFrame, best: dict[int, tuple[int, float, np.ndarray]]) -> DataFrame:
-    """`rows` with cluster, k, silhouette and distance."""
+def _placed(rows: DataFrame, best: dict[int, tuple[int, float, np.ndarray]], features: Sequence[str], flags: Sequence[str], n: int, scales: dict, weights: dict) -> DataFrame:
+    """`rows` with cluster, k, silhouette and distance. scales, weights: _s and _w of each group."""
+    width = len(features)
 
     @F.arrow_udf("struct<cluster: int, k: int, silhouette: double, distance: double>")
-    def place(g: pa.Array, v: pa.Array) -> pa.Array:
-        x, out = _matrix(v, len(v)) if len(v) else None, np.zeros((len(v), 4))
+    def place(g: pa.Array, *columns: pa.Array) -> pa.Array:
+        x, out = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]), np.zeros((len(g), 4))
         for group, mine in _split(g.to_numpy(zero_copy_only=False)):
             k, s, centres = best[group]
-            c, d = _assigned(x[mine], centres)
+            v = _numbers_of(x[mine, :width], x[mine, width:], weights.get(group), n)
+            c, d = _assigned(_scaled_of(v, scales[group]), centres)
             out[mine] = np.stack([c, np.full(len(c), k), np.full(len(c), s), np.sqrt(d)], 1)
         c, k, s, d = out.T
         return pa.StructArray.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(s.copy()), pa.array(d.copy())], names=["cluster", "k", "silhouette", "distance"])
 
-    return rows.withColumn("_p", place("_g", "_v")).select("*", "_p.*").drop("_p")
+    return rows.withColumn("_p", place("_g", *[F.col(c).cast("double") for c in [*features, *flags]])).select("*", "_p.*").drop("_p")
 
 
 def group_clusters(df: DataFrame, by: Sequence[str], key: str, features: Sequence[str], flags: Sequence[str] = (), ks: Sequence[int] = (3, 4, 5, 6, 7), components: int = 4, least: float = 0.1, fallback: int = 4, few: int = 100, rounds: int = 20, seed: int = 42) -> DataFrame:
@@ -307,29 +434,42 @@ def group_clusters(df: DataFrame, by: Sequence[str], key: str, features: Sequenc
     # one text per group, so that nulls are a group too; what is not null begins with =
     rows = written(df.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c, n in names.items()}))  # `df` is worked out once
     keys, n = list(names.values()), min(components, len(flags))
-    cells = written(rows.groupBy(*keys, *dict.fromkeys([*features, *flags])).agg(F.count("*").alias("_rows")))
-    sizes = written(cells.groupBy(*keys).agg(F.sum("_rows").alias("_size")).withColumn("_g", F.monotonically_increasing_id()))
-    large = sizes.filter(F.col("_size") >= few).select(*keys, "_g")
-    cells = cells.join(large, keys).drop(*keys)
-    weights = written(_components(cells, ["_g"], flags, n, F.col("_rows"))) if flags else None
-
-    def numbers(x: DataFrame) -> DataFrame:
-        return _numbers(x if weights is None else x.join(weights, "_g"), features, flags, n)
-
-    scales = written(_scales(numbers(cells), ["_g"], "_rows"))
+    sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("_size")).withColumn("_g", F.monotonically_increasing_id()))
+    members = rows.join(sizes.filter(F.col("_size") >= few).select(*keys, "_g"), keys)
+    # from here on rounds and percentiles read vectors packed by group, and what belongs to a group is joined to its blocks
+    cells = members.groupBy("_g", *dict.fromkeys([*features, *flags])).agg(F.count("*").alias("_rows"))
+    raw, width, some = Points(written(_packed(cells, [*features, *flags]).blocks)), len(features), ["_w"] if flags else []
+    weights = written(_packed_weights(raw, flags, width, n)) if flags else None
+
+    def weighed(x: DataFrame) -> DataFrame:
+        return x if weights is None else x.join(weights, "_g")
+
+    raw = Points(weighed(raw.blocks))
+    scales = written(_scales(raw, n, width, some))
+
+    def scaled(blocks):
+        waiting, size = [], 0
+        for g, x, k, s, *w in blocks:
+            waiting, size = [*waiting, (g, _scaled_of(_numbers_of(x[:, :width], x[:, width:], np.array(w), n), np.array([s])), k)], size + len(x)
+            if size >= _ROWS:
+                yield _blocks(waiting)
+                waiting, size = [], 0
+        if size:
+            yield _blocks(waiting)
+
+    points = Points(written(Points(raw.blocks.join(scales, "_g")).mapped(scaled, _PACKED, "_s", *some)))
 
     def vectors(x: DataFrame) -> DataFrame:
-        return _scaled(numbers(x.join(scales, "_g")))
+        return _scaled(_numbers(weighed(x.join(scales, "_g")), features, flags, n))
 
-    points = written(vectors(cells).select("_g", "_v", "_rows"))
-    members = rows.join(large, keys)
     first = written(_first_centres(members, key, sorted({*ks, fallback}), seed, vectors))
     dealt = -(-first.count() * sum({*ks, fallback}) * (len(features) + n) // _MODEL_CELLS) or 1
     shown, done = ["cluster", "k", "silhouette", "distance"], []
     for i in range(dealt):
-        part = [F.pmod(F.xxhash64("_g"), F.lit(dealt)) == i] if dealt > 1 else [F.lit(True)]
-        best = _fit(points.filter(*part), first.filter(*part), ks, least, fallback, rounds)
-        done.append(_placed(vectors(members.filter(*part)), best).select(*df.columns, *shown))
+        part = F.pmod(F.xxhash64("_g"), F.lit(dealt)) == i if dealt > 1 else F.lit(True)
+        best = _fit(points.filter(part), first.filter(part), ks, least, fallback, rounds)
+        kept = [{} if t is None else {r["_g"]: np.array([r[c]]) for r in t.filter(part).collect()} for t, c in ((scales, "_s"), (weights, "_w"))]  # fewer numbers than the models
+        done.append(_placed(members.filter(part), best, features, flags, n, *kept).select(*df.columns, *shown))
     small = rows.join(sizes.filter(F.col("_size") < few).select(*keys), keys)
     small = small.withColumns({"cluster": F.lit(0), "k": F.lit(None).cast("int"), "silhouette": F.lit(None).cast("double"), "distance": F.lit(0.0)}).select(*df.columns, *shown)
     return reduce(DataFrame.unionByName, [*done, small])

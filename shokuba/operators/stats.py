@@ -175,13 +175,24 @@ def narrowed_percentiles(df: DataFrame, by: Sequence[str], value: str, points: S
     """The same as `percentiles`, for a table that is cheap to read twice. The first pass counts rows by fixed ranges of the
     value; the second counts values in those ranges only in which the points lie, so of a large table few rows are shuffled."""
     rows = known(df, [*by, value]).select(*by, value, _range(value).alias("_range"), (F.col(weight) if weight else F.lit(1).cast("long")).alias("_k"))
+    ranges = held_ranges(rows, by, points)
+    some = rows.join(ranges.select(*by, "_range"), [*by, "_range"], "left_semi")
+    return percentiles_in_ranges(some, ranges, by, value, points, name)
+
+
+def held_ranges(rows: DataFrame, by: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """by, _range, _from, _n: the ranges of each group that hold the percentiles at `points`, how many rows lie before, and the
+    group's rows. `rows` has by, _range and _k, the number of rows that a row stands for."""
     ranges = written(rows.groupBy(*by, "_range").agg(F.sum("_k").alias("_k")))
     upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # ranges are few
     ranges = ranges.withColumns({"_from": F.coalesce(F.sum("_k").over(upto), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy(*by))})
     first, last, n = F.col("_from"), F.col("_from") + F.col("_k") - 1, F.col("_n") - 1
     held = [(first <= F.ceil(n * F.lit(float(p)))) & (last >= F.floor(n * F.lit(float(p)))) for p in points]
-    ranges = written(ranges.filter(reduce(lambda a, b: a | b, held)).select(*by, "_range", "_from", "_n"))  # a row or two for each group and point
-    some = rows.join(ranges.select(*by, "_range"), [*by, "_range"], "left_semi")
+    return written(ranges.filter(reduce(lambda a, b: a | b, held)).select(*by, "_range", "_from", "_n"))  # a row or two for each group and point
+
+
+def percentiles_in_ranges(some: DataFrame, ranges: DataFrame, by: Sequence[str], value: str, points: Sequence[float], name: str = "q") -> DataFrame:
+    """The percentiles from the rows (by, _range, value, _k) in held_ranges alone."""
     cells = places(some, [*by, "_range"], value, weight="_k").join(ranges, [*by, "_range"])
     return _at_points(cells.withColumn("before", F.col("before") + F.col("_from")), by, value, points, name)
 
