@@ -252,11 +252,18 @@ def _scaled(df: DataFrame) -> DataFrame:
     return df.withColumn("_v", scaled("_x", "_s"))
 
 
-def _first_centres(points: DataFrame, key: str, ks: Sequence[int], seed: int, vectors: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _first_centres(points: DataFrame, sizes: DataFrame, key: str, ks: Sequence[int], seed: int, vectors: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """_g, models: for each k the first centres, chosen among the rows of a group with the smallest hashes of `key`: first
-    the one nearest to their mean, then always the one farthest from those chosen. `vectors` adds _v to these rows."""
-    order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
-    some = points.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).filter(F.col("_r") <= _SEED_ROWS)
+    the one nearest to their mean, then always the one farthest from those chosen. `vectors` adds _v to these rows. sizes: _g, and
+    _size, the rows of a group, as `points` has too."""
+    hashed = F.xxhash64(F.col(key), F.lit(seed))
+    order = [hashed, F.col(key)]
+    # hashes below a bound that about four times as many rows pass are put in order; all of them, should a group have too few
+    near = written(points.filter(hashed.cast("double") <= F.least(F.lit(1.0), F.lit(4.0 * _SEED_ROWS) / F.col("_size")) * 2.0**64 - 2.0**63))
+    met = sizes.join(near.groupBy("_g").agg(F.count("*").alias("_near")), "_g", "left")
+    if not met.filter(F.coalesce("_near", F.lit(0)) < F.least(F.lit(_SEED_ROWS), F.col("_size"))).isEmpty():
+        near = points
+    some = near.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).filter(F.col("_r") <= _SEED_ROWS)
     rows = vectors(some).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_r", "_v"))).alias("_rows"))
     most = max(ks)
 
@@ -435,7 +442,8 @@ def group_clusters(df: DataFrame, by: Sequence[str], key: str, features: Sequenc
     rows = written(df.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c, n in names.items()}))  # `df` is worked out once
     keys, n = list(names.values()), min(components, len(flags))
     sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("_size")).withColumn("_g", F.monotonically_increasing_id()))
-    members = rows.join(sizes.filter(F.col("_size") >= few).select(*keys, "_g"), keys)
+    large = sizes.filter(F.col("_size") >= few)
+    members = rows.join(large, keys)
     # from here on rounds and percentiles read vectors packed by group, and what belongs to a group is joined to its blocks
     cells = members.groupBy("_g", *dict.fromkeys([*features, *flags])).agg(F.count("*").alias("_rows"))
     raw, width, some = Points(written(_packed(cells, [*features, *flags]).blocks)), len(features), ["_w"] if flags else []
@@ -462,7 +470,7 @@ def group_clusters(df: DataFrame, by: Sequence[str], key: str, features: Sequenc
     def vectors(x: DataFrame) -> DataFrame:
         return _scaled(_numbers(weighed(x.join(scales, "_g")), features, flags, n))
 
-    first = written(_first_centres(members, key, sorted({*ks, fallback}), seed, vectors))
+    first = written(_first_centres(members, large.select("_g", "_size"), key, sorted({*ks, fallback}), seed, vectors))
     dealt = -(-first.count() * sum({*ks, fallback}) * (len(features) + n) // _MODEL_CELLS) or 1
     shown, done = ["cluster", "k", "silhouette", "distance"], []
     for i in range(dealt):

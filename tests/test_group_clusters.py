@@ -116,3 +116,48 @@ def test_nearest_equals_exact_distances_on_ties():
     models = {k: r.integers(-3, 4, (k, 2)) + 1e8 + 0.5 for k in (3, 5)}
     got = _nearest(x, (x * x).sum(1), models)
     assert all((got[k] == _assigned(x, c)[0]).all() for k, c in models.items())
+
+
+def test_rounds_read_blocks_and_quartiles_few_values(spark, monkeypatch):
+    """Python gets blocks of vectors, not rows, and of many different values only those near a quartile are put in order."""
+    from shokuba.operators import group_clusters as G
+
+    ordered, blocks, found, sums = [], [], G.percentiles_in_ranges, G._cluster_sums
+    monkeypatch.setattr(G, "percentiles_in_ranges", lambda some, *a: ordered.append(some.count()) or found(some, *a))
+    monkeypatch.setattr(G, "_cluster_sums", lambda points, models: blocks.append((points.blocks.count(), points.count())) or sums(points, models))
+    df = spark.range(9000, numPartitions=2).select("id", F.concat(F.lit("g"), F.col("id") % 2).alias("g"), (F.col("id") % 5 * 1e4 + F.col("id") * 0.37 - 3000).alias("x"), (F.col("id") % 2 == 0).alias("f"))
+    got = G.group_clusters(df, ["g"], "id", ["x"], ["f"], ks=(5,), components=1).collect()
+    assert len(got) == 9000 and {r["k"] for r in got} == {5}
+    assert max(ordered) < 900 and blocks[0][1] == 9000 and max(b for b, _ in blocks) <= 16
+
+
+def test_scales_are_exact_quartiles_of_weighted_rows(spark):
+    from shokuba.operators import group_clusters as G
+
+    r = np.random.default_rng(8)
+    x, k = np.concatenate([r.normal(size=300) * 1e-3, -r.integers(0, 4, 200) * 1e6, [0.0, -0.0, np.nan, np.inf]]), r.integers(1, 4, 504)
+    df = spark.createDataFrame([(g, float(v) * (1 + g), int(n)) for g in (0, 1) for v, n in zip(x, k)], "_g long, x double, _rows long").repartition(3)
+    got = {row["_g"]: row["_s"] for row in G._scales(G._packed(df, ["x"]), 0, 1, []).collect()}
+    for g in (0, 1):
+        low, middle, high = np.percentile(np.repeat(np.where(np.isfinite(x), x * (1 + g), 0), k), [25, 50, 75])
+        assert np.allclose(got[g], [middle, high - low], rtol=1e-12)
+
+
+def test_each_row_has_one_centre_however_large():
+    from shokuba.operators.group_clusters import _members
+
+    x = np.array([[1e200, -1e200], [1e308, 1e308], [0.0, 0.0], [3.0, 4.0]])
+    with np.errstate(all="ignore"):
+        held = _members(x, (x * x).sum(1), {2: np.array([[1e200, 1e200], [3.0, 4.0]])})[2]
+    assert (held.sum(0) == 1).all() and held[:, 3].tolist() == [False, True]
+
+
+def test_first_centres_do_not_depend_on_the_bound_of_hashes(spark, monkeypatch):
+    """A group that has too few rows below the bound is put in order as a whole."""
+    from shokuba.operators import group_clusters as G
+
+    df = spark.range(3000, numPartitions=3).select(F.lit(0).cast("long").alias("_g"), F.lit(3000).cast("long").alias("_size"), "id", F.array(F.col("id") % 97 * 1.5, F.col("id") % 31 * 2.0).alias("_v"))
+    got = [G._first_centres(df, spark.createDataFrame([(0, size)], "_g long, _size long"), "id", [3], 42, lambda x: x).collect() for size in (3000,)]
+    low = df.withColumn("_size", F.lit(300_000).cast("long"))
+    got.append(G._first_centres(low, spark.createDataFrame([(0, 3000)], "_g long, _size long"), "id", [3], 42, lambda x: x).collect())
+    assert got[0] == got[1] and len(got[0][0]["models"][0]["centres"]) == 3
